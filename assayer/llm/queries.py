@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, packing, simhash, warc
+from . import bpe, exact_dedup, packing, quality, simhash, toxicity, warc
+from .labelled import fold
 from .workspace import ship
 
 
@@ -40,6 +41,23 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def _judged(scored: DataFrame, folds: int, held: int, threshold: float) -> DataFrame:
+    return scored.select(F.col("id").alias("doc_id"), (fold(F.col("id"), folds) == held).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels, fold(F.col("id"), 5) != 0)
+    return _judged(quality.score(docs, model), 5, 0, 0.3)
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels, fold(F.col("id"), 3) != 1)
+    scored = toxicity.score(docs, model)
+    return _judged(scored, 3, 1, 0.7)
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(_table(spark, sf_dir, "documents"), tokenizer_path()).withColumnRenamed("id", "doc_id")
 
@@ -66,7 +84,7 @@ FROM f
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op3_packing": op3_packing, "op6_exact_dedup": op6_exact_dedup, "op9_bpe": op9_bpe, "op10_warc": op10_warc}
+    return {"op1_simhash": op1_simhash, "op3_packing": op3_packing, "op6_exact_dedup": op6_exact_dedup, "op7_quality": op7_quality, "op8_toxicity": op8_toxicity, "op9_bpe": op9_bpe, "op10_warc": op10_warc}
 
 
 def oracle_sql() -> dict[str, str]:
