@@ -92,8 +92,9 @@ def predict(model: QualityModel, texts: list[bytes | None], step: int = 4 << 20)
     return np.concatenate(out) if out else np.empty(0)
 
 
-def train(texts: list[bytes], labels: np.ndarray, weights: np.ndarray, epochs: int = 6, batch: int = 64, rate: float = 0.02, most_halves: int = 24, seed: int = 7) -> QualityModel:
-    """Adam on weighted log loss. Of a text longer than ``most_halves`` half-chunks a step
+def train(texts: list[bytes], labels: np.ndarray, weights: np.ndarray, epochs: int = 6, least_steps: int = 500, batch: int = 64, rate: float = 0.02, most_halves: int = 24, seed: int = 7) -> QualityModel:
+    """Adam on weighted log loss; a small sample is gone through more often, up to
+    ``least_steps`` steps. Of a text longer than ``most_halves`` half-chunks a step
     learns from that many neighbouring pairs spread over the whole of it."""
     rng = np.random.default_rng(seed)
     table = rng.normal(0, 0.1, (WIDTH, 256, FILTERS)).astype(np.float32)
@@ -104,7 +105,9 @@ def train(texts: list[bytes], labels: np.ndarray, weights: np.ndarray, epochs: i
     first = {k: np.zeros_like(v) for k, v in params.items()}
     second = {k: np.zeros_like(v) for k, v in params.items()}
     weights = weights / weights.mean()
-    step, total = 0, epochs * max(1, -(-len(texts) // batch))
+    per_epoch = max(1, -(-len(texts) // batch))
+    epochs = max(epochs, -(-least_steps // per_epoch))
+    step, total = 0, epochs * per_epoch
     for _ in range(epochs):
         order = rng.permutation(len(texts))
         for i in range(0, len(order), batch):

@@ -82,7 +82,7 @@ def test_quality_held_out(spark, corpus):
     assert np.mean([(scores[i] >= 0.3) == (i % 4 != 1) for i in held]) > 0.97
     assert all(0 <= s <= 1 for s in scores.values()) and {2000, 2001, 2002, None} <= scores.keys()
     kept = quality.keep_good(docs, model)
-    assert kept.columns == docs.columns and 700 < kept.count() < 800
+    assert kept.columns == docs.columns and 660 < kept.count() < 700  # of 675 good rows and five more
 
 
 @pytest.mark.parametrize("kind", [toxicity, quality])
