@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import load_tokenizer
+from .tokens import TwoGenerations, load_tokenizer
 from .workspace import ship
 
 #: Fixed by the vocabulary file: how its pre-tokenizer splits lower-cased ASCII text.
@@ -41,7 +41,7 @@ def byte_letters() -> list[str]:
 class PairIndexBpe:
     """Encoder of a byte-level, word-end-marked BPE file."""
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 200_000):
         spec = json.load(open(path, encoding="utf-8"))
         model = spec["model"]
         vocab, end = model["vocab"], model["end_of_word_suffix"]
@@ -67,13 +67,7 @@ class PairIndexBpe:
         self.text_ids = [str(i) for i in range(self.size)]
         self.library = load_tokenizer(path)
         self.split_special = re.compile(b"(" + b"|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True)) + b")") if self.special else None
-        self.limit = limit
-        self.clear()
-
-    def clear(self) -> None:
-        self.word_ids: dict[bytes, tuple[str, str]] = {}
-        self.ids_of: dict[bytes, str] = {}
-        self.text_of: dict[bytes, str] = {}
+        self.words, self.pieces = TwoGenerations(limit), TwoGenerations(limit)
 
     def _check_order(self) -> None:
         """A merge must come after those that make its parts; then applying whole
@@ -149,35 +143,34 @@ class PairIndexBpe:
         text = self.library.normalizer.normalize_str(piece.decode("utf-8", "replace"))
         return [t.translate(self.to_bytes).encode("latin-1") for t, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
 
-    def learn(self, pieces: list[bytes]) -> None:
-        """Encode pieces that are not known yet."""
-        if len(self.ids_of) + len(pieces) > self.limit:
-            self.word_ids = {}
+    def learn(self, pieces: set[bytes]) -> None:
+        """Make the ids and tokens of all ``pieces`` known, encoding those that are new together."""
+        new = self.pieces.want(pieces)
         cut: list[list[bytes]] = []
-        for piece in pieces:
+        for piece in new:
             if self.split_special and b"<|" in piece:
                 cut.append([w for part in self.split_special.split(piece) if part for w in ([part] if part in self.special else self.pre_tokens(part))])
             else:
                 cut.append(self.pre_tokens(piece))
-        new = list({w for words in cut for w in words if w not in self.word_ids and w not in self.special})
-        for i in range(0, len(new), 200_000):
-            words = new[i : i + 200_000]
+        fresh = self.words.want({w for words in cut for w in words} - self.special.keys())
+        known = self.words.young
+        for i in range(0, len(fresh), 200_000):
+            words = fresh[i : i + 200_000]
             ids, begins = self.merge_words(words)
             ids, begins = ids.tolist(), begins.tolist()
             for word, a, b in zip(words, begins, begins[1:]):
                 part = ids[a:b]
-                self.word_ids[word] = " ".join([self.text_ids[x] for x in part]), " ".join([self.tokens[x] for x in part])
+                known[word] = " ".join([self.text_ids[x] for x in part]), " ".join([self.tokens[x] for x in part])
         for token, i in self.special.items():
-            self.word_ids[token] = self.text_ids[i], self.tokens[i]
-        known = self.word_ids
-        for piece, words in zip(pieces, cut):
+            known[token] = self.text_ids[i], self.tokens[i]
+        for piece, words in zip(new, cut):
             if len(words) == 1:
-                self.ids_of[piece], self.text_of[piece] = known[words[0]]
+                self.pieces.young[piece] = known[words[0]]
             else:
-                self.ids_of[piece] = " ".join([known[w][0] for w in words])
-                self.text_of[piece] = " ".join([known[w][1] for w in words])
+                parts = [known[w] for w in words]
+                self.pieces.young[piece] = " ".join([p[0] for p in parts]), " ".join([p[1] for p in parts])
 
-    def encode(self, texts: list[bytes | None], step: int = 32 << 20) -> Iterator[tuple[str, str]]:
+    def encode(self, texts: list[bytes | None], step: int = 8 << 20) -> Iterator[tuple[str, str]]:
         """Space-joined decimal ids and the decoded text of each text, ``step`` bytes at a time."""
         i = 0
         while i < len(texts):
@@ -186,12 +179,11 @@ class PairIndexBpe:
                 size += len(texts[j] or b"")
                 j += 1
             split = [(t or b"").split() for t in texts[i:j]]
-            if len(self.ids_of) > self.limit:
-                self.clear()
-            self.learn(list({p for words in split for p in words} - self.ids_of.keys()))
-            ids_of, text_of = self.ids_of.__getitem__, self.text_of.__getitem__
+            self.learn({p for words in split for p in words})
+            get = self.pieces.young.__getitem__
             for words in split:
-                yield " ".join(filter(None, map(ids_of, words))), " ".join(filter(None, map(text_of, words)))
+                found = [x for x in map(get, words) if x[0]]
+                yield " ".join([x[0] for x in found]), " ".join([x[1] for x in found])
             i = j
 
 

@@ -14,6 +14,7 @@ from collections.abc import Iterable
 import numpy as np
 
 _loaded: dict[str, object] = {}
+_encoders: dict[str, "PieceEncoder"] = {}
 
 
 def load_tokenizer(path: str):
@@ -30,26 +31,51 @@ def load_tokenizer(path: str):
     return _loaded[path]
 
 
+class TwoGenerations:
+    """A bounded map that forgets what has not been used for a while.
+
+    New and used entries live in the young half; when it is full it becomes the
+    old half and the former old one goes.
+    """
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def want(self, keys: set) -> list:
+        """Make room, keep what is known of ``keys`` young and return the rest."""
+        if len(self.young) > self.limit:
+            self.old, self.young = self.young, {}
+        rest = keys - self.young.keys()
+        held = rest & self.old.keys()
+        self.young.update((k, self.old[k]) for k in held)
+        return list(rest - held)
+
+
 class PieceEncoder:
-    """ids of texts as little-endian uint32 bytes; keeps at most ``limit`` pieces."""
+    """ids of texts as little-endian uint32 bytes; ``piece_encoder`` keeps one per Python process."""
 
-    def __init__(self, path: str, limit: int = 400_000):
-        self.tokenizer, self.limit = load_tokenizer(path), limit
-        self.known: dict[bytes, bytes] = {}
+    def __init__(self, path: str, limit: int = 300_000):
+        self.tokenizer, self.known = load_tokenizer(path), TwoGenerations(limit)
 
-    def learn(self, pieces: Iterable[bytes]) -> None:
-        new = list(pieces)
+    def learn(self, pieces: set[bytes]) -> None:
+        new = self.known.want(pieces)
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
             for piece, e in zip(part, self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in part], add_special_tokens=False)):
-                self.known[piece] = np.array(e.ids, dtype="<u4").tobytes()
+                self.known.young[piece] = np.array(e.ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list[bytes | None]) -> Iterable[bytes]:
-        for i in range(0, len(texts), 256):
-            split = [(t or b"").split() for t in texts[i : i + 256]]
-            if len(self.known) > self.limit:
-                self.known.clear()
-            self.learn({p for words in split for p in words} - self.known.keys())
-            get = self.known.__getitem__
+        for i in range(0, len(texts), 512):
+            split = [(t or b"").split() for t in texts[i : i + 512]]
+            self.learn({p for words in split for p in words})
+            get = self.known.young.__getitem__
             for words in split:
                 yield b"".join(map(get, words))
+
+
+def piece_encoder(path: str) -> PieceEncoder:
+    if path not in _encoders:
+        _encoders[path] = PieceEncoder(path)
+    return _encoders[path]
