@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact_dedup, packing, quality, simhash, toxicity, warc
+from . import ann, bpe, exact_dedup, lm, packing, quality, simhash, toxicity, warc
 from .labelled import fold
 from .workspace import ship
 
@@ -41,6 +41,12 @@ def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_table(spark, sf_dir, "embeddings"))
 
 
+def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm.score_documents(_table(spark, sf_dir, "documents"), fold(F.col("id"), 7) != 2)
+    held = (fold(F.col("id"), 7) == 2).alias("held_out")
+    return scored.select(F.col("id").alias("doc_id"), held, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -88,7 +94,7 @@ FROM f
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op3_packing": op3_packing, "op4_neighbours": op4_neighbours, "op6_exact_dedup": op6_exact_dedup, "op7_quality": op7_quality, "op8_toxicity": op8_toxicity, "op9_bpe": op9_bpe, "op10_warc": op10_warc}
+    return {"op1_simhash": op1_simhash, "op3_packing": op3_packing, "op4_neighbours": op4_neighbours, "op5_lm": op5_lm, "op6_exact_dedup": op6_exact_dedup, "op7_quality": op7_quality, "op8_toxicity": op8_toxicity, "op9_bpe": op9_bpe, "op10_warc": op10_warc}
 
 
 def oracle_sql() -> dict[str, str]:
