@@ -15,13 +15,12 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.scores import fingerprint
 
 SUFFIXES = {".pdf": ("application/pdf",), ".docx": ("application/vnd.openxmlformats-officedocument.wordprocessingml.document",)}
 
-REPORT = T.StructType.fromDDL(
+REPORT = (
     "analysis_id long, candidate_id long, resume_id long, jd_id long, overall_score int, coverage_score int, experience_score int, project_score int, confidence_score int, quality_score int, "
     "summary string, requirements array<struct<requirement:string,category:string,status:string,matched_evidence:string,explanation:string,limitations:string,confidence:int,importance:string,weight:double>>, "
     "strengths array<string>, weaknesses array<string>, skill_relationships array<string>, missing_skills array<string>, learning_roadmap array<struct<skill:string,estimated_time:string,reason:string>>, "
@@ -94,7 +93,7 @@ def read_uploads(spark: SparkSession, folder: str) -> DataFrame:
 
 def read_reports(spark: SparkSession, folder: str) -> DataFrame:
     """Stored reports; corrupt files are skipped."""
-    raw = spark.read.format("json").schema(T.StructType([*REPORT.fields, T.StructField("_corrupt", T.StringType())])).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("pathGlobFilter", "*.json").load(folder)
+    raw = spark.read.format("json").schema(f"{REPORT}, _corrupt string").option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("pathGlobFilter", "*.json").load(folder)
     return raw.where("_corrupt IS NULL").drop("_corrupt")
 
 
