@@ -20,3 +20,14 @@ def norm(a: Column) -> Column:
 def normalised(a: Column) -> Column:
     n = norm(a)
     return F.transform(a, lambda x: x.cast("double") / (n + d(1e-9)))
+
+
+def hashed_vector(tokens: Column, size: int = 256) -> Column:
+    """A unit vector of hashed token counts with hashed signs: the encoder where no model is at hand.
+
+    Like any encoder it is a Column of the text, so a trained one in a pandas UDF takes its place.
+    """
+    places = F.transform(tokens, lambda t: F.struct(F.pmod(F.xxhash64(t), F.lit(size)).alias("at"), F.when(F.pmod(F.xxhash64(t, F.lit("sign")), F.lit(2)) == 0, d(1)).otherwise(d(-1)).alias("sign")))
+    zeros = F.array_repeat(d(0), size)
+    counts = F.aggregate(F.array_sort(places), zeros, lambda v, p: F.transform(v, lambda x, i: F.when(i == p["at"], x + p["sign"]).otherwise(x)))
+    return normalised(counts)

@@ -7,7 +7,7 @@ score, confidence)``. Nested reports are built only at the end.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
@@ -97,10 +97,15 @@ def learning_roadmap(rows: DataFrame) -> DataFrame:
     return rows.where("status <> 'Matched'").select(*KEY, "position", time.alias("estimated_time"))
 
 
+def snippet(text: Column, most: int = 90) -> Column:
+    """White space collapsed, cut to ``most`` characters with an ellipsis."""
+    short = F.regexp_replace(F.trim(text), r"\s+", " ")
+    return F.when(F.length(short) > most, F.concat(F.rtrim(F.substring(short, 1, most)), F.lit("…"))).otherwise(short)
+
+
 def explained(rows: DataFrame) -> DataFrame:
     """Verdicts with a sentence on each: what is shown, and what is missing."""
-    short = F.regexp_replace(F.trim("evidence"), r"\s+", " ")
-    quote = F.when(F.length(short) > 90, F.concat(F.rtrim(F.substring(short, 1, 90)), F.lit("…"))).otherwise(short)
+    quote = snippet(F.col("evidence"))
     text = (
         F.when((F.col("relation") == "equivalent") & ~F.col("claimed"), F.format_string("%s stands in for %s: the two are used alike.", "related_skill", "requirement"))
         .when(F.col("status") == "Matched", F.format_string('Shown at work in %s: "%s".', "section", quote))
@@ -200,3 +205,48 @@ def interview_answers(matched: DataFrame) -> DataFrame:
     answer = F.when(backed, F.format_string('Points to work with %s: "%s".', name, "evidence")).when(status == "Partial", F.format_string("Names %s without depth.", name)).otherwise(F.format_string("Has no evidence of %s to draw on.", name))
     follow = F.when(conf < 60, F.array(F.format_string("Which measurable result did your work with %s have?", name))).otherwise(F.array().cast("array<string>"))
     return matched.select("analysis_id", "question_id", "question", verdict.alias("verdict"), answer.alias("ideal_answer"), conf.cast("long").alias("confidence"), follow.alias("follow_up_questions"))
+
+
+def interview(reports_: DataFrame, questions: DataFrame, default: str = "Walk me through a project you are proud of.") -> DataFrame:
+    """Answers for the questions of each report; a report without any gets the default one."""
+    asked = reports_.select("analysis_id").join(questions, "analysis_id", "left")
+    asked = asked.withColumns({"question_id": F.coalesce("question_id", F.lit(0)), "question": F.coalesce("question", F.lit(default))})
+    names = reports_.select("analysis_id", F.inline("requirements")).select("analysis_id", "requirement", "position", "status", F.col("matched_evidence").alias("evidence"), "confidence")
+    return interview_answers(interview_match(asked, names))
+
+
+def with_reports(history: DataFrame, report_scores: DataFrame) -> DataFrame:
+    """History rows beside their report's scores: the table's value first, then the report's,
+    then 0. ``has_report`` tells completed reports from missing ones."""
+    names = ("overall_score", "coverage_score", "experience_score", "project_score", "quality_score")
+    found = report_scores.where("overall_score IS NOT NULL").select(F.col("analysis_id").alias("id"), *(F.col(n).alias(f"r_{n}") for n in names))
+    joined = history.join(found, "id", "left")
+    return joined.withColumns({"has_report": F.col("r_overall_score").isNotNull(), **{n: F.coalesce(n, f"r_{n}", F.lit(0)) for n in names}}).drop(*(f"r_{n}" for n in names))
+
+
+def history_detail(analyses: DataFrame, reports_: DataFrame, resumes: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Analyses that have a report, with file names that are empty where the file is gone."""
+    r = resumes.select(F.col("id").alias("resume_id"), F.col("filename").alias("resume_filename"))
+    j = jobs.select(F.col("id").alias("jd_id"), F.col("filename").alias("jd_filename"))
+    ids = analyses.select("id", "resume_id", "jd_id", "workflow_status", "created_at")
+    out = ids.join(reports_.withColumnRenamed("analysis_id", "id"), "id").join(r, "resume_id", "left").join(j, "jd_id", "left")
+    return out.withColumns({n: F.coalesce(n, F.lit("")) for n in ("resume_filename", "jd_filename")})
+
+
+def requirement_view(rows: DataFrame) -> DataFrame:
+    """Verdicts in the client's order, must before nice, with a flag on skills that are claimed but not shown."""
+    flag = F.col("claimed") & ~F.col("demonstrated")
+    return rows.withColumn("over_claimed", flag).orderBy("analysis_id", F.when(F.col("importance") == "nice", 1).otherwise(0), "position")
+
+
+def leaderboard_view(ranking: DataFrame, min_score: int = 0, sort: str = "score") -> DataFrame:
+    """The client's filter and order: a floor when above 0; by name, rank or score, ties by rank."""
+    rows = ranking.where(F.col("overall_score") >= min_score) if min_score > 0 else ranking
+    return rows.orderBy(*{"name": [F.asc("filename")], "rank": []}.get(sort, [F.desc_nulls_last("overall_score")]), F.asc("rank"))
+
+
+def rendered_evidence(matches: DataFrame, most: int = 3) -> DataFrame:
+    """One text per requirement with its ``most`` most confident matches."""
+    best = ranked(matches, KEY, [F.desc("confidence"), F.desc("section"), F.desc("chunk")], "r", most)
+    line = F.format_string("[%s, %d] %s", "section", "confidence", snippet(F.col("chunk"), 200))
+    return best.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("r", line.alias("line")))).alias("lines")).select(*KEY, F.array_join("lines.line", "\n").alias("evidence"))

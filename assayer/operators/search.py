@@ -88,3 +88,8 @@ def page_numbers(current: int, total: int, size: int) -> list[int | None]:
     last = math.ceil(total / size)
     shown = sorted({p for p in (1, current - 1, current, current + 1, last) if 1 <= p <= last})
     return [x for a, b in zip([0, *shown], shown) for x in ([b] if b - a <= 1 else [None, b])]
+
+
+def lookup(rows: DataFrame, id_: int) -> DataFrame:
+    """The row of a primary key, or none; the predicate reaches the scan."""
+    return rows.where(F.col("id") == id_).limit(1)
