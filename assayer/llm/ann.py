@@ -150,32 +150,32 @@ def _top(values: np.ndarray, n: int) -> np.ndarray:
     return best
 
 
-def search_block(model: AdditiveQuantiser, queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, codes: np.ndarray, norm: np.ndarray, k: int, rerank: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The ``k`` exact best of a block for each query, among its ``rerank`` best by table
-    lookups: ``(row of query, column of block, score)``. ``ids`` ascend, so ties go to smaller ids."""
+def search_block(model: AdditiveQuantiser, queries: np.ndarray, x: np.ndarray, codes: np.ndarray, norm: np.ndarray, n: int, rerank: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``n`` exact best of a block of distinct vectors for each query, among its ``rerank``
+    best by table lookups: their columns and scores, best first."""
     found = []
     norm = norm.astype(np.float32)
     for i in range(0, len(queries), 128):
         q = queries[i : i + 128]
         tables = model.tables(q)
-        approx = np.zeros((len(q), len(ids)), dtype=np.float32)
+        approx = np.zeros((len(q), len(x)), dtype=np.float32)
         for m in range(len(tables)):
             approx += tables[m][:, codes[:, m]]
         approx *= norm
-        own = np.searchsorted(ids, query_ids[i : i + 128])
-        here = (own < len(ids)) & (ids[np.minimum(own, len(ids) - 1)] == query_ids[i : i + 128])
-        approx[np.flatnonzero(here), own[here]] = -np.inf
         best = np.sort(_top(approx, rerank), axis=1)
         exact = np.empty(best.shape)
         for j in range(0, len(q), 16):
             exact[j : j + 16] = (x[best[j : j + 16]] * q[j : j + 16, None, :]).sum(axis=2)
-        exact[np.isneginf(np.take_along_axis(approx, best, axis=1))] = -np.inf
-        order = np.argsort(-exact, axis=1, kind="stable")[:, :k]
-        rows = np.repeat(np.arange(i, i + len(q)), order.shape[1])
-        columns, scores = np.take_along_axis(best, order, axis=1).ravel(), np.take_along_axis(exact, order, axis=1).ravel()
-        keep = ~np.isneginf(scores)
-        found.append((rows[keep], columns[keep], scores[keep]))
-    return tuple(np.concatenate(c) for c in zip(*found))
+        order = np.argsort(-exact, axis=1, kind="stable")[:, :n]
+        found.append((np.take_along_axis(best, order, axis=1), np.take_along_axis(exact, order, axis=1)))
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
+def expand(query_id: int, columns: list[int], scores: list[float], members: list[list[int]], k: int) -> list[tuple[float, int]]:
+    """``(-score, id)`` of the ``k`` best rows when each distinct vector stands for all its ids, the
+    query's own left out; equal scores go by id."""
+    rows = [(-score, i) for c, score in zip(columns, scores) for i in members[c][: k + 1] if i != query_id]
+    return sorted(rows)[:k]
 
 
 def nearest(table: DataFrame, every: int = 20, k: int = 20, rerank: int = 512, block_rows: int = 16_384, query_rows: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding", **fitting) -> DataFrame:
@@ -202,10 +202,21 @@ def nearest(table: DataFrame, every: int = 20, k: int = 20, rerank: int = 512, b
         if not held.num_rows or not asked.num_rows:
             return pa.table(empty)
         held = held.sort_by("id")
-        ids, query_ids = held.column("id").to_numpy(), asked.column("id").to_numpy()
-        codes = np.frombuffer(b"".join(held.column("codes").to_pylist()), dtype=np.uint8).reshape(len(ids), -1)
-        rows, columns, scores = search_block(shared.value, _matrix(asked.column("vec")), query_ids, _matrix(held.column("vec")), ids, codes, held.column("norm").to_numpy(), k, rerank)
-        return pa.table({"query_id": query_ids[rows], "vec_id": ids[columns], "score": scores})
+        ids, bodies = held.column("id").to_pylist(), held.column("vec").to_pylist()
+        place: dict[bytes, int] = {}
+        members: list[list[int]] = []
+        first: list[int] = []
+        for row, (i, body) in enumerate(zip(ids, bodies)):  # a vector that many rows share is looked at once
+            at = place.setdefault(body, len(members))
+            if at == len(members):
+                members.append([])
+                first.append(row)
+            members[at].append(i)
+        once = held.take(first)
+        codes = np.frombuffer(b"".join(once.column("codes").to_pylist()), dtype=np.uint8).reshape(len(first), -1)
+        columns, scores = search_block(shared.value, _matrix(asked.column("vec")), _matrix(once.column("vec")), codes, once.column("norm").to_numpy(), k + 1, rerank)
+        out = [(q, i, -s) for q, c, v in zip(asked.column("id").to_pylist(), columns.tolist(), scores.tolist()) for s, i in expand(q, c, v, members, k)]
+        return pa.table({n: pa.array([r[j] for r in out], t) for j, (n, t) in enumerate((("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())))})
 
     found = left.groupBy("block", "query_block").cogroup(right.groupBy("block", "query_block")).applyInArrow(run, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

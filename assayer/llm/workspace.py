@@ -7,6 +7,8 @@ at most the tasks of the stage that is running, as its inputs are files.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -29,7 +31,9 @@ def shared_dir(spark: SparkSession) -> str:
     if app not in _own_dirs:
         if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="assayer-")
+        folder = tempfile.mkdtemp(prefix="assayer-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _own_dirs[app] = f"file://{folder}"
     return _own_dirs[app]
 
 
