@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .labelled import sample_labelled
 from .workspace import ship
@@ -193,7 +194,7 @@ def _scores(rows: DataFrame, model: QualityModel) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(predict(m, batch.column(0).to_pylist()), pa.float64())], names=[*batch.schema.names[1:], "score"])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), "score double"])
+    schema = T.StructType([*others, T.StructField("score", T.DoubleType())])
     return rows.select("text", *(F.col(f"`{f.name}`") for f in others)).mapInArrow(run, schema)
 
 

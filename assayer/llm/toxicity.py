@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .labelled import sample_labelled
 from .workspace import ship
@@ -115,16 +116,25 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(a, b, float(high - low)) for a, b, low, high, _ in open_]
 
 
-def _counted(sample: DataFrame, count) -> DataFrame:
+def _counted(sample: DataFrame, count, flush: int = 200_000) -> DataFrame:
     """``(word binary, toxic, clean)`` summed over the sample; ``count(words)`` makes a document's counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: tuple[Counter, Counter] = (Counter(), Counter())
+
+        def emit() -> pa.RecordBatch:
+            keys = list(sums[0].keys() | sums[1].keys())
+            out = pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), *(pa.array([sums[i][k] for k in keys], pa.int64()) for i in (1, 0))], names=["word", "toxic", "clean"])
+            sums[0].clear(), sums[1].clear()
+            return out
+
         for batch in batches:
-            sums: tuple[Counter, Counter] = (Counter(), Counter())
             for text, label in zip(batch.column(0), batch.column(1).to_pylist()):
                 sums[label].update(count(words_of(text.as_py())))
-            keys = list(sums[0].keys() | sums[1].keys())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), *(pa.array([sums[i][k] for k in keys], pa.int64()) for i in (1, 0))], names=["word", "toxic", "clean"])
+                if len(sums[0]) + len(sums[1]) > flush:
+                    yield emit()
+        if sums[0] or sums[1]:
+            yield emit()
 
     found = sample.select("text", "label").mapInArrow(run, "word binary, toxic long, clean long")
     return found.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
@@ -226,7 +236,8 @@ def _strengths(rows: DataFrame, model: ToxicityModel) -> DataFrame:
                 found.append([{"first": a, "end": b, "score": s} for a, b, s in segments if m.normalised(s, len(words)) >= SIGNIFICANT])
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(strengths, pa.float64()), pa.array(found, span)], names=[*batch.schema.names[1:], "strength", "passages"])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), "strength double, passages array<struct<first:int,end:int,score:double>>"])
+    spans = T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("score", T.DoubleType())]))
+    schema = T.StructType([*others, T.StructField("strength", T.DoubleType()), T.StructField("passages", spans)])
     return rows.select("text", *(F.col(f"`{f.name}`") for f in others)).mapInArrow(run, schema)
 
 

@@ -128,6 +128,16 @@ def test_drop_functions_keep_columns(spark, docs):
     assert near.columns == docs.columns
 
 
+def test_odd_column_names_pass_through(spark):
+    from assayer.llm import quality, toxicity
+
+    odd = spark.createDataFrame([(1, "a b", 1, {"k": [1]}), (2, "a b", 2, None)], "doc_id long, text string, `suspect` int, `a.b c` map<string,array<int>>")
+    model = toxicity.ToxicityModel({b"a": 1.0}, -0.1)
+    plain = quality.QualityModel(np.zeros((quality.WIDTH, 256, quality.FILTERS), np.float32), np.zeros(quality.FILTERS, np.float32), np.zeros(quality.FILTERS), 1.0)
+    for kept in (exact_dedup.drop_exact_duplicates(odd), simhash.drop_near_duplicates(odd), toxicity.drop_toxic(odd, model, 2.0), quality.keep_good(odd, plain)):
+        assert kept.columns == odd.columns and kept.count() in (1, 2)
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], DOCS)
     assert simhash.near_duplicates(none).count() == 0
