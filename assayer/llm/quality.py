@@ -43,25 +43,29 @@ def _halves(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     return flat, counts
 
 
-def _windows(flat: np.ndarray) -> np.ndarray:
-    """``[place, position]`` bytes of every window; the last windows see padding."""
+def _windows(flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """``[place, position]`` bytes of every window; none looks past the end of its own text."""
     padded = np.concatenate([flat, np.zeros(WIDTH, dtype=np.uint8)])
     n = len(flat) // STRIDE
-    return np.stack([padded[k : k + n * STRIDE : STRIDE] for k in range(WIDTH)])
+    windows = np.stack([padded[k : k + n * STRIDE : STRIDE] for k in range(WIDTH)])
+    ends = np.cumsum(counts) * HALF
+    for k in range(1, WIDTH):
+        for back in range(STRIDE, k + 1, STRIDE):
+            windows[k, (ends - back) // STRIDE] = 0
+    return windows
 
 
-def _half_maxima(model: QualityModel, flat: np.ndarray) -> np.ndarray:
+def _half_maxima(model: QualityModel, windows: np.ndarray) -> np.ndarray:
     """Largest activation of each filter in each half-chunk."""
-    out = np.empty((len(flat) // HALF, FILTERS), dtype=np.float32)
-    step = 256 * HALF
-    for i in range(0, len(flat), step):
-        part = flat[i : i + step + WIDTH]
-        w = _windows(np.concatenate([part, np.zeros(max(0, min(step, len(flat) - i) + WIDTH - len(part)), dtype=np.uint8)])[: min(step, len(flat) - i) + WIDTH])
-        n = min(step, len(flat) - i) // STRIDE
-        total = model.table[0][w[0][:n]]
+    per_half = HALF // STRIDE
+    out = np.empty((windows.shape[1] // per_half, FILTERS), dtype=np.float32)
+    step = 256 * per_half
+    for i in range(0, windows.shape[1], step):
+        part = windows[:, i : i + step]
+        total = model.table[0][part[0]]
         for k in range(1, WIDTH):
-            total += model.table[k][w[k][:n]]
-        out[i // HALF : i // HALF + n * STRIDE // HALF] = total.reshape(-1, HALF // STRIDE, FILTERS).max(axis=1)
+            total += model.table[k][part[k]]
+        out[i // per_half : (i + part.shape[1]) // per_half] = total.reshape(-1, per_half, FILTERS).max(axis=1)
     return np.maximum(out + model.bias, 0)
 
 
@@ -70,7 +74,7 @@ def features(model: QualityModel, texts: list[bytes | None]) -> np.ndarray:
     if not texts:
         return np.empty((0, FILTERS), dtype=np.float32)
     flat, counts = _halves(texts)
-    halves = _half_maxima(model, flat)
+    halves = _half_maxima(model, _windows(flat, counts))
     chunks = np.maximum(halves[:-1], halves[1:])
     starts = np.concatenate([[0], np.cumsum(counts)])
     keep = np.ones(len(chunks), dtype=bool)
@@ -136,7 +140,7 @@ def train(texts: list[bytes], labels: np.ndarray, weights: np.ndarray, epochs: i
 def _gradients(model: QualityModel, texts: list[bytes], y: np.ndarray, w: np.ndarray) -> dict[str, np.ndarray]:
     """Gradients of the weighted log loss; the maxima pass theirs to the windows that won."""
     flat, counts = _halves(texts)
-    windows = _windows(flat)
+    windows = _windows(flat, counts)
     total = model.table[0][windows[0]]
     for k in range(1, WIDTH):
         total += model.table[k][windows[k]]
