@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .labelled import sample_labelled
-from .workspace import ship
+from .workspace import quoted, ship
 
 HALF = 128  # bytes
 WIDTH, STRIDE, FILTERS = 8, 2, 24
@@ -199,7 +199,7 @@ def _scores(rows: DataFrame, model: QualityModel) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(predict(m, batch.column(0).to_pylist()), pa.float64())], names=[*batch.schema.names[1:], "score"])
 
     schema = T.StructType([*others, T.StructField("score", T.DoubleType())])
-    return rows.select("text", *(F.col(f"`{f.name}`") for f in others)).mapInArrow(run, schema)
+    return rows.select("text", *quoted([f.name for f in others])).mapInArrow(run, schema)
 
 
 def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -213,5 +213,5 @@ def keep_good(docs: DataFrame, model: QualityModel, threshold: float = 0.3, text
     """``docs`` without rows that score under ``threshold``."""
     ship(docs.sparkSession)
     names = docs.columns
-    rows = docs.select(F.col(text_col).cast("binary").alias("text"), F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"))
+    rows = docs.select(F.col(text_col).cast("binary").alias("text"), F.struct(*quoted(names)).alias("row"))
     return _scores(rows, model).where(F.col("score") >= threshold).select(*(F.col("row")[c].alias(c) for c in names))

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import connected_components
-from .workspace import materialise, ship
+from .workspace import materialise, quoted, ship
 
 LOW = 0x5555555555555555
 SEED = 42
@@ -159,4 +159,4 @@ def drop_near_duplicates(docs: DataFrame, max_bits: int = 4, width: int = 4, blo
     """
     found = near_duplicates(docs, max_bits, width, blocks, id_col, text_col)
     gone = materialise(found.where("id <> component").select(F.col("id").alias(id_col)).distinct(), "near-copies")
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    return docs.join(gone, id_col, "left_anti").select(*quoted(docs.columns))

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .labelled import sample_labelled
-from .workspace import ship
+from .workspace import quoted, ship
 
 #: ASCII letters in lower case, ASCII punctuation and controls as spaces, other bytes as they are.
 CLEAN = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or 48 <= b <= 57 or b >= 128 else 32 for b in range(256))
@@ -238,7 +238,7 @@ def _strengths(rows: DataFrame, model: ToxicityModel) -> DataFrame:
 
     spans = T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("score", T.DoubleType())]))
     schema = T.StructType([*others, T.StructField("strength", T.DoubleType()), T.StructField("passages", spans)])
-    return rows.select("text", *(F.col(f"`{f.name}`") for f in others)).mapInArrow(run, schema)
+    return rows.select("text", *quoted([f.name for f in others])).mapInArrow(run, schema)
 
 
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -259,5 +259,5 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7, te
     """``docs`` without rows that score ``threshold`` or more."""
     ship(docs.sparkSession)
     names = docs.columns
-    rows = docs.select(F.col(text_col).cast("binary").alias("text"), F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"))
+    rows = docs.select(F.col(text_col).cast("binary").alias("text"), F.struct(*quoted(names)).alias("row"))
     return _strengths(rows, model).where(logistic_column(model) < threshold).select(*(F.col("row")[c].alias(c) for c in names))

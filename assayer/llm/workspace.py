@@ -41,6 +41,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/assayer/{uuid.uuid4().hex}/{name}"
 
 
+def quoted(names: list[str]) -> list[str]:
+    """Column names for ``select``, whatever characters they hold."""
+    return ["`" + n.replace("`", "``") + "`" for n in names]
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back."""
     path = new_path(df.sparkSession, name)
