@@ -364,7 +364,6 @@ def hybrid_retrieval(t: Tables) -> DataFrame:
 
 # --- text ------------------------------------------------------------------
 
-BLANK = r"'^\s+|\s+$'"
 LINES = rf"""lines AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS at FROM (
   SELECT doc_id, i, regexp_replace(l, '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g') AS line FROM (SELECT doc_id, unnest(a) AS l, generate_subscripts(a, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents))) WHERE line <> '')"""
 
