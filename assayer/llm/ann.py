@@ -82,7 +82,8 @@ def train(x: np.ndarray, books: int = 16, entries: int = 256, rounds: int = 6, r
             np.add.at(right, columns[:, a], x)
         old = model.books.reshape(books * entries, -1)
         ridge = 0.5 + len(x) * 1e-4
-        solved = np.linalg.solve(gram + ridge * np.eye(len(gram)), right + ridge * old)
+        gram.flat[:: len(gram) + 1] += ridge
+        solved = np.linalg.solve(gram, right + ridge * old)
         model = AdditiveQuantiser(solved.reshape(books, entries, -1).astype(np.float32))
     return model
 
