@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .workspace import materialise, ship
+from .workspace import materialise, quoted, ship
 
 BLOCK_BITS = 1 << 16
 
@@ -55,13 +55,13 @@ def repeated_bits(keys: DataFrame, bits: int) -> np.ndarray:
 
     blocks = twice.select(F.shiftright("at", 16).alias("block"), "at").groupBy("block").applyInArrow(pack, "block long, body binary")
     out = np.zeros(bits // 8, dtype=np.uint8)
-    for block, body in blocks.toLocalIterator():
+    for block, body in blocks.collect():
         out[block * BLOCK_BITS // 8 :][: BLOCK_BITS // 8] = np.frombuffer(bytes(body), dtype=np.uint8)
     return out
 
 
 def mark_suspects(rows: DataFrame, key: str, bits: int, packed: np.ndarray) -> DataFrame:
-    """``rows`` with ``suspect``: all bits of ``key`` are set in the filter."""
+    """``rows`` with ``__suspect``: all bits of ``key`` are set in the filter."""
     shared = rows.sparkSession.sparkContext.broadcast(packed)
     at = rows.schema.fieldNames().index(key)
 
@@ -73,9 +73,9 @@ def mark_suspects(rows: DataFrame, key: str, bits: int, packed: np.ndarray) -> D
             for place in (keys & np.uint64(bits - 1), (keys >> np.uint64(32)) & np.uint64(bits - 1)):
                 place = place.astype(np.int64)
                 hit &= (table[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hit)], names=[*batch.schema.names, "suspect"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hit)], names=[*batch.schema.names, "__suspect"])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("suspect", T.BooleanType())]))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("__suspect", T.BooleanType())]))
 
 
 def _filter_of(hashes: DataFrame, per_row: int, max_bits: int) -> tuple[int, np.ndarray]:
@@ -95,9 +95,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     hashes = materialise(docs.select(F.col(id_col).alias("id"), text_hash(F.col(text_col)).alias("sha")).withColumn("key", F.xxhash64("sha")), "hashes")
     bits, packed = _filter_of(hashes, per_row, max_bits)
     marked = mark_suspects(hashes, "key", bits, packed)
-    unique = marked.where("NOT suspect").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"))
-    repeated = marked.where("suspect").groupBy("sha", "id").agg(F.count(F.lit(1)).alias("n"))
-    groups = repeated.groupBy("sha").agg(F.max("id").alias("keep_id"), F.sum("n").alias("group_size"))
+    unique = marked.where("NOT __suspect").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"))
+    repeated = marked.where("__suspect").groupBy("sha", "id").agg(F.count(F.lit(1)).alias("n"))
+    # Both sides of the join are read from files, so that a hash with very many ids can be split.
+    repeated = materialise(repeated, "repeated")
+    groups = materialise(repeated.groupBy("sha").agg(F.max("id").alias("keep_id"), F.sum("n").alias("group_size")), "groups")
     expanded = repeated.join(groups, "sha").select("*", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("i"))
     return unique.union(expanded.select("id", "keep_id", "group_size", (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("i") == 1)).alias("kept"), F.col("sha").alias("text_sha256")))
 
@@ -110,13 +112,14 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     A null id loses to any other; a group without any id stays whole.
     """
     ship(docs.sparkSession)
-    keyed = docs.select(*docs.columns, text_hash(F.col(text_col)).alias("__sha")).withColumn("__key", F.xxhash64("__sha"))
-    hashes = materialise(keyed.select(F.col(id_col).alias("id"), F.col("__sha").alias("sha"), F.col("__key").alias("key")), "hashes")
+    names = docs.columns
+    keyed = docs.select(F.struct(*quoted(names)).alias("__row"), F.col(id_col).alias("__id"), text_hash(F.col(text_col)).alias("__sha")).withColumn("__key", F.xxhash64("__sha"))
+    hashes = materialise(keyed.select(F.col("__id").alias("id"), F.col("__sha").alias("sha"), F.col("__key").alias("key")), "hashes")
     bits, packed = _filter_of(hashes, per_row, max_bits)
-    suspects = materialise(mark_suspects(hashes, "key", bits, packed).where("suspect").groupBy("sha").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("n")).where("n > 1"), "repeated")
+    repeated = materialise(mark_suspects(hashes, "key", bits, packed).where("__suspect").groupBy("sha").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("n")).where("n > 1"), "repeated")
     marked = mark_suspects(keyed, "__key", bits, packed)
-    unique = marked.where("NOT suspect").select(*docs.columns)
-    held = marked.where("suspect").join(suspects.select(F.col("sha").alias("__sha"), F.col("keep_id").alias("__keep")), "__sha", "left")
-    alone = held.where("__sha IS NOT NULL AND __keep IS NULL").select(*docs.columns)
-    chosen = held.where(F.col(id_col) == F.col("__keep")).dropDuplicates(["__sha"]).select(*docs.columns)
-    return unique.union(alone).union(chosen)
+    held = marked.where("__suspect").join(repeated.select(F.col("sha").alias("__sha"), F.col("keep_id").alias("__keep")), "__sha", "left")
+    alone = held.where("__keep IS NULL")
+    chosen = held.where("__id = __keep").dropDuplicates(["__sha"])
+    kept = marked.where("NOT __suspect").select("__row").union(alone.select("__row")).union(chosen.select("__row"))
+    return kept.select(*(F.col("__row")[c].alias(c) for c in names))
