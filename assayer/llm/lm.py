@@ -20,9 +20,11 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,7 +61,7 @@ class Vocabulary:
     def __post_init__(self):
         ordered = sorted(self.places, key=self.places.get)
         rank = np.arange(len(ordered))
-        self.codes = np.where(rank < HEAD, rank, HEAD + np.array([bucket_of(w) for w in ordered], dtype=np.int64))
+        self.codes = np.where(rank < HEAD, rank, HEAD + np.array([bucket_of(w) for w in ordered], dtype=np.int64)).astype(np.int16)
         self.logs = np.log10(self.counts + 1.0)
 
     def bucket_logs(self) -> np.ndarray:
@@ -92,41 +94,44 @@ def _step(weights: dict[str, np.ndarray], x: np.ndarray, h: np.ndarray):
     return z, r, gn, n, n + z * (h - n)
 
 
-def _log_softmax(a: np.ndarray) -> np.ndarray:
-    a -= a.max(axis=1, keepdims=True)
-    a -= np.log(np.exp(a).sum(axis=1, keepdims=True))
-    return a
+def _chosen(logits: np.ndarray, column: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log-probability of one column per row, with the exponentials and their sums. Logits of
+    bounded states stay far below the cut that guards the exponential."""
+    rows = np.arange(len(column))
+    picked = logits[rows, column]
+    e = np.exp(np.minimum(logits, 80.0, out=logits), out=logits)
+    total = e @ np.ones(e.shape[1], e.dtype)
+    return picked - np.log(total), e, total
 
 
 def _output(weights: dict[str, np.ndarray], h: np.ndarray, code: np.ndarray, grads: dict[str, np.ndarray] | None, weight: float = 1.0):
     """Natural-log probability of each code (for the tail: of its bucket) after states ``h``; with ``grads``
     adds the loss's gradients to them and returns that of ``h`` too."""
+
+    def back(e: np.ndarray, total: np.ndarray, column: np.ndarray) -> np.ndarray:
+        e *= (weight / total)[:, None]
+        e[np.arange(len(column)), column] -= weight
+        return e
+
     kind = np.where(code < HEAD, code // PER_CLASS, CLASSES + code - HEAD)
-    logs = _log_softmax(h @ weights["classes"] + weights["class_bias"])
-    rows = np.arange(len(code))
-    out = logs[rows, kind]
+    out, e, total = _chosen(h @ weights["classes"] + weights["class_bias"], kind)
     dh = None
     if grads is not None:
-        d = np.exp(logs)
-        d[rows, kind] -= 1
-        d *= weight
+        d = back(e, total, kind)
         grads["classes"] += h.T @ d
         grads["class_bias"] += d.sum(axis=0)
         dh = d @ weights["classes"].T
-    order = np.argsort(kind, kind="stable")
+    order = np.argsort(kind.astype(np.uint8), kind="stable")
     cuts = np.searchsorted(kind[order], np.arange(CLASSES + 1))
     for c in range(CLASSES):
         at = order[cuts[c] : cuts[c + 1]]
         if len(at):
-            word = code[at] - c * PER_CLASS
-            inner = _log_softmax(h[at] @ weights["words"][c] + weights["word_bias"][c])
-            own = np.arange(len(at))
-            out[at] += inner[own, word]
+            word, part = code[at] - c * PER_CLASS, h[at]
+            inner, e, total = _chosen(part @ weights["words"][c] + weights["word_bias"][c], word)
+            out[at] += inner
             if grads is not None:
-                d = np.exp(inner)
-                d[own, word] -= 1
-                d *= weight
-                grads["words"][c] += h[at].T @ d
+                d = back(e, total, word)
+                grads["words"][c] += part.T @ d
                 grads["word_bias"][c] += d.sum(axis=0)
                 dh[at] += d @ weights["words"][c].T
     return out, dh
@@ -147,7 +152,7 @@ def lanes_of(codes: np.ndarray, lengths: np.ndarray, most_lanes: int) -> tuple[n
     seat = np.empty(lanes, dtype=np.int64)
     seat[np.argsort(-ends, kind="stable")] = np.arange(lanes)
     shape = (int(ends.max()), lanes)
-    code, document, previous = np.zeros(shape, np.int32), np.full(shape, -1, np.int32), np.full(shape, INPUTS - 1, np.int32)
+    code, document, previous = np.zeros(shape, np.int16), np.full(shape, -1, np.int32), np.full(shape, INPUTS - 1, np.int16)
     for d, lane, at in placed:
         n, lane = int(lengths[d]), seat[lane]
         part = codes[starts[d] : starts[d] + n]
@@ -196,7 +201,7 @@ class Adam:
             self.weights[k] -= rate * self.first[k] / (np.sqrt(self.second[k]) + 1e-6)
 
 
-def train_lanes(adam: Adam, code: np.ndarray, document: np.ndarray, previous: np.ndarray, window: int = 16) -> float:
+def train_lanes(adam: Adam, code: np.ndarray, document: np.ndarray, previous: np.ndarray, window: int = 32) -> float:
     """One pass of truncated backpropagation; the state goes on from window to window. The mean loss."""
     weights = adam.weights
     h0 = np.zeros((code.shape[1], HIDDEN), np.float32)
@@ -249,37 +254,34 @@ class _Reader:
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
 
-    def read(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[dict[bytes, int]]]:
-        """``ranks`` (-1: not broadcast), ``codes``, ``lengths`` and each text's unknown words with counts."""
+    def read(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[bytes]]]:
+        """``ranks`` (-1: not broadcast), ``codes``, ``lengths`` and each text's words that aren't broadcast."""
         get = self.v.places.get
-        ranks, lengths, unknown, rest = [], [], [], []
+        ranks, unknown = [], []
         for t in texts:
             words = words_of(t)
-            found = [get(w, -1) for w in words]
-            ranks.extend(found)
-            lengths.append(len(words))
-            other = [w for w, r in zip(words, found) if r < 0] if -1 in found else []
-            rest.extend(other)
-            unknown.append(Counter(other))
-        ranks = np.array(ranks, dtype=np.int64)
-        codes = self.v.codes[ranks] if len(self.v.codes) else np.zeros(len(ranks), dtype=np.int64)
-        if rest:
-            codes[ranks < 0] = HEAD + np.fromiter(map(bucket_of, rest), dtype=np.int64, count=len(rest))
-        return ranks, codes, np.array(lengths, dtype=np.int64), unknown
-
-
-def _batches(texts: list[bytes | None], size: int) -> Iterator[tuple[int, int]]:
+            found = np.fromiter(map(get, words, repeat(-1)), dtype=np.int32, count=len(words))
+            ranks.append(found)
+            unknown.append([words[i] for i in np.flatnonzero(found < 0).tolist()])
+        lengths = np.fromiter(map(len, ranks), dtype=np.int64, count=len(ranks))
+        ranks = np.concatenate(ranks) if ranks else np.empty(0, np.int32)
+        codes = self.v.codes[ranks] if len(self.v.codes) else np.zeros(len(ranks), dtype=np.int16)
+        codes[ranks < 0] = HEAD + np.fromiter((bucket_of(w) for words in unknown for w in words), dtype=np.int16, count=int((ranks < 0).sum()))
+        return ranks, codes, lengths, unknown
+
+
+def _batches(column: pa.Array, size: int) -> Iterator[tuple[int, list[bytes | None]]]:
+    """Where each run of texts of about ``size`` bytes begins, and the texts."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
     i = 0
-    while i < len(texts):
-        j, total = i, 0
-        while j < len(texts) and (j == i or total < size):
-            total += len(texts[j] or b"")
-            j += 1
-        yield i, j
+    while i < len(column):
+        before = ends[i - 1] if i else 0
+        j = max(i + 1, int(np.searchsorted(ends, before + size)))
+        yield i, column.slice(i, j - i).to_pylist()
         i = j
 
 
-def word_counts(docs: DataFrame, flush: int = 400_000) -> DataFrame:
+def word_counts(docs: DataFrame, flush: int = 200_000) -> DataFrame:
     """``(word binary, c long)`` over all rows of ``docs (text binary)``, ends included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,7 +318,7 @@ def vocabulary_of(counts: DataFrame, broadcast_words: int = 131_072) -> Vocabula
     return Vocabulary(places, np.array([r["c"] for r in top], dtype=np.float64), tokens, words, total["n"], total["v"])
 
 
-def train(docs: DataFrame, vocabulary: Vocabulary, warm_rows: int = 256, warm_rate: float = 0.01, rate: float = 0.003, lanes: int = 256) -> dict[str, np.ndarray]:
+def train(docs: DataFrame, vocabulary: Vocabulary, warm_rows: int = 256, warm_rate: float = 0.01, rate: float = 0.004, lanes: int = 256) -> dict[str, np.ndarray]:
     """Weights after one pass over all of ``docs (id, text binary)``: a warm start on ``warm_rows``
     rows gives all tasks the same point to go on from, then each trains on what it holds."""
     spark = docs.sparkSession
@@ -337,9 +339,8 @@ def train(docs: DataFrame, vocabulary: Vocabulary, warm_rows: int = 256, warm_ra
         vocabulary, start = shared.value
         reader, adam, seen = _Reader(vocabulary), Adam({k: v.copy() for k, v in start.items()}, rate), 0
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for i, j in _batches(texts, STEP):
-                _, codes, lengths, _ = reader.read(texts[i:j])
+            for _, texts in _batches(batch.column(0), STEP):
+                _, codes, lengths, _ = reader.read(texts)
                 train_lanes(adam, *lanes_of(codes, lengths, lanes))
                 seen += int(lengths.sum())
         if seen:
@@ -367,27 +368,30 @@ def _score_rows(docs: DataFrame, vocabulary: Vocabulary, weights: dict[str, np.n
     """Per row what needs no further count, and the words that do (``rest``)."""
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary, weights))
     kind = docs.schema["id"].dataType.simpleString()
-    entry = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, weights = shared.value
         reader, row = _Reader(vocabulary), TaskContext.get().partitionId() << 33
         logs, bucket_logs = np.append(vocabulary.logs, 0.0), vocabulary.bucket_logs()
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for i, j in _batches(texts, STEP):
-                ranks, codes, lengths, unknown = reader.read(texts[i:j])
-                n = j - i
-                of = np.repeat(np.arange(n), lengths)
+            for i, texts in _batches(batch.column(1), STEP):
+                ranks, codes, lengths, unknown = reader.read(texts)
+                n = len(texts)
+                of = np.repeat(np.arange(n, dtype=np.int32), lengths)
                 tail = codes >= HEAD
-                count_logs = logs[ranks]
-                in_head = np.bincount(of, weights=np.where(tail, 0.0, count_logs), minlength=n)
-                in_tail = np.bincount(of, weights=np.where(tail, count_logs, 0.0), minlength=n)
+                in_head = np.bincount(of, weights=np.where(tail, 0.0, logs[ranks]), minlength=n)
+                in_tail = np.bincount(of, weights=np.where(tail, logs[ranks], 0.0), minlength=n)
                 shares = np.bincount(of[tail], weights=bucket_logs[codes[tail] - HEAD], minlength=n)
+                known = np.bincount(of, weights=ranks >= 0, minlength=n).astype(np.int64)
+                del of, tail, ranks
                 model = score_lanes(weights, *lanes_of(codes, lengths, lanes), n) / math.log(10)
-                rest = [[{"word": w, "n": c} for w, c in u.items()] for u in unknown]
+                counted = [Counter(words) for words in unknown]
+                ends = np.cumsum([0, *map(len, counted)])
+                words = pa.array([w for c in counted for w in c], pa.binary())
+                times = pa.array([v for c in counted for v in c.values()], pa.int64())
+                rest = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([words, times], names=["word", "n"]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(row, row + n)), batch.column(0).slice(i, n), pa.array(lengths), pa.array(np.bincount(of, weights=ranks >= 0, minlength=n).astype(np.int64)), pa.array(in_head + in_tail), pa.array(model - shares + in_tail), pa.array(rest, entry)],
+                    [pa.array(np.arange(row, row + n)), batch.column(0).slice(i, n), pa.array(lengths), pa.array(known), pa.array(in_head + in_tail), pa.array(model - shares + in_tail), rest],
                     names=["row", "id", "n_tokens", "known", "count_logs", "model", "rest"],
                 )
                 row += n
