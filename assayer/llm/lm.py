@@ -304,9 +304,21 @@ def word_counts(docs: DataFrame, flush: int = 200_000) -> DataFrame:
 
 
 def vocabulary_of(counts: DataFrame, broadcast_words: int = 131_072) -> Vocabulary:
-    """The ``broadcast_words`` most frequent words go to every task (a fixed bound); counts of
-    all others stay in the table. The end of a text is always a head word."""
-    top = counts.orderBy(F.col("word") != END, F.desc("c"), "word").limit(broadcast_words).collect()
+    """The most frequent words, ``broadcast_words`` at most (a fixed bound), go to every task; counts
+    of all others stay in the table. The end of a text is always a head word.
+
+    A histogram of counts tells from which count on the words stay within the bound, so only
+    they are sent to the driver, however many tasks there are.
+    """
+    grade = F.floor(F.log2("c") * 16)
+    least, within = None, 0
+    for r in counts.where(F.col("word") != END).groupBy(grade.alias("g")).agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("c")).orderBy(F.desc("g")).collect():
+        within += r["n"]
+        if within >= broadcast_words:
+            break
+        least = r["c"]
+    frequent = F.col("word") == END if least is None else (F.col("word") == END) | (F.col("c") >= least)
+    top = sorted(counts.where(frequent).collect(), key=lambda r: (bytes(r["word"]) != END, -r["c"], bytes(r["word"])))
     places = {bytes(r["word"]): i for i, r in enumerate(top)}
     head = counts.sparkSession.createDataFrame([(w,) for w, i in places.items() if i < HEAD], "word binary")
     tail = counts.join(F.broadcast(head), "word", "left_anti")
