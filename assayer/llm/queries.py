@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact_dedup, lm, packing, quality, simhash, toxicity, warc
+from . import ann, bpe, exact_dedup, lm, packing, quality, simhash, token_counts, toxicity, warc
 from .labelled import fold
 from .workspace import ship
 
@@ -33,6 +33,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.length_histogram(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path()).withColumnRenamed("id", "doc_id")
 
@@ -94,7 +98,7 @@ FROM f
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op3_packing": op3_packing, "op4_neighbours": op4_neighbours, "op5_lm": op5_lm, "op6_exact_dedup": op6_exact_dedup, "op7_quality": op7_quality, "op8_toxicity": op8_toxicity, "op9_bpe": op9_bpe, "op10_warc": op10_warc}
+    return {"op1_simhash": op1_simhash, "op2_token_counts": op2_token_counts, "op3_packing": op3_packing, "op4_neighbours": op4_neighbours, "op5_lm": op5_lm, "op6_exact_dedup": op6_exact_dedup, "op7_quality": op7_quality, "op8_toxicity": op8_toxicity, "op9_bpe": op9_bpe, "op10_warc": op10_warc}
 
 
 def oracle_sql() -> dict[str, str]:
