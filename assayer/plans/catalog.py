@@ -390,8 +390,7 @@ WATCHED = ["the", "and", "c++", "der", "que", "idiot", "token"]
 
 @query("SELECT doc_id, " + ", ".join(f"""regexp_matches(text, '(?i)(^|[^\\p{{L}}\\p{{M}}\\p{{N}}_]){w.replace('+', '[+]')}($|[^\\p{{L}}\\p{{M}}\\p{{N}}_])') AS has_{i}""" for i, w in enumerate(WATCHED)) + " FROM documents WHERE lang = 'en'")
 def term_match(t: Tables) -> DataFrame:
-    rows = t.read("documents").where("lang = 'en'")
-    return rows.select("doc_id", *(requirements.contains_term(F.col("text"), F.lit(w)).alias(f"has_{i}") for i, w in enumerate(WATCHED)))
+    return t.read("documents").select("doc_id", *(requirements.contains_term(F.col("text"), F.lit(w)).alias(f"has_{i}") for i, w in enumerate(WATCHED)))
 
 
 @query()

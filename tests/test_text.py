@@ -1,9 +1,11 @@
 """Sections, sentences, chunks, requirements, priorities and profiles."""
 
 import random
+import unicodedata
 
 import pytest
 from assayer.operators import profile, requirements, structuring
+from assayer.plans import catalog
 from assayer.settings import DEFAULTS
 from pyspark.sql import functions as F
 
@@ -121,6 +123,20 @@ def test_terms(spark):
     assert {"pytorch", "sql", "node.js"} <= tokens and "plain" not in tokens
 
 
+def test_term_match_takes_every_language(spark, tmp_path):
+    texts = ["The C++ der", "xder derx", "éder", "der, QUE!", "DER_", "porqué que\u0301", "über der Token", "c++é idiot", "", None]
+    rows = [(i, x, lang) for i, (x, lang) in enumerate((x, lang) for x in texts for lang in ("en", "de", "es", "fr", None))]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: tuple(r)[1:] for r in catalog.queries()["term_match"](spark, str(tmp_path)).collect()}
+    wordy = lambda c: c.isalnum() or c == "_" or unicodedata.category(c)[0] == "M"
+
+    def held(text, term):
+        low = text.lower()
+        return any(low.startswith(term, i) and not (i and wordy(low[i - 1])) and not wordy(low[i + len(term) : i + len(term) + 1] or " ") for i in range(len(low)))
+
+    assert got == {i: tuple(None if x is None else held(x, w) for w in catalog.WATCHED) for i, x, _ in rows}
+
+
 def test_candidate_skills_prefer_narrative(spark):
     rows = spark.createDataFrame([(1, 0, "SQL listed", "Skills"), (1, 1, "SQL at work", "Projects"), (1, 2, "SQL again", "Experience")], "analysis_id long, position int, chunk string, section string")
     got = {r.skill: (r.narrative, r.chunk) for r in requirements.candidate_skills(rows).collect()}
