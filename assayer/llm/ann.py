@@ -3,8 +3,11 @@
 A vector is stored as its norm and one code per codebook; its direction is
 approximated by the sum of the coded vectors, all of full dimension. Codes come
 from a beam search. A query scores codes through a table of its inner products
-with all codebook vectors; the best of each block of the index are reranked
-exactly from the original vectors, which lie beside the codes.
+with all codebook vectors. Only codes meet the blocks of queries; each query's
+best of the whole index are then scored exactly where the original vectors are.
+
+Rows of equal vectors are one entry of the index, with the smallest ids among
+them, so that a vector that very many rows share takes the place of one.
 """
 
 from __future__ import annotations
@@ -12,9 +15,12 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,28 +95,36 @@ def train(x: np.ndarray, books: int = 16, entries: int = 256, rounds: int = 6, r
 
 
 def usable_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """``(id, vec binary)``: float64 vectors that take part. Null ids, null or zero vectors and
-    those with null or non-finite components are left out; of rows that repeat an id the
-    one of smallest bytes counts. The length of most vectors is the dimension; others are left out."""
+    """``(row, id, dim, vec binary)``: float64 vectors that take part, rows numbered. Null ids, null or zero
+    vectors and those with null or non-finite components are left out."""
     ship(table.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            ids, bodies, dims = [], [], []
-            for i, v in zip(batch.column(0).to_pylist(), batch.column(1)):
-                x = v.values
-                if i is None or x is None or not len(x) or x.null_count:
-                    continue
-                x = x.to_numpy(zero_copy_only=False)
-                if np.isfinite(x).all() and x.any():
-                    ids.append(i), bodies.append(x.astype("<f8").tobytes()), dims.append(len(x))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(bodies, pa.binary()), pa.array(dims, pa.int32())], names=["id", "vec", "dim"])
-
-    raw = table.select(F.col(id_col).cast("long"), F.col(vector_col).cast("array<double>")).mapInArrow(run, "id long, vec binary, dim int")
-    rows = materialise(raw.groupBy("id", "dim").agg(F.min("vec").alias("vec")), "vectors")
-    common = rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").limit(1)
-    dims = [r["dim"] for r in common.collect()]
-    return rows.where(F.col("dim") == (dims[0] if dims else 0)).select("id", "vec")
+            lists = batch.column(1)
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            values = lists.flatten()
+            x = pc.fill_null(values, float("nan")).to_numpy(zero_copy_only=False)
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            sums = lambda y: np.diff(np.concatenate([[0], np.cumsum(y)])[ends])
+            good = batch.column(0).is_valid().to_numpy(zero_copy_only=False) & (sizes > 0) & (sums(~np.isfinite(x)) == 0) & (sums(x != 0) > 0)
+            at = np.flatnonzero(good)
+            x = (x + 0.0).astype("<f8")  # minus zero is zero
+            bodies = [x[ends[i] : ends[i + 1]].tobytes() for i in at.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(row + at), batch.column(0).take(pa.array(at)), pa.array(sizes[at], pa.int32()), pa.array(bodies, pa.binary())], names=["row", "id", "dim", "vec"])
+            row += batch.num_rows
+
+    raw = table.select(F.col(id_col).cast("long"), F.col(vector_col).cast("array<double>"))
+    return materialise(raw.mapInArrow(run, "row long, id long, dim int, vec binary"), "vectors")
+
+
+def distinct_vectors(rows: DataFrame, most: int) -> DataFrame:
+    """``(node, vec, members)``: each vector once, with its ``most`` rows ``(id, row)`` of smallest ids; ``node`` is the first's row."""
+    order = Window.partitionBy("vec").orderBy("id", "row")
+    few = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most)
+    grouped = few.groupBy("vec").agg(F.array_sort(F.collect_list(F.struct("id", "row"))).alias("members"))
+    return materialise(grouped.select(F.col("members")[0]["row"].alias("node"), "vec", "members"), "distinct")
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -118,13 +132,10 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(bodies), dtype="<f8").reshape(len(bodies), -1)
 
 
-def build_index(vectors: DataFrame, sample_rows: int = 8192, books: int = 16, entries: int = 256) -> tuple[AdditiveQuantiser | None, DataFrame]:
+def build_index(vectors: DataFrame, sample_rows: int = 8192, books: int = 32, entries: int = 256) -> tuple[AdditiveQuantiser, DataFrame]:
     """The quantiser, fitted to at most ``sample_rows`` vectors in order of a hash of their
-    id, and the index ``(id, vec, codes, norm)`` of every vector."""
-    sample = vectors.orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("vec").toArrow()
-    if not sample.num_rows:
-        return None, vectors.select("id", "vec", F.lit(b"").alias("codes"), F.lit(0.0).alias("norm"))
-    x = _matrix(sample.column("vec"))
+    node, and the index ``(node, codes, norm)`` of every vector ``(node, vec)``, of which there is one at least."""
+    x = _matrix(vectors.orderBy(F.xxhash64("node"), "node").limit(sample_rows).select("vec").toArrow().column("vec"))
     model = train(x / np.linalg.norm(x, axis=1, keepdims=True), books, entries)
     shared = vectors.sparkSession.sparkContext.broadcast(model)
 
@@ -134,9 +145,9 @@ def build_index(vectors: DataFrame, sample_rows: int = 8192, books: int = 16, en
                 x = _matrix(batch.column(1))
                 norm = np.linalg.norm(x, axis=1)
                 codes = shared.value.encode(x / norm[:, None])
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norm)], names=["id", "vec", "codes", "norm"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norm)], names=["node", "codes", "norm"])
 
-    return model, materialise(vectors.mapInArrow(run, "id long, vec binary, codes binary, norm double"), "index")
+    return model, materialise(vectors.select("node", "vec").mapInArrow(run, "node long, codes binary, norm double"), "index")
 
 
 def _top(values: np.ndarray, n: int) -> np.ndarray:
@@ -151,74 +162,106 @@ def _top(values: np.ndarray, n: int) -> np.ndarray:
     return best
 
 
-def search_block(model: AdditiveQuantiser, queries: np.ndarray, x: np.ndarray, codes: np.ndarray, norm: np.ndarray, n: int, rerank: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ``n`` exact best of a block of distinct vectors for each query, among its ``rerank``
-    best by table lookups: their columns and scores, best first."""
-    found = []
-    norm = norm.astype(np.float32)
+def approximate(model: AdditiveQuantiser, queries: np.ndarray, codes: np.ndarray, norm: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Columns and values of each query's ``n`` best entries by table lookups."""
+    columns, values = [], []
+    norm, codes = norm.astype(np.float32), np.ascontiguousarray(codes.T)
     for i in range(0, len(queries), 128):
-        q = queries[i : i + 128]
-        tables = model.tables(q)
-        approx = np.zeros((len(q), len(x)), dtype=np.float32)
-        for m in range(len(tables)):
-            approx += tables[m][:, codes[:, m]]
-        approx *= norm
-        best = np.sort(_top(approx, rerank), axis=1)
-        exact = np.empty(best.shape)
-        for j in range(0, len(q), 16):
-            exact[j : j + 16] = (x[best[j : j + 16]] * q[j : j + 16, None, :]).sum(axis=2)
-        order = np.argsort(-exact, axis=1, kind="stable")[:, :n]
-        found.append((np.take_along_axis(best, order, axis=1), np.take_along_axis(exact, order, axis=1)))
-    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-
-
-def expand(query_id: int, columns: list[int], scores: list[float], members: list[list[int]], k: int) -> list[tuple[float, int]]:
-    """``(-score, id)`` of the ``k`` best rows when each distinct vector stands for all its ids, the
-    query's own left out; equal scores go by id."""
-    rows = [(-score, i) for c, score in zip(columns, scores) for i in members[c][: k + 1] if i != query_id]
-    return sorted(rows)[:k]
-
-
-def nearest(table: DataFrame, every: int = 20, k: int = 20, rerank: int = 512, block_rows: int = 16_384, query_rows: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding", **fitting) -> DataFrame:
-    """``(query_id, rank, vec_id, score)``: the ``k`` vectors of largest inner product for each
-    vector whose id is divisible by ``every``, its own row left out; ties go to smaller ids.
+        tables = model.tables(queries[i : i + 128])
+        scores = np.zeros((tables.shape[1], len(norm)), dtype=np.float32)
+        for table, code in zip(tables, codes):
+            scores += np.take(table, code, axis=1)
+        scores *= norm
+        columns.append(_top(scores, n))
+        values.append(np.take_along_axis(scores, columns[-1], axis=1))
+    return np.concatenate(columns), np.concatenate(values)
+
 
-    Every pair of a query block and an index block is one bounded group; a query's
-    best of all blocks meet in a top-k by query. See ``usable_vectors`` for rows that
-    take no part. With fewer candidates than ``k`` all are returned; none give no rows.
+def candidates(model: AdditiveQuantiser, index: DataFrame, queries: DataFrame, rerank: int, block_rows: int, query_rows: int) -> DataFrame:
+    """``(query, node)``: the ``rerank`` best entries of the whole index for each of ``queries (node, vec)``.
+
+    A block of codes and a block of queries are one bounded group.
     """
-    vectors = usable_vectors(table, id_col, vector_col)
-    model, index = build_index(vectors, **fitting)
-    queries = index.where(F.pmod("id", F.lit(every)) == 0).select("id", "vec")
-    sizes = index.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.pmod("id", F.lit(every)) == 0).alias("q")).first()
-    blocks, query_blocks = max(1, math.ceil(sizes["n"] / block_rows)), max(1, math.ceil(sizes["q"] / query_rows))
-    where = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    blocks, query_blocks = (max(1, math.ceil(d.count() / n)) for d, n in ((index, block_rows), (queries, query_rows)))
+    where = lambda n: F.pmod(F.xxhash64("node"), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = index.select("*", where(blocks).alias("block"), each(query_blocks).alias("query_block"))
-    right = queries.select("*", where(query_blocks).alias("query_block"), each(blocks).alias("block"))
-    shared = table.sparkSession.sparkContext.broadcast(model)
+    right = queries.select("node", "vec", where(query_blocks).alias("query_block"), each(blocks).alias("block"))
+    shared = index.sparkSession.sparkContext.broadcast(model)
 
     def run(held: pa.Table, asked: pa.Table) -> pa.Table:
-        empty = {"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())}
         if not held.num_rows or not asked.num_rows:
-            return pa.table(empty)
-        held = held.sort_by("id")
-        ids, bodies = held.column("id").to_pylist(), held.column("vec").to_pylist()
-        place: dict[bytes, int] = {}
-        members: list[list[int]] = []
-        first: list[int] = []
-        for row, (i, body) in enumerate(zip(ids, bodies)):  # a vector that many rows share is looked at once
-            at = place.setdefault(body, len(members))
-            if at == len(members):
-                members.append([])
-                first.append(row)
-            members[at].append(i)
-        once = held.take(first)
-        codes = np.frombuffer(b"".join(once.column("codes").to_pylist()), dtype=np.uint8).reshape(len(first), -1)
-        columns, scores = search_block(shared.value, _matrix(asked.column("vec")), _matrix(once.column("vec")), codes, once.column("norm").to_numpy(), k + 1, rerank)
-        out = [(q, i, -s) for q, c, v in zip(asked.column("id").to_pylist(), columns.tolist(), scores.tolist()) for s, i in expand(q, c, v, members, k)]
-        return pa.table({n: pa.array([r[j] for r in out], t) for j, (n, t) in enumerate((("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())))})
-
-    found = left.groupBy("block", "query_block").cogroup(right.groupBy("block", "query_block")).applyInArrow(run, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            return pa.table({"query": pa.array([], pa.int64()), "node": pa.array([], pa.int64()), "near": pa.array([], pa.float32())})
+        held = held.sort_by("node")
+        codes = np.frombuffer(b"".join(held.column("codes").to_pylist()), dtype=np.uint8).reshape(held.num_rows, -1)
+        columns, values = approximate(shared.value, _matrix(asked.column("vec")), codes, held.column("norm").to_numpy(), rerank)
+        nodes = held.column("node").to_numpy()[columns]
+        return pa.table({"query": np.repeat(asked.column("node").to_numpy(), nodes.shape[1]), "node": nodes.ravel(), "near": values.ravel()})
+
+    found = left.groupBy("block", "query_block").cogroup(right.groupBy("block", "query_block")).applyInArrow(run, "query long, node long, near float")
+    order = Window.partitionBy("query").orderBy(F.desc("near"), "node")
+    return found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= rerank).select("query", "node")
+
+
+def exact(pairs: DataFrame, vectors: DataFrame, queries: DataFrame, keep: int, block_rows: int, list_rows: int = 32_768) -> DataFrame:
+    """``(query, node, score)``: the ``keep`` best of each query's candidates by their original vectors.
+
+    A query goes once to each block of vectors in which it has candidates. Blocks
+    that very many queries ask for are sent out once per ``list_rows`` of them.
+    """
+    blocks = max(1, math.ceil(vectors.count() / block_rows))
+    block = F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int").alias("block")
+    lists = materialise(pairs.select("query", "node", block).groupBy("query", "block").agg(F.collect_list("node").alias("nodes")), "lists")
+    chunks = lists.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / list_rows).cast("int").alias("chunks"))
+    chunk = F.pmod(F.xxhash64("query"), F.col("chunks")).cast("int").alias("chunk")
+    asked = lists.join(chunks, "block").select("block", chunk, "query", "nodes").join(queries.select(F.col("node").alias("query"), F.col("vec").alias("asked")), "query")
+    held = vectors.select("node", "vec", block).join(chunks, "block").select("node", "vec", "block", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+
+    def run(here: pa.Table, wanted: pa.Table) -> pa.Table:
+        out: dict[str, list] = {"query": [np.empty(0, np.int64)], "node": [np.empty(0, np.int64)], "score": [np.empty(0)]}
+        if here.num_rows and wanted.num_rows:
+            here = here.sort_by("node")
+            nodes, x = here.column("node").to_numpy(), _matrix(here.column("vec"))
+            for query, mine, body in zip(wanted.column("query").to_pylist(), wanted.column("nodes"), wanted.column("asked").to_pylist()):
+                at = np.searchsorted(nodes, np.sort(mine.values.to_numpy()))
+                score = (x[at] * np.frombuffer(body, dtype="<f8")).sum(axis=1)
+                best = np.argsort(-score, kind="stable")[:keep]
+                out["query"].append(np.full(len(best), query)), out["node"].append(nodes[at[best]]), out["score"].append(score[best])
+        return pa.table({k: np.concatenate(v) for k, v in out.items()})
+
+    return held.groupBy("block", "chunk").cogroup(asked.groupBy("block", "chunk")).applyInArrow(run, "query long, node long, score double")
+
+
+def nearest(table: DataFrame, every: int = 20, k: int = 20, rerank: int = 192, block_rows: int = 16_384, query_rows: int = 32_768, id_col: str = "vec_id", vector_col: str = "embedding", **fitting) -> DataFrame:
+    """``(query_id, rank, vec_id, score)``: the ``k`` vectors of largest inner product for each
+    row whose id is divisible by ``every``, the row itself left out; ties go to smaller ids.
+
+    See ``usable_vectors`` for rows that take no part. Every other row counts, also
+    those that repeat an id or a vector; a query that repeats an id gets its own
+    ``k`` rows. Vectors of different lengths don't meet: a row is searched among
+    those of its own length. With fewer candidates than ``k`` all are returned;
+    none give no rows. Other columns are ignored, whatever their names.
+    """
+    rows = usable_vectors(table, id_col, vector_col)
+    found = []
+    for dim in sorted(r["dim"] for r in rows.select("dim").distinct().collect()):
+        mine = rows.where(F.col("dim") == dim)
+        vectors = distinct_vectors(mine, k + 1)
+        asking = mine.where(F.pmod("id", F.lit(every)) == 0)
+        asking = materialise(asking.join(vectors.select("vec", "node"), "vec").select("id", "row", F.col("node").alias("query")), "queries")
+        queries = vectors.join(asking.select(F.col("query").alias("node")).distinct(), "node", "left_semi").select("node", "vec")
+        model, index = build_index(vectors, **fitting)
+        pairs = candidates(model, index, queries, rerank, block_rows, query_rows)
+        scored = exact(pairs, vectors, queries, k + 1, block_rows)
+        # The k + 1 best vectors hold the k best rows, as the row itself is one of theirs at most.
+        first = F.col("members")[0]["id"]
+        near = scored.join(vectors.select("node", "members"), "node")
+        near = near.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), first))).where(F.col("n") <= k + 1)
+        listed = materialise(near.groupBy("query").agg(F.collect_list(F.struct("score", "members")).alias("near")), "near")
+        pairs = asking.join(listed, "query").select("id", "row", F.inline("near")).select("id", "row", "score", F.inline("members").alias("vec_id", "vec_row"))
+        order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id", "vec_row")
+        ranked = pairs.where("row <> vec_row").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        found.append(ranked.select(F.col("id").alias("query_id"), "rank", "vec_id", "score"))
+    if not found:
+        return table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return reduce(DataFrame.union, found)

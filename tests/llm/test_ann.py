@@ -18,6 +18,9 @@ def test_recall_scores_and_ties(spark):
     for r in got:
         by_query.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
     assert sorted(by_query) == list(range(0, 3000, 20))
+    twice = by_query.pop(60)  # both rows of the id ask, and each is the other's nearest
+    assert sorted(f[0] for f in twice) == sorted([*range(1, 21)] * 2)
+    assert [f[1] for f in sorted(twice)[:2]] == [60, 60] and 60 not in [f[1] for f in sorted(twice)[2:]]
     for q, found in by_query.items():
         found.sort()
         scores = xd @ xd[q]
@@ -32,6 +35,25 @@ def test_recall_scores_and_ties(spark):
     assert copies == [20, *range(500, 519)]
 
 
+def test_recall_as_shipped(spark):
+    """The parameters of the query: of 6,000 vectors under 4 % are scored exactly."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(6000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    got = ann.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)).collect()
+    scores = x[::20] @ x.T
+    scores[np.arange(300), np.arange(0, 6000, 20)] = -9
+    true = [set(r) for r in np.argsort(-scores, axis=1)[:, :20].tolist()]
+    assert len(got) == 6000 and sum(r.vec_id in true[r.query_id // 20] for r in got) / 6000 >= 0.9
+
+
+def test_lengths_do_not_meet_and_repeated_rows_count(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [5.0, 5.0, 5.0]), (20, [1.0, 1.0, 1.0]), (3, [-0.0, 0.0])]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    found = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got.collect())
+    assert found == sorted([(0, 1, 1, 1.0), (0, 2, 1, 1.0), (0, 3, 0, 0.0), (0, 1, 0, 0.0), (0, 2, 1, 0.0), (0, 3, 1, 0.0), (20, 1, 2, 15.0)])
+
+
 def test_few_rows(spark):
     rows = [(0, [1.0, 0.0], 1, ""), (3, [0.5, 0.5], 1, ""), (4, [0.5, 0.5], 1, "")]
     got = ann.nearest(spark.createDataFrame(rows, SCHEMA)).orderBy("rank").collect()
