@@ -118,12 +118,28 @@ def test_exact_groups(spark, docs):
     assert sum(g.kept for g in got) == len(groups)
     small = exact_dedup.exact_groups(docs, max_bits=1 << 16, per_row=1).collect()
     assert sorted(map(str, small)) == sorted(map(str, got))
+    assert exact_dedup.filter_size(len(rows), 1 << 16, 1 << 22)[1] > 1
+    parts = exact_dedup.exact_groups(docs, max_bits=1 << 22, per_row=1 << 16).collect()
+    assert sorted(map(str, parts)) == sorted(map(str, got))
+
+
+def test_filter_finds_all_repeated_keys(spark):
+    """In tasks of one row or many: repeated keys are always suspects, others rarely."""
+    keys = [(i * 0x9E3779B97F4A7C15 + 5) % (1 << 64) - (1 << 63) for i in range(4000)]
+    frame = spark.createDataFrame([(k,) for k in keys + keys[:50] + keys[:1] * 300], "key long").repartition(7)
+    for flush in (16, 4_000_000):
+        packed = exact_dedup.repeated_bits(frame, 1 << 18, flush)
+        marked = exact_dedup.mark_suspects(frame, "key", 1 << 18, packed).where("__suspect").collect()
+        found = {r.key for r in marked}
+        assert set(keys[:50]) <= found and len(found) < 100
 
 
 def test_drop_functions_keep_columns(spark, docs):
     kept = exact_dedup.drop_exact_duplicates(docs)
     assert kept.columns == docs.columns
     assert sorted(r.text or "" for r in kept.collect()) == sorted({r.text or "" for r in docs.collect()})
+    parts = exact_dedup.drop_exact_duplicates(docs, max_bits=1 << 20, per_row=1 << 14)
+    assert sorted(map(str, parts.collect())) == sorted(map(str, kept.collect()))
     near = simhash.drop_near_duplicates(docs.where("doc_id is not null"))
     assert near.columns == docs.columns
 
