@@ -51,10 +51,11 @@ def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def cut(ids: bytes, capacity: int) -> Iterator[tuple[int, int, int, int]]:
-    """``(piece, start, length, crc32)`` of little-endian uint32 ids, in pieces of at most ``capacity``."""
-    for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-        part = ids[at : at + 4 * capacity]
+def cut(ids: np.ndarray, end_id: int, capacity: int) -> Iterator[tuple[int, int, int, int]]:
+    """``(piece, start, length, crc32)`` of ``ids`` and then ``end_id``, as little-endian uint32, in pieces of at most ``capacity``."""
+    body, size = ids.astype("<u4", copy=False).tobytes() + end_id.to_bytes(4, "little"), 4 * capacity
+    for piece, at in enumerate(range(0, len(body), size)):
+        part = body[at : at + size]
         yield piece, at // 4, len(part) // 4, zlib.crc32(part)
 
 
@@ -95,7 +96,6 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capaci
     """
     ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    closing = np.array([end_id], dtype="<u4").tobytes()
     schema = f"sequence_id long, done boolean, size long, members array<struct<id:{kind},piece:int,start:bigint,length:bigint,ids_crc32:bigint,offset:bigint>>"
 
     def first_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,8 +114,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capaci
         for batch in batches:
             id_type = batch.column(0).type
             ids.append(batch.column(0))
-            for row, body in enumerate(encoder.encode(batch.column(1).to_pylist())):
-                rows.extend((n + row, *part) for part in cut(body + closing, capacity))
+            for row, body in enumerate(encoder.encode(batch.column(1))):
+                rows.extend((n + row, *part) for part in cut(body, end_id, capacity))
             n += batch.num_rows
             if len(rows) >= flush:
                 yield from emit()

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,8 +25,7 @@ def token_lengths(docs: DataFrame, tokenizer_path: str, text_col: str = "text")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = piece_encoder(tokenizer_path)
         for batch in batches:
-            sizes = np.fromiter((len(ids) // 4 for ids in encoder.encode(batch.column(0).to_pylist())), dtype=np.int64, count=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([pa.array(sizes)], names=["n_tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(encoder.lengths(batch.column(0)), pa.int64())], names=["n_tokens"])
 
     return docs.select(F.col(text_col).cast("binary")).mapInArrow(run, "n_tokens long")
 
