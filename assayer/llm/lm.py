@@ -6,10 +6,11 @@ a distribution over classes and buckets and, in a class, over its words; in a
 bucket a word has its add-one share of training tokens. So every text has a
 probability, and the tail's part is a join of its words with corpus counts.
 
-Training runs where the documents are: each task continues from the same
-weights by truncated backpropagation over its own documents, and the weights are
-averaged by tokens. The state is carried across windows in training and scoring
-alike, and starts anew only with a new document.
+Training documents are dealt over shards by a hash of their id and put in order
+there, so that neither the input's partitions nor the cluster change the result.
+Each shard continues from the same weights by truncated backpropagation, and the
+weights are averaged by tokens. The state is carried across windows in training
+and scoring alike, and starts anew only with a new document.
 """
 
 from __future__ import annotations
@@ -17,10 +18,8 @@ from __future__ import annotations
 import heapq
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,13 +28,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .words import last_bytes, split_words, text_runs
 from .workspace import materialise, ship
 
 END = b"\n"  # no word holds white space
-HIDDEN, CLASSES, PER_CLASS, BUCKETS = 24, 16, 64, 48
+HIDDEN, CLASSES, PER_CLASS, BUCKETS = 24, 16, 96, 48
 HEAD, OUTPUTS = CLASSES * PER_CLASS, CLASSES + BUCKETS
 INPUTS = HEAD + BUCKETS + 1  # the last one starts a document
-STEP = 16 << 20  # bytes of text laid out in lanes together; the more, the fuller the lanes beside a long document
+STEP = 32 << 20  # bytes of text laid out in lanes together; the more, the fuller the lanes beside a long document
 
 
 def bucket_of(word: bytes) -> int:
@@ -77,7 +77,7 @@ def new_weights(vocabulary: Vocabulary, seed: int = 5) -> dict[str, np.ndarray]:
     grouped = head.reshape(CLASSES, PER_CLASS)
     mass = np.concatenate([grouped.sum(axis=1), vocabulary.bucket_tokens]) + 0.5
     return {
-        "inputs": rng.normal(0, 0.1, (INPUTS, 3 * HIDDEN)).astype(np.float32),
+        "inputs": np.asfortranarray(rng.normal(0, 0.1, (INPUTS, 3 * HIDDEN)), np.float32),
         "state": rng.normal(0, 1 / math.sqrt(HIDDEN), (HIDDEN, 3 * HIDDEN)).astype(np.float32),
         "classes": np.zeros((HIDDEN, OUTPUTS), np.float32),
         "class_bias": np.log(mass / mass.sum()).astype(np.float32),
@@ -87,53 +87,80 @@ def new_weights(vocabulary: Vocabulary, seed: int = 5) -> dict[str, np.ndarray]:
 
 
 def _step(weights: dict[str, np.ndarray], x: np.ndarray, h: np.ndarray):
-    g = h @ weights["state"]
-    zr = 1 / (1 + np.exp(-(x[:, : 2 * HIDDEN] + g[:, : 2 * HIDDEN])))
-    z, r, gn = zr[:, :HIDDEN], zr[:, HIDDEN:], g[:, 2 * HIDDEN :]
-    n = np.tanh(x[:, 2 * HIDDEN :] + r * gn)
-    return z, r, gn, n, n + z * (h - n)
-
-
-def _chosen(logits: np.ndarray, column: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Log-probability of one column per row, with the exponentials and their sums. Logits of
-    bounded states stay far below the cut that guards the exponential."""
-    rows = np.arange(len(column))
-    picked = logits[rows, column]
-    e = np.exp(np.minimum(logits, 80.0, out=logits), out=logits)
-    total = e @ np.ones(e.shape[1], e.dtype)
+    """Update gate, reset gate, the candidate's recurrent part, the candidate and the new state of each lane,
+    from ``x`` (what the input adds; overwritten) and the state ``h``. Arrays are ``[lane, unit]``, best as
+    transposed views of ``[unit, lane]``, whose rows are worked on at once."""
+    x, h = x.T, h.T
+    g = weights["state"].T @ h
+    gates, n, gn = x[: 2 * HIDDEN], x[2 * HIDDEN :], g[2 * HIDDEN :]
+    gates += g[: 2 * HIDDEN]
+    gates *= 0.5  # 1 / (1 + exp(-v)) is (1 + tanh(v / 2)) / 2
+    np.tanh(gates, out=gates)
+    gates *= 0.5
+    gates += 0.5
+    n += gates[HIDDEN:] * gn
+    np.tanh(n, out=n)
+    new = h - n
+    new *= gates[:HIDDEN]
+    new += n
+    return gates[:HIDDEN].T, gates[HIDDEN:].T, gn.T, n.T, new.T
+
+
+def _chosen(logits: np.ndarray, row: np.ndarray, bounded: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log-probability of one row per column, with the exponentials and their sums. States lie within -1 and 1;
+    unless that keeps all logits small (``bounded``), a cut guards the exponential."""
+    picked = logits[row, np.arange(len(row))]
+    e = np.exp(logits if bounded else np.minimum(logits, 80.0, out=logits), out=logits)
+    total = np.ones(len(e), e.dtype) @ e
     return picked - np.log(total), e, total
 
 
+def _with_bias(weights: dict[str, np.ndarray], name: str, bias: str) -> tuple[np.ndarray, bool]:
+    """Weights with the bias as the row of one more unit that is always 1, and whether no logit can pass 80."""
+    both = np.concatenate([weights[name], np.expand_dims(weights[bias], -2)], axis=-2)
+    return both, float(np.abs(both).sum(axis=-2).max()) < 80
+
+
 def _output(weights: dict[str, np.ndarray], h: np.ndarray, code: np.ndarray, grads: dict[str, np.ndarray] | None, weight: float = 1.0):
-    """Natural-log probability of each code (for the tail: of its bucket) after states ``h``; with ``grads``
-    adds the loss's gradients to them and returns that of ``h`` too."""
+    """Natural-log probability of each code (for the tail: of its bucket) after states ``h [token, unit]``; with
+    ``grads`` adds the loss's gradients to them and returns that of ``h`` too."""
 
-    def back(e: np.ndarray, total: np.ndarray, column: np.ndarray) -> np.ndarray:
-        e *= (weight / total)[:, None]
-        e[np.arange(len(column)), column] -= weight
+    def back(e: np.ndarray, total: np.ndarray, row: np.ndarray) -> np.ndarray:
+        e *= weight / total
+        e[row, np.arange(len(row))] -= weight
         return e
 
+    h = np.concatenate([h.T, np.ones((1, len(h)), h.dtype)])
+    outer, bounded = _with_bias(weights, "classes", "class_bias")
     kind = np.where(code < HEAD, code // PER_CLASS, CLASSES + code - HEAD)
-    out, e, total = _chosen(h @ weights["classes"] + weights["class_bias"], kind)
+    out, e, total = _chosen(outer.T @ h, kind, bounded)
     dh = None
     if grads is not None:
         d = back(e, total, kind)
-        grads["classes"] += h.T @ d
-        grads["class_bias"] += d.sum(axis=0)
-        dh = d @ weights["classes"].T
+        g = h @ d.T
+        grads["classes"] += g[:-1]
+        grads["class_bias"] += g[-1]
+        dh = weights["classes"] @ d
     order = np.argsort(kind.astype(np.uint8), kind="stable")
     cuts = np.searchsorted(kind[order], np.arange(CLASSES + 1))
+    order = order[: cuts[-1]]
+    word, part = code[order] % PER_CLASS, h[:, order]
+    inside, bounded = _with_bias(weights, "words", "word_bias")
+    inner, d_part = np.empty(len(order), h.dtype), np.empty((HIDDEN, len(order)), h.dtype)
     for c in range(CLASSES):
-        at = order[cuts[c] : cuts[c + 1]]
-        if len(at):
-            word, part = code[at] - c * PER_CLASS, h[at]
-            inner, e, total = _chosen(part @ weights["words"][c] + weights["word_bias"][c], word)
-            out[at] += inner
+        at = slice(cuts[c], cuts[c + 1])
+        if cuts[c] < cuts[c + 1]:
+            inner[at], e, total = _chosen(inside[c].T @ part[:, at], word[at], bounded)
             if grads is not None:
-                d = back(e, total, word)
-                grads["words"][c] += part.T @ d
-                grads["word_bias"][c] += d.sum(axis=0)
-                dh[at] += d @ weights["words"][c].T
+                d = back(e, total, word[at])
+                g = part[:, at] @ d.T
+                grads["words"][c] += g[:-1]
+                grads["word_bias"][c] += g[-1]
+                d_part[:, at] = weights["words"][c] @ d
+    out[order] += inner
+    if dh is not None:
+        dh[:, order] += d_part
+        dh = dh.T
     return out, dh
 
 
@@ -162,23 +189,41 @@ def lanes_of(codes: np.ndarray, lengths: np.ndarray, most_lanes: int) -> tuple[n
     return code, document, previous
 
 
+def _inputs(weights: dict[str, np.ndarray], before: np.ndarray) -> np.ndarray:
+    """What the codes of ``before [time, lane]`` add, ``[time, unit, lane]``; best with ``inputs`` in column order."""
+    table = weights["inputs"].T
+    out = np.empty((len(before), len(table), before.shape[1]), table.dtype)
+    for t, codes in enumerate(before):
+        np.take(table, codes, axis=1, out=out[t], mode="clip")
+    return out
+
+
+def _by_unit(x: np.ndarray) -> np.ndarray:
+    """``[time, unit, lane]`` as ``[unit, token]``."""
+    return x.transpose(1, 0, 2).reshape(x.shape[1], -1)
+
+
 def score_lanes(weights: dict[str, np.ndarray], code: np.ndarray, document: np.ndarray, previous: np.ndarray, documents: int, window: int = 32) -> np.ndarray:
     """Summed natural-log probabilities of each document."""
     out = np.zeros(documents)
-    h = np.zeros((code.shape[1], HIDDEN), np.float32)
+    h, kind = np.zeros((HIDDEN, code.shape[1]), weights["state"].dtype), weights["state"].dtype
+    starts = (previous == INPUTS - 1).any(axis=1)
     for t0 in range(0, len(code), window):
         lanes = int((document[t0] >= 0).sum())  # those that are not at their end
-        h = h[:lanes]
-        states = np.empty((min(window, len(code) - t0), lanes, HIDDEN), np.float32)
-        for t in range(len(states)):
-            before = previous[t0 + t, :lanes]
-            h = h * (before != INPUTS - 1)[:, None]
-            *_, h = _step(weights, weights["inputs"][before], h)
+        before, h = previous[t0 : t0 + window, :lanes], np.ascontiguousarray(h[:, :lanes])
+        x, states = _inputs(weights, before), np.empty((len(before), HIDDEN, lanes), kind)
+        for t in range(len(before)):
+            if starts[t0 + t]:
+                h = h * (before[t] != INPUTS - 1)
+            h = _step(weights, x[t].T, h.T)[-1].T
             states[t] = h
-        here = document[t0 : t0 + len(states), :lanes]
+        here = document[t0 : t0 + window, :lanes].ravel()
+        codes, flat = code[t0 : t0 + window, :lanes].ravel(), _by_unit(states)
         live = here >= 0
-        logs, _ = _output(weights, states[live], code[t0 : t0 + len(states), :lanes][live], None)
-        out += np.bincount(here[live], weights=logs, minlength=documents)
+        if not live.all():
+            here, codes, flat = here[live], codes[live], flat[:, live]
+        logs, _ = _output(weights, flat.T, codes, None)
+        out += np.bincount(here, weights=logs, minlength=documents)
     return out
 
 
@@ -189,116 +234,125 @@ class Adam:
         self.second = {k: np.zeros_like(v) for k, v in weights.items()}
 
     def apply(self, grads: dict[str, np.ndarray], share: float = 1.0) -> None:
-        """A step; ``share`` of its usual length where a window holds few tokens."""
+        """A step; ``share`` of its usual length where a window holds few tokens. Overwrites ``grads``."""
         self.steps += 1
-        norm = math.sqrt(sum(float((g * g).sum()) for g in grads.values()))
+        norm = math.sqrt(sum(float(np.vdot(g, g)) for g in grads.values()))
         scale = min(1.0, 1.0 / max(norm, 1e-9))
         rate = self.rate * share * math.sqrt(1 - 0.99**self.steps) / (1 - 0.9**self.steps)
         for k, g in grads.items():
+            first, second = self.first[k], self.second[k]
             g *= scale
-            self.first[k] += 0.1 * (g - self.first[k])
-            self.second[k] += 0.01 * (g * g - self.second[k])
-            self.weights[k] -= rate * self.first[k] / (np.sqrt(self.second[k]) + 1e-6)
+            first *= 0.9
+            second *= 0.99
+            part = g * 0.1
+            first += part
+            g *= part
+            g *= 0.1
+            second += g
+            np.sqrt(second, out=g)
+            g += 1e-6
+            np.divide(first, g, out=g)
+            g *= rate
+            self.weights[k] -= g
 
 
 def train_lanes(adam: Adam, code: np.ndarray, document: np.ndarray, previous: np.ndarray, window: int = 32) -> float:
     """One pass of truncated backpropagation; the state goes on from window to window. The mean loss."""
     weights = adam.weights
-    h0 = np.zeros((code.shape[1], HIDDEN), np.float32)
+    state, kind = weights["state"], weights["state"].dtype
+    starts = (previous == INPUTS - 1).any(axis=1)
+    h = np.zeros((HIDDEN, code.shape[1]), kind)
     loss = count = 0.0
     for t0 in range(0, len(code), window):
-        n, lanes = min(window, len(code) - t0), int((document[t0] >= 0).sum())
-        h0 = h0[:lanes]
-        states, kept, saved = np.empty((n + 1, lanes, HIDDEN), np.float32), [], []
-        states[0] = h0
+        lanes = int((document[t0] >= 0).sum())
+        before, h = previous[t0 : t0 + window, :lanes], np.ascontiguousarray(h[:, :lanes])
+        n = len(before)
+        x = _inputs(weights, before)  # becomes the gates and the candidate
+        old, gn, new, keep = (*(np.empty((n, HIDDEN, lanes), kind) for _ in range(3)), {})
         for t in range(n):
-            before = previous[t0 + t, :lanes]
-            keep = (before != INPUTS - 1)[:, None]
-            h = states[t] * keep
-            *parts, states[t + 1] = _step(weights, weights["inputs"][before], h)
-            kept.append((keep, h))
-            saved.append(parts)
-        live = document[t0 : t0 + n, :lanes] >= 0
-        tokens = int(live.sum())
+            if starts[t0 + t]:
+                keep[t] = before[t] != INPUTS - 1
+                h = h * keep[t]
+            old[t] = h
+            *_, part, _, h = _step(weights, x[t].T, h.T)
+            gn[t], new[t] = part.T, h.T
+            h = h.T
+        live = document[t0 : t0 + n, :lanes].ravel() >= 0
+        tokens, whole = int(live.sum()), bool(live.all())
         grads = {k: np.zeros_like(v) for k, v in weights.items()}
-        logs, d_live = _output(weights, states[1:][live], code[t0 : t0 + n, :lanes][live], grads, 1 / max(1, tokens))
-        d_states = np.zeros((n, lanes, HIDDEN), np.float32)
-        d_states[live] = d_live
-        dx, dg = np.empty((n, lanes, 3 * HIDDEN), np.float32), np.empty((n, lanes, 3 * HIDDEN), np.float32)
-        carried = np.zeros((lanes, HIDDEN), np.float32)
+        flat, codes = _by_unit(new), code[t0 : t0 + n, :lanes].ravel()
+        logs, d_live = _output(weights, (flat if whole else flat[:, live]).T, codes if whole else codes[live], grads, 1 / max(1, tokens))
+        d_states = d_live.T
+        if not whole:
+            d_states = np.zeros((HIDDEN, n * lanes), kind)
+            d_states[:, live] = d_live.T
+        d_states = d_states.reshape(HIDDEN, n, lanes)
+        z, r, c = x[:, :HIDDEN], x[:, HIDDEN : 2 * HIDDEN], x[:, 2 * HIDDEN :]
+        by_n, by_z, by_r = (1 - z) * (1 - c * c), (old - c) * z * (1 - z), gn * r * (1 - r)
+        dg, dn = np.empty((n, 3 * HIDDEN, lanes), kind), np.empty((n, HIDDEN, lanes), kind)
+        carried = np.zeros((HIDDEN, lanes), kind)
         for t in range(n - 1, -1, -1):
-            (z, r, gn, new), (keep, h) = saved[t], kept[t]
-            dh = d_states[t] + carried
-            dn = dh * (1 - z) * (1 - new * new)
-            dx[t, :, :HIDDEN] = dh * (h - new) * z * (1 - z)
-            dx[t, :, HIDDEN : 2 * HIDDEN] = dn * gn * r * (1 - r)
-            dx[t, :, 2 * HIDDEN :] = dn
-            dg[t] = dx[t]
-            dg[t, :, 2 * HIDDEN :] *= r
-            carried = (dh * z + dg[t] @ weights["state"].T) * keep
-        grads["state"] += np.stack([h for _, h in kept]).reshape(-1, HIDDEN).T @ dg.reshape(-1, 3 * HIDDEN)
-        at = previous[t0 : t0 + n, :lanes].ravel()
+            carried += d_states[:, t]
+            np.multiply(carried, by_n[t], out=dn[t])
+            np.multiply(carried, by_z[t], out=dg[t, :HIDDEN])
+            np.multiply(dn[t], by_r[t], out=dg[t, HIDDEN : 2 * HIDDEN])
+            np.multiply(dn[t], r[t], out=dg[t, 2 * HIDDEN :])
+            carried *= z[t]
+            carried += state @ dg[t]
+            if t in keep:
+                carried *= keep[t]
+        d_units = _by_unit(dg)
+        grads["state"] += _by_unit(old) @ d_units.T
+        d_units[2 * HIDDEN :] = _by_unit(dn)  # now the gradient of what the inputs add
+        at = before.ravel()
         order = np.argsort(at, kind="stable")
-        firsts = np.flatnonzero(np.concatenate([[True], np.diff(at[order]) != 0]))
-        grads["inputs"][at[order][firsts]] += np.add.reduceat(dx.reshape(-1, 3 * HIDDEN)[order], firsts, axis=0)
+        at = at[order]
+        firsts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        grads["inputs"][at[firsts]] += np.add.reduceat(np.take(d_units, order, axis=1), firsts, axis=1).T
         adam.apply(grads, min(1.0, tokens / (n * code.shape[1])))
-        h0 = states[n].copy()
         loss -= float(logs.sum())
         count += tokens
     return loss / max(1.0, count)
 
 
 class _Reader:
-    """Turns texts into codes by a broadcast vocabulary; remembers tail buckets of words outside it."""
+    """Turns texts into ranks and codes by a broadcast vocabulary."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-
-    def read(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[bytes]]]:
-        """``ranks`` (-1: not broadcast), ``codes``, ``lengths`` and each text's words that aren't broadcast."""
-        get = self.v.places.get
-        ranks, unknown = [], []
-        for t in texts:
-            words = words_of(t)
-            found = np.fromiter(map(get, words, repeat(-1)), dtype=np.int32, count=len(words))
-            ranks.append(found)
-            unknown.append([words[i] for i in np.flatnonzero(found < 0).tolist()])
-        lengths = np.fromiter(map(len, ranks), dtype=np.int64, count=len(ranks))
-        ranks = np.concatenate(ranks) if ranks else np.empty(0, np.int32)
-        codes = self.v.codes[ranks] if len(self.v.codes) else np.zeros(len(ranks), dtype=np.int16)
-        codes[ranks < 0] = HEAD + np.fromiter((bucket_of(w) for words in unknown for w in words), dtype=np.int16, count=int((ranks < 0).sum()))
-        return ranks, codes, lengths, unknown
-
-
-def _batches(column: pa.Array, size: int) -> Iterator[tuple[int, list[bytes | None]]]:
-    """Where each run of texts of about ``size`` bytes begins, and the texts."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
-    i = 0
-    while i < len(column):
-        before = ends[i - 1] if i else 0
-        j = max(i + 1, int(np.searchsorted(ends, before + size)))
-        yield i, column.slice(i, j - i).to_pylist()
-        i = j
-
-
-def word_counts(docs: DataFrame, flush: int = 200_000) -> DataFrame:
+        self.words = pa.array(sorted(vocabulary.places, key=vocabulary.places.get), pa.binary())
+        two = [bucket_of(bytes([a, b])) for a in range(256) for b in range(256)]
+        self.buckets = np.array(two + [bucket_of(bytes([b])) for b in range(256)], dtype=np.int16)
+
+    def read(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+        """``ranks`` (-1: not broadcast), ``codes`` and ``lengths``, the words that aren't broadcast and their number by text."""
+        words, counts = split_words(texts)
+        found = pc.index_in(words, value_set=self.words)
+        known = pc.is_valid(found).to_numpy(zero_copy_only=False)
+        rank = pc.fill_null(found, -1).to_numpy(zero_copy_only=False)
+        unknown = words.filter(pc.invert(pc.is_valid(found)))
+        code = self.v.codes[rank] if len(self.v.codes) else np.zeros(len(rank), dtype=np.int16)
+        last, before = last_bytes(unknown)
+        code[~known] = HEAD + self.buckets[np.where(before < 0, 65536 + last, 256 * before + last)]
+        lengths, of = counts + 1, np.repeat(np.arange(len(counts)), counts)
+        at = np.arange(len(rank)) + of  # each text's end comes after its words
+        end = self.v.places.get(END, -1)
+        ranks = np.full(len(rank) + len(counts), end, dtype=np.int32)
+        codes = np.full(len(ranks), self.v.codes[end] if end >= 0 else HEAD + bucket_of(END), dtype=np.int16)
+        ranks[at], codes[at] = rank, code
+        return ranks, codes, lengths, unknown, np.bincount(of[~known], minlength=len(counts))
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
     """``(word binary, c long)`` over all rows of ``docs (text binary)``, ends included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
-
-        def emit() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(held.keys()), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "c"])
-            held.clear()
-            return out
-
         for batch in batches:
-            for text in batch.column(0):
-                held.update(words_of(text.as_py()))
-                if len(held) > flush:
-                    yield emit()
-        if held:
-            yield emit()
+            for texts in text_runs(batch.column(0), STEP):
+                words, counts = split_words(texts)
+                found = pc.value_counts(words)
+                yield pa.RecordBatch.from_arrays([found.field(0), found.field(1)], names=["word", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array([END], pa.binary()), pa.array([len(counts)], pa.int64())], names=["word", "c"])
 
     return materialise(docs.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "word-counts")
 
@@ -330,50 +384,118 @@ def vocabulary_of(counts: DataFrame, broadcast_words: int = 131_072) -> Vocabula
     return Vocabulary(places, np.array([r["c"] for r in top], dtype=np.float64), tokens, words, total["n"], total["v"])
 
 
-def train(docs: DataFrame, vocabulary: Vocabulary, warm_rows: int = 256, warm_rate: float = 0.01, rate: float = 0.004, lanes: int = 256) -> dict[str, np.ndarray]:
-    """Weights after one pass over all of ``docs (id, text binary)``: a warm start on ``warm_rows``
-    rows gives all tasks the same point to go on from, then each trains on what it holds."""
+def warm_texts(docs: DataFrame, most_rows: int, most_bytes: int) -> list[bytes]:
+    """Whole texts of at most ``most_rows`` rows and ``most_bytes`` together, in order of a hash of their
+    id. Ids and sizes choose them, so that no task sends other texts; a text that doesn't fit any more is passed over."""
+    size = F.octet_length("text")
+    first = docs.groupBy("id").agg(F.max(size).alias("size")).orderBy(F.xxhash64("id"), "id").limit(most_rows)
+    ids, room = [], most_bytes
+    for r in first.collect():
+        if r["size"] <= room:
+            ids.append((r["id"],))
+            room -= r["size"]
+    if not ids:
+        return []
+    chosen = docs.sparkSession.createDataFrame(ids, docs.select("id").schema)
+    rows = docs.join(F.broadcast(chosen), "id").groupBy("id").agg(F.max("text").alias("text")).orderBy(F.xxhash64("id"), "id")
+    return [bytes(r["text"]) for r in rows.collect()]
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int, pa.Array]]:
+    """``(shard, texts)`` rows in order of shard -> runs of one shard's texts that end where they reach ``size`` bytes,
+    wherever the batches' borders lie."""
+    held, used, current = [], 0, None
+    for batch in batches:
+        shards, i = batch.column(0).to_numpy(), 0
+        lengths = pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)
+        while i < len(shards):
+            if held and shards[i] != current:
+                yield current, pa.concat_arrays(held)
+                held, used = [], 0
+            current = shards[i]
+            end = int(np.searchsorted(shards, current, side="right"))
+            ends = used + np.cumsum(lengths[i:end])
+            j = min(end, i + int(np.searchsorted(ends, size)) + 1)
+            held.append(batch.column(1).slice(i, j - i))
+            used = int(ends[j - i - 1])
+            if used >= size:
+                yield current, pa.concat_arrays(held)
+                held, used = [], 0
+            i = j
+    if held:
+        yield current, pa.concat_arrays(held)
+
+
+def _summed(parts: DataFrame, count: int, fan_in: int = 64) -> DataFrame:
+    """``(block, part, seen, body)`` of ``count`` parts added up by block, ``fan_in`` at a time and in order of parts."""
+
+    def add(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("part")
+        total = sum(np.frombuffer(b, dtype=np.float64) for b in rows.column("body").to_pylist())
+        return pa.table({"block": rows.column("block")[:1], "part": rows.column("group")[:1], "seen": [sum(rows.column("seen").to_pylist())], "body": pa.array([total.tobytes()], pa.binary())})
+
+    while count > 1:
+        parts = parts.withColumn("group", F.floor(F.col("part") / fan_in)).groupBy("block", "group").applyInArrow(add, parts.schema)
+        count = -(-count // fan_in)
+    return parts
+
+
+def train(docs: DataFrame, vocabulary: Vocabulary, warm_rows: int = 256, warm_bytes: int = 4 << 20, warm_rate: float = 0.01, rate: float = 0.004, shard_tokens: int = 4_000_000, rounds: int = 2, lanes: int = 128) -> dict[str, np.ndarray]:
+    """Weights after one pass over all of ``docs (id, text binary)``.
+
+    A warm start on a bounded sample gives all shards the same point to go on
+    from. Rows are dealt over shards of about ``shard_tokens`` tokens by a hash of
+    their id; shards over ``rounds`` rounds. A round's shards start from the
+    weights that the one before averaged.
+    """
     spark = docs.sparkSession
     weights = new_weights(vocabulary)
-    warm = [bytes(r["text"]) for r in docs.orderBy(F.xxhash64("id"), "id").limit(warm_rows).collect()]
-    if not warm:
-        return weights
-    reader, adam = _Reader(vocabulary), Adam(weights, warm_rate)
-    for _ in range(2):
-        _, codes, lengths, _ = reader.read(warm)
-        train_lanes(adam, *lanes_of(codes, lengths, 32))
-    shapes = {k: v.shape for k, v in weights.items()}
-    names = list(shapes)
-    shared = spark.sparkContext.broadcast((vocabulary, weights))
-    part = 16_384
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, start = shared.value
-        reader, adam, seen = _Reader(vocabulary), Adam({k: v.copy() for k, v in start.items()}, rate), 0
-        for batch in batches:
-            for _, texts in _batches(batch.column(0), STEP):
-                _, codes, lengths, _ = reader.read(texts)
+    warm = warm_texts(docs, warm_rows, warm_bytes)
+    if warm:
+        adam = Adam(weights, warm_rate)
+        _, codes, lengths, *_ = _Reader(vocabulary).read(pa.array(warm, pa.binary()))
+        for _ in range(2):
+            train_lanes(adam, *lanes_of(codes, lengths, 32), window=16)
+    shards = max(1, math.ceil(vocabulary.tokens / shard_tokens))
+    rounds = min(rounds, shards)
+    names, step, block = list(weights), STEP, 16_384
+    shard = F.pmod(F.xxhash64("id", F.lit("shard")), F.lit(shards))
+    order = F.xxhash64("id")
+    rows = docs.select(shard.alias("shard"), order.alias("order"), F.xxhash64("text").alias("tie"), "id", "text")
+    schema = "block long, part long, seen double, body binary"
+    for turn in range(rounds if vocabulary.tokens else 0):
+        shared = spark.sparkContext.broadcast((vocabulary, weights))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            vocabulary, start = shared.value
+            reader, adam, current, seen = _Reader(vocabulary), None, None, 0
+
+            def emit() -> Iterator[pa.RecordBatch]:
+                flat = np.concatenate([adam.weights[k].ravel() for k in names]).astype(np.float64) * seen
+                for b, at in enumerate(range(0, len(flat), block)):
+                    yield pa.RecordBatch.from_arrays([pa.array([b]), pa.array([int(current) // rounds]), pa.array([float(seen)]), pa.array([flat[at : at + block].tobytes()], pa.binary())], names=["block", "part", "seen", "body"])
+
+            for shard, texts in _gathered(batches, step):
+                if shard != current:
+                    if seen:
+                        yield from emit()
+                    current, seen, adam = shard, 0, Adam({k: v.copy(order="K") for k, v in start.items()}, rate)
+                _, codes, lengths, *_ = reader.read(texts)
                 train_lanes(adam, *lanes_of(codes, lengths, lanes))
                 seen += int(lengths.sum())
-        if seen:
-            flat = np.concatenate([adam.weights[k].ravel() for k in names]).astype(np.float64) * seen
-            for b, at in enumerate(range(0, len(flat), part)):
-                yield pa.RecordBatch.from_arrays([pa.array([b]), pa.array([TaskContext.get().partitionId() % 64]), pa.array([float(seen)]), pa.array([flat[at : at + part].tobytes()], pa.binary())], names=["block", "salt", "seen", "body"])
+            if seen:
+                yield from emit()
 
-    def add(rows: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(b, dtype=np.float64) for b in rows.column("body").to_pylist())
-        return pa.table({"block": [rows.column("block")[0].as_py()], "salt": pa.array([0], pa.int64()), "seen": [sum(rows.column("seen").to_pylist())], "body": pa.array([total.tobytes()], pa.binary())})
-
-    schema = "block long, salt long, seen double, body binary"
-    summed = docs.select("text").mapInArrow(run, schema).groupBy("block", "salt").applyInArrow(add, schema).groupBy("block").applyInArrow(add, schema)
-    got = sorted(summed.collect(), key=lambda r: r["block"])
-    flat = np.concatenate([np.frombuffer(bytes(r["body"]), dtype=np.float64) / r["seen"] for r in got])
-    out, at = {}, 0
-    for k in names:
-        n = math.prod(shapes[k])
-        out[k] = flat[at : at + n].reshape(shapes[k]).astype(np.float32)
-        at += n
-    return out
+        here = len(range(turn, shards, rounds))
+        dealt = rows.where(F.col("shard") % rounds == turn).repartitionById(here, F.floor(F.col("shard") / rounds).cast("int")).sortWithinPartitions("shard", "order", "id", "tie")
+        got = sorted(_summed(dealt.select("shard", "text").mapInArrow(run, schema), here).collect(), key=lambda r: r["block"])
+        if got:
+            flat, at, averaged = np.concatenate([np.frombuffer(bytes(r["body"]), dtype=np.float64) / r["seen"] for r in got]), 0, {}
+            for k, v in weights.items():
+                averaged[k] = np.asarray(flat[at : at + v.size].reshape(v.shape), np.float32, order="F" if k == "inputs" else "C")
+                at += v.size
+            weights = averaged
+    return weights
 
 
 def _score_rows(docs: DataFrame, vocabulary: Vocabulary, weights: dict[str, np.ndarray], lanes: int = 256) -> DataFrame:
@@ -386,8 +508,9 @@ def _score_rows(docs: DataFrame, vocabulary: Vocabulary, weights: dict[str, np.n
         reader, row = _Reader(vocabulary), TaskContext.get().partitionId() << 33
         logs, bucket_logs = np.append(vocabulary.logs, 0.0), vocabulary.bucket_logs()
         for batch in batches:
-            for i, texts in _batches(batch.column(1), STEP):
-                ranks, codes, lengths, unknown = reader.read(texts)
+            i = 0
+            for texts in text_runs(batch.column(1), STEP):
+                ranks, codes, lengths, unknown, missing = reader.read(texts)
                 n = len(texts)
                 of = np.repeat(np.arange(n, dtype=np.int32), lengths)
                 tail = codes >= HEAD
@@ -397,18 +520,15 @@ def _score_rows(docs: DataFrame, vocabulary: Vocabulary, weights: dict[str, np.n
                 known = np.bincount(of, weights=ranks >= 0, minlength=n).astype(np.int64)
                 del of, tail, ranks
                 model = score_lanes(weights, *lanes_of(codes, lengths, lanes), n) / math.log(10)
-                counted = [Counter(words) for words in unknown]
-                ends = np.cumsum([0, *map(len, counted)])
-                words = pa.array([w for c in counted for w in c], pa.binary())
-                times = pa.array([v for c in counted for v in c.values()], pa.int64())
-                rest = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([words, times], names=["word", "n"]))
+                rest = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(missing)]), pa.int32()), unknown)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.arange(row, row + n)), batch.column(0).slice(i, n), pa.array(lengths), pa.array(known), pa.array(in_head + in_tail), pa.array(model - shares + in_tail), rest],
                     names=["row", "id", "n_tokens", "known", "count_logs", "model", "rest"],
                 )
                 row += n
+                i += n
 
-    return docs.select("id", "text").mapInArrow(run, f"row long, id {kind}, n_tokens long, known long, count_logs double, model double, rest array<struct<word:binary,n:long>>")
+    return docs.select("id", "text").mapInArrow(run, f"row long, id {kind}, n_tokens long, known long, count_logs double, model double, rest array<binary>")
 
 
 def score_documents(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", broadcast_words: int = 131_072, **training) -> DataFrame:
@@ -419,7 +539,10 @@ def score_documents(docs: DataFrame, learn: Column, id_col: str = "doc_id", text
     them; every row is scored. Null and empty texts are the end token alone;
     repeated rows and null ids keep a row each. Without training rows N and V are
     0, every word is new and the model falls back to its even start. Words beyond
-    the ``broadcast_words`` most frequent meet their counts in a join.
+    the ``broadcast_words`` most frequent meet their counts in a join. Very long
+    texts are read whole, their state carried from window to window. Columns
+    other than the two named are ignored, whatever their names; an empty table
+    gives no rows. Scores don't depend on how the rows are partitioned, but for rounding.
     """
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
@@ -428,8 +551,8 @@ def score_documents(docs: DataFrame, learn: Column, id_col: str = "doc_id", text
     vocabulary = vocabulary_of(counts, broadcast_words)
     weights = train(known_rows, vocabulary, **training)
     scored = materialise(_score_rows(rows, vocabulary, weights), "scored")
-    rest = scored.where(F.size("rest") > 0).select("row", F.inline("rest")).join(counts, "word")
-    late = rest.groupBy("row").agg(F.sum("n").alias("late_known"), F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("late_logs"))
+    rest = scored.where(F.size("rest") > 0).select("row", F.explode("rest").alias("word")).join(counts, "word")
+    late = rest.groupBy("row").agg(F.count(F.lit(1)).alias("late_known"), F.sum(F.log10(F.col("c") + 1.0)).alias("late_logs"))
     zero = F.lit(0.0)
     return scored.join(late, "row", "left").select(
         "id",

@@ -117,3 +117,62 @@ def test_gradients():
                 changed[k][index] += d
                 values.append(loss(changed))
             assert (values[0] - values[1]) / 2e-2 == pytest.approx(seen[k][index], rel=0.05, abs=2e-4), k
+
+
+def test_partitions_do_not_change_scores(spark):
+    docs = spark.createDataFrame(corpus()[:302], SCHEMA)
+    learn = fold(F.col("id"), 7) != 2
+    found = []
+    for n in (1, 9):
+        rows = lm.score_documents(docs.repartition(n), learn, shard_tokens=3000, warm_rows=32).collect()
+        found.append({r.id: (r.score, r.base_score) for r in rows})
+    assert found[0].keys() == found[1].keys()
+    for i, (score, base) in found[0].items():
+        assert found[1][i] == pytest.approx((score, base), rel=1e-4)
+
+
+def test_scores_equal_a_plain_recomputation(spark):
+    """The whole operator against one state, one word and one softmax at a time, in double precision."""
+    rows = corpus()[:60] + corpus()[-1:]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    learn = fold(F.col("id"), 7) != 2
+    options = {"shard_tokens": 1000, "warm_rows": 16}
+    got = {r.id: r.score for r in lm.score_documents(docs, learn, broadcast_words=40, **options).collect()}
+    known = docs.select(F.col("doc_id").alias("id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text")).where(learn)
+    counts = {bytes(r.word): r.c for r in lm.word_counts(known).collect()}
+    vocabulary = lm.vocabulary_of(lm.word_counts(known), 40)
+    weights = {k: w.astype(np.float64) for k, w in lm.train(known, vocabulary, **options).items()}
+    head = sorted(vocabulary.places, key=vocabulary.places.get)[: lm.HEAD]
+    place = {w: i for i, w in enumerate(head)}
+    tail_tokens, tail_words = Counter(), Counter()
+    for w, c in counts.items():
+        if w not in place:
+            tail_tokens[lm.bucket_of(w)] += c
+            tail_words[lm.bucket_of(w)] += 1
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    softmax = lambda v: np.exp(v - v.max()) / np.exp(v - v.max()).sum()
+    for i, text, *_ in rows:
+        h, before, total = np.zeros(lm.HIDDEN), lm.INPUTS - 1, 0.0
+        for w in lm.words_of((text or "").encode()):
+            x, g = weights["inputs"][before], h @ weights["state"]
+            z, r = (sigmoid(x[k : k + lm.HIDDEN] + g[k : k + lm.HIDDEN]) for k in (0, lm.HIDDEN))
+            n = np.tanh(x[2 * lm.HIDDEN :] + r * g[2 * lm.HIDDEN :])
+            h = n + z * (h - n)
+            outer = softmax(h @ weights["classes"] + weights["class_bias"])
+            if w in place:
+                c, k = divmod(place[w], lm.PER_CLASS)
+                total += math.log10(outer[c] * softmax(h @ weights["words"][c] + weights["word_bias"][c])[k])
+                before = place[w]
+            else:
+                b = lm.bucket_of(w)
+                total += math.log10(outer[lm.CLASSES + b] * (counts.get(w, 0) + 1) / (tail_tokens[b] + tail_words[b] + 1))
+                before = lm.HEAD + b
+        assert got[i] == pytest.approx(total, rel=1e-3), i
+
+
+def test_warm_texts_are_whole_and_bounded(spark):
+    rows = [(i, b"x" * (10 * i)) for i in range(40)] + [(99, b"y" * 10_000), (3, b"z")]
+    docs = spark.createDataFrame(rows, "id long, text binary").repartition(4)
+    found = lm.warm_texts(docs, 30, 1500)
+    assert 0 < len(found) <= 30 and sum(map(len, found)) <= 1500 and b"y" * 10_000 not in found
+    assert found == lm.warm_texts(docs.repartition(1), 30, 1500)
