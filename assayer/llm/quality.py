@@ -97,10 +97,9 @@ def predict(model: QualityModel, texts: list[bytes | None], step: int = 4 << 20)
     return np.concatenate(out) if out else np.empty(0)
 
 
-def train(texts: list[bytes], labels: np.ndarray, weights: np.ndarray, epochs: int = 6, least_steps: int = 500, batch: int = 64, rate: float = 0.02, most_halves: int = 24, seed: int = 7) -> QualityModel:
-    """Adam on weighted log loss; a small sample is gone through more often, up to
-    ``least_steps`` steps. Of a text longer than ``most_halves`` half-chunks a step
-    learns from that many neighbouring pairs spread over the whole of it."""
+def train(texts: list[bytes], labels: np.ndarray, weights: np.ndarray, epochs: int = 3, least_steps: int = 500, batch: int = 64, batch_bytes: int = 1 << 20, rate: float = 0.02, seed: int = 7) -> QualityModel:
+    """Adam on weighted log loss over whole texts, ``batch`` at a time or fewer once they hold ``batch_bytes``; a
+    small sample is gone through more often, up to ``least_steps`` steps."""
     rng = np.random.default_rng(seed)
     table = rng.normal(0, 0.1, (WIDTH, 256, FILTERS)).astype(np.float32)
     table[:, 0] = 0
@@ -110,30 +109,25 @@ def train(texts: list[bytes], labels: np.ndarray, weights: np.ndarray, epochs: i
     first = {k: np.zeros_like(v) for k, v in params.items()}
     second = {k: np.zeros_like(v) for k, v in params.items()}
     weights = weights / weights.mean()
-    per_epoch = max(1, -(-len(texts) // batch))
-    epochs = max(epochs, -(-least_steps // per_epoch))
-    step, total = 0, epochs * per_epoch
+    sizes = np.array([len(t) for t in texts])
+    epochs = max(epochs, -(-least_steps // max(1, -(-len(texts) // batch))))
+    plan = []
     for _ in range(epochs):
         order = rng.permutation(len(texts))
-        for i in range(0, len(order), batch):
-            chosen = order[i : i + batch]
-            cut = []
-            for t in (texts[j] for j in chosen):
-                n = max(2, -(-len(t) // HALF))
-                if n > most_halves:
-                    offset = rng.random() * n / (most_halves / 2)
-                    places = np.minimum((np.arange(most_halves // 2) * n / (most_halves / 2) + offset).astype(int) % n, n - 2) * HALF
-                    t = b"".join(t[p : p + 2 * HALF].ljust(2 * HALF, b"\0") for p in places)
-                cut.append(t)
-            grads = _gradients(QualityModel(params["table"], params["bias"], params["weights"], float(params["intercept"][0])), cut, labels[chosen], weights[chosen])
-            step += 1
-            now = rate * (1 - step / (total + 1))
-            for k, g in grads.items():
-                g = g + 1e-4 * params[k] * (k != "intercept")
-                first[k] += 0.1 * (g - first[k])
-                second[k] += 0.001 * (g * g - second[k])
-                params[k] -= (now * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
-            params["table"][:, 0] = 0
+        i = 0
+        while i < len(order):
+            j = i + max(1, int(np.searchsorted(np.cumsum(sizes[order[i : i + batch]]), batch_bytes, side="right")))
+            plan.append(order[i:j])
+            i = j
+    for step, chosen in enumerate(plan, 1):
+        grads = _gradients(QualityModel(params["table"], params["bias"], params["weights"], float(params["intercept"][0])), [texts[j] for j in chosen], labels[chosen], weights[chosen])
+        now = rate * (1 - step / (len(plan) + 1))
+        for k, g in grads.items():
+            g = g + 1e-4 * params[k] * (k != "intercept")
+            first[k] += 0.1 * (g - first[k])
+            second[k] += 0.001 * (g * g - second[k])
+            params[k] -= (now * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+        params["table"][:, 0] = 0
     return QualityModel(params["table"], params["bias"], params["weights"].astype(np.float64), float(params["intercept"][0]))
 
 
@@ -172,13 +166,16 @@ def _gradients(model: QualityModel, texts: list[bytes], y: np.ndarray, w: np.nda
     return {"table": g_table, "bias": g_half.sum(axis=0), "weights": (off[:, None] * x).sum(axis=0).astype(np.float32), "intercept": np.array([off.sum()], np.float32)}
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quality", per_class: int = 3000, id_col: str = "doc_id", text_col: str = "text", **training) -> QualityModel:
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quality", per_class: int = 3000, most_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text", **training) -> QualityModel:
     """Learn from at most ``per_class`` labelled documents of each class for which ``learn`` holds.
 
-    The sample of at most ``2 * per_class`` documents is read to the driver. Without both classes every score is 0 or 1.
+    The sample of at most ``2 * per_class`` whole documents and ``most_bytes`` is read to
+    the driver and learned from there. Without both classes, as with empty tables, every
+    score is 0 or 1. Null labels and ids are passed over, a null text counts as empty;
+    other columns are ignored, whatever their names.
     """
     ship(docs.sparkSession)
-    sample = sample_labelled(docs, labels, label, learn, per_class, id_col, text_col)
+    sample = sample_labelled(docs, labels, label, learn, per_class, most_bytes, id_col, text_col)
     rows = sample.select("text", "label", "weight").toArrow()
     y = rows.column("label").to_numpy().astype(np.float64)
     if len(set(y.tolist())) < 2:
@@ -204,13 +201,14 @@ def _scores(rows: DataFrame, model: QualityModel) -> DataFrame:
 
 def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, score double)`` per row. Null and empty texts are all padding and get the
-    score of no activation; repeated rows and null ids keep a row each."""
+    score of no activation; repeated rows and null ids keep a row each, very long texts
+    are read whole, and an empty table gives no rows. Other columns are ignored."""
     ship(docs.sparkSession)
     return _scores(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")), model).select("id", "score")
 
 
 def keep_good(docs: DataFrame, model: QualityModel, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
-    """``docs`` without rows that score under ``threshold``."""
+    """``docs`` without rows that score under ``threshold``; all columns pass through, whatever their names."""
     ship(docs.sparkSession)
     names = docs.columns
     rows = docs.select(F.col(text_col).cast("binary").alias("text"), F.struct(*quoted(names)).alias("row"))

@@ -152,24 +152,15 @@ def _log_odds(prior: float, toxic: Column, clean: Column, n1: float, n0: float)
     return odds, odds / F.sqrt(1 / t + 1 / c)
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic", per_class: int = 6000, prior: float = 500.0, token_prior: float = 5000.0, least_z: float = 3.5, least_docs: int = 6, least_odds: float = 0.5, max_features: int = 50_000, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
-    """Learn from at most ``per_class`` labelled documents of each class for which ``learn`` holds.
-
-    Features (words and their prefixes) are chosen by the z-score of their
-    document counts, so that repetition in a document doesn't weigh; the scores
-    are log-odds of token counts, each word counting for its most specific
-    feature, and all other words share the small negative rest. Without both
-    classes every document gets 0, or 1 if all that is known is toxic.
-    """
-    ship(docs.sparkSession)
-    sample = sample_labelled(docs, labels, label, learn, per_class, id_col, text_col)
+def _odds_model(sample: DataFrame, prior: float, token_prior: float, least_z: float, least_docs: int, least_odds: float) -> ToxicityModel:
+    """The odds of a sample of labelled documents, without a curve; without both classes a constant score."""
     sums = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sums) < 2:
         return ToxicityModel({}, -0.02, intercept=30.0 if 1 in sums else -30.0)
     counts = _counted(sample, _document_features).where(F.col("toxic") + F.col("clean") >= least_docs)
     odds, z = _log_odds(prior, F.col("toxic"), F.col("clean"), sums[1], sums[0])
     chosen = counts.select("word", odds.alias("odds"), z.alias("z")).where((F.col("z") >= least_z) & (F.col("odds") >= least_odds))
-    features = {bytes(r["word"]) for r in chosen.orderBy(F.desc("z"), "word").limit(max_features).collect()}
+    features = {bytes(r["word"]) for r in chosen.select("word").collect()}
 
     def by_feature(words: list[bytes]) -> Counter:
         found: Counter = Counter()
@@ -180,15 +171,41 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic",
     tokens = {bytes(r["word"]): (r["toxic"], r["clean"]) for r in _counted(sample, by_feature).collect()}
     n1, n0 = (sum(v[i] for v in tokens.values()) for i in (0, 1))
     shares = {}
-    for f in features & tokens.keys():
+    for f in sorted(features & tokens.keys()):
         alpha = sum(tokens[f]) / (n0 + n1) * token_prior
         shares[f] = (tokens[f][0] + alpha) / (n1 + token_prior), (tokens[f][1] + alpha) / (n0 + token_prior)
     shares = {f: v for f, v in shares.items() if v[0] > v[1]}
     table = {f: math.log(p1 / p0) for f, (p1, p0) in shares.items()}
     other = math.log((1 - sum(p for p, _ in shares.values())) / (1 - sum(p for _, p in shares.values()))) if shares else -0.02
-    plain = ToxicityModel(table, other, _lambda([(table[f], p0) for f, (_, p0) in shares.items()], -other) if table else 1.0)
-    seen = _strengths(sample, plain).select("strength", "label", "weight").toPandas()
-    intercept, slope = _logistic(seen["strength"].to_numpy(), seen["label"].to_numpy(), seen["weight"].to_numpy())
+    return ToxicityModel(table, other, _lambda([(table[f], p0) for f, (_, p0) in shares.items()], -other) if table else 1.0)
+
+
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic", per_class: int = 6000, most_bytes: int = 64 << 20, prior: float = 500.0, token_prior: float = 5000.0, least_z: float = 3.5, least_docs: int = 6, least_odds: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
+    """Learn from at most ``per_class`` labelled documents of each class, whole and of ``most_bytes`` together, for
+    which ``learn`` holds.
+
+    Features (words and, for words without evidence of their own, their prefixes) are
+    chosen by the z-score of their document counts, so that repetition in a document
+    doesn't weigh; the scores are log-odds of token counts, each word counting for its
+    most specific feature, and all other words share the small negative rest. The
+    curve is fitted to strengths of documents under odds from the other half of the
+    sample. Without both classes, as with empty tables, every document gets 0, or 1 if
+    all that is known is toxic. Null labels and ids are passed over, a null text
+    counts as empty; other columns are ignored, whatever their names.
+    """
+    ship(docs.sparkSession)
+    sample = sample_labelled(docs, labels, label, learn, per_class, most_bytes, id_col, text_col)
+    options = (prior, token_prior, least_z, least_docs, least_odds)
+    plain = _odds_model(sample, *options)
+    if not plain.odds:
+        return plain
+    half = F.pmod(F.xxhash64("id", F.lit("half")), F.lit(2))
+    seen = []
+    for side in (0, 1):
+        model = _odds_model(sample.where(half != side), *options)
+        seen.append(_strengths(sample.where(half == side), model).select("strength", "label", "weight").toPandas())
+    x, y, w = (np.concatenate([s[c].to_numpy(dtype=np.float64) for s in seen]) for c in ("strength", "label", "weight"))
+    intercept, slope = _logistic(x, y, w)
     return replace(plain, intercept=intercept, slope=slope)
 
 
@@ -244,7 +261,8 @@ def _strengths(rows: DataFrame, model: ToxicityModel) -> DataFrame:
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, score double, passages array)`` per row: every significant passage as word
     positions with its score, and the document's probability. Null and empty texts have
-    no passage and get the curve's floor; repeated rows and null ids keep a row each."""
+    no passage and get the curve's floor; repeated rows and null ids keep a row each, very
+    long texts are read whole, and an empty table gives no rows. Other columns are ignored."""
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     return _strengths(rows, model).select("id", logistic_column(model).alias("score"), "passages")
@@ -256,7 +274,7 @@ def logistic_column(model: ToxicityModel) -> Column:
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
-    """``docs`` without rows that score ``threshold`` or more."""
+    """``docs`` without rows that score ``threshold`` or more; all columns pass through, whatever their names."""
     ship(docs.sparkSession)
     names = docs.columns
     rows = docs.select(F.col(text_col).cast("binary").alias("text"), F.struct(*quoted(names)).alias("row"))
