@@ -78,22 +78,40 @@ def train(x: np.ndarray, books: int = 16, entries: int = 256, rounds: int = 6, r
         made.append(centres)
     model = AdditiveQuantiser(np.stack(made))
     for _ in range(refine):
-        columns = model.encode(x).astype(np.int64) + np.arange(books) * entries
-        gram = np.zeros((books * entries, books * entries))
-        for a in range(books):
-            for b in range(books):
-                gram[a * entries : (a + 1) * entries, b * entries : (b + 1) * entries] = np.bincount((columns[:, a] - a * entries) * entries + columns[:, b] - b * entries, minlength=entries**2).reshape(entries, entries)
-        right = np.zeros((books * entries, x.shape[1]))
-        for a in range(books):
-            np.add.at(right, columns[:, a], x)
-        old = model.books.reshape(books * entries, -1)
-        ridge = 0.5 + len(x) * 1e-4
-        gram.flat[:: len(gram) + 1] += ridge
-        solved = np.linalg.solve(gram, right + ridge * old)
-        model = AdditiveQuantiser(solved.reshape(books, entries, -1).astype(np.float32))
+        model = AdditiveQuantiser(_refitted(model.books, model.encode(x), x))
     return model
 
 
+def _refitted(books: np.ndarray, codes: np.ndarray, x: np.ndarray, steps: int = 30) -> np.ndarray:
+    """Codebooks whose coded sums fit ``x`` best by least squares, held to the old ones by a ridge:
+    conjugate gradients, so that the normal matrix of all entries is never made."""
+    sorted_ = [(o := np.argsort(c, kind="stable"), f := np.flatnonzero(np.concatenate([[True], np.diff(c[o]) != 0])), c[o][f]) for c in codes.T]
+    ridge = np.float32(0.5 + len(x) * 1e-4)
+
+    def summed(b: np.ndarray) -> np.ndarray:
+        return sum(book[c] for book, c in zip(b, codes.T))
+
+    def spread(y: np.ndarray) -> np.ndarray:
+        out = np.zeros_like(books)
+        for book, (order, firsts, entries) in zip(out, sorted_):
+            book[entries] = np.add.reduceat(y[order], firsts, axis=0)
+        return out
+
+    b = books.copy()
+    left = spread(x - summed(b))  # the ridge pulls towards where this starts
+    along, size = left.copy(), float(np.vdot(left, left))
+    for _ in range(steps):
+        if size < 1e-10:
+            break
+        image = spread(summed(along)) + ridge * along
+        step = np.float32(size / float(np.vdot(along, image)))
+        b += step * along
+        left -= step * image
+        before, size = size, float(np.vdot(left, left))
+        along = left + np.float32(size / before) * along
+    return b
+
+
 def usable_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``(row, id, dim, vec binary)``: float64 vectors that take part, rows numbered. Null ids, null or zero
     vectors and those with null or non-finite components are left out."""
