@@ -27,15 +27,16 @@ MUST_HEADER = r"(?i)^\s*(requirements?|required|must[\s-]*have|qualifications|mi
 NICE_CUE = r"(?i)\b(nice[\s-]*to[\s-]*have|preferred|preferable|bonus|a plus|good[\s-]*to[\s-]*have|desirable|desired|optional|advantageous|ideally|would be (a )?(plus|great|nice))\b"
 MUST_CUE = r"(?i)\b(must[\s-]*have|must|required|require|essential|mandatory|minimum|need to have)\b"
 TECHNICAL = r"[A-Za-z]+[A-Z0-9]|[A-Z]{2,}|[A-Za-z]*[0-9][A-Za-z0-9]*|[A-Za-z][A-Za-z0-9]*[+#/.][A-Za-z0-9+#/.]*"
-STOP = (
-    "a an the and or to for of in on with as is are be we you our your their this that these those it its who will can must should "
-    "have has nice plus etc strong good great excellent solid deep hands proven exposure familiarity familiar proficiency proficient "
-    "expertise expert competency competence fluency fluent versed experienced knowledgeable skilled background years year role team "
-    "teams company candidate candidates requirements responsibilities qualifications skills skill ability experience knowledge "
-    "understanding work working using looking preferred required related similar field degree software engineer engineers developer "
-    "developers architect analyst manager designer scientist administrator specialist lead intern consultant senior junior mid level "
-    "position job"
-).split()
+STOP = [
+    "a", "an", "the", "and", "or", "to", "for", "of", "in", "on", "with", "as", "is", "are", "be", "we", "you", "our", "your", "their", "this",
+    "that", "these", "those", "it", "its", "who", "will", "can", "must", "should", "have", "has", "nice", "plus", "etc", "strong", "good", "great",
+    "excellent", "solid", "deep", "hands", "proven", "exposure", "familiarity", "familiar", "proficiency", "proficient", "expertise", "expert",
+    "competency", "competence", "fluency", "fluent", "versed", "experienced", "knowledgeable", "skilled", "background", "years", "year", "role",
+    "team", "teams", "company", "candidate", "candidates", "requirements", "responsibilities", "qualifications", "skills", "skill", "ability",
+    "experience", "knowledge", "understanding", "work", "working", "using", "looking", "preferred", "required", "related", "similar", "field",
+    "degree", "software", "engineer", "engineers", "developer", "developers", "architect", "analyst", "manager", "designer", "scientist",
+    "administrator", "specialist", "lead", "intern", "consultant", "senior", "junior", "mid", "level", "position", "job",
+]
 MOST_WORDS, MOST_PHRASES = 4, 40
 
 
@@ -100,7 +101,8 @@ def clean_phrase(raw: Column) -> Column:
 def extract_requirements(jobs: DataFrame, id_col: str = "jd_id", text_col: str = "text", terms: list[str] | None = None) -> DataFrame:
     """``(jd_id, requirement)``: known terms first, then phrases after and before cues, then
     capitalised phrases, then the years asked for; the first 40 by that order, once each
-    whatever their case, less single words that are part of a longer phrase kept."""
+    whatever their case, less single words that are part of a longer phrase kept. A
+    job's phrases come in order of their lower-cased form."""
     known = taxonomy_terms() if terms is None else terms
     lines = jobs.select(F.col(id_col).alias("jd_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), requirement_lines(F.col(text_col)).alias("lines"))
     joined = F.array_join("lines", "\n")
@@ -117,7 +119,7 @@ def extract_requirements(jobs: DataFrame, id_col: str = "jd_id", text_col: str =
     several = F.filter("found", lambda x: F.size(F.split(x["display"], " ")) > 1)
     parts = F.flatten(F.transform(several, lambda x: F.split(x["display"], " ")))
     keep = lambda x: (F.size(F.split(x["display"], " ")) > 1) | F.array_contains(F.array(*[F.lit(t) for t in known]), x["key"]) | ~F.array_contains(F.col("parts"), x["key"])
-    return whole.select("jd_id", "found", parts.alias("parts")).select("jd_id", F.inline(F.filter("found", keep))).select("jd_id", F.col("display").alias("requirement")).orderBy("jd_id", F.lower("requirement"), "requirement")
+    return whole.select("jd_id", "found", parts.alias("parts")).select("jd_id", F.inline(F.array_sort(F.filter("found", keep)))).select("jd_id", F.col("display").alias("requirement"))
 
 
 def line_priorities(text: Column) -> Column:

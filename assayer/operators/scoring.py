@@ -72,7 +72,7 @@ def authenticity(rows: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
 
 
 def sub_scores(rows: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
-    """All scores of each analysis from its verdicts: one pass per analysis, joined on its id."""
+    """All scores of each analysis from its verdicts: three aggregates by analysis, joined on its id."""
     whole = lambda c: S.truncated(c * 100)
     share = lambda section: whole(F.count_if(F.col("section") == section) / F.count(F.lit(1)))
     parts = rows.groupBy("analysis_id").agg(
@@ -171,10 +171,13 @@ def score_backfill(analyses: DataFrame, report_scores: DataFrame) -> DataFrame:
     return filled.withColumn("overall_score", F.when(F.col("overall_score").isNull() & F.col("report_score").isNotNull(), S.truncated(F.col("report_score"))).otherwise(F.col("overall_score"))).drop("report_score")
 
 
-def with_priorities(results: DataFrame, priorities: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
-    """Requirements with importance and weight by lower-cased name; what isn't listed is a must."""
-    known = priorities.groupBy(F.lower("requirement").alias("key")).agg(F.max_by("importance", "position").alias("importance"), F.max_by("weight", "position").alias("weight"))
-    joined = results.withColumn("key", F.lower("requirement")).join(known, "key", "left")
+def with_priorities(results: DataFrame, priorities: DataFrame, s: Settings = DEFAULTS, by: str = "analysis_id") -> DataFrame:
+    """Requirements with importance and weight by ``by`` and lower-cased name; what isn't listed is a must.
+
+    Of priorities that repeat a name the last by ``position`` counts, within its own analysis (or job).
+    """
+    known = priorities.groupBy(by, F.lower("requirement").alias("key")).agg(F.max_by("importance", "position").alias("importance"), F.max_by("weight", "position").alias("weight"))
+    joined = results.withColumn("key", F.lower("requirement")).join(known, [by, "key"], "left")
     return joined.drop("key").withColumns({"importance": F.coalesce("importance", F.lit("must")), "weight": F.coalesce("weight", d(s.weight_must))})
 
 
@@ -234,9 +237,9 @@ def history_detail(analyses: DataFrame, reports_: DataFrame, resumes: DataFrame,
 
 
 def requirement_view(rows: DataFrame) -> DataFrame:
-    """Verdicts in the client's order, must before nice, with a flag on skills that are claimed but not shown."""
+    """Verdicts with their ``place`` in the client's order, must before nice, and a flag on skills that are claimed but not shown."""
     flag = F.col("claimed") & ~F.col("demonstrated")
-    return rows.withColumn("over_claimed", flag).orderBy("analysis_id", F.when(F.col("importance") == "nice", 1).otherwise(0), "position")
+    return ranked(rows.withColumn("over_claimed", flag), ["analysis_id"], [F.when(F.col("importance") == "nice", 1).otherwise(0), F.asc("position"), F.asc("requirement")], "place")
 
 
 def leaderboard_view(ranking: DataFrame, min_score: int = 0, sort: str = "score") -> DataFrame:

@@ -1,12 +1,14 @@
 """Documents to pages, sections, sentences and overlapping chunks.
 
-Everything of one document is done inside its row with array functions, so no
-stage shuffles and lines never need a window over the corpus.
+Lines are rows: each is classified once, and a window over its own document
+carries the last heading and page mark down. That is one shuffle, by document,
+which numbering and chunking reuse; work is linear in lines. Sentences and chunks
+are made inside rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..settings import DEFAULTS, Settings
@@ -34,43 +36,49 @@ def heading(line: Column) -> Column:
     """The section that a short line opens, or null."""
     clean = F.trim(F.lower(F.regexp_replace(line, r"(?U)[^\w\s&]", "")))
     found = F.lit(None).cast("string")
-    for name, pattern in reversed(HEADINGS.items()):
-        found = F.when(clean.rlike(f"^({pattern})$"), name).otherwise(found)
+    for name, words in reversed(HEADINGS.items()):
+        found = F.when(clean.isin(words.split("|")), name).otherwise(found)
     return F.when(F.length(line) < 40, found)
 
 
+def _placed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Every line with the last heading and page mark above it, and whether it is content."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("doc_row"))
+    cut = rows.select("doc_id", "doc_row", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("at", "raw"))
+    lines = cut.select("doc_id", "doc_row", "at", stripped(F.col("raw")).alias("line"))
+    mark = F.when(F.col("line").startswith("---"), F.nullif(F.regexp_extract("line", PAGE, 1), F.lit("")).cast("int"))
+    classed = lines.withColumn("mark", mark).withColumn("head", F.when(F.col("mark").isNull(), heading(F.col("line"))))
+    above = Window.partitionBy("doc_id", "doc_row").orderBy("at")
+    placed = classed.withColumns({"section": F.coalesce(F.last("head", True).over(above), F.lit("Summary")), "page": F.coalesce(F.last("mark", True).over(above), F.lit(1))})
+    return placed.withColumn("content", F.expr("head IS NULL AND mark IS NULL AND line <> ''"))
+
+
+def section_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, doc_row, at, section, page, line)``: content lines with the last heading and page mark above them.
+
+    ``at`` orders the lines of a document, ``doc_row`` tells rows apart that repeat
+    an id. Blank lines, headings and marks are no content; null texts have no lines.
+    """
+    return _placed(docs, id_col, text_col).where("content").select("doc_id", "doc_row", "at", "section", "page", "line")
+
+
 def sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, lines array<(section, page, line)>)``: content lines in order, each with the
-    last heading and page mark above it. Blank lines, headings and marks are no content; a
-    null text has no lines."""
-    lines = F.filter(F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), stripped), lambda x: x != "")
-    marked = F.transform(lines, lambda x: F.struct(x.alias("line"), F.nullif(F.regexp_extract(x, PAGE, 1), F.lit("")).cast("int").alias("mark"), heading(x).alias("head")))
-    # Only marks and headings are carried over; content lines look up the last one above them.
-    placed = F.transform(marked, lambda m, i: F.struct(i.alias("at"), m["line"].alias("line"), m["mark"].alias("mark"), F.when(m["mark"].isNull(), m["head"]).alias("head")))
-    heads = F.filter(F.col("placed"), lambda m: m["head"].isNotNull())
-    marks = F.filter(F.col("placed"), lambda m: m["mark"].isNotNull())
-    content = F.filter(F.col("placed"), lambda m: m["head"].isNull() & m["mark"].isNull())
+    """``(doc_id, lines array<(section, page, line)>)`` per row of ``docs``: its content lines in order, maybe none."""
+    rows = F.array_sort(F.collect_list(F.when(F.col("content"), F.struct("at", "section", "page", "line"))))
+    whole = _placed(docs, id_col, text_col).groupBy("doc_id", "doc_row").agg(rows.alias("rows"))
+    return whole.select("doc_id", F.transform("rows", lambda r: F.struct(r["section"].alias("section"), r["page"].alias("page"), r["line"].alias("line"))).alias("lines"))
 
-    def last_above(marks_: Column, at: Column, field: str, default) -> Column:
-        above = F.filter(marks_, lambda h: h["at"] < at)
-        return F.coalesce(F.try_element_at(above, F.lit(-1))[field], default)
 
-    rows = F.transform(F.col("content"), lambda c: F.struct(last_above(F.col("heads"), c["at"], "head", F.lit("Summary")).alias("section"), last_above(F.col("marks"), c["at"], "mark", F.lit(1)).alias("page"), c["line"].alias("line")))
-    return docs.select(F.col(id_col).alias("doc_id"), placed.alias("placed")).select("doc_id", heads.alias("heads"), marks.alias("marks"), content.alias("content")).select("doc_id", rows.alias("lines"))
+# A place to cut: not behind an abbreviation or an initial that is a word of its own.
+_BEFORE = r"(?i)(?<!(?:^|\s)(?:" + "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS) + r"|[a-z\u212A]\.))(?-i)"
+_GAP = r"(?<=[.!?])\s+(?=[A-Z0-9])"
 
 
 def sentences(line: Column) -> Column:
-    """Sentences of a line: cut after . ! ? before a capital or digit, joined again after an
+    """Sentences of a line: cut after . ! ? before a capital or digit, but not after an
     abbreviation or an initial. A line without such a place stays whole."""
-    pieces = F.filter(F.transform(F.split(stripped(line), r"(?<=[.!?])\s+(?=[A-Z0-9])"), stripped), lambda x: x != "")
-
-    def add(out: Column, piece: Column) -> Column:
-        last = F.coalesce(F.try_element_at(out, F.lit(-1)), F.lit(""))
-        word = F.lower(F.regexp_extract(last, r"(\S+)$", 1))
-        joins = (F.size(out) > 0) & (word.isin(*ABBREVIATIONS) | word.rlike(r"^[a-z]\.$"))
-        return F.when(joins, F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.concat(last, F.lit(" "), piece)))).otherwise(F.concat(out, F.array(piece)))
-
-    return F.aggregate(pieces, F.array().cast("array<string>"), add)
+    pieces = F.transform(F.split(stripped(line), _BEFORE + _GAP), lambda x: F.regexp_replace(stripped(x), _GAP, " "))
+    return F.filter(pieces, lambda x: x != "")
 
 
 def chunked(units: Column, s: Settings = DEFAULTS) -> Column:
@@ -105,15 +113,15 @@ def chunked(units: Column, s: Settings = DEFAULTS) -> Column:
 def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Settings = DEFAULTS) -> DataFrame:
     """``(doc_id, chunk_id, section, page, text)``; chunk ids run from 0 in section order.
 
-    Each section is chunked by itself, on rows of (document, section), so that the
-    fold's state is a column and not a copy of the whole document's expression tree.
+    Each section of a document is chunked by itself, and rows that repeat an id
+    each for themselves, numbered one after another.
     """
-    lines = sections(docs, id_col, text_col)
-    units = F.flatten(F.transform(F.filter("lines", lambda r: r["section"] == F.col("section")), lambda r: F.transform(sentences(r["line"]), lambda x: F.struct(x.alias("sentence"), r["page"].alias("page")))))
-    names = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(n).alias("section")) for i, n in enumerate(SECTIONS)])
-    cut = lines.select("doc_id", "lines", F.inline(names)).where(F.exists("lines", lambda r: r["section"] == F.col("section")))
-    cut = cut.select("doc_id", "ord", "section", units.alias("units")).select("doc_id", "ord", "section", F.posexplode(chunked(F.col("units"), s)).alias("seq", "chunk"))
-    numbered = ranked(cut, ["doc_id"], [F.asc("ord"), F.asc("seq")], "n")
+    lines = section_lines(docs, id_col, text_col).withColumn("sentences", sentences(F.col("line")))
+    rows = F.array_sort(F.collect_list(F.struct("at", "page", "sentences")))
+    units = F.flatten(F.transform(F.col("rows"), lambda r: F.transform(r["sentences"], lambda x: F.struct(x.alias("sentence"), r["page"].alias("page")))))
+    whole = lines.groupBy("doc_id", "doc_row", "section").agg(rows.alias("rows")).select("doc_id", "doc_row", "section", units.alias("units"))
+    cut = whole.select("doc_id", "doc_row", F.array_position(F.array(*map(F.lit, SECTIONS)), F.col("section")).alias("ord"), "section", F.posexplode(chunked(F.col("units"), s)).alias("seq", "chunk"))
+    numbered = ranked(cut, ["doc_id"], [F.asc("doc_row"), F.asc("ord"), F.asc("seq")], "n")
     return numbered.select("doc_id", (F.col("n") - 1).alias("chunk_id"), "section", F.col("chunk.page").alias("page"), F.col("chunk.text").alias("text"))
 
 

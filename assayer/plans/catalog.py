@@ -15,26 +15,17 @@ from ..operators import analytics, dml, requirements, retrieval, scoring, search
 from ..operators import profile as profile_
 from ..settings import DEFAULTS
 from ..sources import files
-from ..sources.views import SCORING, Tables, with_views
+from ..sources.views import SCORING, TEXTS, Tables, in_list, with_views
+from . import report_catalog  # noqa: F401  (registers its queries)
+from .registry import REGISTRY, query
 
 #: The default thresholds are calibrated for one text encoder; these suit the tables' own vectors.
 VECTORS = replace(DEFAULTS, similarity_floor=0.15, category_floor=0.2, equivalent_min=0.3, related_min=0.2)
-Query = Callable[[Tables], DataFrame]
-REGISTRY: dict[str, tuple[Query, str | None]] = {}
-
 TOKENS = "regexp_extract_all(lower(text), '[a-z0-9][a-z0-9+#./-]*')"
 LABEL = "CASE WHEN overall_score >= 80 THEN 'Selected' WHEN overall_score >= 60 THEN 'Borderline' ELSE 'Rejected' END"
 WORKFLOW = "CASE WHEN workflow_status IS NULL OR workflow_status = '' THEN 'Applied' ELSE workflow_status END"
 
 
-def query(sql: str | None = None, name: str | None = None):
-    def add(f: Query) -> Query:
-        REGISTRY[name or f.__name__] = (f, sql)
-        return f
-
-    return add
-
-
 def half_up(x: str, places: int = 2) -> str:
     return f"floor(({x}) * {10**places}::DOUBLE + 0.5::DOUBLE) / {10**places}::DOUBLE"
 
@@ -364,31 +355,27 @@ def hybrid_retrieval(t: Tables) -> DataFrame:
 
 # --- text ------------------------------------------------------------------
 
-LINES = rf"""lines AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS at FROM (
-  SELECT doc_id, i, regexp_replace(l, '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g') AS line FROM (SELECT doc_id, unnest(a) AS l, generate_subscripts(a, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents))) WHERE line <> '')"""
-
-
-@query(f"WITH {LINES} SELECT doc_id, 'Summary' AS section, count(*) AS lines, sum(length(line))::BIGINT AS chars FROM lines GROUP BY ALL")
+@query(with_views(*TEXTS[:2]) + "SELECT doc_id, n - 1 AS at, section, page, line FROM content")
 def sections(t: Tables) -> DataFrame:
-    rows = structuring.sections(t.read("documents")).select("doc_id", F.inline("lines"))
-    return rows.groupBy("doc_id", "section").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.length("line").cast("long")).alias("chars"))
+    return structuring.sections(t.resume_texts).select("doc_id", F.posexplode("lines").alias("at", "r")).select("doc_id", F.col("at").cast("long").alias("at"), "r.*")
 
 
-@query()
+@query(with_views(*TEXTS[:3]) + "SELECT doc_id, n - 1 AS at, CAST(s - 1 AS BIGINT) AS n, sentence FROM sents")
 def sentence_split(t: Tables) -> DataFrame:
-    lines = structuring.sections(t.read("documents")).select("doc_id", F.posexplode("lines").alias("at", "r"))
-    return lines.select("doc_id", "at", F.posexplode(structuring.sentences(F.col("r.line"))).alias("n", "sentence"))
+    lines = structuring.sections(t.resume_texts).select("doc_id", F.posexplode("lines").alias("at", "r"))
+    cut = lines.select("doc_id", F.col("at").cast("long").alias("at"), F.posexplode(structuring.sentences(F.col("r.line"))).alias("n", "sentence"))
+    return cut.withColumn("n", F.col("n").cast("long"))
 
 
-@query()
+@query(with_views(*TEXTS) + f"SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY list_position([{in_list(structuring.SECTIONS)}], section), i) - 1 AS chunk_id, section, page, text FROM chunked")
 def chunks(t: Tables) -> DataFrame:
-    return structuring.chunks(t.read("documents"))
+    return structuring.chunks(t.resume_texts)
 
 
 WATCHED = ["the", "and", "c++", "der", "que", "idiot", "token"]
 
 
-@query("SELECT doc_id, " + ", ".join(f"""regexp_matches(text, '(?i)(^|[^\\p{{L}}\\p{{M}}\\p{{N}}_]){w.replace('+', '[+]')}($|[^\\p{{L}}\\p{{M}}\\p{{N}}_])') AS has_{i}""" for i, w in enumerate(WATCHED)) + " FROM documents WHERE lang = 'en'")
+@query("SELECT doc_id, " + ", ".join(f"""regexp_matches(text, '(?i)(^|[^\\p{{L}}\\p{{M}}\\p{{N}}_]){w.replace('+', '[+]')}($|[^\\p{{L}}\\p{{M}}\\p{{N}}_])') AS has_{i}""" for i, w in enumerate(WATCHED)) + " FROM documents")
 def term_match(t: Tables) -> DataFrame:
     return t.read("documents").select("doc_id", *(requirements.contains_term(F.col("text"), F.lit(w)).alias(f"has_{i}") for i, w in enumerate(WATCHED)))
 
@@ -461,12 +448,6 @@ def fingerprint(t: Tables) -> DataFrame:
     return t.read("documents").select("doc_id", S.fingerprint(F.col("text")).alias("sha"))
 
 
-@query("SELECT doc_id FROM documents WHERE lang <> 'en'")
-def stale_sources(t: Tables) -> DataFrame:
-    current = t.read("documents").select(F.col("doc_id").alias("resume_id"), S.fingerprint(F.col("text")).alias("sha"), "lang")
-    return dml.stale_sources(current, current.where("lang = 'en'")).select(F.col("resume_id").alias("doc_id"))
-
-
 @query(with_views("analyses") + "SELECT DISTINCT resume_id, jd_id FROM analyses a WHERE NOT EXISTS (SELECT 1 FROM analyses b WHERE b.overall_score IS NOT NULL AND a.resume_id = b.resume_id AND a.jd_id = b.jd_id)")
 def new_pairs(t: Tables) -> DataFrame:
     done = t.analyses.where("overall_score IS NOT NULL").select("resume_id", "jd_id")
@@ -483,11 +464,6 @@ def csv_fields(t: Tables) -> DataFrame:
     return t.read("conversations").select("conv_id", "turn", S.csv_field(F.col("text")).alias("field"))
 
 
-@query("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS count FROM events GROUP BY ALL")
-def events_daily(t: Tables) -> DataFrame:
-    return t.read("events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("count"))
-
-
 @query("SELECT p_partkey, least(10, greatest(0, floor((p_retailprice / 2000.0::DOUBLE + 1) * 5 * 100 + 0.5) / 100)) AS trait FROM part")
 def trait_scores(t: Tables) -> DataFrame:
     return t.read("part").select("p_partkey", S.trait_scale(F.col("p_retailprice") / 2000.0).alias("trait"))

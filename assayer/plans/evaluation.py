@@ -7,6 +7,7 @@ analysis, so a pair is never handled alone.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import scores as S
 from ..functions.vectors import dot, hashed_vector
 from ..operators import dml, requirements, retrieval, scoring, structuring
-from ..settings import DEFAULTS, Settings
+from ..settings import DEFAULTS, TAXONOMY, Settings
 
 Encoder = Callable[[Column], Column]
 
@@ -42,31 +43,53 @@ def job_requirements(jobs: DataFrame, encode: Encoder = default_encoder, terms:
 
 def evidence(pairs: DataFrame, chunks: DataFrame, asked: DataFrame, top_k: int = 3, s: Settings = DEFAULTS) -> DataFrame:
     """Matches of each analysis ``(analysis_id, resume_id, jd_id)``: chunks of its resume over the
-    floor, one per text, the ``top_k`` best by fused rank of confidence and words in common.
+    floor, one per text, the ``top_k`` best by fused rank of confidence and BM25 within the resume.
 
     The join is by resume and by job; its size is requirements times chunks of a resume.
     """
     wanted = pairs.join(asked, "jd_id").select("analysis_id", "resume_id", "requirement", "vector")
-    scored = wanted.join(chunks, "resume_id").select("analysis_id", "requirement", "chunk_id", "section", F.trim("text").alias("chunk"), "technical", dot(F.col("vector"), F.col("embedding")).alias("cosine"))
+    scored = wanted.join(chunks, "resume_id").select("analysis_id", "resume_id", "requirement", "chunk_id", "section", F.trim("text").alias("chunk"), "technical", dot(F.col("vector"), F.col("embedding")).alias("cosine"))
     pool = retrieval.ranked(scored, scoring.KEY, [F.desc("cosine"), F.asc("chunk_id")], "position", retrieval.candidate_pool(top_k))
     pool = retrieval.ranked(pool, [*scoring.KEY, "chunk"], [F.asc("position")], "copy", 1).where(S.round_half_up(F.col("cosine"), 3) >= s.similarity_floor)
-    common = F.size(F.array_intersect(retrieval.tokens(F.col("requirement")), retrieval.tokens(F.col("chunk")))).cast("double")
+    phrases = wanted.select("resume_id", F.col("requirement").alias("query_id"), F.col("requirement").alias("text")).distinct()
+    words = retrieval.bm25(phrases, chunks.select("resume_id", F.col("chunk_id").alias("doc_id"), "text"), s, by=("resume_id",))
+    words = words.select("resume_id", F.col("query_id").alias("requirement"), F.col("doc_id").alias("chunk_id"), F.col("score").alias("sparse"))
     blend = S.confidence(F.col("cosine"), S.section_score(F.col("section")), S.density_score(F.col("chunk")), F.col("technical"), s)
-    rows = pool.withColumns({"query_id": F.struct(*scoring.KEY), "confidence": blend}).withColumns({"dense": F.col("confidence"), "sparse": common})
+    both = pool.join(words, ["resume_id", "requirement", "chunk_id"], "left")
+    rows = both.withColumns({"query_id": F.struct(*scoring.KEY), "confidence": blend}).withColumns({"dense": F.col("confidence"), "sparse": F.coalesce("sparse", S.d(0))})
     fused = retrieval.fuse(rows, s).where(F.col("rank") <= top_k)
     return fused.select(*scoring.KEY, "chunk", "section", S.round_half_up(F.col("cosine"), 3).alias("score"), "confidence", F.col("rank").alias("position"))
 
 
+def categorised(rows: DataFrame, name: str, encode: Encoder = default_encoder, s: Settings = DEFAULTS) -> DataFrame:
+    """``rows`` with ``vector`` and ``category`` of a text column: the taxonomy's nearest category, or the fallback."""
+    known = rows.sparkSession.createDataFrame([(c, t) for c, terms in TAXONOMY.items() for t in terms], "category string, term string")
+    middle = retrieval.centroids(known.select("category", encode(F.col("term")).alias("embedding")), "category")
+    few = [{"category": r["category"], "centroid": list(r["centroid"])} for r in middle.orderBy("category").collect()]  # one row per category of the taxonomy
+    packed = F.from_json(F.lit(json.dumps(few)), "array<struct<category:string,centroid:array<double>>>")
+    # The lambda binds the vector, so that the encoder's expression isn't copied into each use of it.
+    both = F.transform(F.array(encode(F.col(name))), lambda v: F.struct(v.alias("vector"), retrieval.category_of(v, packed, s).alias("category")))
+    return rows.withColumn("__both", both[0]).withColumns({"vector": F.col("__both.vector"), "category": F.col("__both.category")}).drop("__both")
+
+
+def relations(wanted: DataFrame, skills: DataFrame, encode: Encoder = default_encoder, s: Settings = DEFAULTS) -> DataFrame:
+    """What ties each requirement ``(analysis_id, requirement)`` to the candidate's ``skills``: as
+    ``retrieval.related_skills``, where a skill is only *related* within one category of the taxonomy."""
+    left = categorised(wanted.select(F.col("analysis_id").alias("owner"), F.col("requirement").alias("name")), "name", encode, s)
+    right = categorised(skills.select(F.col("analysis_id").alias("owner"), F.col("skill").alias("name"), "narrative", F.col("chunk").alias("skill_chunk")), "name", encode, s)
+    found = retrieval.related_skills(left, right, s, carry=("narrative", "skill_chunk"))
+    return found.withColumnsRenamed({"owner": "analysis_id", "name": "requirement"})
+
+
 def evaluate(pairs: DataFrame, chunks: DataFrame, asked: DataFrame, encode: Encoder = default_encoder, s: Settings = DEFAULTS) -> DataFrame:
-    """Verdicts of all analyses, with equivalent and related skills of each candidate taken into account."""
+    """Verdicts of all analyses, with equivalent and related skills of each candidate taken into account.
+
+    Evidence is asked for twice, for skills and for verdicts; write ``chunks`` and ``asked`` to tables first.
+    """
     found = evidence(pairs, chunks, asked, s=s)
-    wanted = pairs.join(asked, "jd_id").select("analysis_id", "requirement", "importance", "weight", "position", "vector")
-    skills = requirements.candidate_skills(found).withColumn("vector", encode(F.col("skill")))
-    none = F.lit("").alias("category")
-    related = retrieval.related_skills(wanted.select(F.col("analysis_id").alias("owner"), F.col("requirement").alias("name"), none, "vector"), skills.select(F.col("analysis_id").alias("owner"), F.col("skill").alias("name"), none, "vector"), s)
-    known = skills.select("analysis_id", F.col("skill").alias("related_skill"), "narrative", F.col("chunk").alias("skill_chunk"))
-    relations = related.select(F.col("owner").alias("analysis_id"), F.col("name").alias("requirement"), "related_skill", "cosine", "relation").join(known, ["analysis_id", "related_skill"], "left")
-    return scoring.verdicts(wanted.drop("vector"), found.drop("position"), relations, s)
+    wanted = pairs.join(asked, "jd_id").select("analysis_id", "requirement", "importance", "weight", "position")
+    skills = requirements.candidate_skills(found)
+    return scoring.verdicts(wanted, found.drop("position"), relations(wanted, skills, encode, s), s)
 
 
 def rank(pairs: DataFrame, verdicts: DataFrame, s: Settings = DEFAULTS) -> DataFrame:

@@ -12,6 +12,11 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.structuring import ABBREVIATIONS, HEADINGS
+
+
+HEADS = ("Technical Skills:", "WORK EXPERIENCE", "Projects", "Education", "Certifications", "No such heading")
+
 
 @dataclass
 class Tables:
@@ -51,6 +56,14 @@ class Tables:
     def jobs(self) -> DataFrame:
         return self.read("part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("filename"))
 
+    @cached_property
+    def resume_texts(self) -> DataFrame:
+        """Each document twice, with headings, a page mark and abbreviations around it."""
+        docs = self.read("documents")
+        body, head = F.coalesce("text", F.lit("")), lambda k: F.element_at(F.array(*map(F.lit, HEADS)), (F.pmod(F.col("doc_id") + k, F.lit(len(HEADS))) + 1).cast("int"))
+        parts = [body, "\n", head(0), "\nMet Dr. Smith, e.g. at ", F.coalesce("source", F.lit("")), ". Then J. Doe left.\n--- PAGE ", (F.pmod("doc_id", F.lit(7)) + 2).cast("string"), " ---\n", head(1), "\n", body]
+        return docs.select("doc_id", F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts)).alias("text"))
+
     @cached_property
     def evidence(self) -> DataFrame:
         """Requirement rows with or without a match, by order: lines of status O have none."""
@@ -74,6 +87,13 @@ class Tables:
         return self.evidence.where("chunk IS NOT NULL").select("analysis_id", "requirement", "chunk", "section", "score", "confidence")
 
 
+WS = r"[ \t\n\x0B\f\r]"
+
+
+def in_list(words) -> str:
+    return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
+
+
 def _score_sql(step: int) -> str:
     return f"CASE WHEN o_orderstatus <> 'P' THEN CAST(floor(floor(o_totalprice) / {step}.0) AS BIGINT) % 101 END"
 
@@ -125,6 +145,43 @@ SQL = {
                count(*) FILTER (status = 'Matched') AS matched_count, count(*) FILTER (status = 'Partial') AS partial_count, count(*) FILTER (status = 'Missing') AS missing_count
         FROM verdicts GROUP BY 1) JOIN authentic USING (analysis_id))""",
 }
+_head = " ".join(f"WHEN clean IN ({in_list(words.split('|'))}) THEN '{name}'" for name, words in HEADINGS.items())
+SQL |= {
+    "resume_texts": f"""resume_texts AS (
+  SELECT doc_id, coalesce(text, '') || chr(10) || ([{in_list(HEADS)}])[doc_id % 6 + 1] || chr(10) || 'Met Dr. Smith, e.g. at ' || coalesce(source, '') || '. Then J. Doe left.' || chr(10)
+         || '--- PAGE ' || (doc_id % 7 + 2) || ' ---' || chr(10) || ([{in_list(HEADS)}])[(doc_id + 1) % 6 + 1] || chr(10) || coalesce(text, '') AS text FROM documents)""",
+    "content": f"""lines AS (
+  SELECT doc_id, i, line FROM (SELECT doc_id, i, regexp_replace(l, '^{WS}+|{WS}+$', '', 'g') AS line FROM (SELECT doc_id, unnest(a) AS l, generate_subscripts(a, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM resume_texts))) WHERE line <> ''),
+classed AS (
+  SELECT *, CASE WHEN mark IS NULL AND length(line) < 40 THEN CASE {_head} END END AS head
+  FROM (SELECT *, CAST(nullif(regexp_extract(line, '(?i)^---{WS}*PAGE{WS}+([0-9]{{1,9}}){WS}*---$', 1), '') AS INT) AS mark, trim(lower(regexp_replace(line, '[^\\p{{L}}\\p{{M}}\\p{{N}}\\p{{Pc}}\\s&]', '', 'g'))) AS clean FROM lines)),
+content AS (
+  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n, section, page, line
+  FROM (SELECT *, coalesce(last_value(head IGNORE NULLS) OVER w, 'Summary') AS section, coalesce(last_value(mark IGNORE NULLS) OVER w, 1) AS page FROM classed WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+  WHERE head IS NULL AND mark IS NULL)""",
+    "sents": f"""pieces AS (
+  SELECT *, lower(regexp_extract(lag(piece) OVER (PARTITION BY doc_id, n ORDER BY k), '([^ \\t\\n\\x0B\\f\\r]+)$', 1)) AS word
+  FROM (SELECT doc_id, n, section, page, k, regexp_replace(p, '^{WS}+|{WS}+$', '', 'g') AS piece FROM (SELECT doc_id, n, section, page, unnest(a) AS p, generate_subscripts(a, 1) AS k
+        FROM (SELECT *, string_split(regexp_replace(line, '([.!?]){WS}+([A-Z0-9])', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS a FROM content))) WHERE piece <> ''),
+sents AS (
+  SELECT doc_id, n, section, page, s, string_agg(piece, ' ' ORDER BY k) AS sentence
+  FROM (SELECT *, sum(CASE WHEN word IN ({in_list(ABBREVIATIONS)}) OR regexp_matches(word, '^[a-z][.]$') THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, n ORDER BY k) AS s FROM pieces) GROUP BY ALL)""",
+    "chunked": """folded AS (
+  SELECT doc_id, section, list_reduce(list({'s': sentence, 'p': page} ORDER BY n, s), lambda a, x: CASE
+      WHEN a.n > 0 AND a.size >= 350 AND a.size + length(x.s) + 1 > 600 THEN
+        CASE WHEN length(a.last) + 1 + length(x.s) + 1 >= 600
+             THEN {'out': a.out || [{'t': trim(a.text), 'p': a.page}, {'t': trim(a.last || ' ' || x.s), 'p': a.last_page}], 'text': '', 'page': 0, 'last': '', 'last_page': 0, 'size': 0, 'n': 0}
+             ELSE {'out': a.out || [{'t': trim(a.text), 'p': a.page}], 'text': a.last || ' ' || x.s, 'page': a.last_page, 'last': x.s, 'last_page': x.p, 'size': length(a.last) + 1 + length(x.s) + 1, 'n': 2} END
+      WHEN a.size + length(x.s) + CASE WHEN a.n > 0 THEN 1 ELSE 0 END >= 600
+        THEN {'out': a.out || [{'t': trim(CASE WHEN a.n > 0 THEN a.text || ' ' || x.s ELSE x.s END), 'p': CASE WHEN a.n > 0 THEN a.page ELSE x.p END}], 'text': '', 'page': 0, 'last': '', 'last_page': 0, 'size': 0, 'n': 0}
+      ELSE {'out': a.out, 'text': CASE WHEN a.n > 0 THEN a.text || ' ' || x.s ELSE x.s END, 'page': CASE WHEN a.n > 0 THEN a.page ELSE x.p END, 'last': x.s, 'last_page': x.p, 'size': a.size + length(x.s) + CASE WHEN a.n > 0 THEN 1 ELSE 0 END, 'n': a.n + 1} END,
+    {'out': []::STRUCT(t VARCHAR, p INTEGER)[], 'text': '', 'page': 0, 'last': '', 'last_page': 0, 'size': 0, 'n': 0}) AS f
+  FROM sents GROUP BY ALL),
+chunked AS (
+  SELECT doc_id, section, i, c.t AS text, c.p AS page FROM (SELECT doc_id, section, unnest(whole) AS c, generate_subscripts(whole, 1) AS i
+    FROM (SELECT doc_id, section, CASE WHEN f.n > 0 THEN f.out || [{'t': trim(f.text), 'p': f.page}] ELSE f.out END AS whole FROM folded)))""",
+}
+TEXTS = ("resume_texts", "content", "sents", "chunked")
 SCORING = ("evidence", "requirements", "ranked_matches", "verdicts", "authentic", "scored")
 
 

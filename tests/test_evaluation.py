@@ -4,7 +4,7 @@ from dataclasses import replace
 
 from assayer.operators import scoring, search, traits
 from assayer.plans import evaluation
-from assayer.settings import DEFAULTS
+from assayer.settings import DEFAULTS, TAXONOMY
 from pyspark.sql import functions as F
 
 GOOD = "Ann Lee\nExperience\nBuilt python services with docker on AWS for six years, and python tooling for many teams across the whole company.\nProjects\nA docker based python deployment."
@@ -33,10 +33,27 @@ def test_documents_to_leaderboard(spark):
     answers = scoring.interview(reports, spark.createDataFrame([(101, 1, "What about Python?")], "analysis_id long, question_id int, question string")).collect()
     assert {(a.analysis_id, a.question_id) for a in answers} == {(101, 1), (102, 0), (103, 0)}
     assert scoring.rendered_evidence(evaluation.evidence(pairs, chunks, asked, s=s)).where("evidence <> ''").count() > 0
-    view = scoring.requirement_view(verdicts).where("analysis_id = 101").collect()
+    view = scoring.requirement_view(verdicts).where("analysis_id = 101").orderBy("place").collect()
     assert [r.importance for r in view] == sorted(r.importance for r in view)
 
 
+def test_related_needs_one_category_and_equivalent_does_not(spark):
+    """Vectors are set by hand: one axis per category, and one that azure and sql share across categories."""
+    axes = {c: i for i, c in enumerate(TAXONOMY)}
+    unit = lambda **w: [w.get("cloud", 0.0) if i == axes["Cloud & DevOps"] else w.get("db", 0.0) if i == axes["Databases"] else w.get(f"x{i - 7}", 0.0) if i >= 7 else 0.0 for i in range(12)]
+    table = {t: [1.0 if i == axes[c] else 0.0 for i in range(12)] for c, terms in TAXONOMY.items() for t in terms}
+    table |= {"kubernetes": unit(cloud=0.84, x0=0.5426), "docker": unit(cloud=0.84, x1=0.5426), "azure": unit(cloud=0.84, x2=0.5426), "sql": unit(db=0.6, cloud=0.55, x2=0.58), "mysql": unit(db=0.8, cloud=0.3, x2=0.52), "cobol": unit(x4=1.0)}
+    pairs = F.create_map(*[x for k, v in table.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    wanted = spark.createDataFrame([(1, "sql"), (1, "kubernetes"), (1, "cobol"), (2, "mysql")], "analysis_id long, requirement string")
+    skills = spark.createDataFrame([(1, "azure", False, "a", "Skills"), (1, "docker", True, "d", "Projects"), (2, "sql", True, "s", "Projects")], "analysis_id long, skill string, narrative boolean, chunk string, section string")
+    got = {r.requirement: (r.relation, r.related_skill) for r in evaluation.relations(wanted, skills, lambda t: pairs[t]).collect()}
+    assert got == {"sql": ("none", None), "kubernetes": ("related", "docker"), "cobol": ("none", None), "mysql": ("equivalent", "sql")}
+    asked = wanted.selectExpr("*", "'must' AS importance", "1D AS weight", "0 AS position")
+    none = spark.createDataFrame([], "analysis_id long, requirement string, chunk string, section string, score double, confidence int")
+    status = {r.requirement: (r.status, r.covered) for r in scoring.verdicts(asked, none, evaluation.relations(wanted, skills, lambda t: pairs[t])).collect()}
+    assert status == {"sql": ("Missing", False), "kubernetes": ("Missing", False), "cobol": ("Missing", False), "mysql": ("Matched", True)}
+
+
 def test_history_with_reports(spark):
     analyses = spark.createDataFrame([(1, 1, 1, None, 5, None, None, None, "Applied", None), (2, 7, 1, 60, None, None, None, None, None, None)], "id long, resume_id long, jd_id long, overall_score int, coverage_score int, experience_score int, project_score int, quality_score int, workflow_status string, created_at timestamp_ntz")
     reports = spark.createDataFrame([(1, 77, 8, 1, 2, 3)], "analysis_id long, overall_score int, coverage_score int, experience_score int, project_score int, quality_score int")

@@ -66,7 +66,7 @@ def test_leaderboard(spark):
 
 def test_priorities_overlay_and_interview(spark):
     results = spark.createDataFrame([(1, "Python"), (1, "Go")], "analysis_id long, requirement string")
-    known = spark.createDataFrame([("python", "must", 1.0, 0), ("PYTHON", "nice", 0.4, 1)], "requirement string, importance string, weight double, position int")
+    known = spark.createDataFrame([(1, "python", "must", 1.0, 0), (1, "PYTHON", "nice", 0.4, 1), (2, "go", "nice", 0.4, 9)], "analysis_id long, requirement string, importance string, weight double, position int")
     assert {r.requirement: (r.importance, r.weight) for r in scoring.with_priorities(results, known).collect()} == {"Python": ("nice", 0.4), "Go": ("must", 1.0)}
     fits = spark.createDataFrame([(1, "text", 3)], "analysis_id long, summary string, overall_score int")
     assert tuple(scoring.overlay(fits, spark.createDataFrame([(1, 9)], "analysis_id long, overall_score int")).first()) == (1, "text", 9)
@@ -135,3 +135,15 @@ def test_score_columns(spark):
     assert [r.h for r in got] == [None, "High", "Medium", "Low", "Low"]
     tone = spark.createDataFrame([("Highly Recommended",), ("Not Recommended - Reject",), ("Conditional",), ("x",)], "t string")
     assert [r.c for r in tone.select(S.recommendation_tone(F.col("t")).alias("c")).collect()] == ["success", "danger", "warning", "neutral"]
+
+
+def test_bm25_of_each_owner_is_a_corpus_of_its_own(spark):
+    texts = {1: ["Built ETL pipelines on Snowflake and Airflow.", "Delivered features on time.", "Deep experience with Kubernetes and Docker, kubernetes again."], 2: ["Kubernetes", "kubernetes and more words", None]}
+    docs = spark.createDataFrame([(o, i, t) for o, ts in texts.items() for i, t in enumerate(ts)], "owner int, doc_id int, text string")
+    asked = spark.createDataFrame([(1, "q", "Kubernetes docker"), (2, "q", "Kubernetes docker"), (2, "none", "golang")], "owner int, query_id string, text string")
+    got = {(r.owner, r.query_id, r.doc_id): r.score for r in retrieval.bm25(asked, docs, by=("owner",)).collect()}
+    for o, ts in texts.items():
+        alone = retrieval.bm25(asked.where(f"owner = {o}").drop("owner"), docs.where(f"owner = {o}").drop("owner"))
+        for r in alone.collect():
+            assert got.pop((o, r.query_id, r.doc_id)) == pytest.approx(r.score)
+    assert not got
