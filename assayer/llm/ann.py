@@ -184,8 +184,8 @@ def approximate(model: AdditiveQuantiser, queries: np.ndarray, codes: np.ndarray
     """Columns and values of each query's ``n`` best entries by table lookups."""
     columns, values = [], []
     norm, codes = norm.astype(np.float32), np.ascontiguousarray(codes.T)
-    for i in range(0, len(queries), 128):
-        tables = model.tables(queries[i : i + 128])
+    for i in range(0, len(queries), 32):  # so that a block's scores stay small
+        tables = model.tables(queries[i : i + 32])
         scores = np.zeros((tables.shape[1], len(norm)), dtype=np.float32)
         for table, code in zip(tables, codes):
             scores += np.take(table, code, axis=1)
@@ -250,7 +250,7 @@ def exact(pairs: DataFrame, vectors: DataFrame, queries: DataFrame, keep: int, b
     return held.groupBy("block", "chunk").cogroup(asked.groupBy("block", "chunk")).applyInArrow(run, "query long, node long, score double")
 
 
-def nearest(table: DataFrame, every: int = 20, k: int = 20, rerank: int = 192, block_rows: int = 16_384, query_rows: int = 32_768, id_col: str = "vec_id", vector_col: str = "embedding", **fitting) -> DataFrame:
+def nearest(table: DataFrame, every: int = 20, k: int = 20, rerank: int = 192, block_rows: int = 65_536, query_rows: int = 32_768, id_col: str = "vec_id", vector_col: str = "embedding", **fitting) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``k`` vectors of largest inner product for each
     row whose id is divisible by ``every``, the row itself left out; ties go to smaller ids.
 

@@ -32,10 +32,10 @@ from .words import last_bytes, split_words, text_runs
 from .workspace import materialise, ship
 
 END = b"\n"  # no word holds white space
-HIDDEN, CLASSES, PER_CLASS, BUCKETS = 24, 16, 96, 48
+HIDDEN, CLASSES, PER_CLASS, BUCKETS = 24, 16, 64, 48
 HEAD, OUTPUTS = CLASSES * PER_CLASS, CLASSES + BUCKETS
 INPUTS = HEAD + BUCKETS + 1  # the last one starts a document
-STEP = 32 << 20  # bytes of text laid out in lanes together; the more, the fuller the lanes beside a long document
+STEP = 16 << 20  # bytes of text laid out in lanes together; the more, the fuller the lanes beside a long document
 
 
 def bucket_of(word: bytes) -> int:
@@ -498,7 +498,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary, warm_rows: int = 256, warm_by
     return weights
 
 
-def _score_rows(docs: DataFrame, vocabulary: Vocabulary, weights: dict[str, np.ndarray], lanes: int = 256) -> DataFrame:
+def _score_rows(docs: DataFrame, vocabulary: Vocabulary, weights: dict[str, np.ndarray], lanes: int = 128) -> DataFrame:
     """Per row what needs no further count, and the words that do (``rest``)."""
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary, weights))
     kind = docs.schema["id"].dataType.simpleString()

@@ -17,6 +17,7 @@ from pathlib import Path
 from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 _own_dirs: dict[str, str] = {}
 _shipped: set[str] = set()
 
@@ -54,8 +55,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once per application."""
+    """Send this package to the executors, once per application.
+
+    Arrow batches hold whole texts here, several times over on their way; unless
+    the session names another size than Spark's default, they are kept at 16 MB.
+    """
     context: SparkContext = spark.sparkContext
+    if spark.conf.get(BATCH_BYTES, None) == "67108864b":
+        spark.conf.set(BATCH_BYTES, "16m")
     if context.applicationId in _shipped:
         return
     package = Path(__file__).resolve().parents[1]
