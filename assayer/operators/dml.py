@@ -43,8 +43,8 @@ def newest_notes(notes: DataFrame) -> DataFrame:
 
 
 def update_status(analyses: DataFrame, changes: DataFrame) -> DataFrame:
-    """``changes (id, workflow_status, seq)``: the last valid one of each id applies."""
-    valid = changes.where(F.col("workflow_status").isin(*WORKFLOW_STATUSES)).groupBy("id").agg(F.max_by("workflow_status", "seq").alias("new_status"))
+    """``changes (id, workflow_status, seq)``: the last valid one of each id applies, of equal places the later name."""
+    valid = changes.where(F.col("workflow_status").isin(*WORKFLOW_STATUSES)).groupBy("id").agg(F.max(F.struct("seq", "workflow_status"))["workflow_status"].alias("new_status"))
     return analyses.join(valid, "id", "left").withColumn("workflow_status", F.coalesce("new_status", "workflow_status")).drop("new_status")
 
 

@@ -343,14 +343,30 @@ def rrf_fusion(t: Tables) -> DataFrame:
     return retrieval.fuse(both).select("query_id", "item_id", "rank", F.round("fused", 9).alias("fused"))
 
 
-@query()
+HYBRID = f"""{CENTROIDS},
+cut AS (SELECT doc_id AS chunk_id, text, CASE WHEN label < 3 THEN 'Experience' WHEN label < 6 THEN 'Projects' ELSE 'Skills' END AS section, embedding FROM documents JOIN embeddings ON vec_id = doc_id % (SELECT count(*) FROM embeddings)),
+pool AS (SELECT * FROM (SELECT item_id AS query_id, chunk_id, list_dot_product(centroid, embedding::DOUBLE[]) AS raw, row_number() OVER (PARTITION BY item_id ORDER BY list_dot_product(centroid, embedding::DOUBLE[]) DESC, chunk_id) AS position
+  FROM cut, benchmark JOIN centroids ON category = item_id % 10) WHERE position <= 12),
+once AS (SELECT * FROM (SELECT p.*, c.text, c.section, {half_up('raw', 3)} AS cosine, row_number() OVER (PARTITION BY query_id, c.text ORDER BY position) AS copy FROM pool p JOIN cut c USING (chunk_id)) WHERE copy = 1 AND cosine >= 0.15),
+kept AS (SELECT o.*, coalesce(bm.score, 0) AS sparse, least(100, greatest(0, CAST(trunc(least(100::DOUBLE, greatest(0::DOUBLE, raw * 100::DOUBLE)) * 0.7::DOUBLE + (CASE section WHEN 'Experience' THEN 100 WHEN 'Projects' THEN 80 ELSE 30 END) * 0.15::DOUBLE
+  + (CASE WHEN length(trim(text)) > 150 THEN 100 WHEN length(trim(text)) > 70 THEN 70 WHEN length(trim(text)) > 30 THEN 30 ELSE 0 END) * 0.05::DOUBLE + 0 * 0.1::DOUBLE) AS BIGINT))) AS confidence
+  FROM once o LEFT JOIN bm ON bm.query_id = o.query_id AND bm.doc_id = o.chunk_id),
+placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY confidence DESC, position) - 1 AS dr, row_number() OVER (PARTITION BY query_id ORDER BY sparse DESC, position) - 1 AS sr FROM kept),
+fused AS (SELECT *, 0.6::DOUBLE / (60 + dr) + 0.4::DOUBLE / (60 + sr) AS fused FROM placed)
+"""
+
+
+@query(BM25 + ", " + HYBRID + "SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, position) AS rank, chunk_id AS item_id, section, cosine, confidence, round(sparse, 6) AS sparse, round(fused, 9) AS fused FROM fused) WHERE rank <= 3")
 def hybrid_retrieval(t: Tables) -> DataFrame:
-    """Whole chain over chunks that carry both a text and a vector; tested against brute force."""
-    docs, vectors = t.read("documents"), t.read("embeddings")
+    """The whole chain: every document is a chunk that carries a vector, every benchmark item a query."""
+    vectors = t.read("embeddings")
+    n = vectors.agg(F.count(F.lit(1)).alias("n")).scalar()
     section = F.when(F.col("label") < 3, "Experience").when(F.col("label") < 6, "Projects").otherwise("Skills")
-    chunks = docs.join(vectors, F.col("doc_id") == F.col("vec_id")).select(F.col("doc_id").alias("chunk_id"), "text", section.alias("section"), F.lit(0).alias("technical"), "embedding")
-    asked = _centroid_queries(t).join(t.read("benchmark").select(F.col("item_id").alias("query_id"), "text"), "query_id")
-    return retrieval.hybrid(asked, chunks, s=VECTORS)
+    chunks = t.read("documents").withColumn("vec_id", F.pmod("doc_id", n)).join(vectors, "vec_id").select(F.col("doc_id").alias("chunk_id"), "text", section.alias("section"), F.lit(0).alias("technical"), "embedding")
+    items = t.read("benchmark").withColumn("category", F.pmod("item_id", F.lit(10)))
+    asked = items.join(_centroid_queries(t).withColumnRenamed("query_id", "category"), "category").select(F.col("item_id").alias("query_id"), "text", "query")
+    found = retrieval.hybrid(asked, chunks, s=VECTORS)
+    return found.withColumns({"sparse": F.round("sparse", 6), "fused": F.round("fused", 9)})
 
 
 # --- text ------------------------------------------------------------------

@@ -158,10 +158,10 @@ def interview_answers(t: Tables) -> DataFrame:
 STATUS = "CASE l_returnflag WHEN 'A' THEN 'Technical' WHEN 'R' THEN 'Offer' ELSE 'No such status' END"
 
 
-@query(with_views("analyses") + f""", c AS (SELECT l_orderkey AS id, max_by({STATUS}, l_linenumber * 1000000 + l_partkey) AS new_status FROM lineitem WHERE {STATUS} IN ({in_list(WORKFLOW_STATUSES)}) GROUP BY 1)
+@query(with_views("analyses") + f""", c AS (SELECT l_orderkey AS id, max_by({STATUS}, (l_linenumber * 1000000 + l_partkey) * 256 + ascii(l_returnflag)) AS new_status FROM lineitem WHERE {STATUS} IN ({in_list(WORKFLOW_STATUSES)}) GROUP BY 1)
 SELECT a.id, coalesce(c.new_status, a.workflow_status) AS workflow_status FROM analyses a LEFT JOIN c USING (id)""")
 def status_update(t: Tables) -> DataFrame:
-    changes = t.read("lineitem").select(F.col("l_orderkey").alias("id"), F.expr(STATUS).alias("workflow_status"), F.expr("l_linenumber * 1000000 + l_partkey").alias("seq"))
+    changes = t.read("lineitem").select(F.col("l_orderkey").alias("id"), F.expr(STATUS).alias("workflow_status"), F.expr("(l_linenumber * 1000000 + l_partkey) * 256 + ascii(l_returnflag)").alias("seq"))
     return dml.update_status(t.analyses, changes).select("id", "workflow_status")
 
 
