@@ -196,8 +196,10 @@ def encoder(path: str) -> PairIndexBpe:
 def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, ids string, decoded string)`` per row: decimal ids joined by one space, and the decoded text.
 
-    Null and empty texts have no ids. Repeated rows and null ids keep a row each.
-    The vocabulary has no decoder, so decoding joins its tokens by one space.
+    Null and empty texts have no ids. Repeated rows and null ids keep a row each, very
+    long texts are encoded whole, and an empty table gives no rows. Other columns are
+    ignored, whatever their names. The pair index covers a step of 8 MB of a task's
+    texts at a time. The vocabulary has no decoder, so decoding joins its tokens by one space.
     """
     return _map(docs, tokenizer_path, id_col, text_col, "ids string, decoded string", lambda ids, text: (ids, text), [pa.string(), pa.string()])
 

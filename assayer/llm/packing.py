@@ -92,7 +92,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capaci
     A document is its text's ids (null: none) and then ``end_id``; only those of
     more than ``capacity`` tokens are cut. A bin is emitted once at most ``slack``
     places are free; others are packed again with bins of other tasks. Repeated
-    rows and null ids are packed like others; no rows give none.
+    rows and null ids are packed like others; no rows give none. Very long texts are
+    encoded whole. Other columns are ignored, whatever their names.
     """
     ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()

@@ -140,7 +140,8 @@ def near_duplicates(docs: DataFrame, max_bits: int = 4, width: int = 4, blocks:
     differing bits, the document's own included. Null, empty and blank texts
     share fingerprint 0 and are linked like any other. Rows with a null id keep
     a row and get the smallest non-null id of their component, or null. Repeated
-    rows each keep a row. Other columns are ignored; an empty table gives no rows.
+    rows each keep a row. Very long texts are read whole. Other columns are ignored,
+    whatever their names; an empty table gives no rows.
     """
     rows = materialise(fingerprints(docs, width, id_col, text_col), "fingerprints")
     nodes = materialise(rows.groupBy("fp").agg(F.min("id").alias("rep")), "nodes")

@@ -60,5 +60,6 @@ def histogram(lengths: DataFrame) -> DataFrame:
 
 
 def length_histogram(docs: DataFrame, tokenizer_path: str, text_col: str = "text") -> DataFrame:
-    """``histogram`` of the rows' encoded lengths. Repeated rows each count; other columns are ignored."""
+    """``histogram`` of the rows' encoded lengths. Repeated rows each count; very long texts are encoded whole; other
+    columns are ignored, whatever their names."""
     return histogram(token_lengths(docs, tokenizer_path, text_col))

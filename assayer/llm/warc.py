@@ -116,8 +116,8 @@ def frame_end(data: memoryview, at: int) -> int:
             return at
 
 
-def read_records(data: bytes, strict: bool = True, max_record: int = 1 << 30) -> Iterator[dict]:
-    """Records of an archive's bytes. Unless ``strict``, a bad record comes as a row with ``error``."""
+def read_records(data: bytes, strict: bool = True) -> Iterator[dict]:
+    """Records of an archive's bytes, of any length. Unless ``strict``, a bad record comes as a row with ``error``."""
     view, at = memoryview(data), 0
     dictionary = None
     if len(view) >= 8 and (start := struct.unpack_from("<II", view))[0] == DICTIONARY_MAGIC:
@@ -129,10 +129,8 @@ def read_records(data: bytes, strict: bool = True, max_record: int = 1 << 30) ->
     while at < len(view):
         end = frame_end(view, at)
         try:
-            size = zstandard.frame_content_size(view[at:end])
-            if size > max_record:
-                raise ArchiveError("a record is too long")
-            yield parse_record(reader.decompress(view[at:end], max_output_size=max_record if size < 0 else 0))
+            known = zstandard.frame_content_size(view[at:end]) >= 0
+            yield parse_record(reader.decompress(view[at:end]) if known else reader.decompressobj().decompress(view[at:end]))
         except (ArchiveError, zstandard.ZstdError) as e:
             if strict:
                 raise ArchiveError(f"record at byte {at}: {e}") from e
@@ -220,6 +218,14 @@ def read_archives(files: DataFrame, kind: str = "bigint", strict: bool = True) -
     return files.select("path", "content").mapInArrow(run, schema)
 
 
+def broken_revisits(records: DataFrame) -> DataFrame:
+    """Revisit records whose response is missing or has another digest or length; only headers shuffle."""
+    heads = records.select("page_id", "record_type", "refers_to", "payload_digest", "payload_bytes")
+    named = heads.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("digest"), F.col("payload_bytes").alias("bytes"))
+    joined = heads.where("record_type = 'revisit'").join(named, "refers_to", "left")
+    return joined.where("NOT (digest <=> payload_digest AND bytes <=> payload_bytes)").select("page_id", "refers_to")
+
+
 def archive_files(spark: SparkSession, folder: str, manifest: DataFrame | None = None) -> DataFrame:
     """The archives in ``folder`` as ``binaryFile`` rows, those of the manifest if one is given."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder)
@@ -235,7 +241,9 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     Of equal payloads of ``least`` bytes or more the smallest id is the response
     and others revisit it; rows that repeat the smallest id are responses too,
     and so are equal payloads that have no id at all. Null html is an empty
-    payload, a null url an empty one. No rows give no archives and no records.
+    payload, a null url an empty one. Very long payloads are one record each.
+    Other columns are ignored, whatever their names. No rows give no archives and no
+    records.
     """
     spark = pages.sparkSession
     kind = pages.schema[id_col].dataType.simpleString()

@@ -3,6 +3,7 @@
 import hashlib
 
 import pytest
+import zstandard
 from assayer.llm import bpe, warc
 from assayer.llm.queries import tokenizer_path
 
@@ -60,6 +61,21 @@ def test_round_trip(spark, pages):
         assert bytes(g.payload or b"") == (body if g.record_type == "response" else b"")
 
 
+def test_revisits_agree_with_their_responses(spark, pages):
+    got = warc.round_trip(pages).cache()
+    assert got.where("record_type = 'revisit'").count() > 0 and warc.broken_revisits(got).count() == 0
+    first = got.where("refers_to IS NOT NULL").first().refers_to
+    lost = got.where(f"NOT (page_id <=> {first})")
+    assert {r.refers_to for r in warc.broken_revisits(lost).collect()} == {first}
+
+
+def test_records_of_unknown_length_are_read():
+    payload = b"z" * 5_000_000
+    body = warc.record_bytes(1, "u", "response", None, len(payload), hashlib.sha256(payload).hexdigest(), payload)
+    frame = zstandard.ZstdCompressor(write_content_size=False).compress(body)
+    assert [r["payload"] for r in warc.read_records(frame)] == [payload]
+
+
 def test_empty_table(spark, pages):
     assert warc.round_trip(pages.where("1=0")).count() == 0
 
