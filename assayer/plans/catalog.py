@@ -15,7 +15,7 @@ from ..operators import analytics, dml, requirements, retrieval, scoring, search
 from ..operators import profile as profile_
 from ..settings import DEFAULTS
 from ..sources import files
-from ..sources.views import SCORING, TEXTS, Tables, in_list, with_views
+from ..sources.views import SCORING, TEXTS, WS, Tables, in_list, with_views
 from . import report_catalog  # noqa: F401  (registers its queries)
 from .registry import REGISTRY, query
 
@@ -396,19 +396,78 @@ def term_match(t: Tables) -> DataFrame:
     return t.read("documents").select("doc_id", *(requirements.contains_term(F.col("text"), F.lit(w)).alias(f"has_{i}") for i, w in enumerate(WATCHED)))
 
 
-@query()
+OUTSIDE = r"[^\p{L}\p{M}\p{N}_]"
+
+
+def _quote(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _terms_sql(text: str) -> str:
+    """The watched terms that a text holds, in their order."""
+    held = ", ".join(f"CASE WHEN regexp_matches({text}, '(?i)(^|{OUTSIDE}){w.replace('+', '[+]')}($|{OUTSIDE})') THEN '{w}' END" for w in WATCHED)
+    return f"list_filter([{held}], lambda w: w IS NOT NULL)"
+
+
+@query(rf"""SELECT item_id, CAST(least(20 * len(list_distinct(list_concat({_terms_sql('lower(text)')},
+  list_filter(list_transform(regexp_extract_all(text, {_quote(requirements.TECHNICAL)}), lambda t: regexp_replace(lower(t), '^[+#/.]+|[+#/.]+$', '', 'g')), lambda t: length(t) >= 2)))), 100) AS INT) AS specificity FROM benchmark""")
 def tech_specificity(t: Tables) -> DataFrame:
     return t.read("benchmark").select("item_id", requirements.technical_specificity(F.col("text"), WATCHED).alias("specificity"))
 
 
-@query()
+def _job_texts(t: Tables) -> DataFrame:
+    """Benchmark items with lines of a job description around them."""
+    i, text = F.col("item_id"), F.coalesce("text", F.lit(""))
+    head = F.when(i % 3 == 0, "Nice to have:").when(i % 3 == 1, "Requirements:").otherwise("About us")
+    cue = F.when(i % 2 == 0, "Strong experience with Python, Spark and Kafka is required").otherwise("Docker and AWS knowledge would be a plus")
+    parts = [text, F.lit("\n- Knowledge of SQL or Apache Airflow\n"), head, F.lit("\n* 3+ years with Google Cloud Platform; "), cue, F.lit("\nMust have:\nToken handling, the Token\n"), cue]
+    return t.read("benchmark").select(i.alias("jd_id"), F.concat(*parts).alias("text"))
+
+
+JOBS = """jobs AS (SELECT jd_id, coalesce(t, '') || chr(10) || '- Knowledge of SQL or Apache Airflow' || chr(10) || head || chr(10) || '* 3+ years with Google Cloud Platform; ' || cue || chr(10) || 'Must have:' || chr(10) || 'Token handling, the Token' || chr(10) || cue AS text
+  FROM (SELECT item_id AS jd_id, text AS t, CASE item_id % 3 WHEN 0 THEN 'Nice to have:' WHEN 1 THEN 'Requirements:' ELSE 'About us' END AS head,
+        CASE item_id % 2 WHEN 0 THEN 'Strong experience with Python, Spark and Kafka is required' ELSE 'Docker and AWS knowledge would be a plus' END AS cue FROM benchmark))"""
+_R = requirements
+_bare, _stop = "regexp_replace(lower(w), '[^a-z0-9]', '', 'g')", f"[{in_list(_R.STOP)}]"
+REQUIREMENTS = rf"""WITH {JOBS}, raw AS (
+  SELECT jd_id, i, regexp_replace(l, '^{WS}+|{WS}+$', '', 'g') AS line FROM (SELECT jd_id, unnest(a) AS l, generate_subscripts(a, 1) AS i FROM (SELECT jd_id, string_split(text, chr(10)) AS a FROM jobs))),
+lines AS (SELECT *, regexp_matches(line, {_quote(_R.LINE_HEADER)}) AS head FROM raw WHERE line <> ''),
+asking AS (
+  SELECT jd_id, i, line FROM (SELECT *, min(i) FILTER (head) OVER (PARTITION BY jd_id) AS first FROM lines)
+  WHERE NOT head AND (coalesce(i > first, false) OR regexp_matches(line, {_quote(_R.BULLET)}) OR regexp_matches(line, {_quote('(?i)' + _R.CUE)}))),
+joined AS (SELECT jd_id, string_agg(line, chr(10) ORDER BY i) AS j, flatten(list(regexp_extract_all(line, {_quote(_R.CAPITALISED)}, 1) ORDER BY i)) AS capital FROM asking GROUP BY 1),
+phrases AS (
+  SELECT jd_id, list_concat(flatten(list_transform(regexp_extract_all(j, {_quote(_R.CUE_AFTER)}, 1), lambda x: string_split_regex(x, {_quote(_R.SPLIT)}))), regexp_extract_all(j, {_quote(_R.CUE_BEFORE)}, 1), capital) AS p FROM joined),
+words AS (
+  SELECT jd_id, pos, list_filter(string_split_regex(trim(phrase), '\s+'), lambda w: w <> '') AS w FROM (SELECT jd_id, unnest(p) AS phrase, generate_subscripts(p, 1) AS pos FROM phrases)),
+marked AS (SELECT *, list_transform(w, lambda w: NOT list_contains({_stop}, {_bare})) AS plain FROM words),
+bounds AS (SELECT *, list_position(plain, true) AS a, len(plain) + 1 - list_position(list_reverse(plain), true) AS z FROM marked),
+cleaned AS (SELECT jd_id, pos, regexp_replace(array_to_string(w[a:least(z, a + {_R.MOST_WORDS} - 1)], ' '), '^[ \-,/&]+|[ \-,/&]+$', '', 'g') AS phrase FROM bounds WHERE a > 0),
+meant AS (SELECT jd_id, pos, phrase FROM cleaned WHERE len(list_filter(string_split_regex(phrase, '\s+'), lambda w: NOT list_contains({_stop}, {_bare}) AND length({_bare}) >= 2)) > 0),
+named AS (
+  SELECT jd_id, 0 AS k, pos, term AS display FROM (SELECT jd_id, unnest(t) AS term, generate_subscripts(t, 1) AS pos FROM (SELECT jd_id, {_terms_sql('text')} AS t FROM jobs))
+  UNION ALL SELECT jd_id, 1, pos, phrase FROM meant WHERE phrase <> ''
+  UNION ALL SELECT jd_id, 2, 0, list_max(list_transform(regexp_extract_all(text, {_quote(_R.YEARS)}, 1), lambda x: x::BIGINT)) || '+ years experience' FROM jobs WHERE len(regexp_extract_all(text, {_quote(_R.YEARS)}, 1)) > 0),
+once AS (SELECT * FROM (SELECT *, lower(display) AS key, row_number() OVER (PARTITION BY jd_id, lower(display) ORDER BY k, pos) AS r FROM named) WHERE r = 1),
+few AS (SELECT * FROM (SELECT jd_id, key, display, row_number() OVER (PARTITION BY jd_id ORDER BY k, pos) AS n FROM once) WHERE n <= {_R.MOST_PHRASES}),
+parts AS (SELECT DISTINCT jd_id, unnest(string_split(display, ' ')) AS key FROM few WHERE contains(display, ' ')),
+requirements AS (SELECT jd_id, display AS requirement FROM few f WHERE contains(display, ' ') OR key IN ({in_list(WATCHED)}) OR NOT EXISTS (SELECT 1 FROM parts p WHERE p.jd_id = f.jd_id AND p.key = f.key))
+"""
+
+
+@query(REQUIREMENTS + "SELECT jd_id, requirement FROM requirements")
 def requirement_extract(t: Tables) -> DataFrame:
-    return requirements.extract_requirements(t.read("benchmark"), "item_id", "text", WATCHED)
+    return requirements.extract_requirements(_job_texts(t), "jd_id", "text", WATCHED)
 
 
-@query()
+@query(REQUIREMENTS + rf""", placed AS (
+  SELECT jd_id, line, coalesce(cue, last_value(context IGNORE NULLS) OVER (PARTITION BY jd_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'must') AS priority
+  FROM (SELECT jd_id, i, line, CASE WHEN regexp_matches(line, {_quote(_R.NICE_HEADER)}) THEN 'nice' WHEN regexp_matches(line, {_quote(_R.MUST_HEADER)}) THEN 'must' END AS context,
+               CASE WHEN regexp_matches(line, {_quote(_R.NICE_CUE)}) THEN 'nice' WHEN regexp_matches(line, {_quote(_R.MUST_CUE)}) THEN 'must' END AS cue FROM lines)),
+seen AS (SELECT r.jd_id, r.requirement, bool_and(priority = 'nice') AS nice FROM requirements r JOIN placed p ON p.jd_id = r.jd_id AND regexp_matches(p.line, '(?i)(^|{OUTSIDE})' || regexp_escape(r.requirement) || '($|{OUTSIDE})') GROUP BY ALL)
+SELECT r.jd_id, r.requirement, CASE WHEN nice THEN 'nice' ELSE 'must' END AS importance, CASE WHEN nice THEN 0.4::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM requirements r LEFT JOIN seen s ON s.jd_id = r.jd_id AND s.requirement = r.requirement""")
 def priorities(t: Tables) -> DataFrame:
-    jobs = t.read("benchmark").select(F.col("item_id").alias("jd_id"), "text")
+    jobs = _job_texts(t)
     return requirements.priorities(requirements.extract_requirements(jobs, "jd_id", "text", WATCHED), jobs)
 
 
