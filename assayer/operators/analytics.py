@@ -118,7 +118,7 @@ def star(analyses: DataFrame, resumes: DataFrame, jobs: DataFrame) -> DataFrame:
 
 
 def recent_activity(analyses: DataFrame, resumes: DataFrame, jobs: DataFrame, limit: int = DEFAULTS.recent_limit, s: Settings = DEFAULTS) -> DataFrame:
-    """Newest first. The limit is taken before the joins widen the rows where keys are declared to exist."""
+    """Newest first, of the analyses whose files exist: the joins come before the limit."""
     rows = star(completed(analyses), resumes, jobs).orderBy(F.desc("created_at"), F.desc("id")).limit(limit)
     return rows.select("id", "resume_filename", "jd_filename", "overall_score", recommendation(F.col("overall_score"), s).alias("recommendation"), or_default(F.col("workflow_status"), "Applied").alias("workflow_status"), "created_at")
 
