@@ -16,7 +16,7 @@ from ..operators import profile as profile_
 from ..settings import DEFAULTS
 from ..sources import files
 from ..sources.views import SCORING, TEXTS, WS, Tables, in_list, with_views
-from . import report_catalog  # noqa: F401  (registers its queries)
+from . import report_catalog, store_catalog  # noqa: F401  (register their queries)
 from .registry import REGISTRY, query
 
 #: The default thresholds are calibrated for one text encoder; these suit the tables' own vectors.

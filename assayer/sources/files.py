@@ -10,13 +10,17 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from functools import reduce
 from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from ..functions.json import object_text
 from ..functions.scores import fingerprint
+from .buckets import BUCKET, BucketTable
 
 SUFFIXES = {".pdf": ("application/pdf",), ".docx": ("application/vnd.openxmlformats-officedocument.wordprocessingml.document",)}
 
@@ -91,24 +95,53 @@ def read_uploads(spark: SparkSession, folder: str) -> DataFrame:
     return parsed(spark.read.format("binaryFile").load(folder))
 
 
-def read_reports(spark: SparkSession, folder: str) -> DataFrame:
+def scan_reports(spark: SparkSession, folder: str, multi_line: bool = False, glob: str = "*.json") -> DataFrame:
+    """Stored reports with ``state``: ok, malformed (a required field is absent) or corrupt (no JSON of this shape).
+
+    One report per line, or per file with ``multi_line``. A corrupt report keeps the id that its text names, if any.
+    """
+    raw = spark.read.format("json").schema(f"{REPORT}, _corrupt string").option("multiLine", multi_line).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("pathGlobFilter", glob).load(folder)
+    corrupt = F.col("_corrupt").isNotNull()
+    named = F.nullif(F.regexp_extract("_corrupt", r'"analysis_id"\s*:\s*(\d{1,18})', 1), F.lit("")).cast("long")
+    state = F.when(corrupt, "corrupt").when(_complete(F.col), "ok").otherwise("malformed")
+    return raw.withColumns({"state": state, "analysis_id": F.when(corrupt, named).otherwise(F.col("analysis_id"))}).drop("_corrupt")
+
+
+def read_reports(spark: SparkSession, folder: str, multi_line: bool = True) -> DataFrame:
     """Stored reports; corrupt files are skipped."""
-    raw = spark.read.format("json").schema(f"{REPORT}, _corrupt string").option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("pathGlobFilter", "*.json").load(folder)
-    return raw.where("_corrupt IS NULL").drop("_corrupt")
+    return scan_reports(spark, folder, multi_line).where("state <> 'corrupt'").drop("state")
+
+
+def report_states(expected: DataFrame, scanned: DataFrame) -> DataFrame:
+    """``expected (analysis_id)`` with its report's ``state``, missing where none is stored, and its fields if it is ok.
+
+    Of several reports of an id a good one counts before a malformed and that before a corrupt one.
+    """
+    order = F.when(F.col("state") == "ok", 0).when(F.col("state") == "malformed", 1).otherwise(2)
+    best = scanned.groupBy("analysis_id").agg(F.min_by(F.struct("state", "overall_score", "coverage_score", "summary"), F.struct(order, "overall_score", "summary")).alias("report"))
+    field = lambda n: F.when(F.col("report.state") == "ok", F.col(f"report.{n}")).alias(n)
+    return expected.join(best, "analysis_id", "left").select("analysis_id", F.coalesce("report.state", F.lit("missing")).alias("state"), *map(field, ("overall_score", "coverage_score", "summary")))
+
+
+def _complete(field) -> Column:
+    return reduce(lambda a, b: a & b, (field(n).isNotNull() for n in REQUIRED))
 
 
 def parse_reports(rows: DataFrame, json: str = "body") -> DataFrame:
     """``rows`` with ``report`` and ``state``: ok, missing, or malformed (no JSON, or a required field is absent)."""
     out = rows.withColumn("report", F.from_json(json, REPORT))
-    complete = F.col("report").isNotNull()
-    for name in REQUIRED:
-        complete = complete & F.col(f"report.{name}").isNotNull()
+    complete = F.col("report").isNotNull() & _complete(lambda n: F.col(f"report.{n}"))
     return out.withColumn("state", F.when(F.col(json).isNull(), "missing").when(complete, "ok").otherwise("malformed"))
 
 
-def write_reports(reports: DataFrame, folder: str) -> None:
-    """One partition per analysis; a second write of an id replaces its first."""
-    reports.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("analysis_id").json(folder)
+def report_table(spark: SparkSession, folder: str, schema=REPORT, buckets: int = 64) -> BucketTable:
+    """Reports as lines of JSON, in buckets by analysis."""
+    return BucketTable(spark, folder, StructType.fromDDL(schema) if isinstance(schema, str) else schema, "analysis_id", buckets, "json")
+
+
+def write_reports(reports: DataFrame, folder: str, buckets: int = 64) -> None:
+    """A second report of an analysis replaces its first; the folder has ``buckets`` subfolders at most."""
+    report_table(reports.sparkSession, folder, reports.schema, buckets).replace(reports)
 
 
 def export_json(reports: DataFrame) -> DataFrame:
@@ -118,18 +151,27 @@ def export_json(reports: DataFrame) -> DataFrame:
 
 
 def json_in_text(text: Column) -> Column:
-    """The JSON object in a model's answer: without code fences, from the first brace to the last."""
-    return F.nullif(F.regexp_extract(F.regexp_replace(text, "```(?:json)?", ""), r"(?s)\{.*\}", 0), F.lit(""))
+    """The JSON object in a model's answer, null if there is none; ``functions.json`` says what is tolerated."""
+    return object_text(text)
+
+
+def index_table(spark: SparkSession, folder: str, schema: StructType, buckets: int = 64) -> BucketTable:
+    """Vectors and chunks in buckets by resume, with the fingerprint of the source they were made from."""
+    return BucketTable(spark, folder, schema, "resume_id", buckets)
 
 
-def write_index(chunks: DataFrame, folder: str) -> None:
-    """Vectors and chunks by resume, with the fingerprint of the source they were made from."""
-    chunks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("resume_id").parquet(folder)
+def write_index(chunks: DataFrame, folder: str, buckets: int = 64) -> None:
+    """The chunks of each resume in ``chunks`` replace those stored before."""
+    index_table(chunks.sparkSession, folder, chunks.schema, buckets).replace(chunks)
 
 
-def read_index(spark: SparkSession, folder: str, resume_id: int | None = None) -> DataFrame:
+def read_index(spark: SparkSession, folder: str, resume_id: int | None = None, buckets: int = 64) -> DataFrame:
+    """All chunks, or those of one resume, for which only its bucket is read."""
     rows = spark.read.parquet(folder)
-    return rows if resume_id is None else rows.where(F.col("resume_id") == resume_id)
+    if resume_id is None:
+        return rows.drop(BUCKET)
+    own = BucketTable(spark, folder, StructType(), "resume_id", buckets).bucket_of(F.lit(resume_id).cast("long"))
+    return rows.where((F.col(BUCKET) == own) & (F.col("resume_id") == resume_id)).drop(BUCKET)
 
 
 def write_ranking_csv(ranking: DataFrame, folder: str) -> None:
