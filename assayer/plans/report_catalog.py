@@ -244,6 +244,6 @@ def identity(t: Tables) -> DataFrame:
 def trait_model(t: Tables) -> DataFrame:
     """TF-IDF and the five regressions fitted to four fifths of the documents, on all of them."""
     shares = [F.expr(f"(n_chars % {k}) / {k}.0D").alias(n) for n, k in zip(traits.TRAITS, (7, 11, 13, 17, 19))]
-    rows = t.read("documents").where("text IS NOT NULL").select("doc_id", F.col("text").alias("Resume_Text"), *shares)
+    rows = t.read("documents").select("doc_id", F.col("text").alias("Resume_Text"), *shares)
     learn, _ = traits.split(rows, "doc_id")
     return traits.train(learn).transform(rows).select("doc_id", *(f"{n.lower()}_score" for n in traits.TRAITS))

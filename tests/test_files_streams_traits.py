@@ -88,3 +88,39 @@ def test_traits(spark, tmp_path):
     assert all((r.openness_score > 7.5) == (r.Openness > 0.5) and 0 <= r.openness_score <= 10 for r in got)
     clean = spark.createDataFrame([("A  B1, c!",)], "t string").select(traits.normalise_text(F.col("t")).alias("x")).first().x
     assert clean == "a b c"
+
+
+def test_trait_model_equals_a_plain_ridge(spark):
+    """200 documents, every term, smooth idf, unit rows, intercepts apart: numpy on the whole matrix."""
+    import math
+    import re
+    from collections import Counter
+
+    import numpy as np
+    from pyspark.ml.feature import StopWordsRemover
+
+    docs = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").limit(198).collect()] + ["", "the and of"]
+    rnd = np.random.default_rng(5)
+    y = rnd.random((200, 5))
+    rows = spark.createDataFrame([(i, t if t else None, *map(float, v)) for i, (t, v) in enumerate(zip(docs, y))], "i int, Resume_Text string, " + ", ".join(f"{t} double" for t in traits.TRAITS)).repartition(7)
+    stop = set(StopWordsRemover.loadDefaultStopWords("english"))
+    bags = [Counter(w for w in re.findall(r"\b\w\w+\b", t.lower()) if w not in stop) for t in docs]
+    names = sorted({w for b in bags for w in b})
+    df = Counter(w for b in bags for w in b)
+    idf = {w: math.log(201 / (1 + df[w])) + 1 for w in names}
+    place = {w: k for k, w in enumerate(names)}
+    x = np.zeros((200, len(names)))
+    for i, b in enumerate(bags):
+        for w, n in b.items():
+            x[i, place[w]] = n * idf[w]
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    xc, yc = x - x.mean(axis=0), y - y.mean(axis=0)
+    w = xc.T @ np.linalg.solve(xc @ xc.T + 200 * 0.01 * np.eye(200), yc)
+    model = traits.train(rows)
+    got = {r.term: (r.idf, r.weights) for r in model.coefficients.collect()}
+    assert set(got) == set(names) and max(abs(got[v][0] - idf[v]) for v in names) < 1e-12
+    assert np.abs(np.array([got[v][1] for v in names]) - w).max() < 1e-6
+    assert np.abs(np.array(list(model.intercepts.values())) - (y.mean(axis=0) - x.mean(axis=0) @ w)).max() < 1e-6
+    scores = {r.i: r.openness_score for r in model.transform(rows).collect()}
+    plain = np.clip((x @ w + y.mean(axis=0) - x.mean(axis=0) @ w + 1) * 5, 0, 10)[:, 2]
+    assert max(abs(scores[i] - plain[i]) for i in range(200)) < 0.0051 and len(scores) == 200
