@@ -20,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.passes import total
 from .workspace import materialise, ship
 
 LIMIT = (1 << 62) - 1
-CHUNK = 1 << 17
 EPS = float(np.finfo(np.float64).eps)
 
 
@@ -65,41 +65,12 @@ def sum_of_squares(d: np.ndarray) -> list[int]:
 
 
 def summed(rows: DataFrame, width: int, part: Callable[[np.ndarray], np.ndarray], shape: tuple[int, ...], kind: str) -> np.ndarray:
-    """The sum of ``part(x)`` over all blocks of rows ``(x)``.
+    """The sum of ``part(x)`` over all blocks of rows ``(x)``."""
 
-    Tasks add up their own blocks; their sums are cut into pieces, which meet by
-    piece and one of 16 numbers before the driver adds what is left.
-    """
-
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        total, any_rows = np.zeros(shape, dtype=kind), False
-        for batch in batches:
-            for i in range(0, batch.num_rows, 4096):
-                total += part(matrix_of(batch.column(0).slice(i, 4096), width))
-                any_rows = True
-        if any_rows:
-            raw = total.tobytes()
-            pieces = [raw[i : i + 8 * CHUNK] for i in range(0, len(raw), 8 * CHUNK)]
-            salt = TaskContext.get().partitionId() % 16
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(pieces)), pa.int32()), pa.array([salt] * len(pieces), pa.int32()), pa.array(pieces, pa.binary())], names=["piece", "salt", "data"])
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for piece, data in zip(batch.column(0).to_pylist(), batch.column(2)):
-                values = np.frombuffer(data.as_py(), dtype=kind)
-                held[piece] = held[piece] + values if piece in held else values
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([v.tobytes() for v in held.values()], pa.binary())], names=["piece", "data"])
+    def add(batch: pa.RecordBatch, held: np.ndarray) -> None:
+        held += part(matrix_of(batch.column(0), width))
 
-    kept = rows.mapInArrow(local, "piece int, salt int, data binary").repartition("piece", "salt").mapInArrow(merge, "piece int, data binary")
-    total = np.zeros(int(np.prod(shape)), dtype=kind)
-    for r in kept.collect():
-        values = np.frombuffer(r["data"], dtype=kind)
-        total[r["piece"] * CHUNK : r["piece"] * CHUNK + len(values)] += values
-    return total.reshape(shape)
+    return total(rows, add, shape, kind)
 
 
 @dataclass
@@ -112,15 +83,17 @@ class Model:
     error: float
 
 
-def subspace(apply: Callable[[np.ndarray], np.ndarray], width: int, k: int, block: int, degree: int = 8, most_passes: int = 600) -> tuple[np.ndarray, np.ndarray]:
+def subspace(apply: Callable[[np.ndarray], np.ndarray], width: int, k: int, block: int, trace: float, degree: int = 4, most_passes: int = 600) -> tuple[np.ndarray, np.ndarray]:
     """The ``k`` largest eigenvalues, falling, and their vectors (columns) of the positive matrix behind ``apply``.
 
-    Certified when each residual is at most 64 roundings of the largest eigenvalue, or,
+    What the block leaves of ``trace`` tells where the other eigenvalues lie on average; the
+    polynomial damps from as far below that as the smallest Ritz value lies above, twice. Where
+    a round on that guess gains little, the next ones damp from 0. Certified when each residual is at most 64 roundings of the largest eigenvalue, or,
     below 1e-11 of it, no longer falls. Where 40 passes haven't done it, the block doubles;
     as wide as the vectors it needs one pass. Raises when ``most_passes`` don't suffice.
     """
     rnd = np.random.default_rng(11)
-    q, passes, before, grown = np.linalg.qr(rnd.standard_normal((width, min(block, width))))[0], 0, np.inf, 0
+    q, passes, before, grown, guess = np.linalg.qr(rnd.standard_normal((width, min(block, width))))[0], 0, np.inf, 0, True
     while True:
         y = apply(q)
         passes += 1
@@ -134,13 +107,16 @@ def subspace(apply: Callable[[np.ndarray], np.ndarray], width: int, k: int, bloc
             return values[:k], x[:, :k]
         if passes >= most_passes:
             raise ArithmeticError(f"residuals of {worst:g} after {passes} passes; the largest eigenvalue is {top:g}")
-        before = worst
+        guess, before = guess and worst < before / 4, worst
         if passes - grown >= 40:
             grown, more = passes, min(width, 2 * q.shape[1]) - q.shape[1]
             fresh = rnd.standard_normal((width, more))
             q, before = np.linalg.qr(np.hstack([x, fresh - x @ (x.T @ fresh)]))[0], np.inf
             continue
-        middle = half = max(float(values[-1]), top * EPS) / 2  # damp [0, the smallest Ritz value]
+        high = max(float(values[-1]), top * EPS)
+        mean = (trace - float(values.sum())) / (width - q.shape[1])
+        low = max(0.0, min(3 * mean - 2 * high, 0.95 * high)) if guess else 0.0
+        middle, half = (high + low) / 2, (high - low) / 2
         old, new = x, (ax - middle * x) / half
         for _ in range(degree - 1):
             scale = np.maximum(np.linalg.norm(new, axis=0), np.finfo(float).tiny)
@@ -170,7 +146,7 @@ def fit(x: DataFrame, width: int, components: int = 16, block: int = 48) -> Mode
 
         return summed(x, width, part, q.shape, "float64") / n
 
-    values, vectors = subspace(apply, width, min(components, width), block)
+    values, vectors = subspace(apply, width, min(components, width), block, trace)
     real = values > 1e-13 * width * values[0]
     values, vectors = values[real], vectors[:, real]
     scaled = vectors / np.sqrt(values)

@@ -40,7 +40,7 @@ def test_flat_spectra_and_ties():
     for values in ([1.0] * 60, [5.0] * 20 + [1.0] * 40, np.linspace(1.02, 1, 60), 0.5 ** np.arange(60.0), [1.0, 1.0, *[1e-9] * 58]):
         u = np.linalg.qr(np.random.default_rng(1).standard_normal((60, 60)))[0]
         v = (u * values) @ u.T
-        e, q = whitening.subspace(lambda b: v @ b, 60, 16, 20)
+        e, q = whitening.subspace(lambda b: v @ b, 60, 16, 20, float(np.sum(values)))
         assert np.allclose(e, np.sort(values)[::-1][:16], rtol=1e-9, atol=1e-14)
         assert np.abs(q.T @ q - np.eye(16)).max() < 1e-12 and np.abs(v @ q - q * e).max() < 1e-10
 
