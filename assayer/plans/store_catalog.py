@@ -8,7 +8,7 @@ from pyspark.sql.types import StructType
 
 from ..functions import scores as S
 from ..functions.json import object_in_text
-from ..operators import retrieval, structuring
+from ..operators import encoder, retrieval, structuring
 from ..sources import files
 from ..sources.buckets import BucketTable
 from ..sources.shared import new_path
@@ -133,3 +133,21 @@ def index_topk(t: Tables) -> DataFrame:
     index.replace(rows)
     asked = t.read("embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), (F.col("vec_id") % 50).alias("resume_id"), F.col("embedding").alias("query"))
     return retrieval.index_topk(asked, index.of(asked), 5).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+
+
+@query(r"""WITH w AS (SELECT doc_id, unnest(t) AS w, generate_subscripts(t, 1) AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9][a-z0-9+#./-]*') AS t FROM documents)),
+n AS MATERIALIZED (SELECT a, b, count(*) AS n FROM (SELECT x.w AS a, y.w AS b FROM w x JOIN w y ON x.doc_id = y.doc_id AND y.i IN (x.i - 2, x.i - 1, x.i + 1, x.i + 2)) GROUP BY ALL),
+s AS MATERIALIZED (SELECT a, sum(n) AS na FROM n GROUP BY 1),
+m AS (SELECT n.a, n.b, ln(n * (SELECT sum(na) FROM s)::DOUBLE / (s.na * r.na)) AS m FROM n JOIN s ON s.a = n.a JOIN s r ON r.a = n.b)
+SELECT a AS word, count(*) AS neighbours, round(sum(m), 4) AS weight FROM m WHERE m > 1e-9 GROUP BY 1""")
+def neighbour_weights(t: Tables) -> DataFrame:
+    """What the encoder factorises: each word's neighbours that are more common than chance."""
+    weights = encoder.pair_weights(encoder.neighbour_counts(t.read("documents"))).where("m > 1e-9")
+    return weights.groupBy(F.col("a").alias("word")).agg(F.count(F.lit(1)).alias("neighbours"), F.round(F.sum("m"), 4).alias("weight"))
+
+
+@query()
+def text_vectors(t: Tables) -> DataFrame:
+    """All documents, encoded by word vectors learned from them."""
+    docs = t.read("documents").select("doc_id", "text")
+    return encoder.encoded(docs, encoder.word_vectors(docs)).select("doc_id", "vector")
