@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,9 +19,13 @@ def norm(a: Column) -> Column:
     return F.sqrt(F.aggregate(a, d(0), lambda s, x: s + x.cast("double") * x.cast("double")))
 
 
+def bound(value: Column, make: Callable[[Column], Column]) -> Column:
+    """``make(value)`` with ``value`` worked out once, however often the lambdas in ``make`` use it."""
+    return F.transform(F.array(value), make)[0]
+
+
 def normalised(a: Column) -> Column:
-    n = norm(a)
-    return F.transform(a, lambda x: x.cast("double") / (n + d(1e-9)))
+    return bound(a, lambda v: bound(norm(v) + d(1e-9), lambda n: F.transform(v, lambda x: x.cast("double") / n)))
 
 
 def hashed_vector(tokens: Column, size: int = 256) -> Column:

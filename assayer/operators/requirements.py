@@ -47,9 +47,12 @@ def contains_term(text: Column, term: Column) -> Column:
 
 
 def terms_in(text: Column, terms: list[str] | None = None) -> Column:
-    """The given terms (the taxonomy's by default) that a text holds, in the given order."""
+    """The given terms (the taxonomy's by default) that a text holds, in the given order.
+
+    Each term is a pattern of its own that is known when the plan is made, and so compiled once.
+    """
     known = taxonomy_terms() if terms is None else terms
-    return F.filter(F.array(*[F.lit(t) for t in known]), lambda t: contains_term(text, t))
+    return F.array_compact(F.array(*[F.when(contains_term(text, F.lit(t)), t) for t in known]))
 
 
 def technical_specificity(text: Column, terms: list[str] | None = None) -> Column:
@@ -71,7 +74,7 @@ def candidate_skills(matches: DataFrame) -> DataFrame:
     """``(analysis_id, skill, narrative, chunk, section)``: each skill's first narrative mention, else its first."""
     rows = matches.select("analysis_id", "position", "chunk", "section", F.explode(F.array_distinct(technical_tokens(F.coalesce("chunk", F.lit(""))))).alias("skill"))
     rows = rows.withColumn("narrative", F.coalesce(F.col("section").isin("Experience", "Projects"), F.lit(False)))
-    return ranked(rows, ["analysis_id", "skill"], [F.desc("narrative"), F.asc("position")], "r", 1).select("analysis_id", "skill", "narrative", "chunk", "section")
+    return ranked(rows, ["analysis_id", "skill"], [F.desc("narrative"), F.asc("position"), F.asc("chunk"), F.asc("section")], "r", 1).select("analysis_id", "skill", "narrative", "chunk", "section")
 
 
 def content_lines(text: Column) -> Column:

@@ -16,7 +16,7 @@ from ..operators import profile as profile_
 from ..settings import DEFAULTS
 from ..sources import files
 from ..sources.views import SCORING, TEXTS, WS, Tables, in_list, with_views
-from . import report_catalog, store_catalog  # noqa: F401  (register their queries)
+from . import pipeline_catalog, report_catalog, store_catalog  # noqa: F401  (register their queries)
 from .registry import REGISTRY, query
 
 #: The default thresholds are calibrated for one text encoder; these suit the tables' own vectors.
@@ -460,17 +460,23 @@ def requirement_extract(t: Tables) -> DataFrame:
     return requirements.extract_requirements(_job_texts(t), "jd_id", "text", WATCHED)
 
 
-@query(REQUIREMENTS + rf""", placed AS (
+PRIORITIES = rf""", placed AS (
   SELECT jd_id, line, coalesce(cue, last_value(context IGNORE NULLS) OVER (PARTITION BY jd_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'must') AS priority
   FROM (SELECT jd_id, i, line, CASE WHEN regexp_matches(line, {_quote(_R.NICE_HEADER)}) THEN 'nice' WHEN regexp_matches(line, {_quote(_R.MUST_HEADER)}) THEN 'must' END AS context,
                CASE WHEN regexp_matches(line, {_quote(_R.NICE_CUE)}) THEN 'nice' WHEN regexp_matches(line, {_quote(_R.MUST_CUE)}) THEN 'must' END AS cue FROM lines)),
-seen AS (SELECT r.jd_id, r.requirement, bool_and(priority = 'nice') AS nice FROM requirements r JOIN placed p ON p.jd_id = r.jd_id AND regexp_matches(p.line, '(?i)(^|{OUTSIDE})' || regexp_escape(r.requirement) || '($|{OUTSIDE})') GROUP BY ALL)
-SELECT r.jd_id, r.requirement, CASE WHEN nice THEN 'nice' ELSE 'must' END AS importance, CASE WHEN nice THEN 0.4::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM requirements r LEFT JOIN seen s ON s.jd_id = r.jd_id AND s.requirement = r.requirement""")
+seen AS (SELECT r.jd_id, r.requirement, bool_and(priority = 'nice') AS nice FROM requirements r JOIN placed p ON p.jd_id = r.jd_id AND regexp_matches(p.line, '(?i)(^|{OUTSIDE})' || regexp_escape(r.requirement) || '($|{OUTSIDE})') GROUP BY ALL),
+weighed AS (SELECT r.jd_id, r.requirement, CASE WHEN nice THEN 'nice' ELSE 'must' END AS importance, CASE WHEN nice THEN 0.4::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM requirements r LEFT JOIN seen s ON s.jd_id = r.jd_id AND s.requirement = r.requirement)"""
+
+
+@query(REQUIREMENTS + PRIORITIES + "SELECT * FROM weighed")
 def priorities(t: Tables) -> DataFrame:
     jobs = _job_texts(t)
     return requirements.priorities(requirements.extract_requirements(jobs, "jd_id", "text", WATCHED), jobs)
 
 
+pipeline_catalog.register((REQUIREMENTS + PRIORITIES).removeprefix("WITH "), _job_texts, WATCHED)
+
+
 @query(r"""WITH y AS (SELECT doc_id, list_transform(regexp_extract_all(text, '(?i)([0-9]{1,9}(?:\.[0-9]{1,9})?)\s*\+?\s*years?', 1), lambda x: x::DOUBLE) AS stated, list_transform(regexp_extract_all(text, '\b((?:19|20)[0-9]{2})\b', 1), lambda x: x::INT) AS named FROM documents),
 z AS (SELECT doc_id, coalesce(list_max(stated), CASE WHEN list_max(named) - list_min(named) BETWEEN 1 AND 50 THEN (list_max(named) - list_min(named))::DOUBLE END) AS total_years FROM y)
 SELECT doc_id, total_years, CASE WHEN total_years >= 8 THEN 'Lead' WHEN total_years >= 5 THEN 'Senior' WHEN total_years >= 2 THEN 'Mid' WHEN total_years IS NOT NULL THEN 'Junior' END AS seniority_level, CASE WHEN total_years IS NULL THEN 'Unknown' WHEN total_years >= 5 THEN 'Exceeds' WHEN total_years >= 3 THEN 'Meets' ELSE 'Below' END AS seniority_fit FROM z""")

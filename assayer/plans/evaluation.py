@@ -17,6 +17,7 @@ from ..functions import scores as S
 from ..functions.vectors import dot, hashed_vector
 from ..operators import dml, requirements, retrieval, scoring, structuring
 from ..settings import DEFAULTS, TAXONOMY, Settings
+from ..sources.shared import materialise
 
 Encoder = Callable[[Column], Column]
 
@@ -56,7 +57,7 @@ def evidence(pairs: DataFrame, chunks: DataFrame, asked: DataFrame, top_k: int =
     words = words.select("resume_id", F.col("query_id").alias("requirement"), F.col("doc_id").alias("chunk_id"), F.col("score").alias("sparse"))
     blend = S.confidence(F.col("cosine"), S.section_score(F.col("section")), S.density_score(F.col("chunk")), F.col("technical"), s)
     both = pool.join(words, ["resume_id", "requirement", "chunk_id"], "left")
-    rows = both.withColumns({"query_id": F.struct(*scoring.KEY), "confidence": blend}).withColumns({"dense": F.col("confidence"), "sparse": F.coalesce("sparse", S.d(0))})
+    rows = both.withColumns({"query_id": F.struct(*scoring.KEY), "confidence": blend}).withColumns({"dense": F.col("confidence"), "sparse": F.round(F.coalesce("sparse", S.d(0)), 9)})
     fused = retrieval.fuse(rows, s).where(F.col("rank") <= top_k)
     return fused.select(*scoring.KEY, "chunk", "section", S.round_half_up(F.col("cosine"), 3).alias("score"), "confidence", F.col("rank").alias("position"))
 
@@ -84,9 +85,9 @@ def relations(wanted: DataFrame, skills: DataFrame, encode: Encoder = default_en
 def evaluate(pairs: DataFrame, chunks: DataFrame, asked: DataFrame, encode: Encoder = default_encoder, s: Settings = DEFAULTS) -> DataFrame:
     """Verdicts of all analyses, with equivalent and related skills of each candidate taken into account.
 
-    Evidence is asked for twice, for skills and for verdicts; write ``chunks`` and ``asked`` to tables first.
+    Evidence is used twice, for skills and for verdicts, and written in between; write ``chunks`` and ``asked`` to tables first.
     """
-    found = evidence(pairs, chunks, asked, s=s)
+    found = materialise(evidence(pairs, chunks, asked, s=s), "evidence")
     wanted = pairs.join(asked, "jd_id").select("analysis_id", "requirement", "importance", "weight", "position")
     skills = requirements.candidate_skills(found)
     return scoring.verdicts(wanted, found.drop("position"), relations(wanted, skills, encode, s), s)
@@ -97,3 +98,16 @@ def rank(pairs: DataFrame, verdicts: DataFrame, s: Settings = DEFAULTS) -> DataF
     scores = scoring.sub_scores(verdicts, s)
     rows = pairs.join(scores.select("analysis_id", "overall_score"), "analysis_id", "left")
     return scoring.leaderboard(rows.select("jd_id", "resume_id", F.col("analysis_id").alias("position"), "overall_score", F.when(F.col("overall_score").isNull(), "no requirement could be judged").alias("error")))
+
+
+def leaderboards(documents: DataFrame, jobs: DataFrame, pairs: DataFrame, encode: Encoder = default_encoder, terms: list[str] | None = None, s: Settings = DEFAULTS) -> tuple[DataFrame, DataFrame]:
+    """``(ranking, scores)`` of all ``pairs (analysis_id, resume_id, jd_id)``, from documents ``(resume_id, candidate_id,
+    filename, text)`` and jobs ``(jd_id, text)`` alone.
+
+    Chunks, requirements, evidence and verdicts are each written once, as several steps read them.
+    """
+    nothing = documents.sparkSession.createDataFrame([], "resume_id long, sha string")
+    chunks = materialise(ingest(documents, nothing, encode, s), "chunks")
+    asked = materialise(job_requirements(jobs, encode, terms, s), "asked")
+    verdicts = materialise(evaluate(pairs, chunks, asked, encode, s), "verdicts")
+    return rank(pairs, verdicts, s), scoring.sub_scores(verdicts, s)
