@@ -81,7 +81,8 @@ class PieceEncoder:
     ``limit`` bounds the parts that are remembered; beyond it only those of the
     texts at hand are kept. Where the tokenizer allows (probes tell), A-Z count as
     a-z and punctuation at the end of a piece is looked up apart, so that fewer
-    distinct parts reach the library.
+    distinct parts reach the library; pieces with other than ASCII characters, and those
+    that hold a special token in any case, go to it as they are.
     """
 
     def __init__(self, path: str, limit: int = 400_000, step: int = 6 << 20):
@@ -97,9 +98,11 @@ class PieceEncoder:
     def _parts(self, pieces: pa.Array) -> tuple[pa.Array, pa.Array]:
         """A head and a tail of each piece that are encoded apart; most tails are empty."""
         text = pieces.view(pa.string())
-        plain = np.ones(len(text), dtype=bool)
-        for token in self.special:
-            plain &= ~pc.match_substring(text, token).to_numpy(zero_copy_only=False)
+        small = pc.ascii_lower(text)
+        plain = pc.string_is_ascii(text).to_numpy(zero_copy_only=False).copy()
+        for token in self.special:  # lower case may make one
+            for form in (text, small):
+                plain &= ~pc.match_substring(form, token).to_numpy(zero_copy_only=False)
         head = text
         if self.tails:
             trimmed = pc.ascii_rtrim(text, characters=PUNCTUATION)
@@ -116,7 +119,7 @@ class PieceEncoder:
         else:
             tail = pa.array(np.full(len(text), b"", dtype=object), pa.binary())
         if self.lower:
-            head = pc.if_else(pa.array(plain), pc.ascii_lower(head), head)
+            head = pc.if_else(pa.array(plain), pc.ascii_lower(head), head)  # where it has other letters, marks may join them first
         return head.view(pa.binary()), tail
 
     def _learn(self, parts: pa.Array) -> np.ndarray:

@@ -42,3 +42,21 @@ def test_query_counts_every_document(spark):
     rows = queries()["op2_token_counts"](spark, "/root/testdata/sf0.001").collect()
     assert sum(r.documents for r in rows) == docs.count()
     assert max(r.truncated_tokens for r in rows) == sum(r.n_tokens * r.documents for r in rows) == max(r.tokens_at_least for r in rows)
+
+
+def test_ids_equal_the_library_on_composing_letters_and_special_looks():
+    """Every letter that joins with a mark, apart and joined, in both cases, and special tokens in any case."""
+    import unicodedata
+
+    import pyarrow as pa
+    from assayer.llm.tokens import PieceEncoder
+    from tokenizers import Tokenizer
+
+    pairs = {unicodedata.normalize("NFD", chr(c)) for c in range(0xC0, 0x2FFF) if unicodedata.decomposition(chr(c)) and "<" not in unicodedata.decomposition(chr(c))}
+    pairs |= {chr(c) + m for c in [*range(65, 91), *range(97, 123)] for m in map(chr, range(0x300, 0x370))}
+    words = sorted(pairs | {p.upper() for p in pairs} | {p.lower() for p in pairs})
+    texts = [*words, *(f"Ab{w}C, x" for w in words), *(f"{w}." for w in words), *(a + t + b for t in ("<|endoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|startoftext|>", "<|STARTOFTEXT|>", "<|endoftext") for a in ("", "x", "X ", "\u0130") for b in ("", "y", ".", "!Z"))]
+    t = Tokenizer.from_file(tokenizer_path())
+    got = list(PieceEncoder(tokenizer_path()).encode(pa.array([x.encode() for x in texts], pa.binary())))
+    want = t.encode_batch(texts, add_special_tokens=False)
+    assert [x for x, a, b in zip(texts, got, want) if a.tolist() != b.ids] == []
