@@ -46,3 +46,29 @@ def test_near_stage_equals_brute_force(spark):
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == [i for i in range(len(rows)) if root(i) == i]
     assert corpus_pipeline.near_stage(spark, docs.where("false"), "").count() == 0
+
+
+def test_parity_bound_loses_no_pair():
+    import numpy as np
+    from assayer.llm import near_copies
+
+    rnd = np.random.default_rng(8)
+    sets, base = [], {}
+    for i in range(160):
+        size = int(rnd.choice([1, 2, 30, 250, 256, 300, 600, 5000]))
+        if i % 2 or size not in base:
+            base[size] = rnd.integers(0, 1 << 63, size, dtype=np.uint64)
+        s = base[size].copy()
+        for k in rnd.choice(size, int(size * rnd.choice([0, 0.02, 0.1, 0.12, 0.3])), replace=False):
+            s[k] = rnd.integers(0, 1 << 63, dtype=np.uint64)
+        sets.append(np.unique(s[: max(1, int(size * rnd.choice([1, 0.9, 0.8])))]))
+    rows = {"n": np.array([len(s) for s in sets]), "comp": np.arange(len(sets)) % 150, "par": [near_copies.parities(s) for s in sets]}
+    got = set(zip(*(x.tolist() for x in near_copies.close_pairs(rows, rows, 0.8, room=1 << 12))))
+    near = 0
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets):
+            common = len(np.intersect1d(x, y))
+            if common >= 0.8 * (len(x) + len(y) - common) and rows["comp"][i] != rows["comp"][j]:
+                near += 1
+                assert (i, j) in got
+    assert near > 50 and len(got) < 3 * near
