@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import or_default, recommendation, round_half_up, week_key
 from ..settings import DEFAULTS, SCORE_BANDS, Settings
+from .retrieval import ranked
 
 SUB_SCORES = ("overall", "coverage", "experience", "project", "quality")
 
@@ -133,6 +134,14 @@ def skill_frequency(reports: DataFrame, limit: int = DEFAULTS.top_limit) -> Data
     return out[0].union(out[1])
 
 
+def verdict_frequency(verdicts: DataFrame, limit: int = DEFAULTS.top_limit) -> DataFrame:
+    """``skill_frequency`` from the rows of verdicts themselves: one count by status and name, no report is built."""
+    kind = F.when(F.col("status") == "Missing", "missing").when(F.col("status") == "Matched", "matched")
+    named = verdicts.select(kind.alias("kind"), F.trim("requirement").alias("skill")).where("kind IS NOT NULL AND skill <> ''")
+    counted = named.groupBy("kind", "skill").agg(F.count(F.lit(1)).alias("count"))
+    return ranked(counted, ["kind"], [F.desc("count"), F.asc("skill")], "r", limit).drop("r")
+
+
 def chart_maxima(analyses: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     """The client's chart scale and whole-number shares."""
     top = score_distribution(analyses).agg(F.greatest(F.lit(1), F.max("count")).alias("max_count"), F.max("total").alias("total"))

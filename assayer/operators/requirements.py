@@ -55,6 +55,14 @@ def terms_in(text: Column, terms: list[str] | None = None) -> Column:
     return F.array_compact(F.array(*[F.when(contains_term(text, F.lit(t)), t) for t in known]))
 
 
+def term_documents(docs: DataFrame, text: str = "text", terms: list[str] | None = None) -> DataFrame:
+    """``(place, term, documents)``: every given term (the taxonomy's by default), in order, and how many rows hold it."""
+    known = taxonomy_terms() if terms is None else terms
+    held = docs.select(F.explode(terms_in(F.col(text), known)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("documents"))
+    listed = docs.sparkSession.createDataFrame(list(enumerate(known, 1)), "place long, term string")
+    return listed.join(held, "term", "left").select("place", "term", F.coalesce("documents", F.lit(0)).alias("documents"))
+
+
 def technical_specificity(text: Column, terms: list[str] | None = None) -> Column:
     """20 points for each distinct technical term or technical-looking token, at most 100."""
     shaped = F.transform(F.regexp_extract_all(text, F.lit(TECHNICAL), 0), lambda t: F.regexp_replace(F.lower(t), r"^[+#/.]+|[+#/.]+$", ""))

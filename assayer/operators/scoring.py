@@ -51,36 +51,50 @@ def verdicts(requirements: DataFrame, matches: DataFrame, relations: DataFrame |
         F.when(found, F.col("best.section")).alias("section"),
         F.when(found, F.col("best.chunk")).when(rescued, F.col("skill_chunk")).otherwise("").alias("evidence"),
         (found | F.coalesce(rescued, F.lit(False))).alias("covered"), found.alias("claimed"), F.col("shown").isNotNull().alias("demonstrated"),
-        F.when(F.col("shown").isNotNull(), S.density_score(F.col("shown.chunk"))).alias("depth"), F.col("cosine").alias("transfer"),
+        F.when(F.col("shown").isNotNull(), S.density_score(F.col("shown.chunk"))).alias("depth"), F.col("cosine").alias("transfer"), F.coalesce("narrative", F.lit(False)).alias("narrative"),
     )
 
 
-def weighted_coverage(rows: DataFrame) -> DataFrame:
+def _coverage() -> Column:
     """Share of the requirements' weight that is covered, truncated to whole percent; 0 without
     weight. Noise of the order of summation is rounded off before the cut."""
     share = F.sum(F.when(F.col("covered"), F.col("weight")).otherwise(d(0))) / F.nullif(F.sum("weight"), d(0))
-    return rows.groupBy("analysis_id").agg(F.coalesce(S.truncated(S.round_half_up(share * 100, 6)), F.lit(0)).alias("coverage_score"))
+    return F.coalesce(S.truncated(S.round_half_up(share * 100, 6)), F.lit(0)).alias("coverage_score")
 
 
-def authenticity(rows: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
-    """Claimed against demonstrated skills: ratio, credibility, stuffing risk and quality."""
-    counted = rows.groupBy("analysis_id").agg(F.count_if("claimed").alias("claimed"), F.count_if("demonstrated").alias("demonstrated"), F.coalesce(F.avg("depth"), d(0)).alias("depth"))
+def _claims() -> list[Column]:
+    return [F.count_if("claimed").alias("claimed"), F.count_if("demonstrated").alias("demonstrated"), F.coalesce(F.avg("depth"), d(0)).alias("depth")]
+
+
+def _rated(counted: DataFrame, s: Settings) -> DataFrame:
+    """Ratio, credibility, stuffing risk and quality beside the counts of ``_claims``."""
     ratio = S.round_half_up(F.coalesce(F.col("demonstrated") / F.nullif("claimed", F.lit(0)), d(0)))
     rated = counted.withColumn("corroboration_ratio", ratio).withColumn("credibility_score", F.bround(F.col("corroboration_ratio") * 100).cast("long"))
     quality = F.bround(F.col("credibility_score") * d(s.quality_corroboration) + F.col("depth") * d(s.quality_depth)).cast("long")
-    return rated.select("analysis_id", "claimed", "demonstrated", "corroboration_ratio", "credibility_score", S.stuffing_risk(F.col("claimed"), F.col("claimed") - F.col("demonstrated"), s).alias("keyword_stuffing_risk"), S.clamp(quality).alias("quality_score"))
+    risk = S.stuffing_risk(F.col("claimed"), F.col("claimed") - F.col("demonstrated"), s)
+    return rated.withColumns({"keyword_stuffing_risk": risk, "quality_score": S.clamp(quality)}).drop("depth")
+
+
+def weighted_coverage(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("analysis_id").agg(_coverage())
+
+
+def authenticity(rows: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
+    """Claimed against demonstrated skills: ratio, credibility, stuffing risk and quality."""
+    return _rated(rows.groupBy("analysis_id").agg(*_claims()), s)
 
 
 def sub_scores(rows: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
-    """All scores of each analysis from its verdicts: three aggregates by analysis, joined on its id."""
+    """All scores of each analysis from its verdicts, in one aggregate."""
     whole = lambda c: S.truncated(c * 100)
     share = lambda section: whole(F.count_if(F.col("section") == section) / F.count(F.lit(1)))
     parts = rows.groupBy("analysis_id").agg(
         share("Experience").alias("experience_score"), share("Projects").alias("project_score"),
         S.truncated(F.coalesce(F.avg(F.when(F.col("covered"), F.col("confidence"))), d(0))).alias("confidence_score"),
         *(F.count_if(F.col("status") == n).alias(f"{n.lower()}_count") for n in ("Matched", "Partial", "Missing")),
+        _coverage(), *_claims(),
     )
-    scored = parts.join(weighted_coverage(rows), "analysis_id").join(authenticity(rows, s), "analysis_id")
+    scored = _rated(parts, s)
     overall = S.overall_score(F.col("coverage_score"), F.col("experience_score"), F.col("project_score"), F.col("confidence_score"), F.col("quality_score"), s)
     return scored.withColumn("overall_score", overall).withColumn("recruiter_recommendation", S.recommendation_text(overall))
 
@@ -91,10 +105,53 @@ def status_counts(reports: DataFrame) -> DataFrame:
     return reports.select("analysis_id", n("Matched").alias("matched"), n("Partial").alias("partial"), (F.size("requirements") - n("Matched", "Partial")).cast("long").alias("missing"))
 
 
+def gaps(rows: DataFrame) -> DataFrame:
+    """Verdicts that leave something to learn: missing ones, and partial ones of the requirement's own name.
+    What an equivalent skill meets is no gap, even where that skill is only listed."""
+    return rows.where("status = 'Missing' OR status = 'Partial' AND claimed")
+
+
 def learning_roadmap(rows: DataFrame) -> DataFrame:
-    """How long each requirement that isn't matched would take to learn."""
+    """How long each gap would take to learn, and why."""
     time = F.when(F.col("status") == "Partial", PARTIAL_LEARNING_TIME).otherwise(S.learning_time(F.when(F.col("relation") == "related", F.col("transfer")).otherwise(d(0))))
-    return rows.where("status <> 'Matched'").select(*KEY, "position", time.alias("estimated_time"))
+    reason = (
+        F.when(F.col("status") == "Partial", F.format_string("%s is named; a project with it would show it.", "requirement"))
+        .when(F.col("relation") == "related", F.format_string("%s is close, which shortens the way to %s.", "related_skill", "requirement"))
+        .otherwise(F.format_string("Nothing close to %s is shown, so it starts from the basics.", "requirement"))
+    )
+    return gaps(rows).select(*KEY, "position", time.alias("estimated_time"), reason.alias("reason"))
+
+
+def skill_relationships(rows: DataFrame) -> DataFrame:
+    """``(analysis_id, skill_relationships)``: what a candidate's other skills mean for the requirements, in their order.
+
+    A close skill backs a claimed requirement if it is shown at work, stands in for one that isn't
+    claimed if it is equivalent, and shortens the way to it if it is related.
+    """
+    text = (
+        F.when(F.col("claimed") & F.col("narrative") & F.col("relation").isin("equivalent", "related"), F.format_string("Work with %s backs %s.", "related_skill", "requirement"))
+        .when(~F.col("claimed") & (F.col("relation") == "equivalent"), F.format_string("%s counts as %s.", "related_skill", "requirement"))
+        .when(~F.col("claimed") & (F.col("relation") == "related"), F.format_string("%s is a short way from %s.", "requirement", "related_skill"))
+    )
+    named = rows.withColumn("text", text).where("text IS NOT NULL")
+    return named.groupBy("analysis_id").agg(F.array_sort(F.collect_list(F.struct("position", "requirement", "text"))).alias("t")).select("analysis_id", F.col("t.text").alias("skill_relationships"))
+
+
+def interview_questions(rows: DataFrame) -> DataFrame:
+    """``(analysis_id, interview_questions)``: up to three on related skills, two on shallow claims, two on strong ones,
+    five in all unless the first two kinds are more; two plain ones where there is nothing to ask."""
+    kind = F.when((F.col("status") == "Missing") & (F.col("relation") == "related"), 0).when(F.col("status") == "Partial", 1).when(F.col("status") == "Matched", 2)
+    text = (
+        F.when(kind == 0, F.format_string("How would you bring what you know of %s to %s?", "related_skill", "requirement"))
+        .when(kind == 1, F.format_string("Which problem have you solved with %s, and what came of it?", "requirement"))
+        .otherwise(F.format_string("Which hard trade-off have you met in your work with %s?", "requirement"))
+    )
+    asked = rows.groupBy("analysis_id").agg(F.array_sort(F.collect_list(F.when(kind.isNotNull(), F.struct(kind.alias("kind"), F.col("position"), F.col("requirement"), text.alias("text"))))).alias("q"))
+    few = lambda k, n: F.slice(F.transform(F.filter("q", lambda x: x["kind"] == k), lambda x: x["text"]), 1, n)
+    first = F.concat(few(0, 3), few(1, 2))
+    every = F.concat(first, F.slice(few(2, 2), F.lit(1), F.greatest(F.lit(0), 5 - F.size(first))))
+    plain = F.array(F.lit("Walk me through a project you are proud of."), F.lit("When did you last have to learn a tool quickly?"))
+    return asked.select("analysis_id", F.when(F.size(every) > 0, every).otherwise(plain).alias("interview_questions"))
 
 
 def snippet(text: Column, most: int = 90) -> Column:
@@ -122,23 +179,28 @@ def weaknesses(rows: DataFrame, most: int = 5) -> DataFrame:
     must = (F.col("status") == "Missing") & (F.col("importance") == "must")
     text = F.when(must, F.concat(F.lit("Missing must-have: "), "requirement")).when(F.col("status") == "Missing", F.concat(F.lit("Missing nice-to-have: "), "requirement")).otherwise(F.concat("requirement", F.lit(": named, not backed by project work")))
     place = F.struct(F.when(must, 0).otherwise(1).alias("k"), F.when(must, -F.col("position")).otherwise(F.col("position")).alias("p"), text.alias("text"))
-    return rows.where("status <> 'Matched'").groupBy("analysis_id").agg(F.array_sort(F.collect_list(place)).alias("w")).select("analysis_id", F.slice("w.text", 1, most).alias("weaknesses"))
+    return gaps(rows).groupBy("analysis_id").agg(F.array_sort(F.collect_list(place)).alias("w")).select("analysis_id", F.slice("w.text", 1, most).alias("weaknesses"))
 
 
 def reports(rows: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
-    """Nested reports, one per analysis: scores, requirements in order, missing skills, roadmap, authenticity."""
-    entry = F.struct("position", "requirement", "status", F.col("evidence").alias("matched_evidence"), "explanation", "limitations", "confidence", "importance", "weight")
-    listed = explained(rows).groupBy("analysis_id").agg(F.array_sort(F.collect_list(entry)).alias("requirements"))
+    """Nested reports, one per analysis: scores, requirements in order, strengths and weaknesses, missing skills,
+    what other skills mean for them, roadmap, questions, authenticity."""
+    rescued = ~F.col("claimed") & (F.col("relation") == "equivalent")
+    entry = F.struct("position", "requirement", "status", F.col("evidence").alias("matched_evidence"), "explanation", "limitations", "confidence", "importance", "weight", "related_skill", rescued.alias("rescued"))
+    listed = explained(rows).groupBy("analysis_id").agg(
+        F.array_sort(F.collect_list(entry)).alias("requirements"),
+        F.array_sort(F.collect_list(F.when(F.col("claimed") & ~F.col("demonstrated"), F.col("requirement")))).alias("over_claimed_skills"),
+    )
     named = lambda *names: F.transform(F.filter("requirements", lambda r: r["status"].isin(*names)), lambda r: r["requirement"])
-    plan = learning_roadmap(rows).groupBy("analysis_id").agg(F.array_sort(F.collect_list(F.struct("position", F.col("requirement").alias("skill"), "estimated_time"))).alias("learning_roadmap"))
-    over = rows.where("claimed AND NOT demonstrated").groupBy("analysis_id").agg(F.array_sort(F.collect_list("requirement")).alias("over_claimed_skills"))
-    out = sub_scores(rows, s).join(listed, "analysis_id")
-    for extra in (plan, over, weaknesses(rows)):
+    strong = F.transform(F.filter("requirements", lambda r: (r["status"] == "Matched") | r["rescued"]), lambda r: F.when(r["rescued"], F.format_string("%s through %s", r["requirement"], r["related_skill"])).otherwise(r["requirement"]))
+    plan = learning_roadmap(rows).groupBy("analysis_id").agg(F.array_sort(F.collect_list(F.struct("position", F.col("requirement").alias("skill"), "estimated_time", "reason"))).alias("learning_roadmap"))
+    out = sub_scores(rows, s).join(listed, "analysis_id").join(interview_questions(rows), "analysis_id")
+    for extra in (plan, weaknesses(rows), skill_relationships(rows)):
         out = out.join(extra, "analysis_id", "left")
     empty = F.array().cast("array<string>")
     return out.withColumns({
-        "missing_skills": named("Missing"), "strengths": F.slice(named("Matched"), 1, 5), "weaknesses": F.coalesce("weaknesses", empty),
-        "authenticity": F.struct("credibility_score", "keyword_stuffing_risk", F.coalesce("over_claimed_skills", empty).alias("over_claimed_skills"), "corroboration_ratio"),
+        "missing_skills": named("Missing"), "strengths": F.slice(strong, 1, 5), "weaknesses": F.coalesce("weaknesses", empty), "skill_relationships": F.coalesce("skill_relationships", empty),
+        "authenticity": F.struct("credibility_score", "keyword_stuffing_risk", "over_claimed_skills", "corroboration_ratio"),
         "rejection_email": F.when(F.col("overall_score") < s.matched_min, F.concat(F.lit("We will not go on with this application. Gaps: "), F.array_join(F.slice(named("Partial", "Missing"), 1, 3), ", "))),
     }).drop("over_claimed_skills", "position")
 
@@ -206,8 +268,9 @@ def interview_answers(matched: DataFrame) -> DataFrame:
     backed = (status == "Matched") & (F.coalesce("evidence", F.lit("")) != "")
     verdict = F.when(backed, "backed").when(status == "Partial", "shallow").otherwise("gap")
     answer = F.when(backed, F.format_string('Points to work with %s: "%s".', name, "evidence")).when(status == "Partial", F.format_string("Names %s without depth.", name)).otherwise(F.format_string("Has no evidence of %s to draw on.", name))
+    lacks = F.when(backed, "The scale of the work and what it changed.").when(status == "Partial", F.format_string("What came of the work with %s.", name)).otherwise(F.format_string("Any work with %s.", name))
     follow = F.when(conf < 60, F.array(F.format_string("Which measurable result did your work with %s have?", name))).otherwise(F.array().cast("array<string>"))
-    return matched.select("analysis_id", "question_id", "question", verdict.alias("verdict"), answer.alias("ideal_answer"), conf.cast("long").alias("confidence"), follow.alias("follow_up_questions"))
+    return matched.select("analysis_id", "question_id", "question", verdict.alias("verdict"), answer.alias("ideal_answer"), F.coalesce("evidence", F.lit("")).alias("evidence"), lacks.alias("missing_information"), conf.cast("long").alias("confidence"), follow.alias("follow_up_questions"))
 
 
 def interview(reports_: DataFrame, questions: DataFrame, default: str = "Walk me through a project you are proud of.") -> DataFrame:

@@ -87,27 +87,37 @@ def chunked(units: Column, s: Settings = DEFAULTS) -> Column:
     A chunk of at least the target length closes before a sentence that would push
     it past the maximum, and its last sentences open the next one; a chunk that
     reaches the maximum closes with no overlap. The length is counted as it is
-    added up, so after an overlap one space counts twice.
+    added up, so after an overlap one space counts twice. Sentences are folded into
+    the numbers that chunks begin and end at, so the cost grows with their number.
     """
-    unit, out = "array<struct<sentence:string,page:int>>", "array<struct<text:string,page:int>>"
-    start = F.struct(F.array().cast(out).alias("out"), F.array().cast(unit).alias("open"), F.lit(0).alias("length"))
-
-    def closed(state: Column) -> Column:
-        text = F.trim(F.array_join(F.transform(state["open"], lambda u: u["sentence"]), " "))
-        return F.when((F.size(state["open"]) > 0) & (text != ""), F.concat(state["out"], F.array(F.struct(text.alias("text"), state["open"][0]["page"].alias("page"))))).otherwise(state["out"])
-
-    def add(state: Column, u: Column) -> Column:
-        more = F.length(u["sentence"]) + F.when(F.size(state["open"]) > 0, 1).otherwise(0)
-        full = (F.size(state["open"]) > 0) & (state["length"] >= s.chunk_target) & (state["length"] + more > s.chunk_max)
-        n = F.size(state["open"])
-        kept = F.slice(state["open"], F.greatest(F.lit(1), n - s.chunk_overlap + 1), F.least(n, F.lit(s.chunk_overlap))) if s.chunk_overlap else F.array().cast(unit)
-        kept_length = F.aggregate(kept, F.lit(0), lambda a, x: a + F.length(x["sentence"]) + 1)
-        before = F.struct(F.when(full, closed(state)).otherwise(state["out"]).alias("out"), F.when(full, kept).otherwise(state["open"]).alias("open"), F.when(full, kept_length).otherwise(state["length"]).alias("length"))
-        after = F.struct(before["out"].alias("out"), F.concat(before["open"], F.array(u)).alias("open"), (before["length"] + more).alias("length"))
-        done = after["length"] >= s.chunk_max
-        return F.struct(F.when(done, closed(after)).otherwise(after["out"]).alias("out"), F.when(done, F.array().cast(unit)).otherwise(after["open"]).alias("open"), F.when(done, 0).otherwise(after["length"]).alias("length"))
-
-    return F.aggregate(units, start, add, closed)
+    start = F.struct(F.lit(0).alias("at"), F.lit(1).alias("first"), F.lit(0).alias("length"), F.array().cast("array<int>").alias("recent"), F.lit("").alias("cuts"))
+    sizes = F.transform(units, lambda u: F.length(u["sentence"]))
+
+    def add(state: Column, size: Column) -> Column:
+        """Only the numbers of a chunk's first and last sentence are kept, one entry for each chunk that closes."""
+        at, held = state["at"] + 1, state["at"] + 1 - state["first"]
+        more = size + F.when(held > 0, 1).otherwise(0)
+        full = (held > 0) & (state["length"] >= s.chunk_target) & (state["length"] + more > s.chunk_max)
+        cut = lambda first, last: F.concat(first.cast("string"), F.lit(":"), last.cast("string"), F.lit(","))
+        kept = F.slice(state["recent"], F.greatest(F.lit(1), F.size(state["recent"]) - F.least(held, F.lit(s.chunk_overlap)) + 1), F.least(held, F.lit(s.chunk_overlap))) if s.chunk_overlap else F.array().cast("array<int>")
+        length = more + F.when(full, F.aggregate(kept, F.lit(0), lambda a, x: a + x + 1)).otherwise(state["length"])
+        first = F.when(full, at - F.size(kept)).otherwise(state["first"])
+        done = length >= s.chunk_max
+        closed = F.when(full, F.concat(state["cuts"], cut(state["first"], state["at"]))).otherwise(state["cuts"])
+        return F.struct(
+            at.alias("at"), F.when(done, at + 1).otherwise(first).alias("first"), F.when(done, 0).otherwise(length).alias("length"),
+            F.slice(F.concat(state["recent"], F.array(size)), F.greatest(F.lit(1), F.size(state["recent"]) + 2 - max(1, s.chunk_overlap)), F.lit(max(1, s.chunk_overlap))).alias("recent"),
+            F.when(done, F.concat(closed, cut(first, at))).otherwise(closed).alias("cuts"),
+        )
+
+    def ranges(state: Column) -> Column:
+        rest = F.when(state["at"] >= state["first"], F.concat(state["first"].cast("string"), F.lit(":"), state["at"].cast("string"))).otherwise("")
+        pairs = F.filter(F.split(F.concat(state["cuts"], rest), ","), lambda x: x != "")
+        return F.transform(pairs, lambda x: F.struct(F.split_part(x, F.lit(":"), F.lit(1)).cast("int").alias("first"), F.split_part(x, F.lit(":"), F.lit(2)).cast("int").alias("last")))
+
+    text = lambda r: F.trim(F.array_join(F.transform(F.slice(units, r["first"], r["last"] - r["first"] + 1), lambda u: u["sentence"]), " "))
+    made = F.transform(F.aggregate(sizes, start, add, ranges), lambda r: F.struct(text(r).alias("text"), F.element_at(units, r["first"])["page"].alias("page")))
+    return F.filter(made, lambda c: c["text"] != "")
 
 
 def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Settings = DEFAULTS) -> DataFrame:

@@ -186,12 +186,12 @@ def status_counts(t: Tables) -> DataFrame:
 @query(with_views(*SCORING) + """, k AS (SELECT CASE status WHEN 'Missing' THEN 'missing' ELSE 'matched' END AS kind, requirement AS skill, count(*) AS count FROM verdicts WHERE status <> 'Partial' GROUP BY ALL)
 SELECT kind, skill, count FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY count DESC, skill) AS r FROM k) WHERE r <= 5""")
 def skill_frequency(t: Tables) -> DataFrame:
-    return analytics.skill_frequency(scoring.reports(scoring.verdicts(t.requirements, t.matches)))
+    return analytics.verdict_frequency(scoring.verdicts(t.requirements, t.matches))
 
 
 @query(with_views(*SCORING) + "SELECT analysis_id, requirement, CASE WHEN status = 'Partial' THEN '2-4 days' ELSE '21-28 days' END AS estimated_time FROM verdicts WHERE status <> 'Matched'")
 def learning_roadmap(t: Tables) -> DataFrame:
-    return scoring.learning_roadmap(scoring.verdicts(t.requirements, t.matches)).drop("position")
+    return scoring.learning_roadmap(scoring.verdicts(t.requirements, t.matches)).select("analysis_id", "requirement", "estimated_time")
 
 
 @query(with_views(*SCORING) + """, w AS (SELECT analysis_id, CASE WHEN status = 'Missing' AND importance = 'must' THEN 0 ELSE 1 END AS k, CASE WHEN status = 'Missing' AND importance = 'must' THEN -position ELSE position END AS p,

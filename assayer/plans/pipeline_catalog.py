@@ -99,6 +99,14 @@ SELECT p.jd_id, p.doc_id AS resume_id, row_number() OVER (PARTITION BY p.jd_id O
 FROM pairs p LEFT JOIN total t USING (analysis_id)"""
 
 
+@query(f"""WITH known AS (SELECT term, row_number() OVER (ORDER BY length(term) DESC, term) AS place FROM (SELECT DISTINCT unnest([{in_list(taxonomy_terms())}]) AS term)),
+held AS (SELECT term, count(*) AS documents FROM (SELECT unnest({_terms_sql("text", taxonomy_terms())}) AS term FROM documents) GROUP BY 1)
+SELECT place, term, coalesce(documents, 0) AS documents FROM known LEFT JOIN held USING (term)""")
+def taxonomy(t: Tables) -> DataFrame:
+    """The taxonomy's terms in their order, with the number of documents that hold each."""
+    return R.term_documents(t.read("documents"))
+
+
 def register(job_parts: str, job_texts, terms: list[str]) -> None:
     @query(_chain_sql(job_parts))
     def documents_to_leaderboard(t: Tables) -> DataFrame:

@@ -84,9 +84,9 @@ def requirement_rescue(t: Tables) -> DataFrame:
     return _rescued(t).select("analysis_id", "requirement", "relation", "status", "confidence", "evidence", "covered", "demonstrated")
 
 
-@query(with_views(*SCORING) + ", " + RELATIONS + """SELECT analysis_id, requirement, CASE WHEN verdict = 'Partial' THEN '2-4 days' WHEN relation = 'related' AND cosine >= 0.78 THEN '5-7 days' WHEN relation = 'related' AND cosine >= 0.62 THEN '10-14 days' ELSE '21-28 days' END AS estimated_time FROM rescued WHERE verdict <> 'Matched'""")
+@query(with_views(*SCORING) + ", " + RELATIONS + """SELECT analysis_id, requirement, CASE WHEN verdict = 'Partial' THEN '2-4 days' WHEN relation = 'related' AND cosine >= 0.78 THEN '5-7 days' WHEN relation = 'related' AND cosine >= 0.62 THEN '10-14 days' ELSE '21-28 days' END AS estimated_time FROM rescued WHERE verdict = 'Missing' OR verdict = 'Partial' AND covered""")
 def learning_bands(t: Tables) -> DataFrame:
-    return scoring.learning_roadmap(_rescued(t)).drop("position")
+    return scoring.learning_roadmap(_rescued(t)).select("analysis_id", "requirement", "estimated_time")
 
 
 @query(with_views(*SCORING) + ", " + RELATIONS + f"""SELECT analysis_id, requirement,
@@ -97,6 +97,24 @@ def explanations(t: Tables) -> DataFrame:
     return scoring.explained(_rescued(t)).select("analysis_id", "requirement", "explanation", "limitations")
 
 
+@query(with_views(*SCORING) + ", " + RELATIONS + """SELECT analysis_id, string_agg(text, '; ' ORDER BY position, requirement) AS relationships FROM (
+  SELECT r.analysis_id, requirement, r.position, CASE WHEN covered AND narrative AND r.relation <> 'none' THEN 'Work with ' || related_skill || ' backs ' || requirement || '.' WHEN NOT covered AND r.relation = 'equivalent' THEN related_skill || ' counts as ' || requirement || '.'
+    WHEN NOT covered AND r.relation = 'related' THEN requirement || ' is a short way from ' || related_skill || '.' END AS text
+  FROM rescued r JOIN (SELECT analysis_id, requirement, narrative, related_skill FROM relations) q USING (analysis_id, requirement)) WHERE text IS NOT NULL GROUP BY 1""")
+def skill_relationships(t: Tables) -> DataFrame:
+    return scoring.skill_relationships(_rescued(t)).select("analysis_id", F.array_join("skill_relationships", "; ").alias("relationships"))
+
+
+@query(with_views(*SCORING) + ", " + RELATIONS + """SELECT a.analysis_id, coalesce(q, 'Walk me through a project you are proud of.; When did you last have to learn a tool quickly?') AS questions FROM (SELECT DISTINCT analysis_id FROM requirements) a LEFT JOIN (
+  SELECT analysis_id, string_agg(text, '; ' ORDER BY kind, r) AS q FROM (SELECT *, row_number() OVER (PARTITION BY analysis_id ORDER BY kind, r) AS place FROM (
+    SELECT *, row_number() OVER (PARTITION BY analysis_id, kind ORDER BY position, requirement) AS r FROM (
+      SELECT analysis_id, position, requirement, CASE WHEN verdict = 'Missing' AND relation = 'related' THEN 0 WHEN verdict = 'Partial' THEN 1 WHEN verdict = 'Matched' THEN 2 END AS kind,
+        CASE WHEN verdict = 'Missing' THEN 'How would you bring what you know of near ' || requirement || ' to ' || requirement || '?' WHEN verdict = 'Partial' THEN 'Which problem have you solved with ' || requirement || ', and what came of it?' ELSE 'Which hard trade-off have you met in your work with ' || requirement || '?' END AS text FROM rescued)
+      WHERE kind IS NOT NULL) WHERE r <= CASE kind WHEN 0 THEN 3 ELSE 2 END) WHERE place <= 5 GROUP BY 1) b USING (analysis_id)""")
+def interview_questions(t: Tables) -> DataFrame:
+    return scoring.interview_questions(_rescued(t)).select("analysis_id", F.array_join("interview_questions", "; ").alias("questions"))
+
+
 @query(with_views(*SCORING) + "SELECT analysis_id, requirement, covered AND NOT demonstrated AS over_claimed, row_number() OVER (PARTITION BY analysis_id ORDER BY importance = 'nice', position, requirement) AS place FROM verdicts")
 def requirement_view(t: Tables) -> DataFrame:
     return scoring.requirement_view(_verdicts(t)).select("analysis_id", "requirement", "over_claimed", "place")

@@ -5,7 +5,7 @@ import math
 import pytest
 from assayer.functions import scores as S
 from assayer.functions.vectors import dot, norm, normalised
-from assayer.operators import retrieval, scoring
+from assayer.operators import analytics, retrieval, scoring
 from pyspark.sql import functions as F
 
 REQ = "analysis_id long, requirement string, importance string, weight double, position long"
@@ -116,8 +116,7 @@ def test_vectors(spark):
     q = spark.createDataFrame([(9, [1.0, 0.0])], "query_id long, query array<double>")
     assert [(x.vec_id, x.rank) for x in retrieval.vector_topk(q, v, 2).orderBy("rank").collect()] == [(1, 1), (3, 2)]
     assert retrieval.vector_topk(q, v, 2, floor=99.0).count() == 0
-    with pytest.raises(ValueError):
-        retrieval.with_queries(v, q.union(q), most=1)
+    assert retrieval.with_queries(v, q.union(q.selectExpr("8L", "query")), most=1).count() == 6
     assert {x.category for x in retrieval.classify(v, retrieval.centroids(v)).collect()} == {"0", "1"}
 
 
@@ -147,3 +146,31 @@ def test_bm25_of_each_owner_is_a_corpus_of_its_own(spark):
         for r in alone.collect():
             assert got.pop((o, r.query_id, r.doc_id)) == pytest.approx(r.score)
     assert not got
+
+
+def test_what_an_equivalent_skill_meets_is_no_gap(spark):
+    asked = spark.createDataFrame([(1, r, "must", 1.0, i) for i, r in enumerate(["sql", "go", "rust", "java", "css"])], "analysis_id long, requirement string, importance string, weight double, position int")
+    matches = spark.createDataFrame([(1, "java", "wrote java", "Experience", 0.9, 90), (1, "css", "css", "Skills", 0.5, 40)], "analysis_id long, requirement string, chunk string, section string, score double, confidence int")
+    related = spark.createDataFrame([(1, "sql", "mysql", 0.9, "equivalent", False, "MySQL"), (1, "go", "golang", 0.95, "equivalent", True, "Golang at work"), (1, "rust", "c++", 0.7, "related", True, "c"), (1, "java", "kotlin", 0.7, "related", True, "k")], "analysis_id long, requirement string, related_skill string, cosine double, relation string, narrative boolean, skill_chunk string")
+    rows = scoring.verdicts(asked, matches, related).cache()
+    assert {r.requirement: r.status for r in rows.collect()} == {"sql": "Partial", "go": "Matched", "rust": "Missing", "java": "Matched", "css": "Partial"}
+    assert {r.requirement: r.estimated_time for r in scoring.learning_roadmap(rows).collect()} == {"rust": "10-14 days", "css": "2-4 days"}
+    report = scoring.reports(rows).first()
+    assert report.weaknesses == ["Missing must-have: rust", "css: named, not backed by project work"]
+    assert report.strengths == ["sql through mysql", "go through golang", "java"]
+    assert report.skill_relationships == ["mysql counts as sql.", "golang counts as go.", "rust is a short way from c++.", "Work with kotlin backs java."]
+    assert [q.split()[0] for q in report.interview_questions] == ["How", "Which", "Which", "Which", "Which"] and "rust" in report.interview_questions[0]
+    assert [r.reason != "" for r in report.learning_roadmap] == [True, True] and report.authenticity.over_claimed_skills == ["css"]
+    assert sorted((r.kind, r.skill, r["count"]) for r in analytics.verdict_frequency(rows).collect()) == [("matched", "go", 1), ("matched", "java", 1), ("missing", "rust", 1)]
+    answers = scoring.interview(scoring.reports(rows), spark.createDataFrame([(1, 1, "About java?")], "analysis_id long, question_id int, question string")).first()
+    assert answers.evidence == "wrote java" and answers.missing_information
+
+
+def test_more_queries_than_a_block_holds(spark):
+    vectors = spark.createDataFrame([(i, [float(i % 5), 1.0]) for i in range(20)], "vec_id long, embedding array<double>")
+    asked = spark.range(20_000).select(F.col("id").alias("query_id"), F.array(F.col("id") % 3 - 1.0, F.lit(0.5)).alias("query"))
+    top = retrieval.vector_topk(asked, vectors, 2).collect()
+    assert len(top) == 40_000
+    best = {k: sorted((-((k - 1) * (i % 5) + 0.5), i) for i in range(20))[:2] for k in range(3)}
+    assert all(best[r.query_id % 3][r["rank"] - 1] == (-r.score, r.vec_id) for r in top)
+    assert retrieval.with_queries(vectors, asked.limit(0)).count() == 0

@@ -150,3 +150,14 @@ def test_profile(spark):
     assert (got[1].total_years, got[1].seniority_fit) == (6.0, "Unknown")
     assert (got[2].name, got[2].seniority_level, got[2].seniority_fit) == (None, None, "Unknown")
     assert got[3].name == "Mary-Ann O'Neil" and DEFAULTS.chunk_max == 600
+
+
+def test_a_section_of_many_sentences(spark):
+    """200,000 sentences are one fold; the cost doesn't grow with the chunks made before."""
+    import time
+
+    began = time.time()
+    df = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(200_000)), lambda i: F.struct(F.concat(F.lit("Sentence number "), i.cast("string"), F.lit(" is here.")).alias("sentence"), F.floor(i / 1000).cast("int").alias("page"))).alias("u"))
+    got = df.select(structuring.chunked(F.col("u")).alias("c")).first().c
+    units = [(f"Sentence number {i} is here.", i // 1000) for i in range(1, 200_001)]
+    assert [tuple(r) for r in got] == plain_chunks(units) and time.time() - began < 120
