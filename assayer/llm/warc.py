@@ -103,7 +103,10 @@ def frame_end(data: memoryview, at: int) -> int:
     if len(data) - at < 9 or struct.unpack_from("<I", data, at)[0] != FRAME_MAGIC:
         raise ArchiveError(f"no frame at byte {at}")
     checked = bool(data[at + 4] & 4)
-    at += zstandard.frame_header_size(data[at : at + 18])
+    try:
+        at += zstandard.frame_header_size(data[at : at + 18])
+    except zstandard.ZstdError as e:
+        raise ArchiveError(f"no frame header at byte {at}: {e}") from e
     while True:
         if at + 3 > len(data):
             raise ArchiveError("a frame is cut short")
@@ -117,27 +120,35 @@ def frame_end(data: memoryview, at: int) -> int:
 
 
 def read_records(data: bytes, strict: bool = True) -> Iterator[dict]:
-    """Records of an archive's bytes, of any length. Unless ``strict``, a bad record comes as a row with ``error``."""
-    view, at = memoryview(data), 0
-    dictionary = None
-    if len(view) >= 8 and (start := struct.unpack_from("<II", view))[0] == DICTIONARY_MAGIC:
-        at = 8 + start[1]
-        if at > len(view):
-            raise ArchiveError("the dictionary is cut short")
-        dictionary = zstandard.ZstdCompressionDict(bytes(view[8:at]))
-    reader = zstandard.ZstdDecompressor(dict_data=dictionary)
-    while at < len(view):
-        end = frame_end(view, at)
-        try:
-            known = zstandard.frame_content_size(view[at:end]) >= 0
-            yield parse_record(reader.decompress(view[at:end]) if known else reader.decompressobj().decompress(view[at:end]))
-        except (ArchiveError, zstandard.ZstdError) as e:
-            if strict:
-                raise ArchiveError(f"record at byte {at}: {e}") from e
-            yield {"error": f"record at byte {at}: {e}"}
-        at = end
-
+    """Records of an archive's bytes, of any length.
 
+    Unless ``strict``, a bad record comes as a row with ``error``. Where no frame can be told any more, as in an
+    archive that is cut short or has other bytes behind it, one such row stands for all the rest, and
+    for the whole archive if its dictionary is cut short or of no use.
+    """
+    view, at = memoryview(data), 0
+    try:
+        dictionary = None
+        if len(view) >= 8 and (start := struct.unpack_from("<II", view))[0] == DICTIONARY_MAGIC:
+            at = 8 + start[1]
+            if at > len(view):
+                raise ArchiveError("the dictionary is cut short")
+            dictionary = zstandard.ZstdCompressionDict(bytes(view[8:at]))
+        reader = zstandard.ZstdDecompressor(dict_data=dictionary)
+        while at < len(view):
+            end = frame_end(view, at)
+            try:
+                known = zstandard.frame_content_size(view[at:end]) >= 0
+                yield parse_record(reader.decompress(view[at:end]) if known else reader.decompressobj().decompress(view[at:end]))
+            except (ArchiveError, zstandard.ZstdError) as e:
+                if strict:
+                    raise ArchiveError(f"record at byte {at}: {e}") from e
+                yield {"error": f"record at byte {at}: {e}"}
+            at = end
+    except (ArchiveError, zstandard.ZstdError) as e:
+        if strict:
+            raise e if isinstance(e, ArchiveError) else ArchiveError(str(e)) from e
+        yield {"error": f"the rest from byte {min(at, len(view))}: {e}"}
 def with_record_types(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 100) -> DataFrame:
     """``(page_id, url, payload, payload_bytes, payload_digest, refers_to)``: the response that a page revisits, or null.
 
@@ -194,14 +205,20 @@ def read_archives(files: DataFrame, kind: str = "bigint", strict: bool = True) -
     ship(files.sparkSession)
     schema = RECORD.format(kind=kind)
     names = [c.split()[0] for c in schema.split(", ")]
-    whole = kind in ("bigint", "int", "smallint", "tinyint")
+    bits = {"bigint": 63, "int": 31, "smallint": 15, "tinyint": 7}.get(kind, 0)
+    whole = bits > 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 rows = []
                 for r in read_records(content.as_py(), strict):
-                    ids = {k: int(r[k]) if whole and r.get(k) is not None else r.get(k) for k in ("page_id", "refers_to")}
+                    ids = {k: r.get(k) for k in ("page_id", "refers_to")}
+                    if whole and (odd := [v for v in ids.values() if v is not None and not (re.fullmatch(r"-?[0-9]{1,19}", v) and -(1 << bits) <= int(v) < 1 << bits)]):
+                        if strict:
+                            raise ArchiveError(f"{os.path.basename(path)}: no number: {odd[0][:40]}")
+                        r, ids = {"error": f"no number: {odd[0][:40]}"}, {}
+                    ids = {k: int(v) if whole and v is not None else v for k, v in ids.items()}
                     rows.append({n: None for n in names} | r | ids | {"archive": os.path.basename(path)})
                     if len(rows) >= 1000:
                         yield from batch_of(rows)
@@ -226,6 +243,15 @@ def broken_revisits(records: DataFrame) -> DataFrame:
     return joined.where("NOT (digest <=> payload_digest AND bytes <=> payload_bytes)").select("page_id", "refers_to")
 
 
+def with_checked_revisits(heads: DataFrame) -> DataFrame:
+    """Records without payloads; reading a revisit whose response is missing or differs fails."""
+    held = materialise(heads, "heads")
+    broken = broken_revisits(held).select(F.col("page_id").alias("__broken")).distinct()
+    told = F.raise_error(F.concat(F.lit("revisit without its response: "), F.col("page_id").cast("string"))).cast("string")
+    joined = held.join(broken, (F.col("record_type") == "revisit") & (F.col("page_id") == F.col("__broken")), "left")
+    return joined.withColumn("record_type", F.when(F.col("__broken").isNotNull(), told).otherwise(F.col("record_type"))).drop("__broken")
+
+
 def archive_files(spark: SparkSession, folder: str, manifest: DataFrame | None = None) -> DataFrame:
     """The archives in ``folder`` as ``binaryFile`` rows, those of the manifest if one is given."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder)

@@ -93,3 +93,33 @@ def test_reader_validates():
     for cut in (5, 20, len(data) - 1, len(data) - 40):
         with pytest.raises(warc.ArchiveError):
             list(warc.read_records(data[:cut]))
+
+
+def test_damaged_archives_are_rows(spark):
+    """Each kind of damage: cut short, bytes behind, a broken frame, no dictionary, an id that is no number."""
+    import struct
+
+    good = [warc.record_bytes(i, f"http://x/{i}", "response", None, len(b), hashlib.sha256(b).hexdigest(), b) for i, b in enumerate([b"a" * 300, b"b" * 50_000, b""])]
+    whole = warc.archive_bytes(good)
+    start = 8 + struct.unpack_from("<II", whole)[1]
+    first = warc.frame_end(memoryview(whole), start)
+    broken = bytearray(whole)
+    broken[first - 6] ^= 255
+    odd = warc.archive_bytes([warc.record_bytes("ten", None, "response", None, 1, hashlib.sha256(b"x").hexdigest(), b"x"), good[0]])
+    cases = {"cut": (whole[:-3], 2, 1), "behind": (whole + b"more", 3, 1), "frame": (bytes(broken), 2, 1), "no-frames": (b"\x00" * 40, 0, 1), "dictionary": (whole[: start - 9], 0, 1), "garbled": (whole[:20] + b"\xff" * 40, 0, 1), "empty": (b"", 0, 0), "odd": (odd, 1, 1), "whole": (whole, 3, 0)}
+    files = spark.createDataFrame([(f"/f/{n}", bytearray(data)) for n, (data, _, _) in cases.items()], "path string, content binary")
+    found = warc.read_archives(files, "bigint", strict=False).collect()
+    for name, (data, records, errors) in cases.items():
+        mine = [r for r in found if r.archive == name]
+        assert (sum(r.error is None for r in mine), sum(r.error is not None for r in mine)) == (records, errors), name
+        if errors:
+            with pytest.raises(Exception):
+                warc.read_archives(files.where(f"path = '/f/{name}'"), "bigint").collect()
+
+
+def test_a_revisit_needs_its_response(spark):
+    heads = spark.createDataFrame([(1, 100, "d", "response", None), (2, 100, "d", "revisit", 1), (3, 99, "d", "revisit", 1), (4, 100, "d", "revisit", 9)], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    assert warc.with_checked_revisits(heads.where("page_id < 3")).count() == 2
+    for bad in (3, 4):
+        with pytest.raises(Exception, match="revisit without its response"):
+            warc.with_checked_revisits(heads.where(f"page_id < 3 OR page_id = {bad}")).collect()
