@@ -92,9 +92,8 @@ def repeated_bits(keys: DataFrame, bits: int, flush: int = 4_000_000) -> np.ndar
     return out
 
 
-def mark_suspects(rows: DataFrame, key: str, bits: int, packed: np.ndarray) -> DataFrame:
-    """``rows`` with ``__suspect``: all bits of ``key`` are set in the filter."""
-    shared = rows.sparkSession.sparkContext.broadcast(packed)
+def mark_suspects(rows: DataFrame, key: str, bits: int, shared) -> DataFrame:
+    """``rows`` with ``__suspect``: all bits of ``key`` are set in the broadcast filter."""
     at = rows.schema.fieldNames().index(key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,17 +108,28 @@ def mark_suspects(rows: DataFrame, key: str, bits: int, packed: np.ndarray) -> D
 
 
 class Filters:
-    """The filters over the keys of ``rows``, one for each part of the keys."""
+    """Marks the rows of a table whose keys may repeat, ``keys (key)`` being those of all its rows.
+
+    One filter serves while it holds all keys. Of more rows each part of the keys gets its own, one
+    after another: its rows are marked and written before the next one is made, so that the
+    driver and the tasks never hold more than one.
+    """
 
     def __init__(self, keys: DataFrame, per_row: int, max_bits: int):
+        self.keys = keys
         self.bits, self.parts = filter_size(keys.count(), per_row, max_bits)
-        self.packed = [repeated_bits(self._part(keys, "key", i), self.bits) for i in range(self.parts)]
-
-    def _part(self, rows: DataFrame, key: str, i: int) -> DataFrame:
-        return rows if self.parts == 1 else rows.where(F.pmod(F.xxhash64(key), F.lit(self.parts)) == i)
+        self.single = repeated_bits(keys, self.bits) if self.parts == 1 else None
 
     def mark(self, rows: DataFrame, key: str) -> DataFrame:
-        return reduce(DataFrame.union, [mark_suspects(self._part(rows, key, i), key, self.bits, packed) for i, packed in enumerate(self.packed)])
+        if self.parts == 1:
+            return mark_suspects(rows, key, self.bits, rows.sparkSession.sparkContext.broadcast(self.single))
+        out = []
+        for i in range(self.parts):
+            part = lambda some, name: some.where(F.pmod(F.xxhash64(name), F.lit(self.parts)) == i)  # noqa: B023, E731
+            shared = rows.sparkSession.sparkContext.broadcast(repeated_bits(part(self.keys, "key"), self.bits))
+            out.append(materialise(mark_suspects(part(rows, key), key, self.bits, shared), "marked"))
+            shared.destroy()
+        return reduce(DataFrame.union, out)
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_row: int = 16, max_bits: int = 1 << 30) -> DataFrame:
@@ -160,12 +170,14 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     keyed = docs.select(F.struct(*quoted(names)).alias("__row"), F.col(id_col).alias("__id"), F.xxhash64(text).alias("__key"))
     filters = Filters(keyed.select(F.col("__key").alias("key")), per_row, max_bits)
     lean = docs.select(F.col(id_col).alias("__id"), text.alias("__text"), F.xxhash64(text).alias("__key"))
-    suspects = filters.mark(lean, "__key").where("__suspect").select("__id", text_hash(F.col("__text")).alias("__sha"))
+    # With several filters the whole rows are marked, and written, once; else they pass by the one filter twice.
+    marked = filters.mark(keyed, "__key")
+    told = filters.mark(lean, "__key") if filters.parts == 1 else marked.select("__id", F.coalesce(F.col("__row")[text_col], F.lit("")).alias("__text"), "__suspect")
+    suspects = told.where("__suspect").select("__id", text_hash(F.col("__text")).alias("__sha"))
     by_id = materialise(suspects.groupBy("__sha", "__id").agg(F.count(F.lit(1)).alias("n")), "suspects")
     best = F.max(F.when(F.col("__id").isNotNull(), F.struct("__id", "n")))
     repeated = by_id.groupBy("__sha").agg(best.alias("best"), F.sum("n").alias("size")).where("size > 1 AND best IS NOT NULL")
     repeated = materialise(repeated.select("__sha", F.col("best.__id").alias("__keep"), (F.col("best.n") > 1).alias("__twice")), "repeated")
-    marked = filters.mark(keyed, "__key")
     held = marked.where("__suspect").select("__row", "__id", text_hash(F.col("__row")[text_col]).alias("__sha")).join(repeated, "__sha", "left").where("__keep IS NULL OR __id = __keep")
     kept = marked.where("NOT __suspect").select("__row")
     if repeated.where("__twice").isEmpty():

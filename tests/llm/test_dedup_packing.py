@@ -129,7 +129,7 @@ def test_filter_finds_all_repeated_keys(spark):
     frame = spark.createDataFrame([(k,) for k in keys + keys[:50] + keys[:1] * 300], "key long").repartition(7)
     for flush in (16, 4_000_000):
         packed = exact_dedup.repeated_bits(frame, 1 << 18, flush)
-        marked = exact_dedup.mark_suspects(frame, "key", 1 << 18, packed).where("__suspect").collect()
+        marked = exact_dedup.mark_suspects(frame, "key", 1 << 18, spark.sparkContext.broadcast(packed)).where("__suspect").collect()
         found = {r.key for r in marked}
         assert set(keys[:50]) <= found and len(found) < 100
 
