@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tokens import piece_encoder
-from .workspace import materialise, ship
+from .workspace import materialise, ship, trim
 
 _MEMBER = [("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("offset", pa.int64())]
 
@@ -100,6 +100,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capaci
     schema = f"sequence_id long, done boolean, size long, members array<struct<id:{kind},piece:int,start:bigint,length:bigint,ids_crc32:bigint,offset:bigint>>"
 
     def first_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         encoder, used = piece_encoder(tokenizer_path), 0
         ids, rows, id_type = [], [], None
 

@@ -85,7 +85,7 @@ class PieceEncoder:
     that hold a special token in any case, go to it as they are.
     """
 
-    def __init__(self, path: str, limit: int = 400_000, step: int = 6 << 20):
+    def __init__(self, path: str, limit: int = 400_000, step: int = 3 << 20):
         self.tokenizer, self.limit, self.step = load_tokenizer(path), limit, step
         check_pieces(self.tokenizer, path)
         ids = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -133,8 +133,8 @@ class PieceEncoder:
             place = pc.index_in(parts, value_set=self.known)
         words = [p.decode("utf-8", "replace") for p in fresh.to_pylist()]
         counts, flat = [], []
-        for i in range(0, len(words), 20_000):
-            for e in self.tokenizer.encode_batch_fast(words[i : i + 20_000], add_special_tokens=False):
+        for i in range(0, len(words), 4000):  # what the library returns takes some kilobytes a word
+            for e in self.tokenizer.encode_batch_fast(words[i : i + 4000], add_special_tokens=False):
                 ids = e.ids
                 counts.append(len(ids))
                 flat.extend(ids)

@@ -7,51 +7,26 @@ at most the tasks of the stage that is running, as its inputs are files.
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-import zipfile
-from pathlib import Path
+import ctypes
 
-from pyspark import SparkContext
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import SparkSession
 
-BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
-_own_dirs: dict[str, str] = {}
-_shipped: set[str] = set()
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of this session; a local one is made only under a ``local`` master."""
-    context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    app = context.applicationId
-    if app not in _own_dirs:
-        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = tempfile.mkdtemp(prefix="assayer-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        _own_dirs[app] = f"file://{folder}"
-    return _own_dirs[app]
+from ..sources import shared
+from ..sources.shared import materialise, new_path, quoted, shared_dir
 
+__all__ = ["materialise", "new_path", "quoted", "shared_dir", "ship", "trim"]
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/assayer/{uuid.uuid4().hex}/{name}"
-
-
-def quoted(names: list[str]) -> list[str]:
-    """Column names for ``select``, whatever characters they hold."""
-    return ["`" + n.replace("`", "``") + "`" for n in names]
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def trim() -> None:
+    """Give memory that is free in this process back to the system: a worker that Spark keeps holds what earlier stages used."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not every C library has it
+        pass
 
 
 def ship(spark: SparkSession) -> None:
@@ -60,15 +35,6 @@ def ship(spark: SparkSession) -> None:
     Arrow batches hold whole texts here, several times over on their way; unless
     the session names another size than Spark's default, they are kept at 16 MB.
     """
-    context: SparkContext = spark.sparkContext
     if spark.conf.get(BATCH_BYTES, None) == "67108864b":
         spark.conf.set(BATCH_BYTES, "16m")
-    if context.applicationId in _shipped:
-        return
-    package = Path(__file__).resolve().parents[1]
-    archive = Path(tempfile.mkdtemp(prefix="assayer-ship-")) / "assayer_package.zip"
-    with zipfile.ZipFile(archive, "w") as z:
-        for p in sorted(package.rglob("*.py")):
-            z.write(p, p.relative_to(package.parent).as_posix())
-    context.addPyFile(str(archive))
-    _shipped.add(context.applicationId)
+    shared.ship(spark)
