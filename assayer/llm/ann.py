@@ -250,14 +250,15 @@ def exact(pairs: DataFrame, vectors: DataFrame, queries: DataFrame, keep: int, b
     return held.groupBy("block", "chunk").cogroup(asked.groupBy("block", "chunk")).applyInArrow(run, "query long, node long, score double")
 
 
-def nearest(table: DataFrame, every: int = 20, k: int = 20, rerank: int = 192, block_rows: int = 65_536, query_rows: int = 32_768, id_col: str = "vec_id", vector_col: str = "embedding", **fitting) -> DataFrame:
+def nearest(table: DataFrame, every: int = 20, k: int = 20, rerank: int = 192, block_rows: int = 65_536, query_rows: int = 32_768, block_bytes: int = 32 << 20, id_col: str = "vec_id", vector_col: str = "embedding", **fitting) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``k`` vectors of largest inner product for each
     row whose id is divisible by ``every``, the row itself left out; ties go to smaller ids.
 
     See ``usable_vectors`` for rows that take no part. Every other row counts, also
     those that repeat an id or a vector; a query that repeats an id gets its own
     ``k`` rows. Vectors of different lengths don't meet: a row is searched among
-    those of its own length. With fewer candidates than ``k`` all are returned;
+    those of its own length. Original vectors are compared in blocks of ``block_bytes``
+    at most, whatever their length. With fewer candidates than ``k`` all are returned;
     none give no rows. Other columns are ignored, whatever their names.
     """
     rows = usable_vectors(table, id_col, vector_col)
@@ -270,7 +271,7 @@ def nearest(table: DataFrame, every: int = 20, k: int = 20, rerank: int = 192, b
         queries = vectors.join(asking.select(F.col("query").alias("node")).distinct(), "node", "left_semi").select("node", "vec")
         model, index = build_index(vectors, **fitting)
         pairs = candidates(model, index, queries, rerank, block_rows, query_rows)
-        scored = exact(pairs, vectors, queries, k + 1, block_rows)
+        scored = exact(pairs, vectors, queries, k + 1, max(1, min(block_rows, block_bytes // (8 * max(1, dim)))))
         # The k + 1 best vectors hold the k best rows, as the row itself is one of theirs at most.
         first = F.col("members")[0]["id"]
         near = scored.join(vectors.select("node", "members"), "node")

@@ -27,9 +27,29 @@ from .workspace import ship
 #: Fixed by the vocabulary file: how its pre-tokenizer splits lower-cased ASCII text.
 ASCII_SPLIT = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 
+#: Fixed by the format: what a file must say for the split above, the normaliser and the decoding here to be its own.
+NORMALISERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
 _models: dict[str, "PairIndexBpe"] = {}
 
 
+def check_file(spec: dict, path: str) -> None:
+    """Raise unless the tokenizer file is a byte-level, word-end-marked BPE with the split, normaliser and decoding known here."""
+    model, steps = spec["model"], (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}, {}]
+    kinds = {
+        "its normaliser": (spec.get("normalizer") or {}).get("normalizers") == NORMALISERS,
+        "its split": len(steps) == 2 and steps[0].get("pattern") == {"Regex": SPLIT} and steps[0].get("invert") is True and steps[0].get("behavior") == "Removed",
+        "its bytes": steps[-1].get("type") == "ByteLevel" and not steps[-1].get("add_prefix_space") and not steps[-1].get("use_regex"),
+        "its decoder": spec.get("decoder") is None,
+        "its model": model.get("type") == "BPE" and bool(model.get("end_of_word_suffix")) and not any(model.get(n) for n in ("unk_token", "continuing_subword_prefix", "dropout", "byte_fallback", "ignore_merges")),
+        "its added tokens": all(t["content"].startswith("<|") and not any(t.get(n) for n in ("normalized", "lstrip", "rstrip", "single_word")) for t in spec["added_tokens"]),
+    }
+    wrong = [n for n, right in kinds.items() if not right]
+    if wrong:
+        raise ValueError(f"{path}: {', '.join(wrong)} can't be encoded here")
+
+
 def byte_letters() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -43,6 +63,7 @@ class PairIndexBpe:
 
     def __init__(self, path: str, limit: int = 200_000):
         spec = json.load(open(path, encoding="utf-8"))
+        check_file(spec, path)
         model = spec["model"]
         vocab, end = model["vocab"], model["end_of_word_suffix"]
         self.tokens = [""] * (1 + max([*vocab.values(), *(t["id"] for t in spec["added_tokens"])]))

@@ -123,3 +123,14 @@ def test_a_revisit_needs_its_response(spark):
     for bad in (3, 4):
         with pytest.raises(Exception, match="revisit without its response"):
             warc.with_checked_revisits(heads.where(f"page_id < 3 OR page_id = {bad}")).collect()
+
+
+def test_other_files_are_refused(tmp_path):
+    import json
+
+    spec = json.load(open(tokenizer_path(), encoding="utf-8"))
+    bpe.check_file(spec, "as it is")
+    changes = {"decoder": {"type": "ByteLevel"}, "normalizer": {"type": "NFC"}, "pre_tokenizer": {"type": "Whitespace"}, "added_tokens": [{"id": 0, "content": "[X]"}], "model": {**spec["model"], "unk_token": "?"}}
+    for name, value in changes.items():
+        with pytest.raises(ValueError, match="can't be encoded"):
+            bpe.check_file({**spec, name: value}, name)

@@ -132,3 +132,67 @@ def test_gradients():
             table[k, b, f] += d
             diffs.append(loss(quality.QualityModel(table, model.bias, model.weights, model.intercept)))
         assert abs((diffs[0] - diffs[1]) / 2e-3 - grads["table"][k, b, f]) < 2e-3
+
+
+def test_quality_equals_a_plain_convolution():
+    import math
+
+    import numpy as np
+    from assayer.llm import quality as q
+
+    rnd = np.random.default_rng(2)
+    table = rnd.normal(0, 1, (q.WIDTH, 256, q.FILTERS)).astype(np.float32)
+    table[:, 0] = 0
+    model = q.QualityModel(table, rnd.normal(0, 1, q.FILTERS).astype(np.float32), rnd.normal(0, 1, q.FILTERS), 0.3)
+    texts = [None, b"", b"a", bytes(rnd.integers(1, 256, 127, dtype=np.uint8)), bytes(rnd.integers(1, 256, 128, dtype=np.uint8)), bytes(rnd.integers(1, 256, 257, dtype=np.uint8)), bytes(rnd.integers(1, 256, 1500, dtype=np.uint8))]
+
+    def plain(text):
+        halves = max(2, math.ceil(len(text) / q.HALF))
+        body = text.ljust(halves * q.HALF, b"\0")
+        act = lambda p: sum(table[k, body[p + k]].astype(np.float64) for k in range(q.WIDTH) if p + k < len(body))
+        tops = [np.maximum(np.max([act(p) for p in range(h * q.HALF, (h + 1) * q.HALF, q.STRIDE)], axis=0) + model.bias, 0) for h in range(halves)]
+        pooled = np.mean([np.maximum(a, b) for a, b in zip(tops, tops[1:])], axis=0)
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, float(pooled @ model.weights) + model.intercept))))
+
+    want = [plain(t or b"") for t in texts]
+    assert np.abs(q.predict(model, texts) - want).max() < 1e-4
+    assert np.abs(q.predict(model, texts, step=1) - want).max() < 1e-4
+
+
+def test_toxicity_score_from_its_definition(spark):
+    import math
+    import random
+
+    from assayer.llm import toxicity as t
+
+    rnd = random.Random(6)
+    odds = {b"bad": 2.0, b"^wor": 1.2, b"awful": 3.1, b"^ugl": 0.4}
+    model = t.ToxicityModel(odds, -0.35, 0.8, 0.1, -2.0, 0.5)
+    texts = [None, "", "bad"] + [" ".join(rnd.choices(["bad", "fine", "worse", "awful", "ugly", "ok", "Word", "day"], [1, 9, 1, 1, 1, 9, 1, 9], k=rnd.randrange(1, 120))) for _ in range(60)]
+
+    def plain(text):
+        words = (text or "").lower().split()
+        scores = []
+        for w in words:
+            forms = [w.encode(), *(b"^" + w[:k].encode() for k in (7, 6, 5, 4, 3) if len(w) > k)]
+            scores.append(next((odds[f] for f in forms if f in odds), -0.35))
+        segments, todo = [], [(0, len(scores))]
+        while todo:  # the best span, then both sides of it
+            a, b = todo.pop()
+            spans = [(sum(scores[i:j]), -(j - i), i, j) for i in range(a, b) for j in range(i + 1, b + 1)]
+            best = max(((round(s, 9), n, -i, i, j) for s, n, i, j in spans), default=(0,))
+            if best[0] > 0:
+                segments.append(sum(scores[best[3] : best[4]]))
+                todo += [(a, best[3]), (best[4], b)]
+        norm = sorted((0.8 * s - math.log(0.1 * max(1, len(words))) for s in segments), reverse=True)
+        found, total = -3.0, 0.0
+        for r, s in enumerate(norm, 1):
+            if r > 1 and s <= 0:
+                break
+            total += s
+            found = max(found, total if r == 1 else total - (r - 1) * math.log(max(1.0, total)) + math.log(math.factorial(r)) + math.log(math.factorial(r - 1)))
+        return 1 / (1 + math.exp(-(-2.0 + 0.5 * min(found, 30.0))))
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.id: r.score for r in t.score(docs, model).collect()}
+    assert max(abs(got[i] - plain(x)) for i, x in enumerate(texts)) < 1e-9
