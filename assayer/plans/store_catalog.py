@@ -151,3 +151,17 @@ def text_vectors(t: Tables) -> DataFrame:
     """All documents, encoded by word vectors learned from them."""
     docs = t.read("documents").select("doc_id", "text")
     return encoder.encoded(docs, encoder.word_vectors(docs)).select("doc_id", "vector")
+
+
+@query("""WITH p AS (SELECT conv_id, turn, i, trim(l) AS line, role FROM (SELECT conv_id, turn, role, unnest(a) AS l, generate_subscripts(a, 1) AS i FROM (SELECT conv_id, turn, role, string_split(regexp_replace(coalesce(text, ''), '[^\\n\\t\\x20-\\x{D7FF}\\x{E000}-\\x{FFFD}\\x{10000}-\\x{10FFFF}]', ' ', 'g'), chr(10)) AS a FROM conversations))),
+b AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY turn, i) FILTER (line <> '') AS body FROM p GROUP BY 1), r AS (SELECT conv_id, string_agg(turn || ' | ' || role, chr(10) ORDER BY turn) AS rows FROM conversations GROUP BY 1)
+SELECT conv_id, conv_id % 9 = 4 AS refused, CASE WHEN conv_id % 9 <> 4 THEN CASE WHEN body IS NULL THEN rows ELSE body || chr(10) || rows END END AS text FROM b JOIN r USING (conv_id)""")
+def docx_texts(t: Tables) -> DataFrame:
+    """Conversations as DOCX files, a paragraph a line and a table of turns, read back; some files are cut and give no text."""
+    turns = t.read("conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.coalesce("text", F.lit("")).alias("text")))).alias("turns"))
+    lines = F.flatten(F.transform("turns", lambda x: F.split(x["text"], "\n")))
+    cells = F.transform("turns", lambda x: F.array(x["turn"].cast("string"), x["role"]))
+    made = files.docx_files(turns.select(F.concat(F.col("conv_id").cast("string"), F.lit("_talk.docx")).alias("path"), lines.alias("paragraphs"), cells.alias("cells")))
+    key = F.split_part("path", F.lit("_"), F.lit(1)).cast("long")
+    sent = made.withColumn("content", F.when(key % 9 == 4, F.substring("content", 1, 40)).otherwise(F.col("content")))
+    return files.parsed(sent).select(key.alias("conv_id"), F.col("error").isNotNull().alias("refused"), "text")

@@ -12,6 +12,7 @@ import zipfile
 from collections.abc import Iterator
 from functools import reduce
 from xml.etree import ElementTree
+from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,6 +22,7 @@ from pyspark.sql.types import StructType
 from ..functions.json import object_text
 from ..functions.scores import fingerprint
 from .buckets import BUCKET, BucketTable
+from .shared import ship
 
 SUFFIXES = {".pdf": ("application/pdf",), ".docx": ("application/vnd.openxmlformats-officedocument.wordprocessingml.document",)}
 
@@ -63,6 +65,29 @@ def docx_text(content: bytes) -> str:
     return "\n".join(x for x in lines if x)
 
 
+def docx_bytes(paragraphs: list[str], rows: list[list[str]] = ()) -> bytes:
+    """A document of plain paragraphs and one table; characters that XML can't hold become blanks."""
+    clean = lambda t: escape(re.sub("[^\t\x20-\ud7ff\ue000-\ufffd\U00010000-\U0010ffff]", " ", t))
+    p = lambda t: f'<w:p><w:r><w:t xml:space="preserve">{clean(t)}</w:t></w:r></w:p>'
+    table = "<w:tbl>" + "".join(f"<w:tr>{''.join(f'<w:tc>{p(c)}</w:tc>' for c in row)}</w:tr>" for row in rows) + "</w:tbl>" if rows else ""
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{WORDS[1:-1]}"><w:body>{"".join(map(p, paragraphs))}{table}</w:body></w:document>')
+    return out.getvalue()
+
+
+def docx_files(rows: DataFrame) -> DataFrame:
+    """``(path, content)`` of ``rows (path, paragraphs array<string>, cells array<array<string>>)``, as ``binaryFile`` gives them."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            made = [docx_bytes(list(p), [list(r) for r in c]) for p, c in zip(batch["paragraphs"], batch["cells"])]
+            yield pd.DataFrame({"path": batch["path"], "content": made})
+
+    ship(rows.sparkSession)
+    return rows.select("path", "paragraphs", "cells").mapInPandas(run, "path string, content binary")
+
+
 def pdf_text(content: bytes) -> str:
     """Text of each page below its page mark; needs a PDF library."""
     from pypdf import PdfReader
@@ -88,6 +113,7 @@ def parsed(files: DataFrame) -> DataFrame:
                 texts.append(text), errors.append(error)
             yield pd.DataFrame({"path": batch["path"], "sha": batch["sha"], "text": texts, "error": errors})
 
+    ship(files.sparkSession)
     return files.select("path", "content", fingerprint(F.col("content")).alias("sha")).mapInPandas(run, "path string, sha string, text string, error string")
 
 
