@@ -445,7 +445,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary, warm_rows: int = 256, warm_by
 
     A warm start on a bounded sample gives all shards the same point to go on
     from. Rows are dealt over shards of about ``shard_tokens`` tokens by a hash of
-    their id; shards over ``rounds`` rounds. A round's shards start from the
+    their id; shards over ``rounds`` rounds, one more for each doubling beyond 64 shards. A round's shards start from the
     weights that the one before averaged.
     """
     spark = docs.sparkSession
@@ -457,7 +457,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary, warm_rows: int = 256, warm_by
         for _ in range(2):
             train_lanes(adam, *lanes_of(codes, lengths, 32), window=16)
     shards = max(1, math.ceil(vocabulary.tokens / shard_tokens))
-    rounds = min(rounds, shards)
+    rounds = min(max(rounds, shards.bit_length() - 4), shards)
     names, step, block = list(weights), STEP, 16_384
     shard = F.pmod(F.xxhash64("id", F.lit("shard")), F.lit(shards))
     order = F.xxhash64("id")
