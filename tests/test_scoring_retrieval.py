@@ -1,6 +1,7 @@
 """Verdicts, reports, leaderboards, BM25, fusion and vector search on small cases."""
 
 import math
+import random
 
 import pytest
 from assayer.functions import scores as S
@@ -174,3 +175,25 @@ def test_more_queries_than_a_block_holds(spark):
     best = {k: sorted((-((k - 1) * (i % 5) + 0.5), i) for i in range(20))[:2] for k in range(3)}
     assert all(best[r.query_id % 3][r["rank"] - 1] == (-r.score, r.vec_id) for r in top)
     assert retrieval.with_queries(vectors, asked.limit(0)).count() == 0
+
+
+def test_vector_topk_on_ties_lengths_and_odd_vectors(spark):
+    rnd = random.Random(4)
+    rows = [(i, [rnd.choice([-1.0, 0.1, 0.2, 0.3]) for _ in range(rnd.choice([3, 3, 3, 2]))]) for i in range(400)] + [(500 + i, [0.1, 0.2, 0.3]) for i in range(40)]
+    rows += [(900, None), (901, [None, 1.0, 1.0]), (902, [float("nan"), 1.0, 1.0]), (903, [float("inf"), 1.0, 1.0]), (904, [])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(6)
+    asked = [(i, [rnd.choice([0.3, -0.7, 1.1]) for _ in range(3 if i % 5 else 2)]) for i in range(30)] + [(77, None), (78, [1.0])]
+    got = retrieval.vector_topk(spark.createDataFrame(asked, "query_id long, query array<double>"), vectors, 7, most=11).collect()
+    want = []
+    for q, v in asked:
+        scored = []
+        for i, x in rows:
+            if v and x and len(x) == len(v) and all(y is not None and math.isfinite(y) for y in x):
+                total = 0.0
+                for a, b in zip(x, v):
+                    total += a * b
+                scored.append((-total, i))
+        want += [(q, i, -s, n) for n, (s, i) in enumerate(sorted(scored)[:7], 1)]
+    assert sorted((r.query_id, r.vec_id, r.score, r["rank"]) for r in got) == sorted(want)
+    near = retrieval.vector_topk(spark.createDataFrame(asked, "query_id long, query array<double>"), vectors, 7, floor=0.5).collect()
+    assert sorted((r.query_id, r.vec_id) for r in near) == sorted((q, i) for q, i, s, _ in want if math.floor(s * 1000 + 0.5) / 1000 >= 0.5)
