@@ -8,12 +8,13 @@ from pyspark.sql.types import StructType
 
 from ..functions import scores as S
 from ..functions.json import object_in_text
-from ..operators import encoder, retrieval, structuring
+from ..operators import encoder, retrieval, scoring, structuring, traits
+from ..operators.requirements import STOP
 from ..sources import files
 from ..sources.buckets import BucketTable
 from ..sources.shared import new_path
 from ..sources.uploads import insert_uploads
-from ..sources.views import TEXTS, Tables, with_views
+from ..sources.views import SCORING, TEXTS, Tables, in_list, with_views
 from ..streaming import events, ingest
 from .registry import query
 
@@ -165,3 +166,35 @@ def docx_texts(t: Tables) -> DataFrame:
     key = F.split_part("path", F.lit("_"), F.lit(1)).cast("long")
     sent = made.withColumn("content", F.when(key % 9 == 4, F.substring("content", 1, 40)).otherwise(F.col("content")))
     return files.parsed(sent).select(key.alias("conv_id"), F.col("error").isNotNull().alias("refused"), "text")
+
+
+@query(with_views(*SCORING) + """, e AS (SELECT analysis_id, '{' || chr(10) || '  "analysis_id" : ' || analysis_id || ',' || chr(10) || '  "overall_score" : ' || overall_score || ',' || chr(10) || '  "keyword_stuffing_risk" : "' || keyword_stuffing_risk || '"' || chr(10) || '}' AS body FROM scored)
+SELECT analysis_id, body, md5(body) AS etag FROM e""")
+def report_export(t: Tables) -> DataFrame:
+    """The download of each report and its entity tag."""
+    scores = scoring.sub_scores(scoring.verdicts(t.requirements, t.matches))
+    return files.export_json(scores.select("analysis_id", "overall_score", "keyword_stuffing_risk"))
+
+
+@query("""SELECT p_partkey::VARCHAR AS rank, p_name || ', "' || p_brand || '"' AS name, CASE WHEN p_size % 2 = 0 THEN p_size::VARCHAR END AS score, CASE WHEN p_size > 1 THEN p_type || '; ' || p_brand ELSE p_type END AS missing FROM part""")
+def ranking_csv(t: Tables) -> DataFrame:
+    """A ranking written as CSV and read back as text: quotes and commas kept, lists joined, no value where none was."""
+    kinds = F.when(F.col("p_size") > 1, F.array("p_type", "p_brand")).otherwise(F.array("p_type"))
+    rows = t.read("part").select(F.col("p_partkey").alias("rank"), F.concat("p_name", F.lit(', "'), "p_brand", F.lit('"')).alias("name"), F.when(F.col("p_size") % 2 == 0, F.col("p_size")).alias("score"), kinds.alias("missing"))
+    folder = new_path(t.spark, "ranking")
+    files.write_ranking_csv(rows, folder)
+    return t.spark.read.schema("rank string, name string, score string, missing string").option("header", True).option("escape", "\\").csv(folder)
+
+
+@query("""SELECT CASE WHEN text = '' THEN NULL ELSE text END AS "Resume_Text", conv_id::DOUBLE AS "Extroversion", turn::DOUBLE AS "Conscientiousness", length(text)::DOUBLE / 8 AS "Openness", NULL::DOUBLE AS "Agreeableness", -0.5::DOUBLE AS "Neuroticism" FROM conversations""")
+def traits_csv(t: Tables) -> DataFrame:
+    """Texts with quotes, commas and line breaks beside five numbers, from a CSV file with a header."""
+    rows = t.read("conversations").select(F.col("text").alias("Resume_Text"), *(x.cast("double").alias(n) for x, n in zip((F.col("conv_id"), F.col("turn"), F.length("text") / 8, F.lit(None), F.lit(-0.5)), traits.TRAITS)))
+    folder = new_path(t.spark, "traits")
+    rows.write.option("header", True).option("escape", '"').csv(folder)
+    return files.read_traits_csv(t.spark, folder)
+
+
+@query(f"""SELECT doc_id, array_to_string(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(text), '[^a-z \\t\\n\\x0B\\f\\r]', '', 'g'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')), ' '), lambda w: w <> '' AND NOT list_contains([{in_list(STOP)}], w)), ' ') AS words FROM documents""")
+def preprocessed_text(t: Tables) -> DataFrame:
+    return t.read("documents").select("doc_id", traits.preprocessed(F.col("text"), STOP).alias("words"))
