@@ -57,24 +57,24 @@ class BucketTable:
         twice changes nothing.
         """
         bucket = self.bucket_of(F.col(self.key))
-        fresh = self._own(rows.select(*quoted(self.schema.names)).withColumn(BUCKET, bucket), "fresh")
+        fresh = self.written(rows.select(*quoted(self.schema.names)).withColumn(BUCKET, bucket), "fresh")
         ids = fresh.select(F.col(self.key).alias("__id"), F.col(BUCKET).alias("__bucket"))
         if gone is not None:
-            ids = ids.union(self._own(gone.select(F.col(self.key).alias("__id"), bucket.alias("__bucket")), "gone"))
-        ids = self._own(ids.distinct(), "ids")
+            ids = ids.union(self.written(gone.select(F.col(self.key).alias("__id"), bucket.alias("__bucket")), "gone"))
+        ids = self.written(ids.distinct(), "ids")
         touched = [r["__bucket"] for r in ids.select("__bucket").distinct().collect()]  # one number per bucket at most
         if not touched:
             return
         kept = self.stored().where(F.col(BUCKET).isin(touched)).join(ids, self._same(), "left_anti")
         names = [*self.schema.names, BUCKET]
-        after = self._own(kept.select(*quoted(names)).unionByName(fresh), "after")
+        after = self.written(kept.select(*quoted(names)).unionByName(fresh), "after")
         full = {r[BUCKET] for r in after.select(BUCKET).distinct().collect()}
         after.hint("rebalance", BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).format(self.format).save(self.folder)
         for b in touched:
             if b not in full:
                 remove(self.spark, f"{self.folder}/{BUCKET}={b}")
 
-    def _own(self, rows: DataFrame, name: str) -> DataFrame:
+    def written(self, rows: DataFrame, name: str) -> DataFrame:
         """Written, and read by this table's session: a stream's batches come in sessions of their own."""
         return materialise(rows, name, self.spark)
 

@@ -30,12 +30,13 @@ def ingest_drops(spark: SparkSession, folder: str, schema, index: BucketTable, m
     """Bring ``index`` up to date with the files in ``folder`` that it hasn't seen, one batch per arrival.
 
     ``make`` turns documents ``(key, text, …, sha)`` into index rows, which carry ``sha``.
-    Documents whose content is indexed are passed over; the rows of all others are replaced, in their
+    Fingerprints are read from the buckets of the documents at hand. Documents whose content is indexed are passed over; the rows of all others are replaced, in their
     buckets alone. A batch that is repeated after a failure changes nothing, as it is known by its number.
     """
 
     def take(batch: DataFrame, number: int) -> None:
-        fresh = index._own(changed(batch, index.rows(), index.key, text, order), "fresh-documents")
+        drop = index.written(batch, "drop")
+        fresh = index.written(changed(drop, index.of(drop.select(index.key)), index.key, text, order), "fresh-documents")
         index.once(number, make(fresh), fresh.select(index.key))
 
     apply_each(read_drop(spark, folder, schema, fmt), take, checkpoint).awaitTermination()
