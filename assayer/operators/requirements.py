@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.vectors import bound
 from ..settings import DEFAULTS, Settings, taxonomy_terms
 from .retrieval import ranked
 from .structuring import stripped
@@ -49,10 +50,14 @@ def contains_term(text: Column, term: Column) -> Column:
 def terms_in(text: Column, terms: list[str] | None = None) -> Column:
     """The given terms (the taxonomy's by default) that a text holds, in the given order.
 
-    Each term is a pattern of its own that is known when the plan is made, and so compiled once.
+    Each term is a pattern of its own that is known when the plan is made, and so compiled once;
+    it is tried on texts that hold the term's letters, in any case (a dotted capital I counts as i).
     """
     known = taxonomy_terms() if terms is None else terms
-    return F.array_compact(F.array(*[F.when(contains_term(text, F.lit(t)), t) for t in known]))
+    folded = F.lower(F.upper(F.translate(text, "\u0130", "i")))
+    near = lambda whole: F.array(*[F.contains(whole, F.lit(t.upper().lower())) for t in known])
+    maybe = bound(folded, near)
+    return bound(maybe, lambda m: F.array_compact(F.array(*[F.when(m[i] & contains_term(text, F.lit(t)), t) for i, t in enumerate(known)])))
 
 
 def term_documents(docs: DataFrame, text: str = "text", terms: list[str] | None = None) -> DataFrame:
