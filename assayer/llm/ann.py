@@ -5,6 +5,9 @@ approximated by the sum of the coded vectors, all of full dimension. Codes come
 from a beam search. A query scores codes through a table of its inner products
 with all codebook vectors. Only codes meet the blocks of queries; each query's
 best of the whole index are then scored exactly where the original vectors are.
+An entry also keeps the length of what its codes leave, so that entries are
+ordered by what their score may be; a query whose last candidate may still be as
+near as the ones found gets a longer list, until none may.
 
 Rows of equal vectors are one entry of the index, with the smallest ids among
 them, so that a vector that very many rows share takes the place of one.
@@ -30,6 +33,10 @@ from .workspace import materialise, ship
 @dataclass(frozen=True)
 class AdditiveQuantiser:
     books: np.ndarray  # codebook, entry, dimension; float32
+    widest: float = 1.0  # share of what codes leave, in squares, that may lie along one direction
+
+    def decode(self, codes: np.ndarray) -> np.ndarray:
+        return sum(book[c] for book, c in zip(self.books, codes.T))
 
     def encode(self, x: np.ndarray, beam: int = 4) -> np.ndarray:
         """Codes of unit vectors: the best sums found when ``beam`` partial sums are kept per codebook."""
@@ -79,7 +86,9 @@ def train(x: np.ndarray, books: int = 16, entries: int = 256, rounds: int = 6, r
     model = AdditiveQuantiser(np.stack(made))
     for _ in range(refine):
         model = AdditiveQuantiser(_refitted(model.books, model.encode(x), x))
-    return model
+    left = x - model.decode(model.encode(x))
+    e = np.linalg.eigvalsh((left.T @ left).astype(np.float64))
+    return AdditiveQuantiser(model.books, float(e[-1] / e.sum()) if e.sum() > 0 else 1.0)
 
 
 def _refitted(books: np.ndarray, codes: np.ndarray, x: np.ndarray, steps: int = 30) -> np.ndarray:
@@ -152,7 +161,7 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 def build_index(vectors: DataFrame, sample_rows: int = 8192, books: int = 32, entries: int = 256) -> tuple[AdditiveQuantiser, DataFrame]:
     """The quantiser, fitted to at most ``sample_rows`` vectors in order of a hash of their
-    node, and the index ``(node, codes, norm)`` of every vector ``(node, vec)``, of which there is one at least."""
+    node, and the index ``(node, codes, norm, error)`` of every vector ``(node, vec)``, of which there is one at least."""
     x = _matrix(vectors.orderBy(F.xxhash64("node"), "node").limit(sample_rows).select("vec").toArrow().column("vec"))
     model = train(x / np.linalg.norm(x, axis=1, keepdims=True), books, entries)
     shared = vectors.sparkSession.sparkContext.broadcast(model)
@@ -162,10 +171,12 @@ def build_index(vectors: DataFrame, sample_rows: int = 8192, books: int = 32, en
             if batch.num_rows:
                 x = _matrix(batch.column(1))
                 norm = np.linalg.norm(x, axis=1)
-                codes = shared.value.encode(x / norm[:, None])
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norm)], names=["node", "codes", "norm"])
+                unit = x / norm[:, None]
+                codes = shared.value.encode(unit)
+                error = norm * np.linalg.norm(unit - shared.value.decode(codes), axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norm), pa.array(error)], names=["node", "codes", "norm", "error"])
 
-    return model, materialise(vectors.select("node", "vec").mapInArrow(run, "node long, codes binary, norm double"), "index")
+    return model, materialise(vectors.select("node", "vec").mapInArrow(run, "node long, codes binary, norm double, error double"), "index")
 
 
 def _top(values: np.ndarray, n: int) -> np.ndarray:
@@ -180,23 +191,27 @@ def _top(values: np.ndarray, n: int) -> np.ndarray:
     return best
 
 
-def approximate(model: AdditiveQuantiser, queries: np.ndarray, codes: np.ndarray, norm: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Columns and values of each query's ``n`` best entries by table lookups."""
+def approximate(model: AdditiveQuantiser, queries: np.ndarray, codes: np.ndarray, norm: np.ndarray, n: int, error: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Columns and values of each query's ``n`` best entries by table lookups; a value is what the score may be: two
+    standard deviations along the direction in which ``error``, the length that codes leave, is widest are added."""
     columns, values = [], []
-    norm, codes = norm.astype(np.float32), np.ascontiguousarray(codes.T)
+    room = 1e-6 * norm + (0 if error is None else 2 * math.sqrt(model.widest) * error)
+    norm, room, codes = norm.astype(np.float32), room.astype(np.float32), np.ascontiguousarray(codes.T)
+    lengths = np.linalg.norm(queries, axis=1).astype(np.float32)
     for i in range(0, len(queries), 32):  # so that a block's scores stay small
         tables = model.tables(queries[i : i + 32])
         scores = np.zeros((tables.shape[1], len(norm)), dtype=np.float32)
         for table, code in zip(tables, codes):
             scores += np.take(table, code, axis=1)
         scores *= norm
+        scores += lengths[i : i + 32, None] * room
         columns.append(_top(scores, n))
         values.append(np.take_along_axis(scores, columns[-1], axis=1))
     return np.concatenate(columns), np.concatenate(values)
 
 
 def candidates(model: AdditiveQuantiser, index: DataFrame, queries: DataFrame, rerank: int, block_rows: int, query_rows: int) -> DataFrame:
-    """``(query, node)``: the ``rerank`` best entries of the whole index for each of ``queries (node, vec)``.
+    """``(query, node, near)``: the ``rerank`` best entries of the whole index for each of ``queries (node, vec)``.
 
     A block of codes and a block of queries are one bounded group.
     """
@@ -212,17 +227,18 @@ def candidates(model: AdditiveQuantiser, index: DataFrame, queries: DataFrame, r
             return pa.table({"query": pa.array([], pa.int64()), "node": pa.array([], pa.int64()), "near": pa.array([], pa.float32())})
         held = held.sort_by("node")
         codes = np.frombuffer(b"".join(held.column("codes").to_pylist()), dtype=np.uint8).reshape(held.num_rows, -1)
-        columns, values = approximate(shared.value, _matrix(asked.column("vec")), codes, held.column("norm").to_numpy(), rerank)
+        columns, values = approximate(shared.value, _matrix(asked.column("vec")), codes, held.column("norm").to_numpy(), rerank, held.column("error").to_numpy())
         nodes = held.column("node").to_numpy()[columns]
         return pa.table({"query": np.repeat(asked.column("node").to_numpy(), nodes.shape[1]), "node": nodes.ravel(), "near": values.ravel()})
 
     found = left.groupBy("block", "query_block").cogroup(right.groupBy("block", "query_block")).applyInArrow(run, "query long, node long, near float")
     order = Window.partitionBy("query").orderBy(F.desc("near"), "node")
-    return found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= rerank).select("query", "node")
+    return found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= rerank).select("query", "node", "near")
 
 
 def exact(pairs: DataFrame, vectors: DataFrame, queries: DataFrame, keep: int, block_rows: int, list_rows: int = 32_768) -> DataFrame:
-    """``(query, node, score)``: the ``keep`` best of each query's candidates by their original vectors.
+    """``(query, node, score)``: the ``keep`` best of each query's candidates by their original vectors, in each
+    block of ``vectors (node, vec, members)``; ties go to the smaller first id.
 
     A query goes once to each block of vectors in which it has candidates. Blocks
     that very many queries ask for are sent out once per ``list_rows`` of them.
@@ -233,23 +249,46 @@ def exact(pairs: DataFrame, vectors: DataFrame, queries: DataFrame, keep: int, b
     chunks = lists.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / list_rows).cast("int").alias("chunks"))
     chunk = F.pmod(F.xxhash64("query"), F.col("chunks")).cast("int").alias("chunk")
     asked = lists.join(chunks, "block").select("block", chunk, "query", "nodes").join(queries.select(F.col("node").alias("query"), F.col("vec").alias("asked")), "query")
-    held = vectors.select("node", "vec", block).join(chunks, "block").select("node", "vec", "block", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    held = vectors.select("node", "vec", block, F.col("members")[0]["id"].alias("id")).join(chunks, "block").select("node", "vec", "id", "block", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
 
     def run(here: pa.Table, wanted: pa.Table) -> pa.Table:
         out: dict[str, list] = {"query": [np.empty(0, np.int64)], "node": [np.empty(0, np.int64)], "score": [np.empty(0)]}
         if here.num_rows and wanted.num_rows:
             here = here.sort_by("node")
-            nodes, x = here.column("node").to_numpy(), _matrix(here.column("vec"))
+            nodes, ids, x = here.column("node").to_numpy(), here.column("id").to_numpy(), _matrix(here.column("vec"))
             for query, mine, body in zip(wanted.column("query").to_pylist(), wanted.column("nodes"), wanted.column("asked").to_pylist()):
                 at = np.searchsorted(nodes, np.sort(mine.values.to_numpy()))
                 score = (x[at] * np.frombuffer(body, dtype="<f8")).sum(axis=1)
-                best = np.argsort(-score, kind="stable")[:keep]
+                best = np.lexsort((ids[at], -score))[:keep]
                 out["query"].append(np.full(len(best), query)), out["node"].append(nodes[at[best]]), out["score"].append(score[best])
         return pa.table({k: np.concatenate(v) for k, v in out.items()})
 
     return held.groupBy("block", "chunk").cogroup(asked.groupBy("block", "chunk")).applyInArrow(run, "query long, node long, score double")
 
 
+def settled(model: AdditiveQuantiser, index: DataFrame, vectors: DataFrame, queries: DataFrame, keep: int, rerank: int, block_rows: int, query_rows: int, exact_rows: int) -> DataFrame:
+    """``(query, node, score)`` with the ``keep`` best vectors of each query among them.
+
+    A query whose list ends at an entry that may be as near as the last one kept is asked again with
+    a list eight times as long, in smaller blocks of queries, so that a group holds no more rows than before.
+    """
+    entries, most, asked, parts = index.count(), rerank, queries, []
+    last = Window.partitionBy("query").orderBy(F.desc("score"))
+    while True:
+        fewer = lambda rows: max(1, rows * rerank // most)  # noqa: B023, E731
+        pairs = materialise(candidates(model, index, asked, most, block_rows, fewer(query_rows)), "candidates")
+        scored = materialise(exact(pairs, vectors, asked, keep, exact_rows, fewer(32_768)), "scored")
+        if most >= entries:
+            return reduce(DataFrame.union, [*parts, scored])
+        kth = scored.withColumn("n", F.row_number().over(last)).where(F.col("n") == keep).select("query", F.col("score").alias("kth"))
+        ends = pairs.groupBy("query").agg(F.min("near").alias("end"))
+        more = materialise(ends.join(kth, "query", "left").where("kth IS NULL OR end >= kth").select(F.col("query").alias("node")), "unsettled")
+        parts.append(scored.join(more.withColumnRenamed("node", "query"), "query", "left_anti"))
+        if more.isEmpty():
+            return reduce(DataFrame.union, parts)
+        most, asked = most * 8, queries.join(more, "node", "left_semi")
+
+
 def nearest(table: DataFrame, every: int = 20, k: int = 20, rerank: int = 192, block_rows: int = 65_536, query_rows: int = 32_768, block_bytes: int = 32 << 20, id_col: str = "vec_id", vector_col: str = "embedding", **fitting) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``k`` vectors of largest inner product for each
     row whose id is divisible by ``every``, the row itself left out; ties go to smaller ids.
@@ -258,7 +297,8 @@ def nearest(table: DataFrame, every: int = 20, k: int = 20, rerank: int = 192, b
     those that repeat an id or a vector; a query that repeats an id gets its own
     ``k`` rows. Vectors of different lengths don't meet: a row is searched among
     those of its own length. Original vectors are compared in blocks of ``block_bytes``
-    at most, whatever their length. With fewer candidates than ``k`` all are returned;
+    at most, whatever their length. ``rerank`` is the number of candidates that a query gets at first,
+    see ``settled``. With fewer candidates than ``k`` all are returned;
     none give no rows. Other columns are ignored, whatever their names.
     """
     rows = usable_vectors(table, id_col, vector_col)
@@ -270,8 +310,7 @@ def nearest(table: DataFrame, every: int = 20, k: int = 20, rerank: int = 192, b
         asking = materialise(asking.join(vectors.select("vec", "node"), "vec").select("id", "row", F.col("node").alias("query")), "queries")
         queries = vectors.join(asking.select(F.col("query").alias("node")).distinct(), "node", "left_semi").select("node", "vec")
         model, index = build_index(vectors, **fitting)
-        pairs = candidates(model, index, queries, rerank, block_rows, query_rows)
-        scored = exact(pairs, vectors, queries, k + 1, max(1, min(block_rows, block_bytes // (8 * max(1, dim)))))
+        scored = settled(model, index, vectors, queries, k + 1, rerank, block_rows, query_rows, max(1, min(block_rows, block_bytes // (8 * max(1, dim)))))
         # The k + 1 best vectors hold the k best rows, as the row itself is one of theirs at most.
         first = F.col("members")[0]["id"]
         near = scored.join(vectors.select("node", "members"), "node")
