@@ -161,3 +161,20 @@ def test_a_section_of_many_sentences(spark):
     got = df.select(structuring.chunked(F.col("u")).alias("c")).first().c
     units = [(f"Sentence number {i} is here.", i // 1000) for i in range(1, 200_001)]
     assert [tuple(r) for r in got] == plain_chunks(units) and time.time() - began < 120
+
+
+def test_cut_places_ask_for_the_mark_first(spark):
+    """Same cuts as with the long test first, which was made at every character; behind marks alone it is cheap."""
+    import random
+
+    from assayer.operators import structuring
+    from pyspark.sql import functions as F
+
+    rng = random.Random(3)
+    words = ["e.g.", "Dr.", "J.", "end.", "No", "why?", "Ok!", "3", "a", "u.s.", "x.y.", "Mr.", "ph.", "word"]
+    rows = [(" ".join(rng.choice(words) + rng.choice(["", "", " ", "\t"]) for _ in range(30)),) for _ in range(200)]
+    plain = F.split(structuring.stripped(F.col("line")), structuring._BEFORE + structuring._MARK + structuring._SPACE)
+    got = spark.createDataFrame(rows, "line string").select(structuring.sentences(F.col("line")).alias("new"), plain.alias("plain")).collect()
+    strip = lambda x: [y.strip() for y in x if y.strip()]
+    assert all(len(r.new) == len(strip(r.plain)) for r in got) and sum(len(r.new) for r in got) > 1000
+    assert structuring._MARK + structuring._BEFORE + structuring._SPACE in str(structuring.sentences(F.col("line")))
