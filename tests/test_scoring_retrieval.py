@@ -197,3 +197,20 @@ def test_vector_topk_on_ties_lengths_and_odd_vectors(spark):
     assert sorted((r.query_id, r.vec_id, r.score, r["rank"]) for r in got) == sorted(want)
     near = retrieval.vector_topk(spark.createDataFrame(asked, "query_id long, query array<double>"), vectors, 7, floor=0.5).collect()
     assert sorted((r.query_id, r.vec_id) for r in near) == sorted((q, i) for q, i, s, _ in want if math.floor(s * 1000 + 0.5) / 1000 >= 0.5)
+
+
+def test_index_topk_makes_no_pairs(spark):
+    """One owner with many queries and chunks, blocks of queries, ties, other lengths and no owner; pairs are never joined rows."""
+    rng = random.Random(1)
+    vec = lambda: [float(rng.randrange(-3, 4)) for _ in range(4)]
+    asked = [(i, None if i == 3 else i % 2, vec()) for i in range(60)]
+    held = [(i, None if i == 5 else i % 3, vec() if i % 50 else [1.0]) for i in range(200)]
+    a, c = spark.createDataFrame(asked, "query_id long, resume_id long, query array<double>"), spark.createDataFrame(held, "resume_id long, owner long, e array<float>").toDF("chunk_id", "resume_id", "embedding")
+    best = retrieval.index_topk(a, c.repartition(3), 5, most=25)
+    assert "Join" not in best._jdf.queryExecution().executedPlan().toString()
+    got = {(r.query_id, r.rank): (r.chunk_id, r.score) for r in best.collect()}
+    want = {}
+    for q, o, v in asked:
+        near = sorted((-sum(x * y for x, y in zip(v, w)), i) for i, p, w in held if p == o and o is not None and len(w) == 4)
+        want |= {(q, n + 1): (i, -s) for n, (s, i) in enumerate(near[:5])}
+    assert got == want
