@@ -15,6 +15,7 @@ from ..operators import analytics, dml, requirements, retrieval, scoring, search
 from ..operators import profile as profile_
 from ..settings import DEFAULTS
 from ..sources import files
+from ..sources.shared import materialise
 from ..sources.views import SCORING, TEXTS, WS, Tables, in_list, with_views
 from . import pipeline_catalog, report_catalog, store_catalog  # noqa: F401  (register their queries)
 from .registry import REGISTRY, query
@@ -336,9 +337,9 @@ o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dense DESC, po
 f AS (SELECT *, 0.6::DOUBLE / (60 + dr) + 0.4::DOUBLE / (60 + sr) AS fused FROM o)
 SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, position) AS rank, round(fused, 9) AS fused FROM f""")
 def rrf_fusion(t: Tables) -> DataFrame:
-    dense = retrieval.vector_topk(_centroid_queries(t), t.read("embeddings"), 40)
+    dense = materialise(retrieval.vector_topk(_centroid_queries(t), t.read("embeddings"), 40), "dense")
     asked = t.read("benchmark").select(F.col("item_id").alias("query_id"), "text")
-    sparse = retrieval.bm25(asked, t.read("documents")).select("query_id", F.col("doc_id").alias("vec_id"), F.col("score").alias("sparse"))
+    sparse = retrieval.bm25(asked, t.read("documents"), only=dense.select(F.col("vec_id").alias("doc_id"))).select("query_id", F.col("doc_id").alias("vec_id"), F.col("score").alias("sparse"))
     both = dense.join(sparse, ["query_id", "vec_id"], "left").select("query_id", F.col("vec_id").alias("item_id"), F.col("rank").alias("position"), F.round("score", 6).alias("dense"), F.round(F.coalesce("sparse", F.lit(0.0)), 6).alias("sparse"))
     return retrieval.fuse(both).select("query_id", "item_id", "rank", F.round("fused", 9).alias("fused"))
 

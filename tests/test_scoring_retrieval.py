@@ -214,3 +214,32 @@ def test_index_topk_makes_no_pairs(spark):
         near = sorted((-sum(x * y for x, y in zip(v, w)), i) for i, p, w in held if p == o and o is not None and len(w) == 4)
         want |= {(q, n + 1): (i, -s) for n, (s, i) in enumerate(near[:5])}
     assert got == want
+
+
+def test_bm25_shuffles_no_pairs(spark):
+    """Scores of a whole corpus against the plain formula, with repeated ids and null texts; no join or aggregate after the scan of documents."""
+    rng = random.Random(2)
+    docs = [(i, None if i % 13 == 0 else " ".join(rng.choice("abcdefgh") + "x" for _ in range(rng.randrange(0, 12)))) for i in range(60)]
+    asked = [(q, " ".join(rng.choice("abcdwz") + "x" for _ in range(5))) for q in range(9)]
+    a, rows = spark.createDataFrame(asked, "query_id long, text string"), "doc_id long, text string"
+    for held in (docs, [*docs, (3, "ax bx"), (3, "ax dx"), (4, "ax")]):
+        cut = {}
+        for i, text in held:
+            words = (text or "").split()
+            cut.setdefault((i, len(words)), []).extend(words)
+        n, avg = len(held), sum(len((x or "").split()) for _, x in held) / len(held)
+        want = {}
+        for q, text in asked:
+            for (i, length), words in cut.items():
+                for w in text.split():
+                    if w in words:
+                        df, tf = sum(w in x for x in cut.values()), words.count(w)
+                        want[q, i] = want.get((q, i), 0) + math.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / avg))
+        scores = retrieval.bm25(a, spark.createDataFrame(held, rows))
+        got = {(r.query_id, r.doc_id): r.score for r in scores.collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+        if held is docs:
+            plan = scores._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange" not in plan and "Join" not in plan
+            few = retrieval.bm25(a, spark.createDataFrame(held, rows), only=spark.createDataFrame([(7,), (8,)], "doc_id long")).collect()
+            assert {(r.query_id, r.doc_id): r.score for r in few} == {k: v for k, v in got.items() if k[1] in (7, 8)}
