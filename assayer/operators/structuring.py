@@ -43,7 +43,9 @@ def heading(line: Column) -> Column:
 
 def _placed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Every line with the last heading and page mark above it, and whether it is content."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("doc_row"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
+    # Numbered within the id, so that whole texts are dealt by id, once for all later steps, and not if they are already.
+    rows = ranked(rows, ["doc_id"], [F.asc("row")], "doc_row")
     cut = rows.select("doc_id", "doc_row", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("at", "raw"))
     lines = cut.select("doc_id", "doc_row", "at", stripped(F.col("raw")).alias("line"))
     mark = F.when(F.col("line").startswith("---"), F.nullif(F.regexp_extract("line", PAGE, 1), F.lit("")).cast("int"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
@@ -46,20 +46,27 @@ def evidence(pairs: DataFrame, chunks: DataFrame, asked: DataFrame, top_k: int =
     """Matches of each analysis ``(analysis_id, resume_id, jd_id)``: chunks of its resume over the
     floor, one per text, the ``top_k`` best by fused rank of confidence and BM25 within the resume.
 
-    The join is by resume and by job; its size is requirements times chunks of a resume.
+    The join is by resume and by job; its size is requirements times chunks of a resume. Every step
+    groups by the resume first, so what that join makes is never dealt out again, and texts meet the
+    evidence that is left at the end.
     """
+    key, item = ("resume_id", *scoring.KEY), ("resume_id", "chunk_id")
     wanted = pairs.join(asked, "jd_id").select("analysis_id", "resume_id", "requirement", "vector")
-    scored = wanted.join(chunks, "resume_id").select("analysis_id", "resume_id", "requirement", "chunk_id", "section", F.trim("text").alias("chunk"), "technical", dot(F.col("vector"), F.col("embedding")).alias("cosine"))
-    pool = retrieval.ranked(scored, scoring.KEY, [F.desc("cosine"), F.asc("chunk_id")], "position", retrieval.candidate_pool(top_k))
-    pool = retrieval.ranked(pool, [*scoring.KEY, "chunk"], [F.asc("position")], "copy", 1).where(S.round_half_up(F.col("cosine"), 3) >= s.similarity_floor)
+    trimmed = F.trim("text")
+    twin = F.min("chunk_id").over(Window.partitionBy("resume_id", trimmed))  # the same for chunks of one text
+    rated = chunks.select(*item, "section", "technical", "embedding", twin.alias("twin"), S.density_score(trimmed).alias("density"))
+    scored = wanted.join(rated, "resume_id").select(*key, "chunk_id", "section", "technical", "twin", "density", dot(F.col("vector"), F.col("embedding")).alias("cosine"))
+    pool = retrieval.ranked(scored, [*key], [F.desc("cosine"), F.asc("chunk_id")], "position", retrieval.candidate_pool(top_k))
+    pool = retrieval.ranked(pool, [*key, "twin"], [F.asc("position")], "copy", 1).where(S.round_half_up(F.col("cosine"), 3) >= s.similarity_floor)
     phrases = wanted.select("resume_id", F.col("requirement").alias("query_id"), F.col("requirement").alias("text")).distinct()
     words = retrieval.bm25(phrases, chunks.select("resume_id", F.col("chunk_id").alias("doc_id"), "text"), s, by=("resume_id",))
     words = words.select("resume_id", F.col("query_id").alias("requirement"), F.col("doc_id").alias("chunk_id"), F.col("score").alias("sparse"))
-    blend = S.confidence(F.col("cosine"), S.section_score(F.col("section")), S.density_score(F.col("chunk")), F.col("technical"), s)
-    both = pool.join(words, ["resume_id", "requirement", "chunk_id"], "left")
-    rows = both.withColumns({"query_id": F.struct(*scoring.KEY), "confidence": blend}).withColumns({"dense": F.col("confidence"), "sparse": F.round(F.coalesce("sparse", S.d(0)), 9)})
-    fused = retrieval.fuse(rows, s).where(F.col("rank") <= top_k)
-    return fused.select(*scoring.KEY, "chunk", "section", S.round_half_up(F.col("cosine"), 3).alias("score"), "confidence", F.col("rank").alias("position"))
+    blend = S.confidence(F.col("cosine"), S.section_score(F.col("section")), F.col("density"), F.col("technical"), s)
+    both = pool.join(words, ["resume_id", "requirement", "chunk_id"], "left").withColumn("confidence", blend)
+    rows = both.withColumns({"dense": F.col("confidence"), "sparse": F.round(F.coalesce("sparse", S.d(0)), 9)})
+    fused = retrieval.fuse(rows, s, key).where(F.col("rank") <= top_k)
+    told = fused.join(chunks.select(*item, trimmed.alias("chunk")), [*item])
+    return told.select(*scoring.KEY, "chunk", "section", S.round_half_up(F.col("cosine"), 3).alias("score"), "confidence", F.col("rank").alias("position"))
 
 
 def categorised(rows: DataFrame, name: str, encode: Encoder = default_encoder, s: Settings = DEFAULTS) -> DataFrame:

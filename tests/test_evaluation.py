@@ -76,3 +76,23 @@ def test_trait_model_survives_saving(spark, tmp_path):
     same = traits.load(str(tmp_path / "m")).transform(rows)
     assert sorted(map(str, same.collect())) == sorted(map(str, model.transform(rows).collect()))
     assert same.where(F.col("openness_score").isNull()).count() == 0
+
+
+def test_evidence_and_owned_bm25_deal_texts_by_resume_alone(spark):
+    """No exchange is by analysis, requirement or term, so pairs of requirements and chunks stay where their join made them."""
+    docs = spark.createDataFrame([(1, 1, "a.pdf", GOOD), (2, 2, "b.pdf", POOR)], "resume_id long, candidate_id long, filename string, text string")
+    chunks = evaluation.ingest(docs, spark.createDataFrame([], "resume_id long, sha string"))
+    chunks = spark.createDataFrame(chunks.collect(), chunks.schema)
+    asked = evaluation.job_requirements(spark.createDataFrame([(9, JD)], "jd_id long, text string"))
+    asked = spark.createDataFrame(asked.collect(), asked.schema)
+    pairs = spark.createDataFrame([(100 + i, i, 9) for i in (1, 2)], "analysis_id long, resume_id long, jd_id long")
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = evaluation.evidence(pairs, chunks, asked)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    dealt = [line.split("hashpartitioning(")[1] for line in plan.splitlines() if "hashpartitioning(" in line]
+    assert dealt
+    for keys in dealt:
+        assert keys.startswith(("resume_id", "jd_id")), keys
