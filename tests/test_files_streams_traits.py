@@ -124,3 +124,20 @@ def test_trait_model_equals_a_plain_ridge(spark):
     scores = {r.i: r.openness_score for r in model.transform(rows).collect()}
     plain = np.clip((x @ w + y.mean(axis=0) - x.mean(axis=0) @ w + 1) * 5, 0, 10)[:, 2]
     assert max(abs(scores[i] - plain[i]) for i in range(200)) < 0.0051 and len(scores) == 200
+
+
+def test_each_sum_reaches_the_driver_once(spark):
+    """However many tasks add to a piece, it is merged in one, and terms of a single row have no place in the fit."""
+    import numpy as np
+    from assayer.operators import passes
+
+    seen, rows = [], spark.range(0, 64, 1, 16)
+    collect = type(rows).collect
+    type(rows).collect = lambda self: seen.append(collect(self)) or seen[-1]
+    try:
+        got = passes.total(rows, lambda batch, out: np.add(out, batch.num_rows, out=out), (3 * passes.PIECE,))
+    finally:
+        type(rows).collect = collect
+    assert (got == 64).all() and sorted(r["piece"] for r in seen[-1]) == [0, 1, 2]
+    counts = spark.createDataFrame([(1, "a", 1), (2, "a", 1), (2, "b", 3)], "__row long, term string, tf long")
+    assert {r.term: r.place for r in traits.vocabulary(counts, 2).collect()} == {"a": 0, "b": None}
