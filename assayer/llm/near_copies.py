@@ -1,9 +1,10 @@
 """Near copies by the Jaccard similarity of five-word shingle sets: operator 1 for whole similarities.
 
-64-bit SimHash fingerprints can't search at a similarity of 0.8: such pairs differ
-in 10 bits on average and in up to 19, while a grid that is complete for 19 of 64
-bits brings nearly all pairs together. So rows meet here where one of 32 bands of
-five minimum hashes is equal: a pair of similarity 0.8 has no common band with a
+Operator 1 comes first: rows whose SimHash fingerprints its grid join links are tested exactly,
+on whole texts, with one row of their group. 64-bit fingerprints can't find all pairs of a similarity
+of 0.8: such pairs differ in 10 bits on average and in up to 19, while a grid that is complete for
+19 of 64 bits brings nearly all pairs together. So what operator 1 leaves apart meets where one of
+32 bands of five minimum hashes is equal: a pair of similarity 0.8 has no common band with a
 chance of (1 - 0.8^5)^32 = 3e-6, one of 0.9 with 4e-13. What meets is tested exactly,
 on both texts.
 
@@ -26,6 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .graph import connected_components
 from .workspace import materialise, quoted, ship, trim
 
@@ -69,7 +71,7 @@ def key_of(hashes: np.ndarray) -> int:
 
 
 def sketched(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """``(id, key, n, sig, par, bands)`` per row; rows of equal sets have equal keys."""
+    """``(id, key, n, fp, sig, par, bands)`` per row, ``fp`` being operator 1's fingerprint; rows of equal sets have equal keys."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,16 +79,17 @@ def sketched(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFra
         for whole in batches:
             for i in range(0, whole.num_rows, 1024):
                 batch = whole.slice(i, 1024)
-                keys, sizes, sigs, pars, bands = [], [], [], [], []
-                for text in batch.column(1):
-                    hashes = shingle_set(text.as_py(), width)
+                keys, sizes, fps, sigs, pars, bands = [], [], [], [], [], []
+                for text in (t.as_py() for t in batch.column(1)):
+                    hashes = shingle_set(text, width)
                     band, sig = sketch(hashes)
+                    fps.append(simhash.fingerprint(text))
                     keys.append(key_of(hashes)), sizes.append(len(hashes)), sigs.append(sig), pars.append(parities(hashes)), bands.append(band)
                 lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * len(x[0]), pa.int32()), pa.array(np.concatenate(x).view("<i8"))) for x in (sigs, bands)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), lists[0], pa.array(pars, pa.binary()), lists[1]], names=["id", "key", "n", "sig", "par", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(np.array(fps, "<u8").view("<i8")), lists[0], pa.array(pars, pa.binary()), lists[1]], names=["id", "key", "n", "fp", "sig", "par", "bands"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary")).mapInArrow(run, f"id {kind}, key long, n int, sig array<long>, par binary, bands array<long>")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary")).mapInArrow(run, f"id {kind}, key long, n int, fp long, sig array<long>, par binary, bands array<long>")
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
@@ -133,9 +136,9 @@ def _alike(pairs: DataFrame, texts: DataFrame, least: float, width: int) -> Data
     return whole.mapInArrow(run, "u long, v long").distinct()
 
 
-def _mixed(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
     """``(cell, key, n, sig, comp)`` of the cells whose members are in several components."""
-    named = members.withColumn("comp", F.col("key")) if labels is None else members.join(labels, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+    named = members.join(labels, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
     named = materialise(named.select("cell", "key", "n", "sig", "comp"), "named")
     several = named.groupBy("cell").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("cell")
     return materialise(named.join(several, "cell", "left_semi"), "mixed")
@@ -212,8 +215,18 @@ def _left_pairs(mixed: DataFrame, parity: DataFrame, least: float, block_bytes:
     return met.mapInArrow(run, "a long, b long, u long, v long").dropDuplicates(["a", "b"])
 
 
+def fingerprint_pairs(nodes: DataFrame, least: float) -> DataFrame:
+    """``(a, b, u, v)`` of distinct keys ``(key, n, fp)``: each row of a group that operator 1 makes with the group's
+    smallest key, where the sizes allow the similarity."""
+    roots = simhash.link(nodes.select("fp").distinct())
+    grouped = materialise(nodes.join(roots, "fp", "left").select("key", "n", F.coalesce("root", "fp").alias("root")), "fingerprint-groups")
+    leaders = grouped.groupBy("root").agg(F.min("key").alias("a"), F.min_by("n", "key").alias("na"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    met = grouped.join(leaders, "root").where("key <> a").where(F.least("n", "na") >= F.greatest("n", "na") * least)
+    return met.select("a", F.col("key").alias("b"), F.col("a").alias("u"), F.col("key").alias("v"))
+
+
 def link(nodes: DataFrame, texts, least: float, width: int) -> DataFrame:
-    """Distinct keys ``(key, n, sig, par, bands)`` -> ``(key, comp)`` for keys that have a near one.
+    """Distinct keys ``(key, n, fp, sig, par, bands)`` -> ``(key, comp)`` for keys that have a near one.
 
     ``texts(keys)`` gives ``(key, text)`` for a table of keys.
     """
@@ -221,8 +234,11 @@ def link(nodes: DataFrame, texts, least: float, width: int) -> DataFrame:
     crowded = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("cell")
     members = materialise(cells.join(crowded, "cell", "left_semi"), "cells")
     members = materialise(members.join(nodes.select("key", "sig"), "key"), "members")
-    held = materialise(texts(members.select("key").distinct()), "texts")
-    labels, tested = None, None
+    alike = materialise(fingerprint_pairs(nodes.select("key", "n", "fp"), least), "fingerprint-pairs")
+    keys = members.select("key").union(alike.select("a")).union(alike.select("b"))
+    held = materialise(texts(keys.distinct()), "texts")
+    labels = connected_components(materialise(_alike(alike, held, least, width), "alike")).toDF("key", "comp")
+    tested = alike.select("a", "b")
     row = F.struct("key", "n", "sig", "comp")
     for turn in range(ROUNDS + 1):
         mixed = _mixed(members, labels)
@@ -232,16 +248,10 @@ def link(nodes: DataFrame, texts, least: float, width: int) -> DataFrame:
             pairs = _pairs(mixed.select("cell", row.alias("x")).join(leaders, "cell"), least)
         else:  # everyone outside the cell's largest component with all of the cell
             pairs = _left_pairs(mixed, nodes.select("key", "par"), least)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "candidates")
+        pairs = materialise(pairs.join(tested, ["a", "b"], "left_anti"), "candidates")
         near = materialise(_alike(pairs, held, least, width), "alike")
-        done = pairs.select("a", "b")
-        tested = done if tested is None else tested.union(done)
+        tested = tested.union(pairs.select("a", "b"))
         merged = connected_components(near)
-        if labels is None:
-            labels = merged.toDF("key", "comp")
-            continue
         moved = labels.join(merged.toDF("comp", "top"), "comp", "left").select("key", F.coalesce("top", "comp").alias("comp"))
         alone = merged.toDF("key", "comp").join(labels, "key", "left_anti")
         labels = materialise(moved.union(alone), "labels")
@@ -257,12 +267,12 @@ def drop_near_copies(docs: DataFrame, least: float = 0.8, width: int = 5, id_col
     other columns pass through, whatever their names; an empty table stays empty.
     """
     rows = materialise(sketched(docs, width, id_col, text_col), "sketched")
-    nodes = materialise(rows.groupBy("key").agg(F.min("id").alias("rep"), *(F.first(c).alias(c) for c in ("n", "sig", "par", "bands"))), "nodes")
+    nodes = materialise(rows.groupBy("key").agg(F.min("id").alias("rep"), F.min("fp").alias("fp"), *(F.first(c).alias(c) for c in ("n", "sig", "par", "bands"))), "nodes")
 
     def texts(keys: DataFrame) -> DataFrame:
         return texts_of(docs, nodes.join(keys, "key", "left_semi").where("rep IS NOT NULL").select(F.col("rep").alias("id")).distinct(), width, id_col, text_col)
 
-    labels = link(nodes.select("key", "n", "sig", "par", "bands"), texts, least, width)
+    labels = link(nodes.select("key", "n", "fp", "sig", "par", "bands"), texts, least, width)
     grouped = materialise(nodes.select("key", "rep").join(labels, "key", "left").select("key", F.coalesce("comp", "key").alias("root"), "rep"), "grouped")
     smallest = grouped.groupBy("root").agg(F.min("rep").alias("component"))
     gone = rows.select("id", "key").join(grouped.join(smallest, "root").select("key", "component"), "key")

@@ -72,3 +72,24 @@ def test_parity_bound_loses_no_pair():
                 near += 1
                 assert (i, j) in got
     assert near > 50 and len(got) < 3 * near
+
+
+def test_operator_1_links_first_and_texts_decide(spark, monkeypatch):
+    """Without any band in common near copies still meet by their fingerprints; what isn't similar enough is left apart."""
+    from assayer.llm import near_copies
+
+    rnd = random.Random(9)
+    texts = []
+    for _ in range(6):
+        base = [f"w{rnd.randrange(5000)}" for _ in range(400)]
+        texts += [" ".join(base), " ".join([*base[:200], "changed", *base[201:]]), " ".join(base[:4])]
+    fps = [simhash.fingerprint(t.encode()) for t in texts]
+    near = [k for k in range(0, len(texts), 3) if (fps[k] ^ fps[k + 1]).bit_count() <= 4]
+    assert near
+    sketch, seen = near_copies.sketched, []
+    alone = lambda *args: sketch(*args).withColumn("bands", near_copies.F.array(near_copies.F.col("key")))
+    monkeypatch.setattr(near_copies, "sketched", alone)
+    monkeypatch.setattr(simhash, "link", lambda *args, real=simhash.link: seen.append(1) or real(*args))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.near_stage(spark, docs, "").collect()}
+    assert seen and kept == set(range(len(texts))) - {k + 1 for k in near}
