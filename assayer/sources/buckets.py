@@ -15,6 +15,7 @@ from pyspark.sql.types import IntegerType, StructType
 from .shared import exists, mark, materialise, quoted, remove
 
 BUCKET = "bucket"
+SMALL = {"compression": "zstd"}  # tables of texts, written several times over
 
 
 @dataclass
@@ -52,8 +53,8 @@ class BucketTable:
     def replace(self, rows: DataFrame, gone: DataFrame | None = None) -> None:
         """Store ``rows`` in place of all stored rows of their ids, and of the ids in ``gone (key)``.
 
-        A missing id is an id like any other. Both sides are written before the first
-        bucket changes, so a failed replacement can be run again, and running one
+        A missing id is an id like any other. New rows and those that stay are each written once before
+        the first bucket changes, so a failed replacement can be run again, and running one
         twice changes nothing.
         """
         bucket = self.bucket_of(F.col(self.key))
@@ -65,18 +66,18 @@ class BucketTable:
         touched = [r["__bucket"] for r in ids.select("__bucket").distinct().collect()]  # one number per bucket at most
         if not touched:
             return
-        kept = self.stored().where(F.col(BUCKET).isin(touched)).join(ids, self._same(), "left_anti")
-        names = [*self.schema.names, BUCKET]
-        after = self.written(kept.select(*quoted(names)).unionByName(fresh), "after")
+        stored = self.stored().where(F.col(BUCKET).isin(touched)).join(ids, self._same(), "left_anti")
+        after = self.written(stored.select(*quoted([*self.schema.names, BUCKET])), "kept").unionByName(fresh)
         full = {r[BUCKET] for r in after.select(BUCKET).distinct().collect()}
-        after.hint("rebalance", BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).format(self.format).save(self.folder)
+        out = after.hint("rebalance", BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET)
+        out.options(**(SMALL if self.format == "parquet" else {})).format(self.format).save(self.folder)
         for b in touched:
             if b not in full:
                 remove(self.spark, f"{self.folder}/{BUCKET}={b}")
 
     def written(self, rows: DataFrame, name: str) -> DataFrame:
         """Written, and read by this table's session: a stream's batches come in sessions of their own."""
-        return materialise(rows, name, self.spark)
+        return materialise(rows, name, self.spark, **SMALL)
 
     def once(self, batch: int, rows: DataFrame, gone: DataFrame | None = None) -> bool:
         """``replace``, unless a batch of this number is stored already; tells whether it was new."""

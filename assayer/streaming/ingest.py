@@ -14,16 +14,19 @@ from ..sources.shared import quoted
 from .events import apply_each, read_drop
 
 
-def changed(documents: DataFrame, stored: DataFrame, key: str, text: str, order: str | None = None) -> DataFrame:
-    """The newest row of each ``key``, with its fingerprint ``sha``, where the index holds another content or none.
+def newest(documents: DataFrame, key: str, text: str, order: str | None = None) -> DataFrame:
+    """The newest row of each ``key``, with its fingerprint ``sha``. Newest is the largest ``order``, of equals the larger
+    text; without one the larger text counts. Columns must have an order; of rows alike in those the largest counts."""
+    first = [*([order] if order else []), text]
+    whole = F.struct(*quoted([*first, *(c for c in documents.columns if c not in first)]))  # each text is held once
+    best = documents.groupBy(F.col(key).alias("__key")).agg(F.max(whole).alias("row")).select("row.*").select(*quoted(documents.columns))
+    return best.withColumn("sha", fingerprint(F.coalesce(F.col(text), F.lit(""))))
 
-    Newest is the largest ``order``, of equals the larger text; without one the larger text counts.
-    """
-    latest = F.max_by(F.struct(*quoted(documents.columns)), F.struct(*([order] if order else []), text))
-    newest = documents.groupBy(F.col(key).alias("__key")).agg(latest.alias("row")).select("row.*")
-    hashed = newest.withColumn("sha", fingerprint(F.coalesce(F.col(text), F.lit(""))))
-    stale = dml.stale_sources(hashed.select(F.col(key).alias("resume_id"), "sha"), stored.select(F.col(key).alias("resume_id"), "sha").distinct())
-    return hashed.join(stale.select(F.col("resume_id").alias(key)), key, "left_semi")
+
+def changed(latest: DataFrame, stored: DataFrame, key: str) -> DataFrame:
+    """``(key)`` of the documents ``(key, sha)`` where the index ``stored (key, sha)`` holds another content or none. No text is read."""
+    shas = lambda x: x.select(F.col(key).alias("resume_id"), "sha")
+    return dml.stale_sources(shas(latest), shas(stored).distinct()).where("resume_id IS NOT NULL").select(F.col("resume_id").alias(key))
 
 
 def ingest_drops(spark: SparkSession, folder: str, schema, index: BucketTable, make: Callable[[DataFrame], DataFrame], checkpoint: str, text: str = "text", order: str | None = None, fmt: str = "parquet") -> None:
@@ -35,8 +38,8 @@ def ingest_drops(spark: SparkSession, folder: str, schema, index: BucketTable, m
     """
 
     def take(batch: DataFrame, number: int) -> None:
-        drop = index.written(batch, "drop")
-        fresh = index.written(changed(drop, index.of(drop.select(index.key)), index.key, text, order), "fresh-documents")
-        index.once(number, make(fresh), fresh.select(index.key))
+        latest = index.written(newest(batch, index.key, text, order), "newest")
+        ids = index.written(changed(latest, index.of(latest.select(index.key)), index.key), "changed")
+        index.once(number, make(latest.join(ids, index.key, "left_semi")), ids)
 
     apply_each(read_drop(spark, folder, schema, fmt), take, checkpoint).awaitTermination()

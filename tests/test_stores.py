@@ -151,3 +151,22 @@ def test_tolerant_json(spark):
     got = {r.i: r.o for r in df.select("i", F.to_json(object_in_text(F.col("t"))).alias("o")).collect()}
     assert [json.loads(got[i]) if got[i] else None for i in range(len(ANSWERS))] == [want for _, want in ANSWERS]
     assert df.where("i = 1").select(balanced(F.col("t")).alias("b")).first().b == '{"a":1}'
+
+
+def test_texts_are_written_once_per_replacement_and_dealt_once_per_drop(spark, tmp_path, monkeypatch):
+    from assayer.streaming import ingest
+
+    table = BucketTable(spark, str(tmp_path / "t"), StructType.fromDDL("k long, text string"), "k", 4)
+    table.replace(spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], table.schema))
+    seen, written = {}, BucketTable.written
+    monkeypatch.setattr(BucketTable, "written", lambda self, rows, name: seen.setdefault(name, written(self, rows, name)))
+    table.replace(spark.createDataFrame([(2, "new")], table.schema))
+    held = [(r.k, r.text) for x in seen.values() if "text" in x.columns for r in x.collect()]
+    assert held.count((2, "new")) == 1 and (2, "b") not in held
+    assert sorted(table.rows().collect()) == [(1, "a"), (2, "new"), (3, "c")]
+    drop = spark.createDataFrame([(1, "x", 0), (1, "y", 1), (2, "b", 0), (2, "c", 0), (None, "n", 0)], "k long, text string, turn int")
+    latest = ingest.newest(drop, "k", "text", "turn")
+    assert latest._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert {(r.k, r.text, r.turn) for r in latest.collect()} == {(1, "y", 1), (2, "c", 0), (None, "n", 0)}
+    stored = latest.where("k = 2").select("k", "sha")
+    assert [r.k for r in ingest.changed(latest, stored, "k").collect()] == [1]
