@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import materialise
+from .workspace import join_apart, materialise
 
 
 def _edge_set(pairs: DataFrame) -> DataFrame:
@@ -21,7 +21,7 @@ def _flatten(parents: DataFrame) -> DataFrame:
     """Pointer jumping: point each node of the forest ``(node, parent)`` at its root."""
     while True:
         above = parents.select(F.col("node").alias("parent"), F.col("parent").alias("grand"))
-        jumped = materialise(parents.join(above, "parent", "left").select("node", F.coalesce("grand", "parent").alias("parent"), F.coalesce(F.col("grand") != F.col("parent"), F.lit(False)).alias("moved")), "jump")
+        jumped = materialise(join_apart(parents, above, "parent", "left").select("node", F.coalesce("grand", "parent").alias("parent"), F.coalesce(F.col("grand") != F.col("parent"), F.lit(False)).alias("moved")), "jump")
         parents = jumped.select("node", "parent")
         if jumped.where("moved").isEmpty():
             return parents
@@ -45,11 +45,11 @@ def connected_components(pairs: DataFrame) -> DataFrame:
         levels.append(forest)
         left = forest.select(F.col("node").alias("u"), F.col("parent").alias("pu"))
         right = forest.select(F.col("node").alias("v"), F.col("parent").alias("pv"))
-        edges = materialise(_edge_set(edges.join(left, "u").join(right, "v").select(F.col("pu").alias("u"), F.col("pv").alias("v"))), "edges")
+        edges = materialise(_edge_set(join_apart(join_apart(edges, left, "u"), right, "v").select(F.col("pu").alias("u"), F.col("pv").alias("v"))), "edges")
     if not levels:
         return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     found = levels[-1].select("node", F.col("parent").alias("root"))
     for forest in reversed(levels[:-1]):
         up = found.select(F.col("node").alias("parent"), "root")
-        found = forest.join(up, "parent", "left").select("node", F.coalesce("root", "parent").alias("root"))
+        found = join_apart(forest, up, "parent", "left").select("node", F.coalesce("root", "parent").alias("root"))
     return materialise(found, "components")

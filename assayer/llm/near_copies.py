@@ -29,10 +29,10 @@ from pyspark.sql import functions as F
 
 from . import simhash
 from .graph import connected_components
-from .workspace import materialise, quoted, ship, trim
+from .workspace import join_apart, materialise, quoted, ship, trim
 
 SEED, BANDS, ROWS, AGREE, ROUNDS = 42, 32, 5, 0.65, 3
-BYTES = 0x0101010101010101
+SEVEN, TOP = 0x7F7F7F7F7F7F7F7F, -(1 << 63)  # the low bits of each byte; the highest bit of all
 FACTORS = np.random.default_rng(7).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)[:, None] * np.uint64(2) + np.uint64(1)
 
 
@@ -101,7 +101,7 @@ def texts_of(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, text_c
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), batch.column(0)], names=["key", "text"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    found = rows.join(wanted, "id", "left_semi").union(rows.where("id IS NULL"))
+    found = join_apart(rows, wanted, "id", "left_semi").union(rows.where("id IS NULL"))
     return found.select("text").mapInArrow(run, "key long, text binary")
 
 
@@ -110,9 +110,9 @@ def _differ(a: Column, b: Column) -> Column:
     total = F.lit(0)
     for i in range(BANDS * ROWS // 8):
         x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
-        for shift in (1, 2, 4):  # the lowest bit of each byte becomes the "or" of all its bits
-            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
-        total = total + F.bit_count(x.bitwiseAND(F.lit(BYTES)))
+        # adding 127 to a byte's low bits carries into its highest unless they are 0; adding TOP too keeps the sum a long
+        carried = (x.bitwiseAND(F.lit(SEVEN)) + F.lit(SEVEN + TOP)).bitwiseXOR(F.lit(TOP))
+        total = total + F.bit_count(carried.bitwiseOR(x).bitwiseAND(F.lit(~SEVEN)))
     return total
 
 
@@ -132,16 +132,16 @@ def _alike(pairs: DataFrame, texts: DataFrame, least: float, width: int) -> Data
                 keep.append(common >= least * (len(mine) + len(held) - common))
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    whole = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").select("b", "u", "v", "x", "y")
+    whole = join_apart(join_apart(pairs, texts.toDF("a", "x"), "a"), texts.toDF("b", "y"), "b").select("b", "u", "v", "x", "y")
     return whole.mapInArrow(run, "u long, v long").distinct()
 
 
 def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
     """``(cell, key, n, sig, comp)`` of the cells whose members are in several components."""
-    named = members.join(labels, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+    named = join_apart(members, labels, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
     named = materialise(named.select("cell", "key", "n", "sig", "comp"), "named")
     several = named.groupBy("cell").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("cell")
-    return materialise(named.join(several, "cell", "left_semi"), "mixed")
+    return materialise(join_apart(named, several, "cell", "left_semi"), "mixed")
 
 
 def _pairs(joined: DataFrame, least: float) -> DataFrame:
@@ -191,9 +191,9 @@ def _left_pairs(mixed: DataFrame, parity: DataFrame, least: float, block_bytes:
     """
     sizes = mixed.groupBy("cell", "comp").agg(F.count(F.lit(1)).alias("size"))
     main = sizes.groupBy("cell").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"))
-    rows = materialise(mixed.select("cell", "key", "n", "comp").join(parity, "key").join(main, "cell"), "left")
+    rows = materialise(join_apart(join_apart(mixed.select("cell", "key", "n", "comp"), parity, "key"), main, "cell"), "left")
     blocks = rows.groupBy("cell").agg(F.ceil(F.sum(F.octet_length("par") + 64) / block_bytes).alias("blocks"))
-    dealt = rows.join(blocks, "cell").withColumn("block", F.pmod(F.xxhash64("key", F.lit(9)), F.col("blocks")))
+    dealt = join_apart(rows, blocks, "cell").withColumn("block", F.pmod(F.xxhash64("key", F.lit(9)), F.col("blocks")))
     pack = lambda some, name: some.groupBy("cell", "block").agg(F.collect_list(F.struct("key", "n", "comp", "par")).alias(name)).drop("block")
 
     def side(lists: pa.ListScalar) -> dict:
@@ -211,7 +211,7 @@ def _left_pairs(mixed: DataFrame, parity: DataFrame, least: float, block_bytes:
                     ends = [np.where(first, one, other) for c in ("key", "comp") for one, other in ((x[c][p], y[c][q]), (y[c][q], x[c][p]))]
                     yield pa.RecordBatch.from_arrays([pa.array(e, pa.int64()) for e in ends], names=["a", "b", "u", "v"])
 
-    met = pack(dealt.where("comp <> main"), "asked").join(pack(dealt, "held"), "cell").select("asked", "held")
+    met = join_apart(pack(dealt.where("comp <> main"), "asked"), pack(dealt, "held"), "cell").select("asked", "held")
     return met.mapInArrow(run, "a long, b long, u long, v long").dropDuplicates(["a", "b"])
 
 
@@ -219,9 +219,9 @@ def fingerprint_pairs(nodes: DataFrame, least: float) -> DataFrame:
     """``(a, b, u, v)`` of distinct keys ``(key, n, fp)``: each row of a group that operator 1 makes with the group's
     smallest key, where the sizes allow the similarity."""
     roots = simhash.link(nodes.select("fp").distinct())
-    grouped = materialise(nodes.join(roots, "fp", "left").select("key", "n", F.coalesce("root", "fp").alias("root")), "fingerprint-groups")
+    grouped = materialise(join_apart(nodes, roots, "fp", "left").select("key", "n", F.coalesce("root", "fp").alias("root")), "fingerprint-groups")
     leaders = grouped.groupBy("root").agg(F.min("key").alias("a"), F.min_by("n", "key").alias("na"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    met = grouped.join(leaders, "root").where("key <> a").where(F.least("n", "na") >= F.greatest("n", "na") * least)
+    met = join_apart(grouped, leaders, "root").where("key <> a").where(F.least("n", "na") >= F.greatest("n", "na") * least)
     return met.select("a", F.col("key").alias("b"), F.col("a").alias("u"), F.col("key").alias("v"))
 
 
@@ -232,8 +232,8 @@ def link(nodes: DataFrame, texts, least: float, width: int) -> DataFrame:
     """
     cells = nodes.select("key", "n", F.posexplode("bands").alias("k", "band")).select(F.xxhash64("k", "band").alias("cell"), "key", "n")
     crowded = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("cell")
-    members = materialise(cells.join(crowded, "cell", "left_semi"), "cells")
-    members = materialise(members.join(nodes.select("key", "sig"), "key"), "members")
+    members = materialise(join_apart(cells, crowded, "cell", "left_semi"), "cells")
+    members = materialise(join_apart(members, nodes.select("key", "sig"), "key"), "members")
     alike = materialise(fingerprint_pairs(nodes.select("key", "n", "fp"), least), "fingerprint-pairs")
     keys = members.select("key").union(alike.select("a")).union(alike.select("b"))
     held = materialise(texts(keys.distinct()), "texts")
@@ -245,15 +245,15 @@ def link(nodes: DataFrame, texts, least: float, width: int) -> DataFrame:
         if turn < ROUNDS:  # everyone with the cell's leader
             order = F.col("key") if turn == 0 else F.xxhash64("key", "cell", F.lit(turn))
             leaders = mixed.groupBy("cell").agg(F.min_by(row, F.struct(order, "key")).alias("y"))
-            pairs = _pairs(mixed.select("cell", row.alias("x")).join(leaders, "cell"), least)
+            pairs = _pairs(join_apart(mixed.select("cell", row.alias("x")), leaders, "cell"), least)
         else:  # everyone outside the cell's largest component with all of the cell
             pairs = _left_pairs(mixed, nodes.select("key", "par"), least)
-        pairs = materialise(pairs.join(tested, ["a", "b"], "left_anti"), "candidates")
+        pairs = materialise(join_apart(pairs, tested, ["a", "b"], "left_anti"), "candidates")
         near = materialise(_alike(pairs, held, least, width), "alike")
         tested = tested.union(pairs.select("a", "b"))
         merged = connected_components(near)
-        moved = labels.join(merged.toDF("comp", "top"), "comp", "left").select("key", F.coalesce("top", "comp").alias("comp"))
-        alone = merged.toDF("key", "comp").join(labels, "key", "left_anti")
+        moved = join_apart(labels, merged.toDF("comp", "top"), "comp", "left").select("key", F.coalesce("top", "comp").alias("comp"))
+        alone = join_apart(merged.toDF("key", "comp"), labels, "key", "left_anti")
         labels = materialise(moved.union(alone), "labels")
     return labels
 
@@ -270,11 +270,11 @@ def drop_near_copies(docs: DataFrame, least: float = 0.8, width: int = 5, id_col
     nodes = materialise(rows.groupBy("key").agg(F.min("id").alias("rep"), F.min("fp").alias("fp"), *(F.first(c).alias(c) for c in ("n", "sig", "par", "bands"))), "nodes")
 
     def texts(keys: DataFrame) -> DataFrame:
-        return texts_of(docs, nodes.join(keys, "key", "left_semi").where("rep IS NOT NULL").select(F.col("rep").alias("id")).distinct(), width, id_col, text_col)
+        return texts_of(docs, join_apart(nodes, keys, "key", "left_semi").where("rep IS NOT NULL").select(F.col("rep").alias("id")).distinct(), width, id_col, text_col)
 
     labels = link(nodes.select("key", "n", "fp", "sig", "par", "bands"), texts, least, width)
-    grouped = materialise(nodes.select("key", "rep").join(labels, "key", "left").select("key", F.coalesce("comp", "key").alias("root"), "rep"), "grouped")
+    grouped = materialise(join_apart(nodes.select("key", "rep"), labels, "key", "left").select("key", F.coalesce("comp", "key").alias("root"), "rep"), "grouped")
     smallest = grouped.groupBy("root").agg(F.min("rep").alias("component"))
-    gone = rows.select("id", "key").join(grouped.join(smallest, "root").select("key", "component"), "key")
+    gone = join_apart(rows.select("id", "key"), join_apart(grouped, smallest, "root").select("key", "component"), "key")
     gone = gone.where("id <> component").select(F.col("id").alias(id_col)).distinct()
-    return docs.join(materialise(gone, "near-copies"), id_col, "left_anti").select(*quoted(docs.columns))
+    return join_apart(docs, materialise(gone, "near-copies"), id_col, "left_anti").select(*quoted(docs.columns))

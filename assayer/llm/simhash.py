@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import connected_components
-from .workspace import materialise, quoted, ship
+from .workspace import join_apart, materialise, quoted, ship
 
 LOW = 0x5555555555555555
 SEED = 42
@@ -116,21 +116,21 @@ def link(nodes: DataFrame, max_bits: int = 4, blocks: int = 8) -> DataFrame:
         raise ValueError("blocks must lie above max_bits and within 32")
     cells = _cells(nodes, max_bits, blocks)
     crowded = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("leader")).where("n > 1").drop("n")
-    members = materialise(cells.join(crowded, "cell"), "members")
+    members = materialise(join_apart(cells, crowded, "cell"), "members")
     stars = members.where("fp <> leader").where(_near("fp", "leader", max_bits)).select(F.col("fp").alias("u"), F.col("leader").alias("v"))
     rough = connected_components(stars)
-    named = members.select("cell", "fp").join(rough.select(F.col("node").alias("fp"), "root"), "fp", "left").select("cell", "fp", F.coalesce("root", "fp").alias("comp"))
+    named = join_apart(members.select("cell", "fp"), rough.select(F.col("node").alias("fp"), "root"), "fp", "left").select("cell", "fp", F.coalesce("root", "fp").alias("comp"))
     by_comp = named.groupBy("cell", "comp").agg(F.count(F.lit(1)).alias("n"))
     mixed = by_comp.groupBy("cell").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1").drop("comps")
-    mixed = materialise(named.join(mixed, "cell"), "mixed")
+    mixed = materialise(join_apart(named, mixed, "cell"), "mixed")
     few = mixed.where("comp <> main").select("cell", F.col("fp").alias("a"), F.col("comp").alias("u"))
     every = mixed.select("cell", F.col("fp").alias("b"), F.col("comp").alias("v"))
-    late = few.join(every, "cell").where("u <> v").where(_near("a", "b", max_bits)).select("u", "v")
+    late = join_apart(few, every, "cell").where("u <> v").where(_near("a", "b", max_bits)).select("u", "v")
     merged = connected_components(late)
     up = merged.select(F.col("node").alias("comp"), F.col("root").alias("top"))
     direct = rough.select(F.col("node").alias("fp"), F.col("root").alias("comp"))
     alone = merged.select(F.col("node").alias("fp"), F.col("node").alias("comp"))
-    return direct.union(alone).distinct().join(up, "comp", "left").select("fp", F.coalesce("top", "comp").alias("root")).groupBy("fp").agg(F.min("root").alias("root"))
+    return join_apart(direct.union(alone).distinct(), up, "comp", "left").select("fp", F.coalesce("top", "comp").alias("root")).groupBy("fp").agg(F.min("root").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, max_bits: int = 4, width: int = 4, blocks: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

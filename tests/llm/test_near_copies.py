@@ -93,3 +93,34 @@ def test_operator_1_links_first_and_texts_decide(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     kept = {r.doc_id for r in corpus_pipeline.near_stage(spark, docs, "").collect()}
     assert seen and kept == set(range(len(texts))) - {k + 1 for k in near}
+
+
+def test_rounds_send_no_table_through_the_driver(spark, monkeypatch):
+    """A broadcast is made in the driver, which holds megabytes for each until garbage is collected."""
+    from assayer.llm import graph, near_copies, workspace
+
+    rnd, plans = random.Random(10), []
+
+    def kept(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return workspace.materialise(df, name)
+
+    for module in (graph, near_copies, simhash):
+        monkeypatch.setattr(module, "materialise", kept)
+    base = [f"w{rnd.randrange(5000)}" for _ in range(300)]
+    texts = [" ".join([*base[:k], "changed", *base[k + 1 :]]) for k in range(0, 300, 20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.doc_id for r in corpus_pipeline.near_stage(spark, docs, "").collect()] == [0]
+    assert len(plans) > 20 and not [p for p in plans if "Broadcast" in p]
+
+
+def test_differing_bytes_of_sketches(spark):
+    from assayer.llm import near_copies
+
+    rnd = random.Random(11)
+    word = lambda: int.from_bytes(bytes(rnd.choice([0, 0, 1, 127, 128, 255, rnd.randrange(256)]) for _ in range(8)), "little", signed=True)
+    rows = [([word() for _ in range(20)], [word() for _ in range(20)]) for _ in range(200)]
+    as_bytes = lambda x: b"".join(v.to_bytes(8, "little", signed=True) for v in x)
+    want = [sum(p != q for p, q in zip(as_bytes(a), as_bytes(b))) for a, b in rows]
+    got = spark.createDataFrame(rows, "a array<long>, b array<long>").select(near_copies._differ(near_copies.F.col("a"), near_copies.F.col("b")).alias("d")).collect()
+    assert [r.d for r in got] == want
