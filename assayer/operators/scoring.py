@@ -84,74 +84,104 @@ def authenticity(rows: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     return _rated(rows.groupBy("analysis_id").agg(*_claims()), s)
 
 
-def sub_scores(rows: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
-    """All scores of each analysis from its verdicts, in one aggregate."""
+def _sums() -> list[Column]:
+    """What ``_scored`` takes, summed over an analysis."""
     whole = lambda c: S.truncated(c * 100)
     share = lambda section: whole(F.count_if(F.col("section") == section) / F.count(F.lit(1)))
-    parts = rows.groupBy("analysis_id").agg(
+    return [
         share("Experience").alias("experience_score"), share("Projects").alias("project_score"),
         S.truncated(F.coalesce(F.avg(F.when(F.col("covered"), F.col("confidence"))), d(0))).alias("confidence_score"),
         *(F.count_if(F.col("status") == n).alias(f"{n.lower()}_count") for n in ("Matched", "Partial", "Missing")),
         _coverage(), *_claims(),
-    )
+    ]
+
+
+def _scored(parts: DataFrame, s: Settings) -> DataFrame:
     scored = _rated(parts, s)
     overall = S.overall_score(F.col("coverage_score"), F.col("experience_score"), F.col("project_score"), F.col("confidence_score"), F.col("quality_score"), s)
     return scored.withColumn("overall_score", overall).withColumn("recruiter_recommendation", S.recommendation_text(overall))
 
 
+def sub_scores(rows: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
+    """All scores of each analysis from its verdicts, in one aggregate."""
+    return _scored(rows.groupBy("analysis_id").agg(*_sums()), s)
+
+
 def status_counts(reports: DataFrame) -> DataFrame:
     """Requirements of each status in nested reports; an unknown status counts as missing."""
     n = lambda *names: F.size(F.filter("requirements", lambda r: r["status"].isin(*names))).cast("long")
     return reports.select("analysis_id", n("Matched").alias("matched"), n("Partial").alias("partial"), (F.size("requirements") - n("Matched", "Partial")).cast("long").alias("missing"))
 
 
+GAP = "status = 'Missing' OR status = 'Partial' AND claimed"
+
+
+def _listed(entry: Column, where: Column | None = None) -> Column:
+    """The entries of an analysis in order, of those rows for which ``where`` holds."""
+    return F.array_sort(F.collect_list(entry if where is None else F.when(where, entry)))
+
+
 def gaps(rows: DataFrame) -> DataFrame:
     """Verdicts that leave something to learn: missing ones, and partial ones of the requirement's own name.
     What an equivalent skill meets is no gap, even where that skill is only listed."""
-    return rows.where("status = 'Missing' OR status = 'Partial' AND claimed")
+    return rows.where(GAP)
 
 
-def learning_roadmap(rows: DataFrame) -> DataFrame:
-    """How long each gap would take to learn, and why."""
+def _learning() -> tuple[Column, Column]:
     time = F.when(F.col("status") == "Partial", PARTIAL_LEARNING_TIME).otherwise(S.learning_time(F.when(F.col("relation") == "related", F.col("transfer")).otherwise(d(0))))
     reason = (
         F.when(F.col("status") == "Partial", F.format_string("%s is named; a project with it would show it.", "requirement"))
         .when(F.col("relation") == "related", F.format_string("%s is close, which shortens the way to %s.", "related_skill", "requirement"))
         .otherwise(F.format_string("Nothing close to %s is shown, so it starts from the basics.", "requirement"))
     )
-    return gaps(rows).select(*KEY, "position", time.alias("estimated_time"), reason.alias("reason"))
+    return time.alias("estimated_time"), reason.alias("reason")
 
 
-def skill_relationships(rows: DataFrame) -> DataFrame:
-    """``(analysis_id, skill_relationships)``: what a candidate's other skills mean for the requirements, in their order.
+def learning_roadmap(rows: DataFrame) -> DataFrame:
+    """How long each gap would take to learn, and why."""
+    return gaps(rows).select(*KEY, "position", *_learning())
 
-    A close skill backs a claimed requirement if it is shown at work, stands in for one that isn't
-    claimed if it is equivalent, and shortens the way to it if it is related.
-    """
+
+def _relationships() -> Column:
     text = (
         F.when(F.col("claimed") & F.col("narrative") & F.col("relation").isin("equivalent", "related"), F.format_string("Work with %s backs %s.", "related_skill", "requirement"))
         .when(~F.col("claimed") & (F.col("relation") == "equivalent"), F.format_string("%s counts as %s.", "related_skill", "requirement"))
         .when(~F.col("claimed") & (F.col("relation") == "related"), F.format_string("%s is a short way from %s.", "requirement", "related_skill"))
     )
-    named = rows.withColumn("text", text).where("text IS NOT NULL")
-    return named.groupBy("analysis_id").agg(F.array_sort(F.collect_list(F.struct("position", "requirement", "text"))).alias("t")).select("analysis_id", F.col("t.text").alias("skill_relationships"))
+    return _listed(F.struct("position", "requirement", text.alias("text")), text.isNotNull())["text"]
 
 
-def interview_questions(rows: DataFrame) -> DataFrame:
-    """``(analysis_id, interview_questions)``: up to three on related skills, two on shallow claims, two on strong ones,
-    five in all unless the first two kinds are more; two plain ones where there is nothing to ask."""
+def skill_relationships(rows: DataFrame) -> DataFrame:
+    """``(analysis_id, skill_relationships)``: what a candidate's other skills mean for the requirements, in their order.
+
+    A close skill backs a claimed requirement if it is shown at work, stands in for one that isn't
+    claimed if it is equivalent, and shortens the way to it if it is related.
+    """
+    return rows.groupBy("analysis_id").agg(_relationships().alias("skill_relationships")).where(F.size("skill_relationships") > 0)
+
+
+def _questions() -> Column:
     kind = F.when((F.col("status") == "Missing") & (F.col("relation") == "related"), 0).when(F.col("status") == "Partial", 1).when(F.col("status") == "Matched", 2)
     text = (
         F.when(kind == 0, F.format_string("How would you bring what you know of %s to %s?", "related_skill", "requirement"))
         .when(kind == 1, F.format_string("Which problem have you solved with %s, and what came of it?", "requirement"))
         .otherwise(F.format_string("Which hard trade-off have you met in your work with %s?", "requirement"))
     )
-    asked = rows.groupBy("analysis_id").agg(F.array_sort(F.collect_list(F.when(kind.isNotNull(), F.struct(kind.alias("kind"), F.col("position"), F.col("requirement"), text.alias("text"))))).alias("q"))
+    return _listed(F.struct(kind.alias("kind"), F.col("position"), F.col("requirement"), text.alias("text")), kind.isNotNull()).alias("q")
+
+
+def _chosen_questions() -> Column:
     few = lambda k, n: F.slice(F.transform(F.filter("q", lambda x: x["kind"] == k), lambda x: x["text"]), 1, n)
     first = F.concat(few(0, 3), few(1, 2))
     every = F.concat(first, F.slice(few(2, 2), F.lit(1), F.greatest(F.lit(0), 5 - F.size(first))))
     plain = F.array(F.lit("Walk me through a project you are proud of."), F.lit("When did you last have to learn a tool quickly?"))
-    return asked.select("analysis_id", F.when(F.size(every) > 0, every).otherwise(plain).alias("interview_questions"))
+    return F.when(F.size(every) > 0, every).otherwise(plain)
+
+
+def interview_questions(rows: DataFrame) -> DataFrame:
+    """``(analysis_id, interview_questions)``: up to three on related skills, two on shallow claims, two on strong ones,
+    five in all unless the first two kinds are more; two plain ones where there is nothing to ask."""
+    return rows.groupBy("analysis_id").agg(_questions()).select("analysis_id", _chosen_questions().alias("interview_questions"))
 
 
 def snippet(text: Column, most: int = 90) -> Column:
@@ -174,32 +204,43 @@ def explained(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"explanation": text, "limitations": limits})
 
 
-def weaknesses(rows: DataFrame, most: int = 5) -> DataFrame:
-    """``(analysis_id, weaknesses)``: missing must-haves first, the latest in front, then the rest in order."""
+def _weaknesses(most: int = 5) -> Column:
     must = (F.col("status") == "Missing") & (F.col("importance") == "must")
     text = F.when(must, F.concat(F.lit("Missing must-have: "), "requirement")).when(F.col("status") == "Missing", F.concat(F.lit("Missing nice-to-have: "), "requirement")).otherwise(F.concat("requirement", F.lit(": named, not backed by project work")))
     place = F.struct(F.when(must, 0).otherwise(1).alias("k"), F.when(must, -F.col("position")).otherwise(F.col("position")).alias("p"), text.alias("text"))
-    return gaps(rows).groupBy("analysis_id").agg(F.array_sort(F.collect_list(place)).alias("w")).select("analysis_id", F.slice("w.text", 1, most).alias("weaknesses"))
+    return F.slice(_listed(place, F.expr(GAP))["text"], 1, most)
+
+
+def weaknesses(rows: DataFrame, most: int = 5) -> DataFrame:
+    """``(analysis_id, weaknesses)``: missing must-haves first, the latest in front, then the rest in order."""
+    return rows.groupBy("analysis_id").agg(_weaknesses(most).alias("weaknesses")).where(F.size("weaknesses") > 0)
 
 
 def reports(rows: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     """Nested reports, one per analysis: scores, requirements in order, strengths and weaknesses, missing skills,
-    what other skills mean for them, roadmap, questions, authenticity."""
+    what other skills mean for them, roadmap, questions, authenticity.
+
+    Verdicts are shuffled once, without the texts that are made of them; all of a report comes from one aggregate.
+    """
     rescued = ~F.col("claimed") & (F.col("relation") == "equivalent")
     entry = F.struct("position", "requirement", "status", F.col("evidence").alias("matched_evidence"), "explanation", "limitations", "confidence", "importance", "weight", "related_skill", rescued.alias("rescued"))
-    listed = explained(rows).groupBy("analysis_id").agg(
-        F.array_sort(F.collect_list(entry)).alias("requirements"),
-        F.array_sort(F.collect_list(F.when(F.col("claimed") & ~F.col("demonstrated"), F.col("requirement")))).alias("over_claimed_skills"),
-    )
     named = lambda *names: F.transform(F.filter("requirements", lambda r: r["status"].isin(*names)), lambda r: r["requirement"])
     strong = F.transform(F.filter("requirements", lambda r: (r["status"] == "Matched") | r["rescued"]), lambda r: F.when(r["rescued"], F.format_string("%s through %s", r["requirement"], r["related_skill"])).otherwise(r["requirement"]))
-    plan = learning_roadmap(rows).groupBy("analysis_id").agg(F.array_sort(F.collect_list(F.struct("position", F.col("requirement").alias("skill"), "estimated_time", "reason"))).alias("learning_roadmap"))
-    out = sub_scores(rows, s).join(listed, "analysis_id").join(interview_questions(rows), "analysis_id")
-    for extra in (plan, weaknesses(rows), skill_relationships(rows)):
-        out = out.join(extra, "analysis_id", "left")
-    empty = F.array().cast("array<string>")
+    gathered = explained(rows.repartition("analysis_id")).groupBy("analysis_id").agg(
+        *_sums(),
+        _listed(entry).alias("requirements"),
+        _listed(F.col("requirement"), F.col("claimed") & ~F.col("demonstrated")).alias("over_claimed_skills"),
+        _questions(),
+        _listed(F.struct("position", F.col("requirement").alias("skill"), *_learning()), F.expr(GAP)).alias("learning_roadmap"),
+        _weaknesses().alias("weaknesses"),
+        _relationships().alias("skill_relationships"),
+    )
+    totals = _scored(gathered, s)
+    texts = {"interview_questions": _chosen_questions(), "learning_roadmap": F.when(F.size("learning_roadmap") > 0, F.col("learning_roadmap"))}
+    scores = [c for c in totals.columns if c not in ("requirements", "over_claimed_skills", "q", "learning_roadmap", "weaknesses", "skill_relationships")]
+    out = totals.withColumns(texts).select(*scores, "requirements", "over_claimed_skills", "interview_questions", "learning_roadmap", "weaknesses", "skill_relationships")
     return out.withColumns({
-        "missing_skills": named("Missing"), "strengths": F.slice(strong, 1, 5), "weaknesses": F.coalesce("weaknesses", empty), "skill_relationships": F.coalesce("skill_relationships", empty),
+        "missing_skills": named("Missing"), "strengths": F.slice(strong, 1, 5),
         "authenticity": F.struct("credibility_score", "keyword_stuffing_risk", "over_claimed_skills", "corroboration_ratio"),
         "rejection_email": F.when(F.col("overall_score") < s.matched_min, F.concat(F.lit("We will not go on with this application. Gaps: "), F.array_join(F.slice(named("Partial", "Missing"), 1, 3), ", "))),
     }).drop("over_claimed_skills", "position")

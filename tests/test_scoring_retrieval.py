@@ -243,3 +243,18 @@ def test_bm25_shuffles_no_pairs(spark):
             assert "Exchange" not in plan and "Join" not in plan
             few = retrieval.bm25(a, spark.createDataFrame(held, rows), only=spark.createDataFrame([(7,), (8,)], "doc_id long")).collect()
             assert {(r.query_id, r.doc_id): r.score for r in few} == {k: v for k, v in got.items() if k[1] in (7, 8)}
+
+
+def test_reports_shuffle_verdicts_once(spark):
+    """One aggregate makes all of a report, behind one shuffle of verdicts."""
+    fields = "analysis_id long, requirement string, position long, importance string, weight double"
+    wanted = spark.createDataFrame([(1, "java", 1, "must", 1.0), (1, "sql", 2, "nice", 0.4), (2, "go", 1, "must", 1.0)], fields)
+    found = spark.createDataFrame([(1, "java", "Built services in java for years", "Experience", 0.9, 90)], "analysis_id long, requirement string, chunk string, section string, score double, confidence long")
+    made = scoring.reports(scoring.verdicts(wanted, found))
+    shuffles = [x for x in made._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning(analysis_id#" in x]
+    assert len([x for x in shuffles if "requirement#" not in x]) == 1
+    rows = {r.analysis_id: r for r in made.collect()}
+    assert rows[1].missing_skills == ["sql"] and [x.skill for x in rows[1].learning_roadmap] == ["sql"]
+    assert rows[2].weaknesses == ["Missing must-have: go"] and rows[2].skill_relationships == []
+    done = scoring.reports(scoring.verdicts(wanted.where("requirement = 'java'"), found)).first()
+    assert done.learning_roadmap is None and done.weaknesses == []
