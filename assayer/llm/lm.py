@@ -133,6 +133,8 @@ def _output(weights: dict[str, np.ndarray], h: np.ndarray, code: np.ndarray, gra
     h = np.concatenate([h.T, np.ones((1, len(h)), h.dtype)])
     outer, bounded = _with_bias(weights, "classes", "class_bias")
     kind = np.where(code < HEAD, code // PER_CLASS, CLASSES + code - HEAD)
+    order = np.argsort(kind.astype(np.uint8), kind="stable")  # classes first, so that each one's tokens are a slice
+    kind, h = kind[order], np.take(h, order, axis=1)
     out, e, total = _chosen(outer.T @ h, kind, bounded)
     dh = None
     if grads is not None:
@@ -141,27 +143,23 @@ def _output(weights: dict[str, np.ndarray], h: np.ndarray, code: np.ndarray, gra
         grads["classes"] += g[:-1]
         grads["class_bias"] += g[-1]
         dh = weights["classes"] @ d
-    order = np.argsort(kind.astype(np.uint8), kind="stable")
-    cuts = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-    order = order[: cuts[-1]]
-    word, part = code[order] % PER_CLASS, h[:, order]
+    cuts = np.searchsorted(kind, np.arange(CLASSES + 1))
+    word = code[order[: cuts[-1]]] % PER_CLASS
     inside, bounded = _with_bias(weights, "words", "word_bias")
-    inner, d_part = np.empty(len(order), h.dtype), np.empty((HIDDEN, len(order)), h.dtype)
     for c in range(CLASSES):
         at = slice(cuts[c], cuts[c + 1])
         if cuts[c] < cuts[c + 1]:
-            inner[at], e, total = _chosen(inside[c].T @ part[:, at], word[at], bounded)
+            inner, e, total = _chosen(inside[c].T @ h[:, at], word[at], bounded)
+            out[at] += inner
             if grads is not None:
                 d = back(e, total, word[at])
-                g = part[:, at] @ d.T
+                g = h[:, at] @ d.T
                 grads["words"][c] += g[:-1]
                 grads["word_bias"][c] += g[-1]
-                d_part[:, at] = weights["words"][c] @ d
-    out[order] += inner
-    if dh is not None:
-        dh[:, order] += d_part
-        dh = dh.T
-    return out, dh
+                dh[:, at] += weights["words"][c] @ d
+    back_to = np.empty_like(order)
+    back_to[order] = np.arange(len(order))
+    return out[back_to], None if dh is None else np.take(dh, back_to, axis=1).T
 
 
 def lanes_of(codes: np.ndarray, lengths: np.ndarray, most_lanes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -236,7 +234,8 @@ class Adam:
     def apply(self, grads: dict[str, np.ndarray], share: float = 1.0) -> None:
         """A step; ``share`` of its usual length where a window holds few tokens. Overwrites ``grads``."""
         self.steps += 1
-        norm = math.sqrt(sum(float(np.vdot(g, g)) for g in grads.values()))
+        flat = (g.ravel(order="K") for g in grads.values())  # no copies, whatever the order
+        norm = math.sqrt(sum(float(np.vdot(g, g)) for g in flat))
         scale = min(1.0, 1.0 / max(norm, 1e-9))
         rate = self.rate * share * math.sqrt(1 - 0.99**self.steps) / (1 - 0.9**self.steps)
         for k, g in grads.items():
@@ -256,6 +255,13 @@ class Adam:
             self.weights[k] -= g
 
 
+def _add_by_code(table: np.ndarray, codes: np.ndarray, units: np.ndarray) -> None:
+    """Add each token's column of ``units [unit, token]`` to its code's row of ``table``, best in column order."""
+    codes = codes.astype(np.intp)
+    for k, values in enumerate(units):
+        table[:, k] += np.bincount(codes, weights=values, minlength=len(table))
+
+
 def train_lanes(adam: Adam, code: np.ndarray, document: np.ndarray, previous: np.ndarray, window: int = 32) -> float:
     """One pass of truncated backpropagation; the state goes on from window to window. The mean loss."""
     weights = adam.weights
@@ -304,11 +310,7 @@ def train_lanes(adam: Adam, code: np.ndarray, document: np.ndarray, previous: np
         d_units = _by_unit(dg)
         grads["state"] += _by_unit(old) @ d_units.T
         d_units[2 * HIDDEN :] = _by_unit(dn)  # now the gradient of what the inputs add
-        at = before.ravel()
-        order = np.argsort(at, kind="stable")
-        at = at[order]
-        firsts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-        grads["inputs"][at[firsts]] += np.add.reduceat(np.take(d_units, order, axis=1), firsts, axis=1).T
+        _add_by_code(grads["inputs"], before.ravel(), d_units)
         adam.apply(grads, min(1.0, tokens / (n * code.shape[1])))
         loss -= float(logs.sum())
         count += tokens

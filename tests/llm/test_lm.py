@@ -176,3 +176,15 @@ def test_warm_texts_are_whole_and_bounded(spark):
     found = lm.warm_texts(docs, 30, 1500)
     assert 0 < len(found) <= 30 and sum(map(len, found)) <= 1500 and b"y" * 10_000 not in found
     assert found == lm.warm_texts(docs.repartition(1), 30, 1500)
+
+
+def test_sums_by_code_are_exact():
+    """Many small terms behind a large one: single-precision running sums would lose them."""
+    from assayer.llm import lm
+
+    table = np.zeros((lm.INPUTS, 3), np.float32, order="F")
+    codes = np.array([7] + [7] * 20_000 + [lm.INPUTS - 1], np.int16)
+    units = np.array([[1.0] + [2.0**-25] * 20_000 + [k] for k in range(3)], np.float32)
+    lm._add_by_code(table, codes, units)
+    assert np.array_equal(table[7], np.full(3, np.float32(1 + 20_000 * 2.0**-25))) and table[-1].tolist() == [0, 1, 2]
+    assert not table[:7].any() and not table[8:-1].any()
