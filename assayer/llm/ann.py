@@ -154,9 +154,18 @@ def distinct_vectors(rows: DataFrame, most: int) -> DataFrame:
     return materialise(grouped.select(F.col("members")[0]["row"].alias("node"), "vec", "members"), "distinct")
 
 
+def _bytes(column: pa.ChunkedArray | pa.Array, kind: str) -> np.ndarray:
+    """The bytes of a binary column's rows, all of one length, as a matrix that reads them where Arrow holds them."""
+    held = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if not len(held):
+        return np.empty((0, 0), dtype=kind)
+    _, offsets, data = held.buffers()
+    ends = np.frombuffer(offsets, dtype=np.int32)[held.offset : held.offset + len(held) + 1]
+    return np.frombuffer(data, dtype=np.uint8)[ends[0] : ends[-1]].view(kind).reshape(len(held), -1)
+
+
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    bodies = column.to_pylist()
-    return np.frombuffer(b"".join(bodies), dtype="<f8").reshape(len(bodies), -1)
+    return _bytes(column, "<f8")
 
 
 def build_index(vectors: DataFrame, sample_rows: int = 8192, books: int = 32, entries: int = 256) -> tuple[AdditiveQuantiser, DataFrame]:
@@ -179,43 +188,52 @@ def build_index(vectors: DataFrame, sample_rows: int = 8192, books: int = 32, en
     return model, materialise(vectors.select("node", "vec").mapInArrow(run, "node long, codes binary, norm double, error double"), "index")
 
 
-def _top(values: np.ndarray, n: int) -> np.ndarray:
-    """Columns of each row's ``n`` largest values; of equal ones at the limit the first columns."""
-    if n >= values.shape[1]:
-        return np.broadcast_to(np.arange(values.shape[1]), values.shape)
-    best = np.argpartition(-values, n - 1, axis=1)[:, :n]
-    least = np.take_along_axis(values, best, axis=1).min(axis=1)
-    for row in np.flatnonzero((values >= least[:, None]).sum(axis=1) > n):
-        above = np.flatnonzero(values[row] > least[row])
-        best[row] = np.concatenate([above, np.flatnonzero(values[row] == least[row])[: n - len(above)]])
-    return best
+def _best(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``n`` largest of each row's values, rows ascending; equal values by column."""
+    order = np.lexsort((columns, -values, rows))
+    ahead = np.arange(len(order)) - np.searchsorted(rows[order], rows[order])
+    order = order[ahead < n]
+    return rows[order], columns[order], values[order]
+
 
+def approximate(model: AdditiveQuantiser, queries: np.ndarray, codes: np.ndarray, norm: np.ndarray, n: int, error: np.ndarray | None = None, step: int = 16_384) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(query, column, value)`` of each query's ``n`` best entries by table lookups, of equal ones the first; a value is what the
+    score may be: two standard deviations along the direction in which ``error``, the length that codes leave, is widest are added.
 
-def approximate(model: AdditiveQuantiser, queries: np.ndarray, codes: np.ndarray, norm: np.ndarray, n: int, error: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Columns and values of each query's ``n`` best entries by table lookups; a value is what the score may be: two
-    standard deviations along the direction in which ``error``, the length that codes leave, is widest are added."""
-    columns, values = [], []
+    Entries are taken ``step`` at a time, and only those above the ``n``-th value so far are looked at again.
+    """
+    found = []
     room = 1e-6 * norm + (0 if error is None else 2 * math.sqrt(model.widest) * error)
-    norm, room, codes = norm.astype(np.float32), room.astype(np.float32), np.ascontiguousarray(codes.T)
+    norm, room, codes = norm.astype(np.float32)[:, None], room.astype(np.float32)[:, None], np.ascontiguousarray(codes.T)
     lengths = np.linalg.norm(queries, axis=1).astype(np.float32)
-    for i in range(0, len(queries), 32):  # so that a block's scores stay small
-        tables = model.tables(queries[i : i + 32])
-        scores = np.zeros((tables.shape[1], len(norm)), dtype=np.float32)
-        for table, code in zip(tables, codes):
-            scores += np.take(table, code, axis=1)
-        scores *= norm
-        scores += lengths[i : i + 32, None] * room
-        columns.append(_top(scores, n))
-        values.append(np.take_along_axis(scores, columns[-1], axis=1))
-    return np.concatenate(columns), np.concatenate(values)
+    for i in range(0, len(queries), 32):  # so that tables and a step's scores stay in the cache
+        tables = np.ascontiguousarray(model.tables(queries[i : i + 32]).transpose(0, 2, 1))
+        least = np.full(tables.shape[2], -np.inf, dtype=np.float32)
+        best = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32))
+        for j in range(0, len(norm), step):
+            scores = np.zeros((len(norm[j : j + step]), len(least)), dtype=np.float32)
+            looked = np.empty_like(scores)
+            for table, code in zip(tables, codes[:, j : j + step].astype(np.intp)):
+                scores += np.take(table, code, axis=0, out=looked, mode="clip")
+            scores *= norm[j : j + step]
+            scores += lengths[i : i + 32] * room[j : j + step]
+            first = not len(best[0]) and len(scores) > n
+            column, row = np.nonzero(scores >= np.partition(scores.T, -n, axis=1)[:, -n] if first else scores > least)
+            best = _best(*(np.concatenate(x) for x in zip(best, (row, column + j, scores[column, row]))), n)
+            last = np.flatnonzero(np.arange(len(best[0])) - np.searchsorted(best[0], best[0]) == n - 1)
+            least[best[0][last]] = best[2][last]
+        found.append((best[0] + i, *best[1:]))
+    return tuple(np.concatenate(x) for x in zip(*found))
 
 
 def candidates(model: AdditiveQuantiser, index: DataFrame, queries: DataFrame, rerank: int, block_rows: int, query_rows: int) -> DataFrame:
     """``(query, node, near)``: the ``rerank`` best entries of the whole index for each of ``queries (node, vec)``.
 
-    A block of codes and a block of queries are one bounded group.
+    A block of codes and a block of queries are one group, whose lists are ``query_rows`` times ``rerank`` rows
+    at most however large the table; fewer queries are dealt over up to eight blocks.
     """
-    blocks, query_blocks = (max(1, math.ceil(d.count() / n)) for d, n in ((index, block_rows), (queries, query_rows)))
+    entries, asking = index.count(), queries.count()
+    blocks, query_blocks = max(1, math.ceil(entries / block_rows)), max(1, math.ceil(asking / query_rows), min(8, math.ceil(asking / 256)))
     where = lambda n: F.pmod(F.xxhash64("node"), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = index.select("*", where(blocks).alias("block"), each(query_blocks).alias("query_block"))
@@ -226,10 +244,8 @@ def candidates(model: AdditiveQuantiser, index: DataFrame, queries: DataFrame, r
         if not held.num_rows or not asked.num_rows:
             return pa.table({"query": pa.array([], pa.int64()), "node": pa.array([], pa.int64()), "near": pa.array([], pa.float32())})
         held = held.sort_by("node")
-        codes = np.frombuffer(b"".join(held.column("codes").to_pylist()), dtype=np.uint8).reshape(held.num_rows, -1)
-        columns, values = approximate(shared.value, _matrix(asked.column("vec")), codes, held.column("norm").to_numpy(), rerank, held.column("error").to_numpy())
-        nodes = held.column("node").to_numpy()[columns]
-        return pa.table({"query": np.repeat(asked.column("node").to_numpy(), nodes.shape[1]), "node": nodes.ravel(), "near": values.ravel()})
+        rows, columns, values = approximate(shared.value, _matrix(asked.column("vec")), _bytes(held.column("codes"), "u1"), held.column("norm").to_numpy(), rerank, held.column("error").to_numpy())
+        return pa.table({"query": asked.column("node").to_numpy()[rows], "node": held.column("node").to_numpy()[columns], "near": values})
 
     found = left.groupBy("block", "query_block").cogroup(right.groupBy("block", "query_block")).applyInArrow(run, "query long, node long, near float")
     order = Window.partitionBy("query").orderBy(F.desc("near"), "node")
@@ -289,7 +305,7 @@ def settled(model: AdditiveQuantiser, index: DataFrame, vectors: DataFrame, quer
         most, asked = most * 8, queries.join(more, "node", "left_semi")
 
 
-def nearest(table: DataFrame, every: int = 20, k: int = 20, rerank: int = 192, block_rows: int = 65_536, query_rows: int = 32_768, block_bytes: int = 32 << 20, id_col: str = "vec_id", vector_col: str = "embedding", **fitting) -> DataFrame:
+def nearest(table: DataFrame, every: int = 20, k: int = 20, rerank: int = 192, block_rows: int = 131_072, query_rows: int = 4096, block_bytes: int = 32 << 20, id_col: str = "vec_id", vector_col: str = "embedding", **fitting) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``k`` vectors of largest inner product for each
     row whose id is divisible by ``every``, the row itself left out; ties go to smaller ids.
 

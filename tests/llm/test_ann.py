@@ -77,3 +77,26 @@ def test_coarse_codes_get_longer_lists(spark):
         true = [i for i in np.lexsort((np.arange(3000), -np.round(scores[row], 9))) if i != q][:20]
         hits += len(found[q] & set(true))
     assert len(got) == 3000 and hits / 3000 >= 0.95
+
+
+def test_lists_hold_no_more_than_their_entries():
+    """A query keeps its list alone, not the scores of a whole block that it was cut from; equal scores go to the first entries."""
+    import tracemalloc
+
+    rng = np.random.default_rng(6)
+    model = ann.train(rng.normal(size=(400, 8)), books=4, entries=16)
+    codes, norm = rng.integers(0, 16, (40_000, 4)).astype(np.uint8), np.ones(40_000)
+    codes[30_000:] = codes[:10_000]
+    queries = rng.normal(size=(640, 8))
+    tracemalloc.start()
+    got = ann.approximate(model, queries, codes, norm, 100)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20  # blocks of 32 queries whose scores stayed took 40,000 * 640 * 8 bytes
+    tables, scores = model.tables(queries), np.zeros((640, 40_000), dtype=np.float32)
+    for table, code in zip(tables, codes.T):
+        scores += table[:, code]
+    scores += np.linalg.norm(queries, axis=1).astype(np.float32)[:, None] * np.float32(1e-6)
+    want = [np.lexsort((np.arange(40_000), -s))[:100] for s in scores]
+    assert got[0].tolist() == np.repeat(np.arange(640), 100).tolist()
+    assert got[1].tolist() == np.concatenate(want).tolist()
