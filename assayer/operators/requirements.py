@@ -28,6 +28,8 @@ MUST_HEADER = r"(?i)^\s*(requirements?|required|must[\s-]*have|qualifications|mi
 NICE_CUE = r"(?i)\b(nice[\s-]*to[\s-]*have|preferred|preferable|bonus|a plus|good[\s-]*to[\s-]*have|desirable|desired|optional|advantageous|ideally|would be (a )?(plus|great|nice))\b"
 MUST_CUE = r"(?i)\b(must[\s-]*have|must|required|require|essential|mandatory|minimum|need to have)\b"
 TECHNICAL = r"[A-Za-z]+[A-Z0-9]|[A-Z]{2,}|[A-Za-z]*[0-9][A-Za-z0-9]*|[A-Za-z][A-Za-z0-9]*[+#/.][A-Za-z0-9+#/.]*"
+# The same with words of small letters alone taken whole, so that none of their letters is tried as a start.
+_PLAIN_OR_TECHNICAL = rf"[a-z]++(?![A-Za-z0-9+#/.])|({TECHNICAL})"
 STOP = [
     "a", "an", "the", "and", "or", "to", "for", "of", "in", "on", "with", "as", "is", "are", "be", "we", "you", "our", "your", "their", "this",
     "that", "these", "those", "it", "its", "who", "will", "can", "must", "should", "have", "has", "nice", "plus", "etc", "strong", "good", "great",
@@ -54,7 +56,7 @@ def terms_in(text: Column, terms: list[str] | None = None) -> Column:
     it is tried on texts that hold the term's letters, in any case (a dotted capital I counts as i).
     """
     known = taxonomy_terms() if terms is None else terms
-    folded = F.lower(F.upper(F.translate(text, "\u0130", "i")))
+    folded = F.lower(F.upper(F.replace(text, F.lit("\u0130"), F.lit("i"))))
     near = lambda whole: F.array(*[F.contains(whole, F.lit(t.upper().lower())) for t in known])
     maybe = bound(folded, near)
     return bound(maybe, lambda m: F.array_compact(F.array(*[F.when(m[i] & contains_term(text, F.lit(t)), t) for i, t in enumerate(known)])))
@@ -70,7 +72,8 @@ def term_documents(docs: DataFrame, text: str = "text", terms: list[str] | None
 
 def technical_specificity(text: Column, terms: list[str] | None = None) -> Column:
     """20 points for each distinct technical term or technical-looking token, at most 100."""
-    shaped = F.transform(F.regexp_extract_all(text, F.lit(TECHNICAL), 0), lambda t: F.regexp_replace(F.lower(t), r"^[+#/.]+|[+#/.]+$", ""))
+    shaped = F.filter(F.regexp_extract_all(text, F.lit(_PLAIN_OR_TECHNICAL), 1), lambda t: t != "")
+    shaped = F.transform(shaped, lambda t: F.regexp_replace(F.lower(t), r"^[+#/.]+|[+#/.]+$", ""))
     hits = F.array_union(terms_in(F.lower(text), terms), F.filter(shaped, lambda t: F.length(t) >= 2))
     return F.least(F.lit(20) * F.size(hits), F.lit(100))
 
@@ -85,8 +88,10 @@ def technical_tokens(chunk: Column, terms: list[str] | None = None) -> Column:
 
 def candidate_skills(matches: DataFrame) -> DataFrame:
     """``(analysis_id, skill, narrative, chunk, section)``: each skill's first narrative mention, else its first."""
-    rows = matches.select("analysis_id", "position", "chunk", "section", F.explode(F.array_distinct(technical_tokens(F.coalesce("chunk", F.lit(""))))).alias("skill"))
-    rows = rows.withColumn("narrative", F.coalesce(F.col("section").isin("Experience", "Projects"), F.lit(False)))
+    # A chunk answers several requirements; its first row is that of all its skills. Rows are dealt by analysis once, for both steps.
+    rows = matches.select("analysis_id", "position", "chunk", "section", F.coalesce(F.col("section").isin("Experience", "Projects"), F.lit(False)).alias("narrative")).repartition("analysis_id")
+    rows = ranked(rows, ["analysis_id", "chunk"], [F.desc("narrative"), F.asc("position"), F.asc("section")], "r", 1)
+    rows = rows.select("analysis_id", "position", "chunk", "section", "narrative", F.explode(F.array_distinct(technical_tokens(F.coalesce("chunk", F.lit(""))))).alias("skill"))
     return ranked(rows, ["analysis_id", "skill"], [F.desc("narrative"), F.asc("position"), F.asc("chunk"), F.asc("section")], "r", 1).select("analysis_id", "skill", "narrative", "chunk", "section")
 
 

@@ -32,7 +32,12 @@ def ingest(documents: DataFrame, index: DataFrame, encode: Encoder = default_enc
     hashed = documents.withColumn("sha", S.fingerprint(F.col("text")))
     fresh = documents.join(dml.stale_sources(hashed.select("resume_id", "sha"), index).select("resume_id"), "resume_id", "left_semi")
     nodes = structuring.nodes(fresh, s)
-    return nodes.join(hashed.select("resume_id", "sha"), "resume_id").withColumns({"embedding": encode(F.col("text")), "technical": requirements.technical_specificity(F.col("text"))})
+    # Chunks of a resume that repeat a text are encoded once; they lie in one place already.
+    rest = [c for c in nodes.columns if c not in ("resume_id", "text")]
+    once = nodes.groupBy("resume_id", "text").agg(F.collect_list(F.struct(*rest)).alias("same"))
+    told = once.select("*", encode(F.col("text")).alias("embedding"), requirements.technical_specificity(F.col("text")).alias("technical"))
+    whole = told.select("resume_id", "text", "embedding", "technical", F.inline("same")).join(hashed.select("resume_id", "sha"), "resume_id")
+    return whole.select(*nodes.columns, "sha", "embedding", "technical")
 
 
 def job_requirements(jobs: DataFrame, encode: Encoder = default_encoder, terms: list[str] | None = None, s: Settings = DEFAULTS) -> DataFrame:
@@ -82,8 +87,10 @@ def categorised(rows: DataFrame, name: str, encode: Encoder = default_encoder, s
 
 def relations(wanted: DataFrame, skills: DataFrame, encode: Encoder = default_encoder, s: Settings = DEFAULTS) -> DataFrame:
     """What ties each requirement ``(analysis_id, requirement)`` to the candidate's ``skills``: as
-    ``retrieval.related_skills``, where a skill is only *related* within one category of the taxonomy."""
-    left = categorised(wanted.select(F.col("analysis_id").alias("owner"), F.col("requirement").alias("name")), "name", encode, s)
+    ``retrieval.related_skills``, where a skill is only *related* within one category of the taxonomy.
+    ``wanted`` may bring each requirement's ``vector`` and ``category`` along."""
+    left = wanted if "category" in wanted.columns else categorised(wanted, "requirement", encode, s)
+    left = left.select(F.col("analysis_id").alias("owner"), F.col("requirement").alias("name"), "vector", "category")
     right = categorised(skills.select(F.col("analysis_id").alias("owner"), F.col("skill").alias("name"), "narrative", F.col("chunk").alias("skill_chunk")), "name", encode, s)
     found = retrieval.related_skills(left, right, s, carry=("narrative", "skill_chunk"))
     return found.withColumnsRenamed({"owner": "analysis_id", "name": "requirement"})
@@ -97,7 +104,8 @@ def evaluate(pairs: DataFrame, chunks: DataFrame, asked: DataFrame, encode: Enco
     found = materialise(evidence(pairs, chunks, asked, s=s), "evidence")
     wanted = pairs.join(asked, "jd_id").select("analysis_id", "requirement", "importance", "weight", "position")
     skills = requirements.candidate_skills(found)
-    return scoring.verdicts(wanted, found.drop("position"), relations(wanted, skills, encode, s), s)
+    kinds = pairs.join(categorised(asked, "requirement", encode, s), "jd_id").select("analysis_id", "requirement", "vector", "category")  # a job's, not a pair's
+    return scoring.verdicts(wanted, found.drop("position"), relations(kinds, skills, encode, s), s)
 
 
 def rank(pairs: DataFrame, verdicts: DataFrame, s: Settings = DEFAULTS) -> DataFrame:

@@ -24,12 +24,16 @@ OUTSIDE = r"[^\p{L}\p{M}\p{N}_]"
 
 
 def digest_vector(text: Column) -> Column:
-    """A unit vector of token counts, place and sign of a token by its MD5: an encoder that SQL can state as well."""
-    hexed = F.transform(retrieval.tokens(text), F.md5)
-    value = lambda h, k: F.conv(F.substring(h, k, 1), 16, 10).cast("int")
-    places = F.transform(hexed, lambda h: F.struct((value(h, 1) % 2 * 16 + value(h, 2)).alias("at"), (1.0 - value(h, 3) % 2 * 2).alias("sign")))
-    every = F.sequence(F.lit(0), F.lit(WIDTH - 1))
-    return normalised(bound(places, lambda held: F.transform(every, lambda i: F.aggregate(held, F.lit(0.0), lambda s, p: s + F.when(p["at"] == i, p["sign"]).otherwise(0.0)))))
+    """A unit vector of token counts, place and sign of a token by its MD5: an encoder that SQL can state as well.
+
+    A token becomes one of 64 characters, for its place and sign, and a place's number is how many more characters
+    are left without those of its minus than without those of its plus.
+    """
+    value = lambda t: F.conv(F.substring(F.md5(t), 1, 3), 16, 10).cast("int")
+    mark = lambda x: F.char(F.shiftright(x, 4).bitwiseAND(31) * 2 + x.bitwiseAND(1) + 48)
+    marks = F.array_join(F.transform(retrieval.tokens(text), lambda t: mark(value(t))), "")
+    without = lambda held, n: F.octet_length(F.replace(held, F.lit(chr(48 + n))))
+    return normalised(bound(marks, lambda held: F.array(*((without(held, 2 * i + 1) - without(held, 2 * i)).cast("double") for i in range(WIDTH)))))
 
 
 def _vector_sql(text: str) -> str:

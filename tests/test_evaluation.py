@@ -96,3 +96,38 @@ def test_evidence_and_owned_bm25_deal_texts_by_resume_alone(spark):
     assert dealt
     for keys in dealt:
         assert keys.startswith(("resume_id", "jd_id")), keys
+
+
+def test_texts_are_encoded_and_read_for_terms_once(spark):
+    """A resume's chunks that repeat a text, an analysis' rows that repeat a chunk and a job's requirements are worked on once each."""
+    from assayer.operators import requirements, retrieval
+    from assayer.plans import pipeline_catalog
+
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<double>")
+    def encode(text):
+        calls.add(1)
+        return [1.0, float(len(text))]
+
+    text = "Skills\nPython and SQL.\nProjects\nPython and SQL.\nEducation\nNone of them.\nExperience\nPython and SQL."
+    docs = spark.createDataFrame([(1, 1, "a", text), (2, 2, "b", text)], "resume_id long, candidate_id long, filename string, text string")
+    got = evaluation.ingest(docs, spark.createDataFrame([], "resume_id long, sha string"), encode).collect()
+    assert calls.value == 4 and len(got) == 8  # two texts of each resume
+    assert sorted((r.resume_id, r.chunk_id, r.section, r.embedding[1]) for r in got if r.resume_id == 1) == [(1, 0, "Skills", 15.0), (1, 1, "Experience", 15.0), (1, 2, "Projects", 15.0), (1, 3, "Education", 13.0)]
+    rows = [(1, k, "Uses Python and FastAPI.", s) for k, s in enumerate(["Skills", "Projects", "Experience", "Skills"])] + [(1, 0, "Python, AWS", "Projects"), (2, 1, None, None)]
+    found = requirements.candidate_skills(spark.createDataFrame(rows, "analysis_id long, position long, chunk string, section string"))
+    assert sorted(map(tuple, found.collect())) == [(1, "aws", True, "Python, AWS", "Projects"), (1, "fastapi", True, "Uses Python and FastAPI.", "Projects"), (1, "python", True, "Python, AWS", "Projects")]
+    words = retrieval.bm25(spark.createDataFrame([(1, 1, "sql")], "o long, query_id long, text string"), spark.createDataFrame([(1, 1, "sql and sql"), (1, 2, None), (1, 3, "none")], "o long, doc_id long, text string"), by=("o",))
+    assert "regexp_count" not in words._jdf.queryExecution().optimizedPlan().toString()
+    import hashlib
+    import math
+
+    assert [round(r.score, 9) for r in words.collect()] == [round(math.log(1 + 2.5 / 1.5) * 2 * 2.5 / (2 + 1.5 * (0.25 + 0.75 * 3 / (4 / 3))), 9)]
+    want = [0.0] * 32
+    for t in ["a", "b1", "c", "a"]:
+        h = hashlib.md5(t.encode()).hexdigest()
+        want[int(h[0], 16) % 2 * 16 + int(h[1], 16)] += 1 - int(h[2], 16) % 2 * 2
+    length = math.sqrt(sum(x * x for x in want))
+    vector = spark.createDataFrame([("A b1, c a",)], "t string").select(pipeline_catalog.digest_vector(F.col("t")).alias("v")).first().v
+    assert max(abs(x - y / (length + 1e-9)) for x, y in zip(vector, want)) < 1e-12
