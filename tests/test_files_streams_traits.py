@@ -141,3 +141,35 @@ def test_each_sum_reaches_the_driver_once(spark):
     assert (got == 64).all() and sorted(r["piece"] for r in seen[-1]) == [0, 1, 2]
     counts = spark.createDataFrame([(1, "a", 1), (2, "a", 1), (2, "b", 3)], "__row long, term string, tf long")
     assert {r.term: r.place for r in traits.vocabulary(counts, 2).collect()} == {"a": 0, "b": None}
+
+
+def test_trait_passes_add_up_blocks_that_number_their_own_terms(spark):
+    """Sums over blocks equal those over rows, whatever is zero in them; stop words are asked for as a set and words are runs of word characters."""
+    import numpy as np
+    import pyarrow as pa
+    from assayer.operators import passes, traits
+
+    rnd, size, m = np.random.default_rng(2), 60_000, 2
+    lists = [np.sort(rnd.choice(size, rnd.integers(0, 9), replace=False)) for _ in range(300)]
+    weights, y, share = [rnd.normal(size=len(x)) for x in lists], rnd.normal(size=(300, m)), rnd.random(300)
+    batch = pa.RecordBatch.from_arrays([pa.array([x.tolist() for x in lists], pa.list_(pa.int64())), pa.array([x.tolist() for x in weights], pa.list_(pa.float64())), pa.array(y.tolist(), pa.list_(pa.float64())), pa.array(share)], names=["places", "weights", "y", "share"])
+    blocks = list(traits._blocks([batch.slice(0, 100), batch.slice(100)], m, 150))
+    assert len(blocks) > 1
+    want, got = np.zeros((size, m)), np.zeros((size, m))
+    for x, w, v in zip(lists, weights, y * share[:, None]):
+        want[x] += w[:, None] * v
+    for block in blocks:
+        for terms, at, w, sizes, v, s in ((t, a, w, n, v, s) for t, a, n, w, v, s in traits._unpacked(block, m)):
+            traits._spread(got, terms, at, w, sizes, v * s)
+    assert np.abs(got - want).max() < 1e-12
+    rows = spark.createDataFrame([(i % size, float(i)) for i in (3, 59_999, 3, 17, 40_000)], "at long, x double").repartition(3)
+
+    def add(batch, held):
+        np.add.at(held, batch.column(0).to_numpy(), np.stack([batch.column(1).to_numpy()] * 5, axis=1))
+
+    summed = passes.total(rows, add, (size, 5))
+    assert np.flatnonzero(summed.any(axis=1)).tolist() == [3, 17, 40_000, 59_999] and summed[3].tolist() == [6.0] * 5
+    assert passes.total(rows, lambda batch, held: held.__iadd__(1), (2, 3), step=1).tolist() == [[5.0] * 3] * 2  # whole pieces
+    words = traits.term_counts(spark.createDataFrame([(1, "The X a_1 ÀÉ x́ naïvé-be and 7 22 22")], "__row long, t string"), "t")
+    assert "array_contains" not in words._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.term, r.tf) for r in words.collect()) == sorted([("a_1", 1), ("àé", 1), ("x́", 1), ("naïvé", 1), ("22", 2)])
